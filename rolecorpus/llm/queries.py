@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing
+from . import decontamination, language, mixing, quality
 from .sql import ORACLES
 
 
@@ -15,6 +15,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = quality.held_out(F.col("doc_id"), 4, 2)
+    profiles = language.learn_profiles(docs.filter(~out))
+    found = language.identify_languages(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = quality.held_out(F.col("doc_id"), 5, 0)
+    model = quality.fit_quality(docs, _table(spark, sf_dir, "labels").filter(~out))
+    scored = quality.score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", out.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
@@ -25,7 +41,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_source_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op4_language_id, op5_quality_classifier, op9_source_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
