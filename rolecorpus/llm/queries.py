@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, language, line_dedup, mixing, privacy, quality
+from . import decontamination, extraction, jaccard, language, line_dedup, mixing, privacy, quality
 from .sql import ORACLES
 
 
@@ -50,6 +50,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents")).drop("row_key")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), F.col("mix_taken").alias("taken"))
@@ -60,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii_pseudonyms, op4_language_id, op5_quality_classifier, op6_html_extraction, op7_line_dedup, op9_source_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op3_pii_pseudonyms, op4_language_id, op5_quality_classifier, op6_html_extraction, op7_line_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,12 +11,11 @@ def _shingles(table: str, key: str, name: str, where: str = "") -> str:
 OP8 = f"""
 WITH RECURSIVE {_shingles('documents', 'doc_id', 'd')},
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM d),
-rare AS (SELECT * FROM e),
 inter AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k
-  FROM rare a JOIN rare b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 link AS (SELECT a, b FROM inter WHERE 100 * k >= 75 * (na + nb - k)),
-both AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
-reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT both.a, r.c FROM reach r JOIN both ON both.b = r.doc_id AND r.c < both.a)
+sides AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT sides.a, r.c FROM reach r JOIN sides ON sides.b = r.doc_id AND r.c < sides.a)
 SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, min(r.c) AS component_id
 FROM d JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id, len(d.s)
 """
