@@ -1,5 +1,59 @@
-STAGES, ORACLE_SQL = [], None
+"""The corpus pipeline: quality, repeated lines, near copies, benchmark leaks, source mix.
 
+Each stage takes (spark, docs, sf_dir) and returns the documents that go on, with their columns; the last adds how
+often a document is taken. Stages are separated by written tables.
+"""
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rolecorpus.llm import decontamination, jaccard, line_dedup, mixing, quality
+from rolecorpus.llm.common import settle
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts. It is fitted on labels outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~quality.held_out(F.col("doc_id"), 5, 0))
+    model = quality.fit_quality(docs, labels)
+    scored = quality.score_quality(docs, model)
+    return scored.filter("quality_pred = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the chunks of lines that an earlier document has; their length is counted anew."""
+    done = line_dedup.dedup_lines(docs)
+    return done.select(*[F.when(F.col("chunks_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that of the smallest id."""
+    return jaccard.drop_near_copies(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with ``copies``, how often, and ``taken``, their words in all."""
+    mixed = mixing.mix_sources(docs)
+    return mixed.filter("mix_copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.col("mix_copies").alias("copies"), F.col("mix_taken").alias("taken"))
+
+
+STAGES = [("quality", keep_good), ("lines", cut_repeated_lines), ("near_copies", keep_one_of_copies), ("leaks", drop_leaks), ("mix", mix)]
+
+#: The classifier's scores have no SQL; the tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = settle(docs, f"pipeline-{name}")
+    return docs

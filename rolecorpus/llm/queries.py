@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, jaccard, language, line_dedup, mixing, neighbours, privacy, quality
+from . import decontamination, extraction, jaccard, language, line_dedup, mixing, neighbours, privacy, quality, suffixes
 from .sql import ORACLES
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.dedup_substrings(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["length"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -68,7 +74,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_nearest_neighbours, op3_pii_pseudonyms, op4_language_id, op5_quality_classifier, op6_html_extraction, op7_line_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_nearest_neighbours, op3_pii_pseudonyms, op4_language_id, op5_quality_classifier, op6_html_extraction, op7_line_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
