@@ -1,0 +1 @@
+"""Posting-corpus curation, batch retrieval and search telemetry as Spark jobs."""

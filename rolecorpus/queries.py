@@ -1 +1,4 @@
-QUERIES, ORACLES = {}, {}
+"""All registered queries of the library and their SQL."""
+
+from .catalog import enrich  # noqa: F401
+from .catalog.base import ORACLES, QUERIES  # noqa: F401
