@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from .text import WS, content_part
+from .text import WS, content_part, let
 
 
 def normalize_location(location: Column) -> Column:
@@ -21,12 +21,11 @@ def extract_location(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
 
 
-def _has(place: Column, token: str) -> Column:
-    return F.concat(F.lit(" "), content_part(place), F.lit(" ")).contains(f" {token} ")
+def _padded(place: Column) -> Column:
+    return F.concat(F.lit(" "), content_part(place), F.lit(" "))
 
 
-def _city_tests(place: Column) -> list[tuple[str, str, Column]]:
-    padded = F.concat(F.lit(" "), content_part(place), F.lit(" "))
+def _city_tests(padded: Column) -> list[tuple[str, str, Column]]:
     out = []
     for city, country, synonyms in dims.CITIES:
         test = F.lit(False)
@@ -39,24 +38,28 @@ def _city_tests(place: Column) -> list[tuple[str, str, Column]]:
 
 def tag_cities(place: Column) -> Column:
     """Names of all cities of which a synonym occurs on word boundaries, in the order of the dimension."""
-    return F.array_compact(F.array(*[F.when(test, F.lit(city)) for city, _, test in _city_tests(place)]))
+    return let(_padded(place), lambda t: F.array_compact(F.array(*[F.when(test, F.lit(city)) for city, _, test in _city_tests(t)])))
 
 
 def country_code(place: Column) -> Column:
     """The country that the place names, else that of its first city, else null."""
     alias = F.create_map(*[F.lit(x) for pair in dims.COUNTRY_ALIASES.items() for x in pair])
-    first = F.coalesce(*[F.when(test, F.lit(country)) for _, country, test in _city_tests(place)])
+    first = let(_padded(place), lambda t: F.coalesce(*[F.when(test, F.lit(country)) for _, country, test in _city_tests(t)]))
     return F.when(F.trim(place) != "", F.coalesce(F.try_element_at(alias, content_part(place)), first))
 
 
 def country_flag(place: Column, country: str = "IN", word: str = "india") -> Column:
     """Whether the place names the country, one of its aliases, or one of its cities."""
     aliases = [a for a, c in dims.COUNTRY_ALIASES.items() if c == country]
-    out = _has(place, word) | content_part(place).isin(aliases)
-    for _, c, test in _city_tests(place):
-        if c == country:
-            out = out | test
-    return F.coalesce(out, F.lit(False))
+
+    def named(t: Column) -> Column:
+        out = t.contains(f" {word} ") | F.trim(t).isin(aliases)
+        for _, c, test in _city_tests(t):
+            if c == country:
+                out = out | test
+        return out
+
+    return F.coalesce(let(_padded(place), named), F.lit(False))
 
 
 def location_terms(queries: DataFrame, location_col: str = "location") -> DataFrame:

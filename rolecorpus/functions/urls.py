@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
+from .text import let
 
 
 def host(url: Column) -> Column:
@@ -41,7 +42,11 @@ def _host_is(h: Column, tests: list[str]) -> Column:
 
 def classify_url(url: Column) -> Column:
     """marketing, individual_job, company_careers_listing or unknown; earlier rules win."""
-    h, p = host(url), strip_locale(path(url))
+    parts = F.struct(host(url).alias("h"), strip_locale(path(url)).alias("p"))
+    return let(parts, lambda x: _class_of(x["h"], x["p"]))
+
+
+def _class_of(h: Column, p: Column) -> Column:
     low = F.lower(p)
     denied = F.lit(False)
     for fragment in dims.DENY_PATHS:
@@ -69,11 +74,14 @@ def has_jobposting_schema(text: Column) -> Column:
 
 def company_from_url(url: Column) -> Column:
     """The company that a board's URL names by segment, subdomain or query, else null."""
-    h, parts = host(url), segments(path(url))
-    first = F.get(parts, F.lit(0))
+    parts = F.struct(host(url).alias("h"), F.get(segments(path(url)), F.lit(0)).alias("first"), F.try_parse_url(url, F.lit("QUERY"), F.lit("for")).alias("board"))
+    return let(parts, lambda x: _company_of(x["h"], x["first"], x["board"]))
+
+
+def _company_of(h: Column, first: Column, board: Column) -> Column:
     sub = lambda domain: F.nullif(F.regexp_extract(h, rf"^([^.]+)\.{domain}$", 1), F.lit(""))
     return (
-        F.when(h.endswith("greenhouse.io") & first.isNotNull(), F.when(F.lower(first) == "embed", F.try_parse_url(url, F.lit("QUERY"), F.lit("for"))).otherwise(first))
+        F.when(h.endswith("greenhouse.io") & first.isNotNull(), F.when(F.lower(first) == "embed", board).otherwise(first))
         .when(h.isin("jobs.lever.co", "jobs.ashbyhq.com", "apply.workable.com") & first.isNotNull(), first)
         .when(h.endswith("myworkdayjobs.com"), sub(r"myworkdayjobs\.com"))
         .when(h.endswith("smartrecruiters.com"), F.when(first.isNotNull() & (F.lower(first) != "careers"), first).otherwise(sub(r"smartrecruiters\.com")))
@@ -86,7 +94,10 @@ def company_from_url(url: Column) -> Column:
 
 def tenant_from_url(url: Column) -> Column:
     """struct(ats, slug) of a board or board-API URL, else null; the slug is decoded, lower-cased, without a leading @."""
-    h, parts = host(url), segments(path(url))
+    return let(F.struct(host(url).alias("h"), segments(path(url)).alias("p")), lambda x: _tenant_of(x["h"], x["p"]))
+
+
+def _tenant_of(h: Column, parts: Column) -> Column:
     p = [F.get(parts, F.lit(k)) for k in range(3)]
     slug = lambda s: F.lower(F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(F.try_url_decode(s), s)), "^@", ""), "/+$", ""))
     pair = lambda ats, s: F.struct(F.lit(ats).alias("ats"), slug(s).alias("slug"))

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from .. import dims
 from ..functions import geo, salary, urls
-from ..functions.text import content_part
+from ..functions.text import ascii_words, content_part
 
 #: Weight of each field in the rank; a term's frequency counts as tf / (tf + 1).
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -77,20 +77,20 @@ def rule_parse(raw: Column, strict_aliases: bool = False) -> Column:
     aliases = [a for a in dims.COUNTRY_ALIASES if not (strict_aliases and len(a) == 2)]
     alias = F.coalesce(*[F.when(F.forall(F.array(*[F.lit(w) for w in a.split()]), lambda w: F.array_contains(words, w)), F.lit(a)) for a in aliases])
     place = F.when(F.size(cities) > 0, F.array_join(cities, " or ")).otherwise(alias)
-    remote = F.when(raw.rlike(r"(?i)\b(remote|remote-first|work from home|wfh)\b"), F.lit(True))
+    remote = F.when(raw.rlike(ascii_words(r"(?i)\b(remote|remote-first|work from home|wfh)\b")), F.lit(True))
     skip = sorted({*dims.FILLER_WORDS, *(w for _, _, s in dims.CITIES for t in s for w in dims.normalized(t).split()), *(w for a in dims.COUNTRY_ALIASES for w in a.split())})
     left = F.filter(words, lambda w: (w != "") & ~w.rlike("^[0-9]+$") & ~w.isin(skip))
     role = F.nullif(F.array_join(F.slice(F.array_distinct(left), 1, 4), " "), F.lit(""))
     nothing = role.isNull() & place.isNull() & remote.isNull() & years.isNull()
-    return F.struct(F.when(nothing, raw).otherwise(role).alias("role"), place.alias("location"), remote.alias("remote"), F.least(years, F.lit(80)).alias("yearsExperience"))
+    return F.struct(F.when(nothing, raw).otherwise(role).alias("role"), place.alias("location"), remote.alias("remote"), F.when(years.isNotNull(), F.least(years, F.lit(80))).alias("yearsExperience"))
 
 
 def parse_route(raw: Column) -> Column:
     """'rule' for years and a city, 'fast' for a short plain title, else 'model'."""
     q = F.trim(raw)
     has_city = F.size(geo.tag_cities(q)) > 0
-    plain = (F.length(q) > 0) & (F.length(q) < 80) & ~has_city & ~q.rlike(dims.FILTER_TRIGGERS) & (F.size(F.split(q, r"[ \t\n\r\f\x0B]+")) <= 5) & ~q.rlike(r"\b[A-Z][a-z]{2,}\b")
-    return F.when(q.rlike(r"(?i)\b\d+\+?\s*(?:years?|yrs?)\b") & has_city, "rule").when(plain, "fast").otherwise("model")
+    plain = (F.length(q) > 0) & (F.length(q) < 80) & ~has_city & ~q.rlike(ascii_words(dims.FILTER_TRIGGERS)) & (F.size(F.split(q, r"[ \t\n\r\f\x0B]+")) <= 5) & ~q.rlike(ascii_words(r"\b[A-Z][a-z]{2,}\b"))
+    return F.when(q.rlike(ascii_words(r"(?i)\b\d+\+?\s*(?:years?|yrs?)\b")) & has_city, "rule").when(plain, "fast").otherwise("model")
 
 
 def query_terms(queries: DataFrame, parts: list[str], id_col: str = "query_id") -> DataFrame:
