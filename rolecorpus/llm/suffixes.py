@@ -120,6 +120,17 @@ def equal_runs(data: np.ndarray, h: PrefixHash, starts: np.ndarray, segment: np.
     return np.cumsum(~same) - 1
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether data[a:a + size] and data[b:b + size] are the same, for each element."""
+    same = np.ones(len(a), bool)
+    for k in range(int(size.max(initial=0))):
+        live = np.flatnonzero(same & (size > k))
+        if not len(live):
+            break
+        same[live] = data[a[live] + k] == data[b[live] + k]
+    return same
+
+
 # ---- anchors -----------------------------------------------------------------------------------------
 
 
@@ -250,8 +261,8 @@ def _shared_bits(blocks: DataFrame, n: int) -> DataFrame:
 
 
 def _contexts(blocks: DataFrame, bits: DataFrame, n: int, spread: int) -> DataFrame:
-    """(bucket, block, heads, text) around shared anchors, each content once per block, and rows of bucket -1
-    for windows that the block itself settles: their content stands in an earlier document of the block."""
+    """(bucket, block, heads, text, done) around shared anchors, each content once per block; and rows without heads whose
+    ``done`` are windows that the block itself settles: their content stands in an earlier document of the block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -272,27 +283,34 @@ def _contexts(blocks: DataFrame, bits: DataFrame, n: int, spread: int) -> DataFr
                 order = np.lexsort((first, owner, content))
                 lead = np.concatenate(([True], content[order][1:] != content[order][:-1]))
                 leader = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]  # of each in order: the first of its content
-                mine = np.array([data[first[x] : first[x] + size[x]].tobytes() == data[first[y] : first[y] + size[y]].tobytes() and size[x] == size[y] for x, y in zip(order, leader, strict=True)])
-                settled = ~lead & mine & (owner[order] > owner[leader])
+                twin = np.flatnonzero(~lead & (size[order] == size[leader]) & (owner[order] > owner[leader]))
+                settled = np.zeros(len(order), bool)
+                settled[twin] = same_bytes(data, first[order[twin]], first[leader[twin]], size[order[twin]])
                 done = order[settled]
                 if len(done):
-                    yield pd.DataFrame({"bucket": [-1], "block": [row["block"]], "heads": [np.stack((first[done], count[done])).astype(np.int64).tobytes()], "text": [b""]})
+                    yield pd.DataFrame({"bucket": [row["block"] % spread], "block": [row["block"]], "heads": [None], "text": [None], "done": [np.stack((first[done], count[done])).astype(np.int64).tobytes()]})
                 go = order[~settled]
                 bucket = _buckets(mix64(h[go]), spread)
                 by = np.argsort(bucket, kind="stable")
                 go, bucket = go[by], bucket[by]
+                to = np.cumsum(size[go])
+                text = data[np.repeat(first[go] - to + size[go], size[go]) + np.arange(to[-1] if len(to) else 0)]
                 for k, at in _cuts(bucket):
                     x = go[at]
                     heads = b"".join((owner[x].astype(np.int64).tobytes(), first[x].astype(np.int32).tobytes(), count[x].astype(np.uint8).tobytes(), (place[x] - first[x]).astype(np.uint8).tobytes()))
-                    text = b"".join(data[first[y] : first[y] + size[y]].tobytes() for y in x)
-                    yield pd.DataFrame({"bucket": [k], "block": [row["block"]], "heads": [heads], "text": [zstandard.compress(text, 3)]})
+                    own = text[to[at.start] - size[x[0]] : to[at.stop - 1]].tobytes()
+                    yield pd.DataFrame({"bucket": [k], "block": [row["block"]], "heads": [heads], "text": [zstandard.compress(own, 3)], "done": [None]})
 
-    return blocks.join(bits, "block").select("block", "ids", "lengths", "data", "parts").mapInPandas(run, "bucket long, block long, heads binary, text binary")
+    return blocks.join(bits, "block").select("block", "ids", "lengths", "data", "parts").mapInPandas(run, "bucket long, block long, heads binary, text binary, done binary")
 
 
 def _settle_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     """Which windows of a bucket's contexts go: (block, runs), runs being starts and counts of windows."""
-    out = pd.DataFrame({"block": np.zeros(0, np.int64), "runs": []})
+    settled = pdf[pdf["done"].notna()]
+    out = settled[["block"]].assign(runs=settled["done"])
+    pdf = pdf[pdf["heads"].notna()]
+    if not len(pdf):
+        return out
     owner, first, count, before, texts, block = [], [], [], [], [], []
     for at, (heads, text, name) in enumerate(zip(pdf["heads"], pdf["text"], pdf["block"], strict=True)):
         n = len(heads) // 14
@@ -311,7 +329,9 @@ def _settle_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     order = np.lexsort((owner, content))
     lead = np.concatenate(([True], content[order][1:] != content[order][:-1]))
     leader = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-    equal = np.array([size[x] == size[y] and (x == y or np.array_equal(data[start[x] : start[x] + size[x]], data[start[y] : start[y] + size[y]])) for x, y in zip(order, leader, strict=True)])
+    equal = size[order] == size[leader]
+    twin = np.flatnonzero(equal & ~lead)
+    equal[twin] = same_bytes(data, start[order[twin]], start[leader[twin]], size[order[twin]])
     head = np.arange(len(owner))
     head[order[equal]] = leader[equal]
     unique = np.flatnonzero(head == np.arange(len(owner)))
@@ -353,7 +373,7 @@ def _settle_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     by = np.argsort(blocks_of_run, kind="stable")
     for k, cut in _cuts(blocks_of_run[by]):
         rows.append((names[k], np.stack((starts[by][cut], run_length[by][cut])).astype(np.int64).tobytes()))
-    return pd.DataFrame(rows, columns=["block", "runs"])
+    return pd.concat((out, pd.DataFrame(rows, columns=["block", "runs"])))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -368,12 +388,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     blocks = _pack(docs, id_col, text_col)
     total = blocks.agg(F.sum("size")).first()[0] or 0
     n = max(8, -(-total // BUCKET_BYTES))
-    spread = 2 * n
     bits = _shared_bits(blocks, n)
-    sent = settle(_contexts(blocks, bits, n, spread), "suffix-contexts", "none")
-    judged = sent.filter("bucket >= 0").groupBy("bucket").applyInPandas(_settle_windows, "block long, runs binary")
-    own = sent.filter("bucket < 0").select("block", F.col("heads").alias("runs"))
-    gone = settle(judged.union(own).groupBy("block").agg(F.collect_list("runs").alias("runs")), "suffix-gone")
+    # the sort holds some hundred bytes for each window, so its buckets are smaller
+    judged = _contexts(blocks, bits, n, 6 * n).groupBy("bucket").applyInPandas(_settle_windows, "block long, runs binary")
+    gone = settle(judged.groupBy("block").agg(F.collect_list("runs").alias("runs")), "suffix-gone")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
