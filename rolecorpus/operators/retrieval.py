@@ -6,6 +6,7 @@ the ranking; the corpus's texts are read once, for the index.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -106,7 +107,6 @@ def query_terms(queries: DataFrame, parts: list[str], id_col: str = "query_id")
 
 def stemmer(stem) -> callable:
     """A column function of arrays of words from a plain function of one word, run on Arrow batches."""
-    import pandas as pd
 
     @F.pandas_udf("array<string>")
     def run(words: pd.Series) -> pd.Series:
