@@ -12,9 +12,7 @@ from ..adapters import AS_OF_S, ORDERS_AS_OF_S, duck, logical
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-AS_OF = F.timestamp_seconds(F.lit(AS_OF_S))
-ORDERS_AS_OF = F.timestamp_seconds(F.lit(ORDERS_AS_OF_S))
-__all__ = ["AS_OF", "AS_OF_S", "ORACLES", "ORDERS_AS_OF", "ORDERS_AS_OF_S", "QUERIES", "adapters", "dims", "duck", "logical", "query", "read", "seconds", "sql_content", "sql_list", "sql_values"]
+__all__ = ["AS_OF_S", "ORACLES", "ORDERS_AS_OF_S", "QUERIES", "adapters", "dims", "duck", "logical", "now", "orders_now", "query", "read", "seconds", "sql_content", "sql_list", "sql_values"]
 
 
 def query(sql: str | None = None):
@@ -34,6 +32,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, kind in df.dtypes if kind == "timestamp_ntz"})
 
 
+def now() -> Column:
+    """The fixed clock of the checks."""
+    return F.timestamp_seconds(F.lit(AS_OF_S))
+
+
+def orders_now() -> Column:
+    """The clock of tables made from orders."""
+    return F.timestamp_seconds(F.lit(ORDERS_AS_OF_S))
+
+
 def seconds(at: Column) -> Column:
     return F.unix_seconds(at)
 

@@ -9,7 +9,7 @@ from ..functions import geo, text
 from ..operators import merge as m
 from ..operators import retrieval as r
 from ..operators import scoring as s
-from .base import AS_OF, AS_OF_S, dims, duck, logical, query, seconds, sql_content, sql_list, sql_values
+from .base import AS_OF_S, dims, duck, logical, now, query, seconds, sql_content, sql_list, sql_values
 
 _POSTINGS = duck("postings")
 
@@ -25,11 +25,11 @@ CASE WHEN b.url IS NULL THEN c.published_s ELSE b.published_s END AS published_s
 CASE WHEN b.url IS NULL THEN c.last_seen_s ELSE {AS_OF_S} END AS last_seen_s FROM cur c FULL JOIN bat b ON c.url = b.url""")
 def upsert_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = logical(spark, sf_dir, "postings")
-    day_ago = AS_OF - F.make_dt_interval(days=F.lit(1))
+    day_ago = now() - F.make_dt_interval(days=F.lit(1))
     current = p.filter("id % 10 != 9").select(F.col("id").cast("string").alias("id"), "url", "title", "company", "published_at", F.when(F.col("id") % 3 == 0, 100.0 * F.col("id")).alias("salary_min_usd"), F.lit("feed").alias("source"), day_ago.alias("first_seen_at"), day_ago.alias("last_seen_at"))
     fresh = p.filter("id % 10 in (8, 9)").select("url", F.concat("title", F.lit(" II")).alias("title"), "company", F.when(F.col("id") % 4 != 0, F.col("published_at")).alias("published_at"), F.when(F.col("id") % 2 == 0, F.lit(7.0)).alias("salary_min_usd"), F.lit("batch").alias("source"), F.lit(2).alias("batch_pos"))
     stale = fresh.withColumns({"title": F.lit("old"), "batch_pos": F.lit(1)})
-    done = m.upsert_postings(current, stale.unionByName(fresh), AS_OF)
+    done = m.upsert_postings(current, stale.unionByName(fresh), now())
     return done.select("id", "url", "title", "company", seconds(F.col("published_at")).alias("published_s"), "salary_min_usd", "source", seconds(F.col("first_seen_at")).alias("first_seen_s"), seconds(F.col("last_seen_at")).alias("last_seen_s"))
 
 
@@ -287,7 +287,7 @@ def order_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = ["query_id", "id"]
     place = r.order_results(t).select(*by, F.col("place").cast("long").alias("place"), "page")
     newest = r.order_results(t, newest=True).select(*by, F.col("place").cast("long").alias("newest"))
-    fresh = r.order_results(t, fresh_only=True, as_of=AS_OF).select(*by, F.col("place").cast("long").alias("fresh"))
+    fresh = r.order_results(t, fresh_only=True, as_of=now()).select(*by, F.col("place").cast("long").alias("fresh"))
     return place.join(newest, by).join(fresh, by, "left")
 
 

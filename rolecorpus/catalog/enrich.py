@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import freshness, geo, salary, text, urls
-from .base import AS_OF, AS_OF_S, dims, duck, logical, query, read, seconds, sql_content, sql_values
+from .base import AS_OF_S, dims, duck, logical, now, query, read, seconds, sql_content, sql_values
 
 _POSTINGS = duck("postings")
 _WS = r"[ \t\n\r\f\x0B]+"
@@ -212,8 +212,8 @@ SELECT id, d AS days, CASE WHEN d < 7 THEN 'fresh' WHEN d < 21 THEN 'recent' WHE
 def freshness_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     at, seen = F.col("published_at"), F.col("last_seen_at")
     return logical(spark, sf_dir, "postings").select(
-        "id", freshness.age_days(at, AS_OF).alias("days"), freshness.freshness_tier(at, AS_OF).alias("tier"), freshness.freshness_label(at, AS_OF).alias("label"),
-        freshness.within_days(at, AS_OF).alias("this_week"), freshness.still_listed(at, seen, AS_OF).alias("listed"), freshness.relative_time(at, AS_OF).alias("relative"),
+        "id", freshness.age_days(at, now()).alias("days"), freshness.freshness_tier(at, now()).alias("tier"), freshness.freshness_label(at, now()).alias("label"),
+        freshness.within_days(at, now()).alias("this_week"), freshness.still_listed(at, seen, now()).alias("listed"), freshness.relative_time(at, now()).alias("relative"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.search import SearchInputs, batch_search
 from ..streaming import jobs
-from .base import AS_OF, duck, logical, query, read, seconds
+from .base import duck, logical, now, query, read, seconds
 
 
 def _folder(spark: SparkSession) -> str:
@@ -34,7 +34,7 @@ def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     empty = spark.createDataFrame([], "query_hash string, raw_hash string, created_at timestamp")
     external = p.select((F.col("id") % 40).alias("query_id"), F.col("id").alias("pos"), "url", "title", "company", F.col("location_raw").alias("location"))
     hidden = logical(spark, sf_dir, "hidden_log").select("owner", F.lower(F.trim("company")).alias("company"))
-    done = batch_search(SearchInputs(queries, p.drop("published_s", "last_seen_s"), empty, external, hidden), AS_OF)
+    done = batch_search(SearchInputs(queries, p.drop("published_s", "last_seen_s"), empty, external, hidden), now())
     return done["results"].select("query_id", "url", "score", "place")
 
 
@@ -59,7 +59,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     payloads = sources._payloads(parts, job, lambda x: F.struct(x.alias("jobs")))
     payloads.select("body").repartition(25).write.option("maxRecordsPerFile", 1).text(f"{folder}/in")
-    jobs.stream_feeds(spark, f"{folder}/in", feeds.read_greenhouse, f"{folder}/state", f"{folder}/log", AS_OF)
+    jobs.stream_feeds(spark, f"{folder}/in", feeds.read_greenhouse, f"{folder}/state", f"{folder}/log", now())
     return spark.read.parquet(f"{folder}/state/v0").select("url", "title", seconds(F.col("last_seen_at")).alias("last_seen_s"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import digests, evals, owners, store, telemetry
-from .base import AS_OF, AS_OF_S, ORDERS_AS_OF, ORDERS_AS_OF_S, duck, logical, query, read, seconds
+from .base import AS_OF_S, ORDERS_AS_OF_S, duck, logical, now, orders_now, query, read, seconds
 
 # ---- result store: one stored result per order -------------------------------------------------------
 
@@ -36,13 +36,13 @@ _CUT = ORDERS_AS_OF_S - 24 * 30 * 3600
 @query(f"WITH {_STORE} SELECT query_hash, created_s FROM st WHERE o_orderkey % 2 = 0 AND created_s >= {_CUT} AND o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("query_hash"))
-    return store.lookup_by_hash(asked, _store(spark, sf_dir), ORDERS_AS_OF, 24 * 30).select("query_hash", seconds(F.col("created_at")).alias("created_s"))
+    return store.lookup_by_hash(asked, _store(spark, sf_dir), orders_now(), 24 * 30).select("query_hash", seconds(F.col("created_at")).alias("created_s"))
 
 
 @query(f"WITH {_STORE} SELECT raw_hash, arg_max(query_hash, row(created_s, query_hash)) AS query_hash FROM st WHERE created_s >= {_CUT} AND o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1")
 def store_lookup_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _store(spark, sf_dir)
-    return store.lookup_by_raw(s.select("raw_hash"), s, ORDERS_AS_OF, 24 * 30)
+    return store.lookup_by_raw(s.select("raw_hash"), s, orders_now(), 24 * 30)
 
 
 @query(f"WITH {_STORE} SELECT query_hash, id, row_number() OVER (PARTITION BY query_hash ORDER BY pos) AS place, p_name AS title FROM si JOIN part ON p_partkey = id WHERE id % 7 <> 0")
@@ -57,7 +57,7 @@ def store_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _results(spark, sf_dir)
     old = _store(spark, sf_dir).join(r.filter("o_orderkey % 3 != 0").select("query_hash").distinct(), "query_hash", "left_semi")
     new = r.filter("o_orderkey % 4 = 0").select("query_hash", "raw_hash", (-F.col("pos")).alias("pos"), "id", "score", F.lit("ok").alias("fit"))
-    done = store.store_results(old, new, ORDERS_AS_OF)
+    done = store.store_results(old, new, orders_now())
     return done.select("query_hash", "ids", seconds(F.col("created_at")).alias("created_s"), F.size("scores").alias("n_scores"))
 
 
@@ -91,7 +91,7 @@ g AS (SELECT *, t_s < {AS_OF_S} - 30 * 86400 AND contains(owner, '-') AND owner
 @query(f"{_GONE} SELECT event_id FROM g WHERE NOT gone")
 def purge_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, users = _tables(spark, sf_dir)
-    return store.purge(tables, users, AS_OF)[0]["interactions"].select("event_id")
+    return store.purge(tables, users, now())[0]["interactions"].select("event_id")
 
 
 @query(f"""{_GONE}, {duck('saved_searches')[5:]} SELECT 'interactions' AS "table", count(*) FILTER (gone) AS purged FROM g
@@ -99,7 +99,7 @@ UNION ALL SELECT 'result_store', count(*) FILTER (epoch(o_orderdate) + 8300 * 86
 UNION ALL SELECT 'saved_searches', count(*) FILTER (anon_id IS NOT NULL AND user_id IS NULL AND created_s < {AS_OF_S} - 30 * 86400) FROM saved_searches""")
 def purge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables, users = _tables(spark, sf_dir)
-    return store.purge(tables, users, AS_OF)[1]
+    return store.purge(tables, users, now())[1]
 
 
 # ---- saved searches ----------------------------------------------------------------------------------
@@ -110,7 +110,7 @@ _BEFORE = f"CASE cadence WHEN 'daily' THEN {AS_OF_S} - 86400 WHEN 'weekly' THEN
 
 @query(f"{_SAVED} SELECT search_id FROM saved_searches WHERE cadence <> 'off' AND (last_run_s IS NULL OR last_run_s < {_BEFORE})")
 def due_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests.due_searches(logical(spark, sf_dir, "saved_searches"), AS_OF).select("search_id")
+    return digests.due_searches(logical(spark, sf_dir, "saved_searches"), now()).select("search_id")
 
 
 _RUNS = duck("run_ids", "saved_searches", "users", "store_postings")
@@ -132,7 +132,7 @@ def _deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests.notify_candidates(_deltas(spark, sf_dir), logical(spark, sf_dir, "saved_searches"), logical(spark, sf_dir, "users"), AS_OF)
+    return digests.notify_candidates(_deltas(spark, sf_dir), logical(spark, sf_dir, "saved_searches"), logical(spark, sf_dir, "users"), now())
 
 
 @query(f"{_RUNQ} SELECT search_id, run_id, ids FROM o WHERE rn = 1")
@@ -162,7 +162,7 @@ SELECT s.search_id, CASE WHEN du.search_id IS NOT NULL THEN {AS_OF_S} ELSE last_
 FROM saved_searches s LEFT JOIN du USING (search_id) LEFT JOIN nt ON nt.search_id = s.search_id""")
 def advance_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     searches = logical(spark, sf_dir, "saved_searches")
-    state, _ = digests.advance_state(searches, digests.due_searches(searches, AS_OF), _notices(spark, sf_dir), AS_OF)
+    state, _ = digests.advance_state(searches, digests.due_searches(searches, now()), _notices(spark, sf_dir), now())
     return state.select("search_id", seconds(F.col("last_run_at")).alias("last_run_s"), seconds(F.col("last_notified_at")).alias("last_notified_s"))
 
 
@@ -237,24 +237,24 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_EVENTS}, {_DAY}, c AS (SELECT count(*) FILTER (h AND evt = 'search') AS a, count(*) FILTER (evt = 'search') AS b, count(*) FILTER (h AND evt = 'search' AND cache_hit) AS x, count(*) FILTER (evt = 'search' AND rerank_failed) AS y FROM d)
 SELECT a AS searches_1h, b AS searches_24h, CASE WHEN a > 0 THEN floor(100 * x / a + 0.5) ELSE 0.0e0 END AS hit_pct, CASE WHEN b > 0 THEN floor(10000 * y / b + 0.5) / 100 ELSE 0.0e0 END AS fail_pct FROM c""")
 def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.traffic(_events(spark, sf_dir), AS_OF)
+    return telemetry.traffic(_events(spark, sf_dir), now())
 
 
 @query(f"""{_EVENTS}, {_DAY} SELECT coalesce(quantile_cont(total_ms, 0.5) FILTER (h), 0.0e0) AS p50_1h, coalesce(quantile_cont(total_ms, 0.95) FILTER (h), 0.0e0) AS p95_1h, coalesce(quantile_cont(total_ms, 0.99) FILTER (h), 0.0e0) AS p99_1h, coalesce(quantile_cont(total_ms, 0.95), 0.0e0) AS p95_24h FROM d WHERE evt = 'search'""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.latency_percentiles(_events(spark, sf_dir), AS_OF)
+    return telemetry.latency_percentiles(_events(spark, sf_dir), now())
 
 
 @query(f"""{_EVENTS}, {_DAY}, c AS (SELECT coalesce(sum(search_usd), 0) AS s, coalesce(sum(CASE WHEN coalesce(tokens, 0) <> 0 THEN floor(tokens / 1000.0e0 * 0.0014e0 * 1e6 + 0.5) / 1e6 END), 0) AS l, count(*) AS n FROM d WHERE evt = 'search')
 SELECT round(s, 9) AS search_usd, round(l, 9) AS llm_usd, round(coalesce((s + l) / nullif(n, 0), 0), 9) AS per_search FROM c""")
 def cost_24h(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = telemetry.cost_24h(_events(spark, sf_dir), AS_OF)
+    c = telemetry.cost_24h(_events(spark, sf_dir), now())
     return c.select(*[F.round(x, 9).alias(x) for x in ("search_usd", "llm_usd", "per_search")])
 
 
 @query(f"{_EVENTS} SELECT b.i::INT AS bucket, count(e.event_id) AS n FROM range(24) b(i) LEFT JOIN event_log e ON e.evt = 'search' AND e.created_us >= {_NOW} - (24 - b.i) * 3600000000 AND e.created_us < {_NOW} - (23 - b.i) * 3600000000 GROUP BY 1")
 def hourly_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.hourly_volume(_events(spark, sf_dir), AS_OF)
+    return telemetry.hourly_volume(_events(spark, sf_dir), now())
 
 
 @query(f"{_EVENTS} SELECT CAST(floor(created_us / 3600000000) AS BIGINT) * 3600 AS hour_s, count(*) AS n FROM event_log WHERE evt = 'search' GROUP BY 1")
@@ -264,7 +264,7 @@ def hourly_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_EVENTS}, {_DAY} SELECT coalesce(CAST(floor(avg(parse_ms) + 0.5) AS BIGINT), 0) AS parse_ms, coalesce(CAST(floor(avg(total_ms) + 0.5) AS BIGINT), 0) AS total_ms FROM d WHERE evt = 'search'")
 def stage_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.stage_averages(_events(spark, sf_dir), AS_OF)
+    return telemetry.stage_averages(_events(spark, sf_dir), now())
 
 
 @query(f"{duck('eval_runs')}, l AS (SELECT arg_max(run_id, row(created_s, run_id)) AS run_id FROM eval_runs) SELECT case_id, CAST(floor(100 * count(*) FILTER (passed) OVER () / count(*) OVER () + 0.5) AS BIGINT) AS pass_pct FROM eval_runs SEMI JOIN l USING (run_id)")
@@ -274,7 +274,7 @@ def latest_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_EVENTS}, {_DAY} SELECT evt, count(*) AS n FROM d GROUP BY 1")
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return telemetry.event_counts(_events(spark, sf_dir), AS_OF)
+    return telemetry.event_counts(_events(spark, sf_dir), now())
 
 
 @query(f"{_EVENTS}, t AS (SELECT * FROM event_log ORDER BY created_us DESC, event_id DESC LIMIT 50) SELECT event_id, CAST(sum(coalesce(tokens, 0)) OVER () AS BIGINT) AS sum_tokens, round(sum(search_usd) OVER (), 9) AS sum_usd FROM t")
