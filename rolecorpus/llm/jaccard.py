@@ -42,8 +42,8 @@ def set_key(s: np.ndarray) -> int:
 
 
 def width_of(n: int) -> int:
-    """Bits of a set's bitmap: a power of two, twice the size at least, so that it stays sparse."""
-    return max(64, 1 << int(2 * n - 1).bit_length())
+    """Bits of a set's bitmap: a power of two, four times the size at least, so sparse that the bound is near the overlap."""
+    return max(64, 1 << int(4 * n - 1).bit_length())
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -148,20 +148,33 @@ def group_pairs(maps: list[bytes], sizes: np.ndarray, component: np.ndarray) ->
     return found
 
 
-def _summaries(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, id, n, node) of each row; node is the hash of the row's set, null if it is empty."""
+def _summaries(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
+    """(k, id, n, node, map, prefix) of each row, in the one pass over all texts: the hash of the row's set (null if it
+    is empty), its bitmap, and its first floor(n / 4) + 1 shingles, by hash with the frequent ones last."""
     own = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most the ``most`` numbers of _frequent
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often = shared.value
         for b in batches:
             rows = []
             for t in b["text"]:
                 s = shingle_set(t)
-                rows.append((len(s), set_key(s) if len(s) else None, bitmap(s) if len(s) else None))
-            got = pd.DataFrame(rows, columns=["n", "node", "map"], index=b.index).astype({"node": "Int64"})
-            yield pd.concat([b[["k", "id"]], got], axis=1)
+                n = len(s)
+                if not n:
+                    rows.append((0, None, None, None))
+                    continue
+                node, bits = set_key(s), bitmap(s)
+                if len(often):
+                    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
+                    s = np.concatenate((s[~late], s[late]))
+                rows.append((n, node, bits, s[: n - needed_overlap_with_self(n) + 1].view(np.int64)))
+            # columns one by one: a frame of rows would make floats of integers that stand beside nulls
+            yield pd.DataFrame({
+                "k": b["k"].array, "id": b["id"].array, "n": np.array([r[0] for r in rows], np.int64), "node": pd.array([r[1] for r in rows], "Int64"), "map": pd.Series([r[2] for r in rows], dtype=object), "prefix": pd.Series([r[3] for r in rows], dtype=object),
+            })
 
-    return settle(own.mapInPandas(run, f"k long, id {own.schema['id'].dataType.simpleString()}, n long, node long, map binary"), "jaccard-sets")
+    return settle(own.mapInPandas(run, f"k long, id {own.schema['id'].dataType.simpleString()}, n long, node long, map binary, prefix array<long>"), "jaccard-sets")
 
 
 def _frequent(docs: DataFrame, text_col: str, n_docs: int, sample: int, least: int, most: int) -> np.ndarray:
@@ -180,42 +193,13 @@ def _frequent(docs: DataFrame, text_col: str, n_docs: int, sample: int, least: i
     return np.sort(rows.orderBy(F.desc("n"), "h").limit(most).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
-def _prefixes(docs: DataFrame, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(key, node, n) for the first floor(n / 4) + 1 shingles of each set: by hash, the frequent ones last."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most the ``most`` numbers of _frequent
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
-        for b in batches:
-            seen, keys, nodes, sizes = set(), [], [], []
-            for t in b["text"]:
-                s = shingle_set(t)
-                if not len(s) or (node := set_key(s)) in seen:
-                    continue
-                seen.add(node)
-                n = len(s)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, s), len(often) - 1)
-                    late = often[at] == s
-                    s = np.concatenate((s[~late], s[late]))
-                s = s[: n - int(needed_overlap_with_self(n)) + 1]
-                keys.append(s)
-                nodes.append(np.full(len(s), node, np.int64))
-                sizes.append(np.full(len(s), n, np.int64))
-            if keys:
-                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.concatenate(nodes), "n": np.concatenate(sizes)})
-
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInPandas(run, "key long, node long, n long")
-
-
 def needed_overlap_with_self(n: int) -> int:
     """Least overlap of a set of n with any set it links to: the smallest partner has ceil(0.75 n)."""
     return -(-PERCENT * n // 100)
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, summaries: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _verify(pairs: DataFrame, docs: DataFrame, maps: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) that are linked: first by the bound of their bitmaps, then by their sets."""
-    maps = summaries.filter("node is not null").groupBy("node").agg(F.first("map").alias("map"), F.first("n").alias("n"), F.min("k").alias("k"))
 
     @F.pandas_udf("boolean")
     def may_link(ma: pd.Series, mb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
@@ -260,51 +244,58 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     separate. Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    summaries = _summaries(docs, id_col, text_col)
-    n_docs = summaries.count()
-    often = _frequent(docs, text_col, n_docs, sample, least=max(8, sample // 2000), most=500_000)
-    keyed = _prefixes(docs, text_col, often)
-    groups = keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("leader"), F.max("node").alias("other")).filter("leader.node != other").select("key", "leader")
-    rows = settle(keyed.join(groups, "key").select("key", "node", "n", F.col("leader.node").alias("leader"), F.col("leader.n").alias("leader_n")).distinct(), "jaccard-rows")
+    often = _frequent(docs, text_col, docs.count(), sample, least=max(8, sample // 2000), most=500_000)
+    summaries = _summaries(docs, id_col, text_col, often)
+    keyed = summaries.select("node", F.explode("prefix").alias("key"))
+    # most shingles stand in one set only: a bare count finds them, so only the others are shuffled with more than a number
+    often_met = keyed.groupBy("key").count().filter("count > 1").select("key")
+    met = settle(keyed.join(often_met, "key"), "jaccard-met")
+    groups = met.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader != other").select("key", "leader")
+    # equal sets, one node each, may give a row twice; that costs a little and changes nothing
+    rows = settle(met.join(groups, "key").select("key", "node", "leader"), "jaccard-rows")
+    # bitmaps of the sets that share a prefix shingle with another, each once
+    maps = settle(summaries.select("node", "n", "k", "map").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "jaccard-maps")
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
     open_rows = rows.withColumn("component", F.col("node"))
     for k in range(star_rounds):
-        # one leader for each set: of those of other components and a fitting size, the one of most of its groups
-        fits = open_rows.filter("node != leader and 100 * least(n, leader_n) >= 75 * greatest(n, leader_n)")
+        # one leader for each set: of those of other components, the one of most of its groups
+        fits = open_rows.filter("node != leader")
         if k:
             fits = fits.filter("component != leader_component")
         best = fits.groupBy("node", "leader").count().groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-        star = _verify(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), docs, summaries, id_col, text_col)
+        star = _verify(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), docs, maps, id_col, text_col)
         links = settle(links.union(star), "jaccard-all-links")
         labels = connected_components(links)
         placed = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo != hi").select("key", "members")
+        # groups of several components; of those with the same members, as the shingles of one passage have, one is enough
+        high, low = F.shiftrightunsigned(F.xxhash64("node"), 32), F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit((1 << 32) - 1))
+        who = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.sum(high).alias("h1"), F.sum(low).alias("h2"))
+        mixed = who.filter("lo != hi").groupBy("members", "h1", "h2").agg(F.min("key").alias("key")).select("key", "members")
         leaders = labels.select(F.col("node").alias("leader"), F.col("component").alias("leader_component"))
         open_rows = settle(placed.join(mixed, "key").join(leaders, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader")), "jaccard-open")
-    maps = summaries.filter("node is not null").groupBy("node").agg(F.first("map").alias("map"))
     # a group beyond BLOCK sets is dealt out as all pairs of its blocks
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     dealt = (
         open_rows.withColumn("blocks", blocks).withColumn("own", own)
         .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "node", "n", "component")
+        .select("key", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "node", "component")
     )
     n_buckets = max(8, -(-dealt.count() // 20_000))
     bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_buckets)).alias("bucket")
 
     def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
         out: set[tuple[int, int]] = set()
-        for _, g in pdf.groupby(["key", "i", "j"], sort=False):
+        for _, g in pdf.drop_duplicates(["key", "i", "j", "node"]).groupby(["key", "i", "j"], sort=False):
             if len(g) > 1 and g["component"].nunique() > 1:
                 nodes = g["node"].to_numpy()
                 for x, y in group_pairs(list(g["map"]), g["n"].to_numpy(np.int64), g["component"].to_numpy(np.int64)):
                     out.add((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
         return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
 
-    rest = dealt.join(maps, "node").select(bucket, "key", "i", "j", "node", "n", "component", "map").groupBy("bucket").applyInPandas(traverse, "a long, b long").distinct()
-    last = _verify(rest, docs, summaries, id_col, text_col)
+    rest = dealt.join(maps.select("node", "n", "map"), "node").select(bucket, "key", "i", "j", "node", "n", "component", "map").groupBy("bucket").applyInPandas(traverse, "a long, b long").distinct()
+    last = _verify(rest, docs, maps, id_col, text_col)
     labels = connected_components(links.union(last))
     # from sets to rows: the smallest id of each component
     members = summaries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
