@@ -34,6 +34,8 @@ LENGTH, GRAM = 50, 16
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose anchors share a bucket.
 BUCKET_BYTES = 24 << 20
+#: Bytes that anchors are computed for at a time.
+PIECE = 1 << 15
 _NO_ID = np.iinfo(np.int64).min
 
 
@@ -135,33 +137,53 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
 
 
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, place, first window, number of windows) of each anchor of documents that end at ``ends``."""
-    n = len(data)
+    """(hash, place, first window, number of windows) of each anchor of documents that end at ``ends``.
+
+    Worked in pieces that fit the processor's cache; pieces overlap by a window, so they change nothing.
+    """
+    n, width = len(data) - LENGTH + 1, LENGTH - GRAM + 1
     none = np.zeros(0, np.int64)
-    if n < LENGTH:
+    if n <= 0:
         return none.view(np.uint64), none, none, none
-    width = LENGTH - GRAM + 1
-    grams = mix64(PrefixHash(data).slices(np.arange(n - GRAM + 1), GRAM))
-    # the hash's upper 40 bits, then the place: the first of equal hashes wins
-    m = (grams & ~np.uint64((1 << 24) - 1)) | (np.arange(len(grams), dtype=np.uint64) & np.uint64((1 << 24) - 1))
-    span = 1
-    while span * 2 <= width:
-        m = np.minimum(m[:-span], m[span:])
-        span *= 2
-    if width > span:
-        m = np.minimum(m[: len(m) - (width - span)], m[width - span :])
-    starts = np.concatenate(([0], ends[:-1]))
-    valid = np.zeros(n + 1, np.int64)
-    long = ends - starts >= LENGTH
-    np.add.at(valid, starts[long], 1)
-    np.add.at(valid, ends[long] - LENGTH + 1, -1)
-    windows = np.flatnonzero(np.cumsum(valid)[:-1] > 0)
-    if not len(windows):
+    valid = np.ones(n, bool)
+    for end in ends[:-1].tolist():  # windows that begin in one document and end in another
+        valid[max(0, end - LENGTH + 1) : end] = False
+    low_bits = np.uint64((1 << 24) - 1)
+    index = np.arange(PIECE + LENGTH, dtype=np.uint64)
+    hashes, places, firsts, ranks = [], [], [], []
+    seen, last_place = 0, -1
+    for at in range(0, n, PIECE):
+        here = min(PIECE, n - at)
+        piece = data[at : at + here + LENGTH - 1]
+        grams = mix64(PrefixHash(piece).slices(np.arange(len(piece) - GRAM + 1), GRAM))
+        # the hash's upper 40 bits, then the place: the first of equal hashes wins
+        m = (grams & ~low_bits) | index[: len(grams)]
+        span = 1
+        while span * 2 <= width:
+            m = np.minimum(m[:-span], m[span:])
+            span *= 2
+        if width > span:
+            m = np.minimum(m[: len(m) - (width - span)], m[width - span :])
+        windows = np.flatnonzero(valid[at : at + here])
+        if not len(windows):
+            last_place = -1
+            continue
+        local = (m[windows] & low_bits).astype(np.int64)
+        place = local + at
+        new = np.empty(len(windows), bool)
+        new[0] = windows[0] > 0 or place[0] != last_place
+        new[1:] = (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)
+        begin = np.flatnonzero(new)
+        hashes.append(grams[local[begin]])
+        places.append(place[begin])
+        firsts.append(windows[begin] + at)
+        ranks.append(begin + seen)
+        seen += len(windows)
+        last_place = int(place[-1]) if windows[-1] == here - 1 else -1
+    if not seen:
         return none.view(np.uint64), none, none, none
-    low = (m[windows] & np.uint64((1 << 24) - 1)).astype(np.int64)
-    place = windows + ((low - windows) & ((1 << 24) - 1))
-    new = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1))))
-    return grams[place[new]], place[new], windows[new], np.diff(np.concatenate((new, [len(windows)])))
+    ranks = np.concatenate(ranks)
+    return np.concatenate(hashes), np.concatenate(places), np.concatenate(firsts), np.diff(np.concatenate((ranks, [seen])))
 
 
 def _unpack(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -410,7 +432,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     a, z = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                     rows.append((None if i == _NO_ID else i, end - at, [{"start": int(x), "length": int(y - x)} for x, y in zip(a, z, strict=True)], data[at:end][~m].tobytes()))
                     at = end
-                out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "spans", "kept"])
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+                ids, *rest = zip(*rows, strict=True)
+                yield pd.DataFrame({"doc_id": pd.array(ids, "Int64")} | dict(zip(("n_bytes", "spans", "kept"), rest, strict=True)))
 
     return blocks.join(gone, "block", "left").select("ids", "lengths", "data", "runs").mapInPandas(cut, "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary")
