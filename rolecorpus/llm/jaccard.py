@@ -29,6 +29,8 @@ PERCENT = 75
 #: Sets of a block: groups beyond it are dealt out as pairs of blocks.
 BLOCK = 4096
 LEAF = 16
+#: Bits at most that pairs are compared in, which bounds the memory of a comparison.
+WIDEST = 1 << 24
 
 
 def needed_overlap(total: np.ndarray | int) -> np.ndarray | int:
@@ -42,34 +44,69 @@ def set_key(s: np.ndarray) -> int:
 
 
 def width_of(n: int) -> int:
-    """Bits of a set's bitmap: a power of two, four times the size at least, so sparse that the bound is near the overlap."""
-    return max(64, 1 << int(4 * n - 1).bit_length())
+    """Bits of a set's signature: a power of two, 64 times the size at least, so sparse that the bound is the overlap but for a hundredth."""
+    return 64 << int(n - 1).bit_length() if n > 1 else 64
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    w = width_of(len(s))
-    bits = np.zeros(w, np.uint8)
-    bits[(s & np.uint64(w - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+def signature(s: np.ndarray) -> bytes:
+    """The set bits of a set's sparse bitmap as gaps, a byte each; 255 adds to the gap that follows. About 1.1 bytes an element."""
+    at = np.unique(s & np.uint64(width_of(len(s)) - 1)).astype(np.int64)
+    gap = np.diff(at, prepend=0)
+    out = np.full(len(gap) + int((gap // 255).sum()), 255, np.uint8)
+    out[np.cumsum(gap // 255 + 1) - 1] = gap % 255
+    return out.tobytes()
 
 
-def _words(maps: list[bytes], width: int) -> np.ndarray:
-    """Bitmaps as rows of 64-bit words, folded to ``width`` bits by OR of halves."""
-    out = np.zeros((len(maps), width // 64), np.uint64)
-    for k, m in enumerate(maps):
-        a = np.frombuffer(m, np.uint64)
-        while len(a) > width // 64:
-            a = a[: len(a) // 2] | a[len(a) // 2 :]
-        out[k] = a
+def positions(sig: bytes) -> np.ndarray:
+    """The set bits that a signature holds, in order."""
+    raw = np.frombuffer(sig, np.uint8)
+    return np.cumsum(raw, dtype=np.int64)[raw < 255]
+
+
+def _words(bits: list[np.ndarray], width: int) -> np.ndarray:
+    """Sets of bits as rows of 64-bit words, folded to ``width`` bits."""
+    out = np.zeros((len(bits), width // 64), np.uint64)
+    for k, b in enumerate(bits):
+        dense = np.zeros(width, np.uint8)
+        dense[b & (width - 1)] = 1
+        out[k] = np.packbits(dense, bitorder="little").view(np.uint64)
+    return out
+
+
+def _folded(bits: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bits of each set after folding to ``width``, one set after another, and where each begins (and the last ends)."""
+    parts = [np.unique(b & (width - 1)) for b in bits]
+    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+
+def sharpen(x: np.ndarray, y: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], na: np.ndarray, nb: np.ndarray, width: int) -> np.ndarray:
+    """Whether the sets a[x] and b[y], folded to one width, may be linked by the bound of their sparse bitmaps."""
+    (bits_a, at_a), (bits_b, at_b) = a, b
+    out = np.zeros(len(x), bool)
+    mark = np.zeros(width, bool)
+    order = np.argsort(x, kind="stable")
+    edges = np.flatnonzero(np.diff(x[order], prepend=-1))
+    for lo, hi in zip(edges, np.append(edges, len(order))[1:], strict=True):
+        i, rows = x[order[lo]], order[lo:hi]
+        j = y[rows]
+        own = bits_a[at_a[i] : at_a[i + 1]]
+        mark[own] = True
+        size = at_b[j + 1] - at_b[j]
+        end = np.cumsum(size)
+        hits = mark[bits_b[np.arange(end[-1]) + np.repeat(at_b[j] - end + size, size)]]
+        overlap = np.add.reduceat(hits, end - size, dtype=np.int64) + np.minimum(na[i] - len(own), nb[j] - size)
+        out[rows] = np.minimum(overlap, np.minimum(na[i], nb[j])) >= needed_overlap(na[i] + nb[j])
+        mark[own] = False
     return out
 
 
 class SignatureTree:
-    """A balanced binary tree over sets sorted by size. Node k of a level spans entries; its bitmap is the OR
+    """A balanced binary tree over sets sorted by size, those of large components apart. Node k of a level spans entries; its bitmap is the OR
     of theirs, with the least and greatest size and the greatest excess (elements beyond distinct bits)."""
 
     def __init__(self, maps: np.ndarray, sizes: np.ndarray, component: np.ndarray):
-        self.order = np.argsort(sizes, kind="stable")
+        _, which, many = np.unique(component, return_inverse=True, return_counts=True)
+        self.order = np.lexsort((sizes, np.where(many[which] > LEAF, which, -1)))
         self.maps, self.sizes, self.component = maps[self.order], sizes[self.order], component[self.order]
         self.excess = self.sizes - np.bitwise_count(self.maps).sum(axis=1).astype(np.int64)
         starts = np.arange(0, len(sizes), LEAF)
@@ -93,9 +130,9 @@ def _possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
     return (overlap >= needed_overlap(a[1][i] + b[1][j])) & ~one
 
 
-def tree_pairs(a: SignatureTree, b: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(a: SignatureTree, b: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions in a's and b's input of all pairs of different components that may be linked, by dual traversal
-    from the roots; each unordered pair once if both trees are one."""
+    from the roots, in parts; each unordered pair once if both trees are one."""
     same = a is b
     top = max(len(a.levels), len(b.levels)) - 1
     i = j = np.zeros(1, np.int64)
@@ -117,7 +154,6 @@ def tree_pairs(a: SignatureTree, b: SignatureTree) -> tuple[np.ndarray, np.ndarr
         inside = (i < na) & (j < nb)
         code = np.unique(i[inside] * nb + j[inside])
         i, j = code // nb, code % nb
-    pairs: list[tuple[np.ndarray, np.ndarray]] = []
     entries_a, entries_b = ((t.maps, t.sizes, t.sizes, t.excess, t.component, t.component) for t in (a, b))
     for k in range(0, len(i), 4096):
         x = (i[k : k + 4096, None, None] * LEAF + np.arange(LEAF)[None, :, None] + np.zeros((1, 1, LEAF), np.int64)).ravel()
@@ -127,30 +163,57 @@ def tree_pairs(a: SignatureTree, b: SignatureTree) -> tuple[np.ndarray, np.ndarr
             inside &= x < y
         x, y = x[inside], y[inside]
         keep = _possible(entries_a, x, entries_b, y)
-        pairs.append((a.order[x[keep]], b.order[y[keep]]))
-    none = np.zeros(0, np.int64)
-    return (np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])) if pairs else (none, none)
-
-
-def group_pairs(maps: list[bytes], sizes: np.ndarray, component: np.ndarray) -> set[tuple[int, int]]:
-    """Pairs of positions in a group that may be linked: a tree for each bitmap width, compared with itself
-    and with the next width, as sizes of linked sets differ by a third at most."""
-    widths = np.array([8 * len(m) for m in maps])
-    found: set[tuple[int, int]] = set()
-    for w in np.unique(widths):
-        own, wider = np.flatnonzero(widths == w), np.flatnonzero(widths == 2 * w)
-        a = SignatureTree(_words([maps[k] for k in own], w), sizes[own], component[own])
-        found.update(zip(*(own[p].tolist() for p in tree_pairs(a, a)), strict=True))
-        if len(wider):
-            b = SignatureTree(_words([maps[k] for k in wider], w), sizes[wider], component[wider])
-            x, y = tree_pairs(a, b)
-            found.update(zip(own[x].tolist(), wider[y].tolist(), strict=True))
-    return found
+        yield a.order[x[keep]], b.order[y[keep]]
+
+
+class Forests:
+    """Edge-disjoint spanning forests of the pairs offered: a pair enters the first forest in which it joins two parts."""
+
+    def __init__(self, component: np.ndarray, layers: int):
+        self.parts = np.tile(np.unique(component, return_inverse=True)[1], (layers, 1))
+        self.pairs: list[tuple[int, int]] = []
+
+    def open(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.flatnonzero((self.parts[:, x] != self.parts[:, y]).any(axis=0))
+
+    def add(self, x: int, y: int) -> None:
+        for part in self.parts:
+            if part[x] != part[y]:
+                part[part == part[y]] = part[x]
+                self.pairs.append((x, y))
+                return
+
+
+def group_pairs(signatures: list[bytes], sizes: np.ndarray, component: np.ndarray, refused: set[tuple[int, int]] = frozenset(), layers: int = 1) -> list[tuple[int, int]]:
+    """Pairs of positions in a group, ``layers`` edge-disjoint spanning forests of those that may be linked and are not
+    refused: if the pairs given are all linked, they connect all that links in the group connect.
+
+    A tree for each signature width is compared with itself and with the next width, as sizes of linked sets differ by a
+    third at most. The trees hold the bitmaps folded to a sixteenth; what they let through is held against the sparse bitmaps.
+    """
+    widths = np.array([width_of(int(n)) for n in sizes])
+    bits = [positions(s) for s in signatures]
+    forests = Forests(component, layers)
+    for w in np.unique(widths).tolist():
+        dense, sharp = max(64, w // 16), min(w, WIDEST)
+        sides = [(own, SignatureTree(_words([bits[k] for k in own], dense), sizes[own], component[own]), _folded([bits[k] for k in own], sharp)) for own in (np.flatnonzero(widths == w), np.flatnonzero(widths == 2 * w)) if len(own)]
+        a, tree_a, folded_a = sides[0]
+        for b, tree_b, folded_b in sides:
+            for x, y in tree_pairs(tree_a, tree_b):
+                for k in range(0, len(x), 4096):
+                    i, j = x[k : k + 4096], y[k : k + 4096]
+                    still = forests.open(a[i], b[j])
+                    i, j = i[still], j[still]
+                    ok = sharpen(i, j, folded_a, folded_b, sizes[a], sizes[b], sharp)
+                    for pair in zip(a[i[ok]].tolist(), b[j[ok]].tolist(), strict=True):
+                        if pair not in refused and pair[::-1] not in refused:
+                            forests.add(*pair)
+    return forests.pairs
 
 
 def _summaries(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
     """(k, id, n, node, map, prefix) of each row, in the one pass over all texts: the hash of the row's set (null if it
-    is empty), its bitmap, and its first floor(n / 4) + 1 shingles, by hash with the frequent ones last."""
+    is empty), its signature, and its first floor(n / 4) + 1 shingles, by hash with the frequent ones last."""
     own = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most the ``most`` numbers of _frequent
 
@@ -164,7 +227,7 @@ def _summaries(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray
                 if not n:
                     rows.append((0, None, None, None))
                     continue
-                node, bits = set_key(s), bitmap(s)
+                node, bits = set_key(s), signature(s)
                 if len(often):
                     late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
                     s = np.concatenate((s[~late], s[late]))
@@ -205,10 +268,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, maps: DataFrame, id_col: str, tex
     def may_link(ma: pd.Series, mb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         out = np.zeros(len(ma), bool)
         for k, (x, y, n, m) in enumerate(zip(ma, mb, na, nb, strict=True)):
-            w = 8 * min(len(x), len(y))
-            p, q = _words([x], w), _words([y], w)
-            px, py = int(np.bitwise_count(p).sum()), int(np.bitwise_count(q).sum())
-            out[k] = min(n, m, int(np.bitwise_count(p & q).sum()) + min(n - px, m - py)) >= needed_overlap(n + m)
+            w = min(width_of(n), width_of(m))
+            p, q = (np.unique(positions(v) & (w - 1)) for v in (x, y))
+            out[k] = min(n, m, len(np.intersect1d(p, q, assume_unique=True)) + min(n - len(p), m - len(q))) >= needed_overlap(n + m)
         return pd.Series(out)
 
     left = maps.select(F.col("node").alias("a"), F.col("map").alias("ma"), F.col("n").alias("na"), F.col("k").alias("ka"))
@@ -234,6 +296,25 @@ def _verify(pairs: DataFrame, docs: DataFrame, maps: DataFrame, id_col: str, tex
     return settle(counted.filter(F.col("k") * 100 >= F.lit(PERCENT) * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b"), "jaccard-links")
 
 
+def _traverse(layers: int):
+    """A task's groups of (key, i, j, node, n, component, map), and rows of ``refusal`` with the pairs (node, mate) refused so far, to pairs to verify."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int, int, int]] = []
+        pdf = pdf.drop_duplicates(["key", "i", "j", "node", "mate", "refusal"])
+        for name, g in pdf.groupby(["key", "i", "j"], sort=False):
+            old, g = g[g["refusal"]], g[~g["refusal"]]
+            if len(g) > 1 and g["component"].nunique() > 1:
+                nodes = g["node"].to_numpy(np.int64)
+                at = {int(v): k for k, v in enumerate(nodes)}
+                refused = {(at[int(a)], at[int(b)]) for a, b in zip(old["node"], old["mate"], strict=True)}
+                for x, y in group_pairs(list(g["map"]), g["n"].to_numpy(np.int64), g["component"].to_numpy(np.int64), refused, layers):
+                    out.append((*name, min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+        return pd.DataFrame(out, columns=["key", "i", "j", "a", "b"], dtype="int64")
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2, sample: int = 20_000) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id) of each distinct row: component_id is the smallest id that
     links reach, over all links with 100 * overlap >= 75 * union.
@@ -253,7 +334,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = met.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader != other").select("key", "leader")
     # equal sets, one node each, may give a row twice; that costs a little and changes nothing
     rows = settle(met.join(groups, "key").select("key", "node", "leader"), "jaccard-rows")
-    # bitmaps of the sets that share a prefix shingle with another, each once
+    # signatures of the sets that share a prefix shingle with another, each once
     maps = settle(summaries.select("node", "n", "k", "map").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "jaccard-maps")
     links = spark.createDataFrame([], "a long, b long")
     labels = spark.createDataFrame([], "node long, component long")
@@ -282,21 +363,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "node", "component")
     )
-    n_buckets = max(8, -(-dealt.count() // 20_000))
-    bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_buckets)).alias("bucket")
-
-    def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: set[tuple[int, int]] = set()
-        for _, g in pdf.drop_duplicates(["key", "i", "j", "node"]).groupby(["key", "i", "j"], sort=False):
-            if len(g) > 1 and g["component"].nunique() > 1:
-                nodes = g["node"].to_numpy()
-                for x, y in group_pairs(list(g["map"]), g["n"].to_numpy(np.int64), g["component"].to_numpy(np.int64)):
-                    out.add((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-
-    rest = dealt.join(maps.select("node", "n", "map"), "node").select(bucket, "key", "i", "j", "node", "n", "component", "map").groupBy("bucket").applyInPandas(traverse, "a long, b long").distinct()
-    last = _verify(rest, docs, maps, id_col, text_col)
-    labels = connected_components(links.union(last))
+    dealt = settle(dealt, "jaccard-dealt")
+    offered = spark.createDataFrame([], "key long, i int, j int, a long, b long")
+    layers = 1
+    while True:
+        # groups go on while a pair that was to connect them is refused, then with the new components and more forests
+        n_buckets = max(8, -(-dealt.count() // 20_000))
+        members = dealt.join(maps.select("node", "n", "map"), "node").select("key", "i", "j", "node", "n", "component", "map", F.lit(0).cast("long").alias("mate"), F.lit(False).alias("refusal"))
+        before = offered.select("key", "i", "j", F.col("a").alias("node"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("component"), F.lit(None).cast("binary").alias("map"), F.col("b").alias("mate"), F.lit(True).alias("refusal"))
+        bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_buckets)).alias("bucket")
+        found = settle(members.union(before).select(bucket, "*").groupBy("bucket").applyInPandas(_traverse(layers), "key long, i int, j int, a long, b long"), "jaccard-offered")
+        pairs = found.select("a", "b").distinct()
+        fresh = _verify(pairs, docs, maps, id_col, text_col)
+        links = settle(links.union(fresh), "jaccard-all-links")
+        labels = connected_components(links)
+        failed = found.join(fresh, ["a", "b"], "left_anti")
+        ends = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        # a refused pair that other links connect asks for nothing more
+        apart = failed.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        again = settle(apart.select("key", "i", "j").distinct(), "jaccard-again")
+        if not again.limit(1).count():
+            break
+        dealt = settle(dealt.join(again, ["key", "i", "j"], "left_semi").drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select(*dealt.columns), "jaccard-dealt")
+        offered = settle(offered.union(failed.select(*offered.columns)).join(again, ["key", "i", "j"], "left_semi"), "jaccard-refused")
+        layers *= 4
     # from sets to rows: the smallest id of each component
     members = summaries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = members.filter("component is not null").groupBy("component").agg(F.min("id").alias("smallest"))

@@ -234,13 +234,34 @@ def test_tree_traversal_misses_no_linked_pair():
     for k in range(90):
         s = np.unique(rng.integers(0, 2**63, 60, np.uint64)) if k % 3 == 0 else np.unique(np.concatenate((sets[-1][3:], rng.integers(0, 2**63, 3, np.uint64))))
         sets.append(s)
-    found = jaccard.group_pairs([jaccard.bitmap(s) for s in sets], np.array([len(s) for s in sets]), np.arange(90))
-    found = {tuple(sorted(p)) for p in found}
+    signatures, sizes = [jaccard.signature(s) for s in sets], np.array([len(s) for s in sets])
+    linked = set()
     for i in range(90):
         for j in range(i):
             k = len(np.intersect1d(sets[i], sets[j]))
             if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
-                assert (j, i) in found
+                linked.add((j, i))
+    # with as many forests as pairs none is left out
+    assert linked <= {tuple(sorted(p)) for p in jaccard.group_pairs(signatures, sizes, np.arange(90), layers=400)}
+    # rounds of few forests, the refused pairs kept out of the next, reach the same components
+    refused, label, rounds, layers = set(), np.arange(90), 0, 1
+    while True:
+        found = {tuple(sorted(p)) for p in jaccard.group_pairs(signatures, sizes, label, refused, layers)}
+        assert not found & refused
+        for a, b in found & linked:
+            label[label == label[b]] = label[a]
+        refused |= found - linked
+        rounds, layers = rounds + 1, layers * 4
+        if all(label[a] == label[b] for a, b in found):
+            break
+    assert all(label[a] == label[b] for a, b in linked) and rounds < 6
+
+
+def test_signature_round_trip():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 64, 65, 5000):
+        s = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        assert np.array_equal(jaccard.positions(jaccard.signature(s)), np.unique(s % np.uint64(jaccard.width_of(len(s)))))
 
 
 def test_components_of_a_long_chain(spark):
