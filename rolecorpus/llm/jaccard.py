@@ -7,9 +7,10 @@ prefixes; it decides the cost and never the result.
 
 Sets that are equal count as one. The sets that share a prefix shingle form a group. First each set is compared
 with one leader of its groups: that settles large groups of near copies, as only the components are wanted. Groups
-that still hold several components go through signature trees: nodes hold OR-combined bitmaps and size ranges, a
-dual traversal drops pairs of nodes whose greatest possible overlap is too small, and the pairs of sets that are
-left are compared exactly.
+that still hold several components go through signature trees: nodes hold OR-combined bitmaps and size ranges, and a
+dual traversal drops pairs of nodes whose greatest possible overlap is too small. Of the pairs of sets that are left,
+a spanning forest is compared exactly, so a family of m sets sends on m pairs and not their square. A group whose
+forest loses a pair is traversed again without it, with four times as many forests, until none is lost.
 """
 
 from __future__ import annotations
@@ -273,6 +274,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, maps: DataFrame, id_col: str, tex
             out[k] = min(n, m, len(np.intersect1d(p, q, assume_unique=True)) + min(n - len(p), m - len(q))) >= needed_overlap(n + m)
         return pd.Series(out)
 
+    # of the signatures only those of the pairs' ends are shuffled
+    pairs = settle(pairs, "jaccard-pairs")
+    maps = maps.join(broadcast_if_small(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "node", "left_semi")
     left = maps.select(F.col("node").alias("a"), F.col("map").alias("ma"), F.col("n").alias("na"), F.col("k").alias("ka"))
     right = maps.select(F.col("node").alias("b"), F.col("map").alias("mb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
     sized = pairs.join(left, "a").join(right, "b").filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
@@ -315,7 +319,7 @@ def _traverse(layers: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2, sample: int = 20_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1, sample: int = 20_000) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id) of each distinct row: component_id is the smallest id that
     links reach, over all links with 100 * overlap >= 75 * union.
 
@@ -369,7 +373,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     while True:
         # groups go on while a pair that was to connect them is refused, then with the new components and more forests
         n_buckets = max(8, -(-dealt.count() // 20_000))
-        members = dealt.join(maps.select("node", "n", "map"), "node").select("key", "i", "j", "node", "n", "component", "map", F.lit(0).cast("long").alias("mate"), F.lit(False).alias("refusal"))
+        asked = maps.join(broadcast_if_small(dealt.select("node").distinct()), "node", "left_semi").select("node", "n", "map")
+        members = dealt.join(asked, "node").select("key", "i", "j", "node", "n", "component", "map", F.lit(0).cast("long").alias("mate"), F.lit(False).alias("refusal"))
         before = offered.select("key", "i", "j", F.col("a").alias("node"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("component"), F.lit(None).cast("binary").alias("map"), F.col("b").alias("mate"), F.lit(True).alias("refusal"))
         bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_buckets)).alias("bucket")
         found = settle(members.union(before).select(bucket, "*").groupBy("bucket").applyInPandas(_traverse(layers), "key long, i int, j int, a long, b long"), "jaccard-offered")
