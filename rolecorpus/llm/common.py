@@ -111,8 +111,8 @@ class PrefixHash:
         return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
 
 
-_is_space = np.zeros(256, bool)
-_is_space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+is_space = np.zeros(256, bool)
+is_space[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _lowered = np.arange(256, dtype=np.uint8)
 _lowered[65:91] += 32
 
@@ -122,7 +122,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
-    space = _is_space[raw]
+    space = is_space[raw]
     edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):

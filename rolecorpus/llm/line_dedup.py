@@ -1,9 +1,9 @@
-"""Line de-duplication by content-defined chunks of lines.
+"""Line de-duplication by overlapping units of lines.
 
-A rolling hash over the hashes of neighbouring lines is computed at each line; a line whose rolling hash is a
-local minimum begins a chunk. Boundaries depend on the lines next to them only, so text inserted before a shared
-passage moves them along with it. Chunks of two or more lines that occur more than once in the corpus are
-compared byte by byte with their first occurrence and removed everywhere else.
+A unit is a line with text and the next line with text (blank lines between them belong to it), or one long line
+alone. Units depend on their own lines only, so a shared passage has the same units wherever it stands, its edges
+included. Units that occur more than once in the corpus are compared byte by byte with their first occurrence and
+removed everywhere else; of any line the first occurrence always stays.
 """
 
 from __future__ import annotations
@@ -15,40 +15,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, broadcast_if_small, mix64, row_key, settle
+from .common import PrefixHash, broadcast_if_small, is_space, mix64, row_key, settle
+
+
+#: A line of more words, or of at least so many bytes, is a unit of its own.
+LONG_WORDS, LONG_BYTES = 50, 300
 
 
 def chunk_lines(text: str | None) -> list[tuple[int, int, int, int, int]]:
-    """(first line, number of lines, first byte, end byte, hash) of each chunk of two or more lines."""
+    """(first line, number of lines, first byte, end byte, hash) of each unit, by first line, long lines alone before pairs."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    breaks = np.flatnonzero(raw == 10)
-    if not len(breaks):
+    if not len(raw):
         return []
+    breaks = np.flatnonzero(raw == 10)
     start, end = np.concatenate(([0], breaks + 1)), np.concatenate((breaks, [len(raw)]))
-    whole = PrefixHash(raw)
-    lines = mix64(whole.slices(start, end - start) + (end - start).astype(np.uint64))
-    rolled = mix64(np.concatenate(([np.uint64(0)], lines[:-1])) * np.uint64(0x9E3779B97F4A7C15) + lines)
-    first = np.concatenate(([True], (rolled[1:] < rolled[:-1]) & (rolled[1:] <= np.concatenate((rolled[2:], [np.uint64(2**64 - 1)])))))
-    at = np.flatnonzero(first)
-    to = np.concatenate((at[1:], [len(lines)]))
-    long = to - at > 1
-    at, to = at[long], to[long]
-    lo, hi = start[at], end[to - 1]
-    hashes = mix64(whole.slices(lo, hi - lo) + (hi - lo).astype(np.uint64)).view(np.int64)
-    return list(zip(at.tolist(), (to - at).tolist(), lo.tolist(), hi.tolist(), hashes.tolist(), strict=True))
+    solid = ~is_space[raw]
+    words = np.concatenate(([0], np.cumsum(solid & np.concatenate(([True], ~solid[:-1])))))
+    n_words = words[end] - words[start]
+    full = np.flatnonzero(n_words > 0)
+    alone = full[(n_words[full] > LONG_WORDS) | (end[full] - start[full] >= LONG_BYTES)]
+    at, to = np.concatenate((alone, full[:-1])), np.concatenate((alone, full[1:]))
+    order = np.lexsort((to, at))
+    at, to = at[order], to[order]
+    lo, hi = start[at], end[to]
+    hashes = mix64(PrefixHash(raw).slices(lo, hi - lo) + (hi - lo).astype(np.uint64)).view(np.int64)
+    return list(zip(at.tolist(), (to - at + 1).tolist(), lo.tolist(), hi.tolist(), hashes.tolist(), strict=True))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated chunks of lines cut from ``text_col``, and counts lines_removed and chunks_removed.
+    """``docs`` with repeated units of lines cut from ``text_col``, and counts lines_removed and chunks_removed (units).
 
     The first occurrence by (id, content of the row, place in the text) stays, nulls first. Lines end at \\n. Null
-    texts stay null and, like empty and one-line texts, lose nothing. Rows repeated with the same id and text count
-    as one document: each keeps what the document keeps. Other columns pass through; columns of docs with the two
-    count names or beginning with linededup_ are replaced.
+    texts stay null. A line that is repeated without a neighbour goes only if it is long. Rows repeated with the same
+    id and text count as one document: each keeps what the document keeps. Other columns pass through; columns of docs
+    with the two count names or beginning with linededup_ are replaced.
 
-    Plan: chunk hashes without text are counted; a repeated hash joins its occurrences (skewed hashes are split by
-    the planner, as the join stands alone); the texts are shuffled once, by row; the bytes of repeated chunks are
-    shuffled once, for the comparison. Chunks whose hash is that of a different chunk are put back.
+    Plan: unit hashes without text are counted; a repeated hash joins its occurrences (skewed hashes are split by
+    the planner, as the join stands alone); the texts are shuffled once, by row; the bytes of repeated units are
+    shuffled once, for the comparison. Units whose hash is that of a different unit are put back.
     """
     names = ("lines_removed", "chunks_removed")
     plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names and not c.startswith("linededup_")])
@@ -57,30 +61,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, c[0], c[4]) for k, i, t in zip(b["linededup_key"], b["id"], b["text"], strict=True) for c in chunk_lines(t)]
-            yield pd.DataFrame(rows, columns=["k", "id", "line", "h"]).astype({"k": "int64", "line": "int64", "h": "int64"})
+            rows = [(k, i, u, c[4]) for k, i, t in zip(b["linededup_key"], b["id"], b["text"], strict=True) for u, c in enumerate(chunk_lines(t))]
+            yield pd.DataFrame(rows, columns=["k", "id", "unit", "h"]).astype({"k": "int64", "unit": "int64", "h": "int64"})
 
     id_type = own.schema["id"].dataType.simpleString()
-    found = settle(own.mapInPandas(chunks, f"k long, id {id_type}, line long, h long"), "lines-chunks")
-    place = F.struct("id", "k", "line")
+    found = settle(own.mapInPandas(chunks, f"k long, id {id_type}, unit long, h long"), "lines-chunks")
+    place = F.struct("id", "k", "unit")
     firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "first")
-    hits = found.join(firsts, "h").select("k", "line", "h", (F.struct("id", "k", "line") == F.col("first")).alias("keeper"))
-    per_doc = hits.dropDuplicates(["k", "line"]).groupBy(F.col("k").alias("linededup_key")).agg(F.collect_list(F.struct("line", "h", "keeper")).alias("linededup_hits"))
+    hits = found.join(firsts, "h").select("k", "unit", "h", (place == F.col("first")).alias("keeper"))
+    per_doc = hits.dropDuplicates(["k", "unit"]).groupBy(F.col("k").alias("linededup_key")).agg(F.collect_list(F.struct("unit", "h", "keeper")).alias("linededup_hits"))
     joined = settle(keyed.join(per_doc, "linededup_key", "left"), "lines-joined")
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for k, text, hits in zip(b["linededup_key"], b["text"], b["hits"], strict=True):
-                raw, spans = text.encode("utf-8", "surrogatepass"), {c[0]: c for c in chunk_lines(text)}
-                rows += [(k, h["line"], h["h"], h["keeper"], raw[spans[h["line"]][2] : spans[h["line"]][3]]) for h in hits]
-            yield pd.DataFrame(rows, columns=["k", "line", "h", "keeper", "bytes"])
+                raw, units = text.encode("utf-8", "surrogatepass"), chunk_lines(text)
+                rows += [(k, h["unit"], h["h"], h["keeper"], raw[units[h["unit"]][2] : units[h["unit"]][3]]) for h in hits]
+            yield pd.DataFrame(rows, columns=["k", "unit", "h", "keeper", "bytes"])
 
     with_hits = joined.filter("linededup_hits is not null")
-    bytes_of = with_hits.select("linededup_key", F.col(text_col).cast("string").alias("text"), F.col("linededup_hits").alias("hits")).mapInPandas(occurrences, "k long, line long, h long, keeper boolean, bytes binary")
+    bytes_of = with_hits.select("linededup_key", F.col(text_col).cast("string").alias("text"), F.col("linededup_hits").alias("hits")).mapInPandas(occurrences, "k long, unit long, h long, keeper boolean, bytes binary")
     kept = bytes_of.filter("keeper").dropDuplicates(["h"]).select("h", F.col("bytes").alias("kept"))
-    differ = bytes_of.filter("not keeper").join(kept, "h").filter("bytes != kept").select("k", "line").distinct()
-    restored = settle(differ.groupBy(F.col("k").alias("linededup_key")).agg(F.collect_set("line").alias("linededup_back")), "lines-restored")
+    differ = bytes_of.filter("not keeper").join(kept, "h").filter("bytes != kept").select("k", "unit").distinct()
+    restored = settle(differ.groupBy(F.col("k").alias("linededup_key")).agg(F.collect_set("unit").alias("linededup_back")), "lines-restored")
 
     @F.pandas_udf("struct<text: string, lines: long, chunks: long>")
     def cut(texts: pd.Series, hits: pd.Series, back: pd.Series) -> pd.DataFrame:
@@ -89,10 +93,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if text is None or own is None:
                 out.append((text, 0, 0))
                 continue
-            n_lines = {c[0]: c[1] for c in chunk_lines(text)}
+            units = chunk_lines(text)
             stay = set(() if b is None else b)
-            go = [h["line"] for h in own if not h["keeper"] and h["line"] not in stay]
-            drop = {i for at in go for i in range(at, at + n_lines[at])}
+            go = [h["unit"] for h in own if not h["keeper"] and h["unit"] not in stay]
+            drop = {i for u in go for i in range(units[u][0], units[u][0] + units[u][1])}
             out.append(("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text, len(drop), len(go)))
         return pd.DataFrame(out, columns=["text", "lines", "chunks"])
 

@@ -200,6 +200,21 @@ def test_line_chunks_equal_brute_force(spark, awkward):
     assert sum(r.lines_removed for r in got) > 50
 
 
+def test_planted_passages_go_whole(spark):
+    rng = random.Random(12)
+    sizes = [(1, 60), (2, 30), (2, 4), (3, 20), (4, 15), (5, 11), (9, 7)]  # lines, words a line
+    passages = [[words(rng, n, 9000) for _ in range(lines)] for lines, n in sizes for _ in range(4)]
+    own = lambda: [words(rng, 6, 9000) for _ in range(rng.randrange(1, 4))]
+    rows, want = [], {}
+    for k in range(3 * len(passages)):
+        passage, gap = passages[k % len(passages)], "\n\n" if k % len(passages) % 2 else "\n"
+        head, tail = own(), own()
+        rows.append((k, "\n".join([*head, gap.join(passage), *tail])))
+        want[k] = rows[-1][1] if k < len(passages) else "\n".join(head + tail)
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def row_hash(spark, row):
     return spark.createDataFrame([row], "doc_id long, text string").select(line_dedup.row_key("doc_id", "text")).first()[0]
 
