@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
+KINDS_IN_ORDER = ("email", "secret", "iban", "date", "ip", "ssn", "card", "phone")
 _DAY0, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
@@ -99,15 +100,21 @@ class Pseudonyms:
             "date": r"(?<![\d./-])(?:[0-9]{4}([-/.])[0-9]{1,2}\1[0-9]{1,2}|[0-9]{1,2}([-/.])[0-9]{1,2}\2[0-9]{4})(?![\d]|[./-]\d)",
             "ip": r"(?<![\d.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\d|\.\d)",
             "ssn": r"(?<![\d-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\d]|-\d)",
-            "card": r"(?<![\dA-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![\dA-Za-z])",
+            "card": r"(?<![\dA-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?![\dA-Za-z])",
             "phone": r"(?<![\w(])(?:\+1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4}(?!\d)|(?<!\w)\+[1-9][0-9]?[0-9]?(?:[ .-]?[0-9]{2,4}){2,4}(?!\d)",
         }
-        self.pattern = re.compile("|".join(f"(?P<{k}>{self._renumbered(v, n)})" for n, (k, v) in enumerate(parts.items())))
+        self.parts = {k: re.compile(v) for k, v in parts.items()}
+        self.pattern = re.compile("|".join(self._named(k, v) for k, v in parts.items()))
+        # cards in any other layout, sought in what all kinds leave
+        self.loose = re.compile(r"(?<![\dA-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![\dA-Za-z])")
 
     @staticmethod
-    def _renumbered(pattern: str, n: int) -> str:
-        """Back references by name, as groups are numbered across the whole alternation."""
-        return pattern.replace(r"([-/.])[0-9]{1,2}\1", rf"(?P<s{n}a>[-/.])[0-9]{{1,2}}(?P=s{n}a)").replace(r"([-/.])[0-9]{1,2}\2", rf"(?P<s{n}b>[-/.])[0-9]{{1,2}}(?P=s{n}b)")
+    def _named(kind: str, pattern: str) -> str:
+        """The kind as a group, its back references by name, as groups are numbered across the whole alternation."""
+        for n, group in (("1", "([-/.])"), ("2", "([-/.])"), ("1", "([ -])"), ("2", "([ -])")):
+            if f"\\{n}" in pattern and group in pattern:
+                pattern = pattern.replace(group, f"(?P<{kind}{n}>{group[1:]}", 1).replace(f"\\{n}", f"(?P={kind}{n})")
+        return f"(?P<{kind}>{pattern})"
 
     def _permute(self, kind: str, rank: int, size: int) -> int:
         return Feistel(self.key, kind, size)(rank, self.back)
@@ -195,8 +202,13 @@ class Pseudonyms:
         if luhn_digit(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
             return None
         n = len(digits) - 1
-        payload = f"{self.permute('card', int(digits[:-1]), 10**n):0{n}d}"
-        return self._fill(v, payload + str(luhn_digit(payload)))
+        rank = int(digits[:-1])
+        for _ in range(1000):  # a card in a free layout must not become one that holds a value of another kind
+            rank = self.permute("card", rank, 10**n)
+            new = self._fill(v, f"{rank:0{n}d}{luhn_digit(f'{rank:0{n}d}')}")
+            if self.parts["card"].fullmatch(v) or not self._values(new):
+                return new
+        return None
 
     def phone(self, v: str) -> str | None:
         digits = re.sub(r"\D", "", v)
@@ -212,18 +224,74 @@ class Pseudonyms:
             return self._fill(v, digits[0] + f"{self.permute('phone' + digits[0], int(digits[1:]), 10**n):0{n}d}")
         return None
 
+    def _at(self, text: str, kind: str, at: int) -> tuple[int, str] | None:
+        """The end and the pseudonym of the longest valid value of a kind that begins at ``at``. Only IBANs and
+        telephone numbers have shorter forms; a telephone number must not end inside a value that follows it."""
+        m = self.parts[kind].match(text, at)
+        if m is None:
+            return None
+        shortest = at + 8 if kind in ("iban", "phone") else m.end()
+        for end in range(m.end(), shortest - 1, -1):
+            if end < m.end() and (not text[end - 1].isalnum() or text[end].isalnum() or not self.parts[kind].fullmatch(text, at, end)):
+                continue
+            got = getattr(self, kind)(text[at:end])
+            if got is not None and not (kind == "phone" and text[at] == "+" and self._cuts(text, at, end)):
+                return end, got
+        return None
+
+    def _cuts(self, text: str, at: int, end: int) -> bool:
+        """Whether a valid value begins inside text[at:end] and ends behind it, and none begins right behind it."""
+
+        def beyond(p: int) -> bool:
+            found = ((kind, self.parts[kind].match(text, p)) for kind in ("date", "ip", "ssn", "card", "phone"))
+            return any(m and m.end() > end and getattr(self, kind)(m[0]) is not None for kind, m in found)
+
+        return not beyond(end + 1) and any(beyond(p) for p in range(at + 1, end) if text[p].isdigit() and not text[p - 1].isdigit())
+
+    def _values(self, text: str) -> list[tuple[int, int, str, str]]:
+        """(start, end, kind, pseudonym) of the values, without cards in a free layout. Where a match isn't valid,
+        shorter ones and the later kinds are tried at its place, and the search goes on behind its first character."""
+        found, at = [], 0
+        while m := self.pattern.search(text, at):
+            at = m.start() + 1
+            for kind in KINDS_IN_ORDER[KINDS_IN_ORDER.index(m.lastgroup) :]:
+                if got := self._at(text, kind, m.start()):
+                    found.append((m.start(), got[0], kind, got[1]))
+                    at = got[0]
+                    break
+        return found
+
+    def _loose_cards(self, text: str, at: int, end: int) -> list[tuple[int, int, str, str]]:
+        """The cards in a free layout between two values, the longest that is valid at each place."""
+        found = []
+        while m := self.loose.search(text, at):
+            at = m.start() + 1
+            if m.start() >= end:
+                break
+            for to in range(min(m.end(), end), m.start() + 12, -1):
+                if text[to - 1].isdigit() and not (text[to : to + 1].isascii() and text[to : to + 1].isalnum()) and self.loose.fullmatch(text, m.start(), to):
+                    got = self.card(text[m.start() : to])
+                    if got is not None:
+                        found.append((m.start(), to, "card", got))
+                        at = to
+                        break
+        return found
+
     def text(self, text: str) -> tuple[str, list[int]]:
         """The text with its values replaced, and the number replaced of each kind."""
         counts = dict.fromkeys(KINDS, 0)
-
-        def new(m: re.Match) -> str:
-            got = getattr(self, m.lastgroup)(m[0]) if m.lastgroup in counts else None
-            if got is None:
-                return m[0]
-            counts[m.lastgroup] += 1
-            return got
-
-        return self.pattern.sub(new, text), list(counts.values())
+        values = self._values(text)
+        if values:
+            gaps = zip([0, *(v[1] for v in values)], [*(v[0] for v in values), len(text)], strict=True)
+        else:
+            gaps = [(0, len(text))]
+        loose = [v for a, b in gaps if b - a > 12 for v in self._loose_cards(text, a, b)]
+        out, at = [], 0
+        for start, end, kind, new in sorted(values + loose):
+            out += [text[at:start], new]
+            counts[kind] += 1
+            at = end
+        return "".join(out) + text[at:], list(counts.values())
 
 
 def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", back: bool = False) -> DataFrame:
@@ -231,7 +299,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", back: bool =
 
     Kinds: e-mail addresses, IBANs with a right checksum, card numbers with a right check digit, social security
     and telephone numbers in valid ranges, IPv4 addresses, calendar dates from 1900 to 2099, and access keys and
-    hexadecimal secrets. Values that don't validate stay. Null text stays null with counts of 0; empty, repeated
+    hexadecimal secrets. Values that don't validate stay. Digits in a free layout (any single spaces and hyphens) are
+    taken for a card last, where a check digit fits; inverting such a one beside further digits can fail by chance. Null text stays null with counts of 0; empty, repeated
     and very long texts are treated like any; other columns pass through. Only texts with a digit or an @ reach Python.
     """
     fields = ", ".join(f"n_{k}: long" for k in KINDS)

@@ -105,6 +105,26 @@ def test_privacy_round_trip_format_and_links(spark):
     assert got[3].text is None and got[4].text == "" and got[2].n_ip == 1 and got[2].text.split()[1] in got[1].text
 
 
+def test_privacy_adjacent_values():
+    names, back = privacy.Pseudonyms(b"key"), privacy.Pseudonyms(b"key", back=True)
+    phone, other, card, spaced, date = "212-555-0187", "415-555-0199", "4785380592391139", "4785 3805 9239 1139", "2024-05-01"
+    kinds = {phone: "phone", other: "phone", card: "card", spaced: "card", date: "date", "+44 20 7946 0958": "phone", "+49 170 1234567": "phone", "AT61 1904 3002 3457 3201": "iban", "219-09-9999": "ssn", "152.143.123.131": "ip"}
+    new = {v: names.text(v)[0] for v in kinds}
+    assert all(new[v] != v for v in kinds)
+    for a in kinds:
+        for b in kinds:
+            for text, want in ((f"{a} {b}", f"{new[a]} {new[b]}"), (f"x {a} {b} {a}, y", f"x {new[a]} {new[b]} {new[a]}, y")):
+                got, counts = names.text(text)
+                assert got == want and back.text(got)[0] == text and sum(counts) == len(want.split(new[a])) - 1 + (a != b) * (len(want.split(new[b])) - 1)
+    lines = [f"{card} 123", f"{spaced} 12/26", f"{card}-123", f"{spaced} 123 {date}", " ".join([phone, other] * 20), f"12 {card} 7", f"55 {phone} {other}"]
+    for text in lines:
+        got = names.text(text)[0]
+        assert not any(v in got for v in kinds) and back.text(got)[0] == text
+    free = "47 853 80592 39113 9"  # a card in no usual layout
+    got, counts = names.text(f"no {free}, yes")
+    assert counts[2] == 1 and back.text(got)[0] == f"no {free}, yes" and free not in got
+
+
 def test_language_held_out_and_awkward_rows(spark, awkward):
     rng = random.Random(3)
     alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "klmnopqr"}
