@@ -2,12 +2,13 @@
 
 A page is cut into lines of text, one per block. Lines in elements that are never article text (menus, headers,
 footers, asides, forms, scripts, adverts, notices, comments) go; lines inside an article or main element stay. What
-neither decides is compared with the page whose URL path is nearest on the same host: the lines of both are aligned
+neither decides is compared with the pages of the nearest URLs on the same host: the lines of both are aligned
 by longest common subsequence, and a line that both share is the site's, not the page's, and goes.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from bisect import bisect_left
@@ -19,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -132,7 +135,7 @@ def page_lines(page: str | None) -> list[Line]:
     return lines
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
+def common_lines(a: list, b: list) -> set[int]:
     """Positions in ``a`` of a longest common subsequence of both (by the increasing-sequence method)."""
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -141,7 +144,7 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     found = {*range(head), *range(len(a) - tail, len(a))}
-    places: dict[str, list[int]] = defaultdict(list)
+    places: dict[object, list[int]] = defaultdict(list)
     for j in range(len(b) - tail - 1, head - 1, -1):
         places[b[j]].append(j)
     ends: list[int] = []
@@ -162,60 +165,86 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return found
 
 
+def undecided(lines: list[Line]) -> bool:
+    """Whether no article element has text, so that the neighbours decide."""
+    return not any(x.main and not x.never for x in lines)
+
+
+def line_hashes(lines: list[Line]) -> list[int]:
+    return [int.from_bytes(hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for x in lines]
+
+
+def unshared_text(lines: list[Line], own: list, neighbours: list[list]) -> str:
+    """The article by ``own``, what stands for each line, and the same of the neighbours."""
+    if not undecided(lines):
+        return "\n\n".join(x.text for x in lines if x.main and not x.never)
+    shared = set().union(*(common_lines(own, n) for n in neighbours))
+    return "\n\n".join(x.text for k, x in enumerate(lines) if not x.never and k not in shared)
+
+
 def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
     """The article: lines that structure keeps or, where no article element has text, lines that no neighbour shares."""
-    allowed = [x for x in lines if not x.never]
-    if any(x.main for x in allowed):
-        return "\n\n".join(x.text for x in allowed if x.main)
-    texts = [x.text for x in lines]
-    shared = set().union(*(common_lines(texts, [y.text for y in n]) for n in neighbours)) if neighbours else set()
-    return "\n\n".join(x.text for k, x in enumerate(lines) if not x.never and k not in shared)
+    return unshared_text(lines, [x.text for x in lines], [[y.text for y in n] for n in neighbours])
+
+
+def nearest_urls(found: DataFrame) -> DataFrame:
+    """(host, path, before, after) for each URL with a page that ``asks``: the line hashes of the URLs next to it in
+    the sorted distinct URLs of its host, of each the page of the smallest ``h``; null where the host has none.
+
+    The order is total, so neither partitions nor the number of a URL's pages matter: URLs are numbered through by a
+    range sort and the sizes of its partitions, and neighbours join by number.
+    """
+    urls = settle(found.groupBy("host", "path").agg(F.min(F.struct("h", "lines"))["lines"].alias("lines"), F.bool_or("asks").alias("asks")), "extract-urls")
+    ordered = settle(urls.repartitionByRange("host", "path").sortWithinPartitions("host", "path").withColumn("at", F.monotonically_increasing_id()), "extract-ordered")
+    part = F.shiftright("at", 33)
+    before, rows = 0, []
+    for r in ordered.groupBy(part.alias("part")).count().orderBy("part").collect():
+        rows.append((r["part"], before))
+        before += r["count"]
+    first = F.broadcast(found.sparkSession.createDataFrame(rows, "part long, first long"))
+    numbered = ordered.withColumn("part", part).join(first, "part").withColumn("n", F.col("first") + F.col("at") - F.shiftleft("part", 33))
+    side = lambda step, name: numbered.select("host", (F.col("n") + step).alias("n"), F.col("lines").alias(name))
+    asking = numbered.filter("asks").select("host", "path", "n")
+    return settle(asking.join(side(1, "before"), ["host", "n"], "left").join(side(-1, "after"), ["host", "n"], "left").select("host", "path", "before", "after"), "extract-near")
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "main_text") -> DataFrame:
     """``pages`` with ``out_col``, the main text of the whole html ('' if there is none).
 
-    Pages are sorted by host and path, in ranges that split a large host, and each is compared with the page
-    before and the page after it in its range that have its host and another path. A null or empty html gives '';
-    a null url is a host of its own without neighbours; pages of one URL are each other's copies and not compared.
-    Other columns pass through; a column of the name ``out_col`` is replaced.
+    A page that structure leaves open is compared with the URL before and the URL after its own among the sorted
+    distinct URLs (path and query string) of its host. A null or empty html gives ''; a null url is a host of its own
+    without neighbours; pages of one URL are each other's copies and not compared. Other columns pass through; a
+    column of the name ``out_col`` is replaced.
+
+    Plan: one pass over the pages writes the hashes of their lines, from which the neighbours are found; pages are
+    shuffled once, by URL, to meet them, and not at all where structure decides every page.
     """
-    address = F.regexp_extract(F.coalesce(F.lower(F.col(url_col)), F.lit("")), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^?#]*)", 1)
-    path = F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    host = F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^#]*)", 1)
     plain = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != out_col])
-    ordered = plain.withColumns({"extract_host": address, "extract_path": path}).repartitionByRange("extract_host", "extract_path", F.xxhash64(F.col(html_col))).sortWithinPartitions("extract_host", "extract_path", F.xxhash64(F.col(html_col)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before: tuple[str, str, list[Line]] | None = None  # the last page with another path than the next
-        waiting: tuple[pd.DataFrame, list[tuple[str, str, list[Line]]]] | None = None
-
-        def texts(own: list[tuple[str, str, list[Line]]], prior, after) -> list[str]:
-            out, line_up = [], [prior, *own, after]
-            for k in range(1, len(line_up) - 1):
-                host, path, lines = line_up[k]
-                near = []
-                if host and not any(x.main and not x.never for x in lines):
-                    for step in (-1, 1):
-                        j = k + step
-                        while 0 <= j < len(line_up) and line_up[j] and line_up[j][:2] == (host, path):
-                            j += step
-                        if 0 <= j < len(line_up) and line_up[j] and line_up[j][0] == host:
-                            near.append(line_up[j][2])
-                out.append(main_text(lines, near))
-            return out
-
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                b = batch.iloc[i : i + 500]
-                own = [(h or "", p or "", page_lines(x)) for h, p, x in zip(b["extract_host"], b["extract_path"], b[html_col], strict=True)]
-                if not own:
-                    continue
-                if waiting:
-                    yield waiting[0].assign(**{out_col: texts(waiting[1], before, own[0])}).drop(columns=["extract_host", "extract_path"])
-                    before = waiting[1][-1]
-                waiting = (b, own)
-        if waiting:
-            yield waiting[0].assign(**{out_col: texts(waiting[1], before, None)}).drop(columns=["extract_host", "extract_path"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields) + f", `{out_col}` string"
-    return ordered.mapInPandas(run, schema)
+    # pages without a host meet nobody: their key only spreads them
+    keyed = plain.withColumn("extract_host", host).withColumn("extract_path", F.when(F.col("extract_host") == "", F.xxhash64(html_col).cast("string")).otherwise(path))
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lines = [page_lines(x) for x in b["html"]]
+            yield pd.DataFrame({"host": b["host"], "path": b["path"], "h": b["h"], "asks": [undecided(x) for x in lines], "lines": [line_hashes(x) for x in lines]})
+
+    own = keyed.filter("extract_host != ''").select(F.col("extract_host").alias("host"), F.col("extract_path").alias("path"), F.xxhash64(html_col).alias("h"), F.col(html_col).cast("string").alias("html"))
+    found = settle(own.mapInPandas(hashed, "host string, path string, h long, asks boolean, lines array<long>"), "extract-lines")
+    if found.filter("asks").isEmpty():
+        joined = keyed.withColumns({"extract_before": F.lit(None).cast("array<long>"), "extract_after": F.lit(None).cast("array<long>")})
+    else:
+        near = nearest_urls(found).toDF("extract_host", "extract_path", "extract_before", "extract_after")
+        joined = keyed.join(near, ["extract_host", "extract_path"], "left")
+
+    @F.pandas_udf("string")
+    def text(pages: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+        out = []
+        for page, *near in zip(pages, before, after, strict=True):
+            lines, near = page_lines(page), [list(n) for n in near if n is not None]
+            out.append(unshared_text(lines, line_hashes(lines) if near else [], near))
+        return pd.Series(out, dtype=object)
+
+    return joined.select(*[F.col(f"`{c}`") for c in plain.columns], text(F.col(html_col).cast("string"), "extract_before", "extract_after").alias(out_col))

@@ -187,6 +187,18 @@ def test_extraction_by_structure_and_by_neighbours(spark):
     assert extraction.main_text(one, [two]) == "First story."
 
 
+def test_extraction_compares_urls_however_pages_are_dealt(spark):
+    bare = "<body><p>Site name</p><p>Story {} of {}.</p><p>Imprint &copy; now</p></body>"
+    urls = ["http://g.h/"] * 1100 + ["http://g.h/b"] + [f"http://i.j/index.php?id={k}" for k in range(1200)] + ["http://k.l/one#a", "http://k.l/one#b"]
+    rows = [(k, u, bare.format(k, u)) for k, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for dealt in (pages.coalesce(1), pages.repartition(7)):
+        got = {r.page_id: r.main_text for r in extraction.extract_main_text(dealt).collect()}
+        assert len(got) == len(rows)
+        for k, u, _ in rows:
+            assert got[k] == (f"Site name\n\nStory {k} of {u}.\n\nImprint © now" if "k.l" in u else f"Story {k} of {u}.")
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
