@@ -20,9 +20,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share; one of our own only in a local session that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rolecorpus-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -36,6 +38,26 @@ def settle(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle_bucketed(df: DataFrame, column: str, label: str, codec: str = "zstd") -> DataFrame:
+    """As ``settle``, bucketed by ``column``, so that joins on it leave the table where it is. The catalog knows the
+    table only while it is written: the entry goes at once, the files stay."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, column).option("compression", codec).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is: a shuffled join,
     whose skewed partitions the adaptive planner splits."""
@@ -62,8 +84,9 @@ def n_words(text: Column) -> Column:
 
 
 def row_key(id_col: str, text_col: str) -> Column:
-    """Identity of a row: repeated rows share it, rows that share only the id don't."""
-    return F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit("")))
+    """Identity of a row: repeated rows share it, rows that share only the id don't; null and empty differ."""
+    own, text = F.col(id_col).cast("string"), F.col(text_col)
+    return F.xxhash64(own, own.isNull(), text, text.isNull())
 
 
 # ---- hashing of bytes and words in numpy -------------------------------------------------------------
@@ -117,27 +140,65 @@ _lowered = np.arange(256, dtype=np.uint8)
 _lowered[65:91] += 32
 
 
+#: Bytes of text that are hashed at a time.
+PIECE = 1 << 20
+
+
+def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of each word of some bytes, lower-cased in A-Z; worked in pieces cut at white space."""
+    gaps = np.flatnonzero(is_space[raw])
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(raw):
+        k = np.searchsorted(gaps, at + PIECE)
+        stop = int(gaps[k]) if k < len(gaps) else len(raw)
+        space = is_space[raw[at:stop]]
+        start = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        size = np.flatnonzero(~space & np.concatenate((space[1:], [True]))) + 1 - start
+        if len(start):
+            hashes.append(mix64(PrefixHash(_lowered[raw[at:stop]]).slices(start, size) + size.astype(np.uint64)))
+            places.append(start + at)
+        at = stop
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """64-bit hash of each word of a text, lower-cased in A-Z only."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
-    space = is_space[raw]
-    edge = np.diff(np.concatenate(([1], space.view(np.int8), [1])))
-    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
-        return np.zeros(0, np.uint64)
-    return mix64(PrefixHash(_lowered[raw]).slices(start, end - start) + (end - start).astype(np.uint64))
-
-
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; fewer words: the whole sequence as one."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    width = min(width, len(w))
-    n = len(w) - width + 1
-    h = np.full(n, np.uint64(width))
+    return _hashed_words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))[0]
+
+
+def _fold(w: np.ndarray, first: np.ndarray | slice, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from each place on."""
+    h = np.full(1, width, np.uint64)
     for k in range(width):
-        h = mix64(h * np.uint64(_BASE & _MASK) + w[k : k + n])
-    return np.unique(h)
+        h = mix64(h * np.uint64(_BASE & _MASK) + (w[k : len(w) - width + 1 + k] if isinstance(first, slice) else w[first + k]))
+    return h
+
+
+def shingle_sets(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's sorted distinct 64-bit hashes of word shingles, one text after another, and how many each has.
+
+    A text of fewer than ``width`` words has one shingle, its whole sequence; one without words has none.
+    """
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    w, place = _hashed_words(np.frombuffer(b"\n".join(raws), np.uint8))
+    owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), place, side="right")
+    n_words = np.bincount(owner, minlength=len(texts))
+    first = np.cumsum(n_words) - n_words
+    count = np.where(n_words >= width, n_words - width + 1, np.minimum(n_words, 1))
+    begin = np.cumsum(count) - count
+    flat = np.zeros(int(count.sum()), np.uint64)
+    if len(w) >= width:
+        inside = np.flatnonzero(owner[: len(w) - width + 1] == owner[width - 1 :])
+        flat[begin[owner[inside]] + inside - first[owner[inside]]] = _fold(w, slice(None), width)[inside]
+    for few in range(1, width):
+        short = np.flatnonzero(n_words == few)
+        if len(short):
+            flat[begin[short]] = _fold(w, first[short], few)
+    for a, n in zip(begin.tolist(), count.tolist(), strict=True):
+        if n > 1:
+            flat[a : a + n].sort()
+    text = np.repeat(np.arange(len(texts)), count)
+    fresh = np.ones(len(flat), bool)
+    fresh[1:] = (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])
+    return flat[fresh], np.bincount(text[fresh], minlength=len(texts))

@@ -1,37 +1,44 @@
 """N-gram Jaccard join: all links of similarity 0.75 or more between sets of word shingles, by signature trees.
 
-Which sets can be linked at all is narrowed by shared prefixes: with the shingles of every set in one order, two
-sets that are similar enough share one of each's first floor(n / 4) + 1 shingles, whatever the order. The order
-puts shingles that a sample shows to be frequent last, which keeps passages that many documents share out of the
-prefixes; it decides the cost and never the result.
-
-Sets that are equal count as one. The sets that share a prefix shingle form a group. First each set is compared
-with one leader of its groups: that settles large groups of near copies, as only the components are wanted. Groups
-that still hold several components go through signature trees: nodes hold OR-combined bitmaps and size ranges, and a
-dual traversal drops pairs of nodes whose greatest possible overlap is too small. Of the pairs of sets that are left,
-a spanning forest is compared exactly, so a family of m sets sends on m pairs and not their square. A group whose
-forest loses a pair is traversed again without it, with four times as many forests, until none is lost.
+1. One pass over the texts makes the sets and keeps them in blocks, a table bucketed by block.
+2. Shingles are counted: blocks send 32-bit prints of theirs to buckets, which answer with how many sets hold each, as a
+   power of two. With all shingles in one order, the rarest first, two sets that are similar enough share one of each's
+   first floor(n / 4) + 1 shingles. A shingle that one set alone holds links nothing, so only the others are keys, and most sets have
+   none: they are out before anything is compared. The order decides the cost, never the result.
+3. The sets that share a key with others form a group under the least of them, the same for all keys if it can be, so that
+   sets that share many keys meet once or twice and not once for each key.
+4. Each group goes through signature trees: nodes hold the OR of their sets' bitmaps and size ranges, and a dual
+   traversal drops pairs of nodes whose greatest possible overlap is too small or whose sets are linked already. What is
+   left is compared exactly, a few pairs for each component at a time, so a family of m copies costs about m comparisons.
+5. A group too large for a task is dealt out in parts, each with the group's leader. If components remain, the parts, now
+   by component, are summed up as entries of a tree whose traversal says which parts must still meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, mix64, row_key, settle, shingle_set
+from .common import broadcast_if_small, mix64, row_key, settle, settle_bucketed, shingle_sets, spare
 from .graph import connected_components
 
 #: 100 * overlap >= PERCENT * union links two sets.
 PERCENT = 75
-#: Sets of a block: groups beyond it are dealt out as pairs of blocks.
-BLOCK = 4096
+#: Characters of text that are made into sets at a time, and shingles of a block; a longer text is alone.
+PIECE, BLOCK = 1 << 20, 1 << 20
+#: Shingles that are counted in one bucket.
+BUCKET = 1 << 21
+#: Shingles of the sets that one traversal holds.
+GROUP = 1 << 22
 LEAF = 16
-#: Bits at most that pairs are compared in, which bounds the memory of a comparison.
-WIDEST = 1 << 24
+#: Bits of the bitmap that sums up a part of a large group.
+SUMMARY = 1 << 14
 
 
 def needed_overlap(total: np.ndarray | int) -> np.ndarray | int:
@@ -39,370 +46,453 @@ def needed_overlap(total: np.ndarray | int) -> np.ndarray | int:
     return -(-PERCENT * total // (100 + PERCENT))
 
 
-def set_key(s: np.ndarray) -> int:
-    """64-bit hash of a set of hashes. Different sets share one with a chance of about pairs / 2**64."""
-    return int(mix64(np.array([np.bitwise_xor.reduce(mix64(s + np.uint64(0x51ED270B))) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
+    """Elements of a set of n, in any order common to all sets, of which one is in the prefix of each set it links to:
+    the smallest partner has ceil(0.75 n)."""
+    return n - -(-PERCENT * n // 100) + 1
 
 
-def width_of(n: int) -> int:
-    """Bits of a set's signature: a power of two, 64 times the size at least, so sparse that the bound is the overlap but for a hundredth."""
-    return 64 << int(n - 1).bit_length() if n > 1 else 64
+def set_keys(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hash of each set of hashes; of an empty one 0. Different sets share one with a chance of about pairs / 2**64."""
+    out = np.zeros(len(sizes), np.uint64)
+    full = np.flatnonzero(sizes)
+    if len(full):
+        begin = np.cumsum(sizes[full]) - sizes[full]
+        out[full] = mix64(np.bitwise_xor.reduceat(mix64(flat + np.uint64(0x51ED270B)), begin) + sizes[full].astype(np.uint64))
+    return out.view(np.int64)
 
 
-def signature(s: np.ndarray) -> bytes:
-    """The set bits of a set's sparse bitmap as gaps, a byte each; 255 adds to the gap that follows. About 1.1 bytes an element."""
-    at = np.unique(s & np.uint64(width_of(len(s)) - 1)).astype(np.int64)
-    gap = np.diff(at, prepend=0)
-    out = np.full(len(gap) + int((gap // 255).sum()), 255, np.uint8)
-    out[np.cumsum(gap // 255 + 1) - 1] = gap % 255
-    return out.tobytes()
+# ---- comparing the sets of a group -------------------------------------------------------------------
 
 
-def positions(sig: bytes) -> np.ndarray:
-    """The set bits that a signature holds, in order."""
-    raw = np.frombuffer(sig, np.uint8)
-    return np.cumsum(raw, dtype=np.int64)[raw < 255]
+class Group:
+    """Sets, one after another in ``flat``, with the component each is in; components grow as links are found."""
 
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, component: np.ndarray):
+        self.flat, self.sizes = flat, sizes
+        self.begin = np.cumsum(sizes) - sizes
+        self.least = flat[self.begin] if len(flat) else flat
+        self.number = np.unique(flat, return_inverse=True)[1]
+        self.part = np.unique(component, return_inverse=True)[1]
+        self.links: list[tuple[int, int]] = []
 
-def _words(bits: list[np.ndarray], width: int) -> np.ndarray:
-    """Sets of bits as rows of 64-bit words, folded to ``width`` bits."""
-    out = np.zeros((len(bits), width // 64), np.uint64)
-    for k, b in enumerate(bits):
-        dense = np.zeros(width, np.uint8)
-        dense[b & (width - 1)] = 1
-        out[k] = np.packbits(dense, bitorder="little").view(np.uint64)
-    return out
+    def _elements(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements of sets k as (place in k, number), in order."""
+        size = self.sizes[k]
+        end = np.cumsum(size)
+        return np.repeat(np.arange(len(k)), size), self.number[np.arange(end[-1]) + np.repeat(self.begin[k] - end + size, size)]
+
+    def linked(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether sets x and y are linked, by their elements."""
+        out = np.zeros(len(x), bool)
+        at = 0
+        through = np.cumsum(self.sizes[x] + self.sizes[y])
+        while at < len(x):
+            stop = max(at + 1, int(np.searchsorted(through, (through[at - 1] if at else 0) + (1 << 20))))
+            a, b = x[at:stop], y[at:stop]
+            (pa, ea), (pb, eb) = self._elements(a), self._elements(b)
+            codes, asked = pa * (len(self.flat) + 1) + ea, pb * (len(self.flat) + 1) + eb
+            found = np.searchsorted(codes, asked)
+            hit = codes[np.minimum(found, len(codes) - 1)] == asked
+            out[at:stop] = np.bincount(pb[hit], minlength=len(a)) >= needed_overlap(self.sizes[a] + self.sizes[b])
+            at = stop
+        return out
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Take in that sets x and y are linked, and keep the links that join two components."""
+        up = list(range(int(self.part.max()) + 1))
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        for i, j, p, q in zip(x.tolist(), y.tolist(), self.part[x].tolist(), self.part[y].tolist(), strict=True):
+            p, q = root(p), root(q)
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                self.links.append((i, j))
+        self.part = np.array([root(k) for k in range(len(up))])[self.part]
+
+    def compare(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Compare pairs until each is refused or within one component: in each round a few for every component."""
+        share = 1
+        while True:
+            apart = self.part[x] != self.part[y]
+            x, y = x[apart], y[apart]
+            if not len(x):
+                return
+            order = np.argsort(self.part[x], kind="stable")
+            x, y = x[order], y[order]
+            new = np.flatnonzero(np.diff(self.part[x], prepend=-1))
+            rank = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+            now = rank < share
+            a, b = x[now], y[now]
+            ok = self.linked(a, b)
+            self.join(a[ok], b[ok])
+            x, y, share = x[~now], y[~now], share * 2
+
+    def maps(self, own: np.ndarray, width: int) -> np.ndarray:
+        """Bitmaps of some sets as rows of 64-bit words."""
+        out = np.zeros((len(own), width // 64), np.uint64)
+        step = max(1, (1 << 24) // width)
+        for k in range(0, len(own), step):
+            part = own[k : k + step]
+            size = self.sizes[part]
+            end = np.cumsum(size)
+            dense = np.zeros((len(part), width), np.uint8)
+            bits = self.flat[np.arange(end[-1]) + np.repeat(self.begin[part] - end + size, size)] & np.uint64(width - 1)
+            dense[np.repeat(np.arange(len(part)), size), bits.astype(np.int64)] = 1
+            out[k : k + step] = np.packbits(dense, axis=1, bitorder="little").view(np.uint64)
+        return out
 
 
-def _folded(bits: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct bits of each set after folding to ``width``, one set after another, and where each begins (and the last ends)."""
-    parts = [np.unique(b & (width - 1)) for b in bits]
-    return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+class SignatureTree:
+    """A balanced binary tree over entries in their order. A node is the OR of its entries' bitmaps, their least and
+    greatest size, their greatest excess (elements beyond distinct bits), and their least and greatest component."""
 
+    HOW = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
 
-def sharpen(x: np.ndarray, y: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], na: np.ndarray, nb: np.ndarray, width: int) -> np.ndarray:
-    """Whether the sets a[x] and b[y], folded to one width, may be linked by the bound of their sparse bitmaps."""
-    (bits_a, at_a), (bits_b, at_b) = a, b
-    out = np.zeros(len(x), bool)
-    mark = np.zeros(width, bool)
-    order = np.argsort(x, kind="stable")
-    edges = np.flatnonzero(np.diff(x[order], prepend=-1))
-    for lo, hi in zip(edges, np.append(edges, len(order))[1:], strict=True):
-        i, rows = x[order[lo]], order[lo:hi]
-        j = y[rows]
-        own = bits_a[at_a[i] : at_a[i + 1]]
-        mark[own] = True
-        size = at_b[j + 1] - at_b[j]
-        end = np.cumsum(size)
-        hits = mark[bits_b[np.arange(end[-1]) + np.repeat(at_b[j] - end + size, size)]]
-        overlap = np.add.reduceat(hits, end - size, dtype=np.int64) + np.minimum(na[i] - len(own), nb[j] - size)
-        out[rows] = np.minimum(overlap, np.minimum(na[i], nb[j])) >= needed_overlap(na[i] + nb[j])
-        mark[own] = False
-    return out
+    def __init__(self, entries: tuple[np.ndarray, ...], leaf: int = LEAF):
+        self.entries, self.leaf = entries, leaf
+        self.levels = [entries] if leaf == 1 else [self._above(entries, leaf)]
+        while len(self.levels[-1][0]) > 1:
+            self.levels.append(self._above(self.levels[-1], 2))
 
+    def _above(self, below: tuple[np.ndarray, ...], each: int) -> tuple[np.ndarray, ...]:
+        starts = np.arange(0, len(below[0]), each)
+        return tuple(f.reduceat(v, starts, axis=0) for f, v in zip(self.HOW, below, strict=True))
 
-class SignatureTree:
-    """A balanced binary tree over sets sorted by size, those of large components apart. Node k of a level spans entries; its bitmap is the OR
-    of theirs, with the least and greatest size and the greatest excess (elements beyond distinct bits)."""
-
-    def __init__(self, maps: np.ndarray, sizes: np.ndarray, component: np.ndarray):
-        _, which, many = np.unique(component, return_inverse=True, return_counts=True)
-        self.order = np.lexsort((sizes, np.where(many[which] > LEAF, which, -1)))
-        self.maps, self.sizes, self.component = maps[self.order], sizes[self.order], component[self.order]
-        self.excess = self.sizes - np.bitwise_count(self.maps).sum(axis=1).astype(np.int64)
-        starts = np.arange(0, len(sizes), LEAF)
-        level = (
-            np.bitwise_or.reduceat(self.maps, starts, axis=0), np.minimum.reduceat(self.sizes, starts), np.maximum.reduceat(self.sizes, starts),
-            np.maximum.reduceat(self.excess, starts), np.minimum.reduceat(self.component, starts), np.maximum.reduceat(self.component, starts),
-        )
-        self.levels = [level]
-        while len(self.levels[-1][0]) > 1:
-            below = self.levels[-1]
-            starts = np.arange(0, len(below[0]), 2)
-            how = (np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum)
-            self.levels.append(tuple(f.reduceat(v, starts, axis=0) for f, v in zip(how, below, strict=True)))
+    def relabel(self, component: np.ndarray) -> None:
+        """The leaves' components after links were found."""
+        self.entries = (*self.entries[:4], component, component)
+        starts = np.arange(0, len(component), self.leaf)
+        self.levels[0] = (*self.levels[0][:4], np.minimum.reduceat(component, starts), np.maximum.reduceat(component, starts))
 
 
-def _possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
-    """Whether nodes a[i] and b[j] may hold a linked pair of different components."""
+def may_link(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
+    """Whether nodes a[i] and b[j] may hold a linked pair of different components: the overlap of two sets is at most
+    the common bits of their bitmaps and the lesser excess, and at most the lesser size."""
     overlap = np.bitwise_count(a[0][i] & b[0][j]).sum(axis=1).astype(np.int64) + np.minimum(a[3][i], b[3][j])
     overlap = np.minimum(overlap, np.minimum(a[2][i], b[2][j]))
     one = (a[4][i] == a[5][i]) & (b[4][j] == b[5][j]) & (a[4][i] == b[4][j])
     return (overlap >= needed_overlap(a[1][i] + b[1][j])) & ~one
 
 
-def tree_pairs(a: SignatureTree, b: SignatureTree) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions in a's and b's input of all pairs of different components that may be linked, by dual traversal
-    from the roots, in parts; each unordered pair once if both trees are one."""
-    same = a is b
-    top = max(len(a.levels), len(b.levels)) - 1
+def leaf_pairs(a: SignatureTree, b: SignatureTree) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of leaves that may hold a linked pair, by dual traversal from the roots; each once if both trees are one."""
     i = j = np.zeros(1, np.int64)
-    for level in range(top, -1, -1):
-        la, lb = a.levels[min(level, len(a.levels) - 1)], b.levels[min(level, len(b.levels) - 1)]
-        keep = _possible(la, i, lb, j)
-        if same:
-            keep &= i <= j
+    for level in range(max(len(a.levels), len(b.levels)) - 1, -1, -1):
+        la, lb = min(level, len(a.levels) - 1), min(level, len(b.levels) - 1)
+        keep = np.concatenate([may_link(a.levels[la], i[k : k + 65536], b.levels[lb], j[k : k + 65536]) for k in range(0, len(i), 65536)])
         i, j = i[keep], j[keep]
-        if not level:
+        if not level or not len(i):
             break
-        ia, jb = (level < len(a.levels)), (level < len(b.levels))
-        i, j = (np.repeat(x, 4) for x in (i, j))
-        if ia:
-            i = 2 * i + np.tile([0, 0, 1, 1], len(i) // 4)
-        if jb:
-            j = 2 * j + np.tile([0, 1, 0, 1], len(j) // 4)
-        na, nb = len(a.levels[min(level - 1, len(a.levels) - 1)][0]), len(b.levels[min(level - 1, len(b.levels) - 1)][0])
-        inside = (i < na) & (j < nb)
-        code = np.unique(i[inside] * nb + j[inside])
-        i, j = code // nb, code % nb
-    entries_a, entries_b = ((t.maps, t.sizes, t.sizes, t.excess, t.component, t.component) for t in (a, b))
-    for k in range(0, len(i), 4096):
-        x = (i[k : k + 4096, None, None] * LEAF + np.arange(LEAF)[None, :, None] + np.zeros((1, 1, LEAF), np.int64)).ravel()
-        y = (j[k : k + 4096, None, None] * LEAF + np.arange(LEAF)[None, None, :] + np.zeros((1, LEAF, 1), np.int64)).ravel()
-        inside = (x < len(a.sizes)) & (y < len(b.sizes))
-        if same:
-            inside &= x < y
-        x, y = x[inside], y[inside]
-        keep = _possible(entries_a, x, entries_b, y)
-        yield a.order[x[keep]], b.order[y[keep]]
-
-
-class Forests:
-    """Edge-disjoint spanning forests of the pairs offered: a pair enters the first forest in which it joins two parts."""
-
-    def __init__(self, component: np.ndarray, layers: int):
-        self.parts = np.tile(np.unique(component, return_inverse=True)[1], (layers, 1))
-        self.pairs: list[tuple[int, int]] = []
-
-    def open(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.flatnonzero((self.parts[:, x] != self.parts[:, y]).any(axis=0))
-
-    def add(self, x: int, y: int) -> None:
-        for part in self.parts:
-            if part[x] != part[y]:
-                part[part == part[y]] = part[x]
-                self.pairs.append((x, y))
-                return
+        below_a, below_b = min(level - 1, len(a.levels) - 1), min(level - 1, len(b.levels) - 1)
+        left = [2 * i, 2 * i + 1] if below_a < la else [i]
+        right = [2 * j, 2 * j + 1] if below_b < lb else [j]
+        i, j = np.concatenate([x for x in left for _ in right]), np.concatenate([y for _ in left for y in right])
+        inside = (i < len(a.levels[below_a][0])) & (j < len(b.levels[below_b][0]))
+        if a is b:
+            inside &= i <= j
+        i, j = i[inside], j[inside]
+    return i, j
+
 
+def width_of(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of n in a tree: a power of two, 4 times n at least and 8 times at most."""
+    return np.maximum(64, 4 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
-def group_pairs(signatures: list[bytes], sizes: np.ndarray, component: np.ndarray, refused: set[tuple[int, int]] = frozenset(), layers: int = 1) -> list[tuple[int, int]]:
-    """Pairs of positions in a group, ``layers`` edge-disjoint spanning forests of those that may be linked and are not
-    refused: if the pairs given are all linked, they connect all that links in the group connect.
 
-    A tree for each signature width is compared with itself and with the next width, as sizes of linked sets differ by a
-    third at most. The trees hold the bitmaps folded to a sixteenth; what they let through is held against the sparse bitmaps.
+def group_links(group: Group) -> list[tuple[int, int]]:
+    """Links of the group that connect all that its links connect, beyond the components given.
+
+    A tree for each bitmap width is compared with itself and with the next width, as the sizes of linked sets differ by a
+    third at most. Sets stand in a tree by their least elements, which similar sets tend to share.
     """
-    widths = np.array([width_of(int(n)) for n in sizes])
-    bits = [positions(s) for s in signatures]
-    forests = Forests(component, layers)
+    widths = width_of(group.sizes)
     for w in np.unique(widths).tolist():
-        dense, sharp = max(64, w // 16), min(w, WIDEST)
-        sides = [(own, SignatureTree(_words([bits[k] for k in own], dense), sizes[own], component[own]), _folded([bits[k] for k in own], sharp)) for own in (np.flatnonzero(widths == w), np.flatnonzero(widths == 2 * w)) if len(own)]
-        a, tree_a, folded_a = sides[0]
-        for b, tree_b, folded_b in sides:
-            for x, y in tree_pairs(tree_a, tree_b):
-                for k in range(0, len(x), 4096):
-                    i, j = x[k : k + 4096], y[k : k + 4096]
-                    still = forests.open(a[i], b[j])
-                    i, j = i[still], j[still]
-                    ok = sharpen(i, j, folded_a, folded_b, sizes[a], sizes[b], sharp)
-                    for pair in zip(a[i[ok]].tolist(), b[j[ok]].tolist(), strict=True):
-                        if pair not in refused and pair[::-1] not in refused:
-                            forests.add(*pair)
-    return forests.pairs
-
-
-def _summaries(docs: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
-    """(k, id, n, node, map, prefix) of each row, in the one pass over all texts: the hash of the row's set (null if it
-    is empty), its signature, and its first floor(n / 4) + 1 shingles, by hash with the frequent ones last."""
-    own = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # at most the ``most`` numbers of _frequent
+        sides = []
+        for own in (np.flatnonzero(widths == w), np.flatnonzero(widths == 2 * w)):
+            if len(own):
+                own = own[np.lexsort((group.sizes[own], group.least[own]))]
+                maps, n = group.maps(own, w), group.sizes[own]
+                sides.append((own, SignatureTree((maps, n, n, n - np.bitwise_count(maps).sum(axis=1).astype(np.int64), group.part[own], group.part[own]))))
+        own, tree = sides[0]
+        for other, mate in sides:
+            i, j = leaf_pairs(tree, mate)
+            # near leaves first: what they link, the others need not compare
+            gap = np.abs(i - j)
+            wave = np.where(gap < 2, gap, 1 + np.ceil(np.log2(np.maximum(gap, 1))).astype(np.int64))
+            for k in np.unique(wave).tolist():
+                chosen = np.flatnonzero(wave == k)
+                for at in range(0, len(chosen), 1024):
+                    x, y = i[chosen[at : at + 1024]], j[chosen[at : at + 1024]]
+                    for side, t in ((own, tree), (other, mate)):
+                        t.relabel(group.part[side])
+                    a, b = tree.levels[0], mate.levels[0]
+                    one = (a[4][x] == a[5][x]) & (b[4][y] == b[5][y]) & (a[4][x] == b[4][y])
+                    x, y = x[~one], y[~one]
+                    x = np.repeat(x * LEAF, LEAF * LEAF) + np.tile(np.repeat(np.arange(LEAF), LEAF), len(x))
+                    y = np.repeat(y * LEAF, LEAF * LEAF) + np.tile(np.arange(LEAF), LEAF * len(y))
+                    inside = (x < len(own)) & (y < len(other))
+                    if mate is tree:
+                        inside &= x < y
+                    x, y = x[inside], y[inside]
+                    keep = may_link(tree.entries, x, mate.entries, y)
+                    group.compare(own[x[keep]], other[y[keep]])
+    return group.links
+
+
+# ---- sets and their counts ---------------------------------------------------------------------------
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, keys, ids, sizes, nodes, sets): the sets of the rows, in blocks of some million shingles."""
+    own = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often = shared.value
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                s = shingle_set(t)
-                n = len(s)
-                if not n:
-                    rows.append((0, None, None, None))
-                    continue
-                node, bits = set_key(s), signature(s)
-                if len(often):
-                    late = often[np.minimum(np.searchsorted(often, s), len(often) - 1)] == s
-                    s = np.concatenate((s[~late], s[late]))
-                rows.append((n, node, bits, s[: n - needed_overlap_with_self(n) + 1].view(np.int64)))
-            # columns one by one: a frame of rows would make floats of integers that stand beside nulls
-            yield pd.DataFrame({
-                "k": b["k"].array, "id": b["id"].array, "n": np.array([r[0] for r in rows], np.int64), "node": pd.array([r[1] for r in rows], "Int64"), "map": pd.Series([r[2] for r in rows], dtype=object), "prefix": pd.Series([r[3] for r in rows], dtype=object),
-            })
-
-    return settle(own.mapInPandas(run, f"k long, id {own.schema['id'].dataType.simpleString()}, n long, node long, map binary, prefix array<long>"), "jaccard-sets")
+        task, n, held, total = TaskContext.get().partitionId(), 0, [], 0
 
+        def row() -> pd.DataFrame:
+            keys, ids, flats, sizes = zip(*held, strict=True)
+            flat, size = np.concatenate(flats), np.concatenate(sizes)
+            return pd.DataFrame({"block": [(task << 32) + n], "keys": [np.concatenate(keys)], "ids": [[i for part in ids for i in part]], "sizes": [size], "nodes": [set_keys(flat, size)], "sets": [flat.tobytes()]})
 
-def _frequent(docs: DataFrame, text_col: str, n_docs: int, sample: int, least: int, most: int) -> np.ndarray:
-    """Sorted hashes of the shingles that ``least`` documents or more of a sample hold, the ``most`` frequent."""
-    share = min(1.0, sample / max(1, n_docs))
-    chosen = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t) for t in b["text"]]
-            if sets:
-                h, n = np.unique(np.concatenate(sets), return_counts=True)
-                yield pd.DataFrame({"h": h.view(np.int64), "n": n.astype(np.int64)})
-
-    rows = chosen.mapInPandas(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return np.sort(rows.orderBy(F.desc("n"), "h").limit(most).toPandas()["h"].to_numpy(np.int64).view(np.uint64))
-
-
-def needed_overlap_with_self(n: int) -> int:
-    """Least overlap of a set of n with any set it links to: the smallest partner has ceil(0.75 n)."""
-    return -(-PERCENT * n // 100)
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, maps: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) that are linked: first by the bound of their bitmaps, then by their sets."""
-
-    @F.pandas_udf("boolean")
-    def may_link(ma: pd.Series, mb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        out = np.zeros(len(ma), bool)
-        for k, (x, y, n, m) in enumerate(zip(ma, mb, na, nb, strict=True)):
-            w = min(width_of(n), width_of(m))
-            p, q = (np.unique(positions(v) & (w - 1)) for v in (x, y))
-            out[k] = min(n, m, len(np.intersect1d(p, q, assume_unique=True)) + min(n - len(p), m - len(q))) >= needed_overlap(n + m)
-        return pd.Series(out)
-
-    # of the signatures only those of the pairs' ends are shuffled
-    pairs = settle(pairs, "jaccard-pairs")
-    maps = maps.join(broadcast_if_small(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "node", "left_semi")
-    left = maps.select(F.col("node").alias("a"), F.col("map").alias("ma"), F.col("n").alias("na"), F.col("k").alias("ka"))
-    right = maps.select(F.col("node").alias("b"), F.col("map").alias("mb"), F.col("n").alias("nb"), F.col("k").alias("kb"))
-    sized = pairs.join(left, "a").join(right, "b").filter("100 * least(na, nb) >= 75 * greatest(na, nb)")
-    likely = settle(sized.filter(may_link("ma", "mb", "na", "nb")).select("a", "b", "ka", "kb", "na", "nb"), "jaccard-likely")
-    wanted = settle(likely.select(F.col("ka").alias("k")).union(likely.select("kb")).distinct(), "jaccard-wanted")
+            length = np.array([len(t or "") for t in b["text"]], np.int64)
+            piece = np.cumsum(length) // PIECE
+            edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(b)]
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                part = b.iloc[lo:hi]
+                flat, sizes = shingle_sets(part["text"].tolist())
+                held.append((part["k"].to_numpy(np.int64), part["id"].tolist(), flat, sizes.astype(np.int64)))
+                total += len(flat)
+                if total >= BLOCK:
+                    yield row()
+                    n, held, total = n + 1, [], 0
+        if held:
+            yield row()
+
+    return settle_bucketed(own.mapInPandas(run, "block long, keys array<long>, ids array<string>, sizes array<long>, nodes array<long>, sets binary"), "block", "jaccard-blocks", "none")
+
+
+def _distinct(row: dict) -> tuple[np.ndarray, ...]:
+    """Of a block's different sets: (nodes, sizes, flat, shingles, which shingle each element is, sets with each shingle)."""
+    sizes, nodes = np.asarray(row["sizes"], np.int64), np.asarray(row["nodes"], np.int64)
+    first = np.zeros(len(nodes), bool)
+    first[np.unique(nodes, return_index=True)[1]] = True
+    first &= sizes > 0
+    flat = np.frombuffer(row["sets"], np.uint64)[np.repeat(first, sizes)]
+    return nodes[first], sizes[first], flat, *np.unique(flat, return_inverse=True, return_counts=True)
+
+
+def _prints(shingles: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and 32-bit print of sorted shingles: the range of hashes is dealt out, so both are in order."""
+    spread = (shingles >> np.uint64(24)) * np.uint64(n)
+    return (spread >> np.uint64(40)).astype(np.int64), ((spread >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each value of a sorted array with its slice."""
+    edges = np.flatnonzero(np.diff(sorted_values, prepend=-1)).tolist()
+    for a, b in zip(edges, [*edges[1:], len(sorted_values)][: len(edges)], strict=True):
+        yield int(sorted_values[a]), slice(a, b)
+
+
+def _counts(blocks: DataFrame, n: int) -> DataFrame:
+    """(block, parts): for each of a block's shingles, in order, the power of two up to which sets hold it, by bucket."""
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                *_, shingles, _, many = _distinct(row)
+                bucket, prints = _prints(shingles, n)
+                rows = []
+                for k, at in _runs(bucket):
+                    steps = np.diff(prints[at], prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T  # bytes of one weight together
+                    rows.append((k, row["block"], at.stop - at.start, zstandard.compress(steps.tobytes() + np.minimum(many[at], 255).astype(np.uint8).tobytes(), 1)))
+                yield pd.DataFrame(rows, columns=["bucket", "block", "n", "prints"])
+
+    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
+        prints, many = [], []
+        for size, packed in zip(pdf["n"].tolist(), pdf["prints"], strict=True):
+            raw = np.frombuffer(zstandard.decompress(packed), np.uint8)
+            prints.append(np.cumsum(np.ascontiguousarray(raw[: 4 * size].reshape(4, size).T).view(np.uint32).ravel(), dtype=np.uint64).astype(np.uint32))
+            many.append(raw[4 * size :])
+        _, which = np.unique(np.concatenate(prints), return_inverse=True)
+        held = np.bincount(which, weights=np.concatenate(many))
+        power = np.minimum(15, np.ceil(np.log2(held))).astype(np.uint8)[which]
+        ends = np.cumsum(pdf["n"].to_numpy(np.int64))
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "powers": [zstandard.compress(power[e - s : e].tobytes(), 1) for e, s in zip(ends.tolist(), pdf["n"].tolist(), strict=True)]})
+
+    sent = blocks.select("block", "sizes", "nodes", "sets").mapInPandas(send, "bucket long, block long, n long, prints binary")
+    answered = sent.groupBy("bucket").applyInPandas(answer, "block long, bucket long, powers binary")
+    return answered.groupBy("block").agg(F.collect_list(F.struct("bucket", "powers")).alias("parts"))
+
+
+def _candidates(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """(node, n, keys, s) of the sets with a shared shingle among the rarest floor(n / 4) + 1; a set once for each block that has it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingle_set(t) for t in b["text"]]
-            yield pd.DataFrame({"node": [set_key(s) for s in sets], "s": [s.tobytes() for s in sets]})
-
-    texts = docs.select(row_key(id_col, text_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(broadcast_if_small(wanted), "k", "left_semi").select("text")
-    sets = settle(texts.mapInPandas(run, "node long, s binary").dropDuplicates(["node"]), "jaccard-exact", "none")
-
-    @F.pandas_udf("long")
-    def overlap(sa: pd.Series, sb: pd.Series) -> pd.Series:
-        return pd.Series([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(sa, sb, strict=True)], dtype="int64")
-
-    full = likely.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    counted = full.select("a", "b", "na", "nb", overlap("sa", "sb").alias("k"))
-    return settle(counted.filter(F.col("k") * 100 >= F.lit(PERCENT) * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b"), "jaccard-links")
-
-
-def _traverse(layers: int):
-    """A task's groups of (key, i, j, node, n, component, map), and rows of ``refusal`` with the pairs (node, mate) refused so far, to pairs to verify."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int, int, int]] = []
-        pdf = pdf.drop_duplicates(["key", "i", "j", "node", "mate", "refusal"])
-        for name, g in pdf.groupby(["key", "i", "j"], sort=False):
-            old, g = g[g["refusal"]], g[~g["refusal"]]
-            if len(g) > 1 and g["component"].nunique() > 1:
-                nodes = g["node"].to_numpy(np.int64)
-                at = {int(v): k for k, v in enumerate(nodes)}
-                refused = {(at[int(a)], at[int(b)]) for a, b in zip(old["node"], old["mate"], strict=True)}
-                for x, y in group_pairs(list(g["map"]), g["n"].to_numpy(np.int64), g["component"].to_numpy(np.int64), refused, layers):
-                    out.append((*name, min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
-        return pd.DataFrame(out, columns=["key", "i", "j", "a", "b"], dtype="int64")
+            for row in b.to_dict("records"):
+                nodes, sizes, flat, shingles, which, _ = _distinct(row)
+                if not len(flat):
+                    continue
+                power = np.concatenate([np.frombuffer(zstandard.decompress(p["powers"]), np.uint8) for p in sorted(row["parts"], key=lambda p: p["bucket"])])[which]
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                begin = np.cumsum(sizes) - sizes
+                order = np.argsort(owner * 16 + power, kind="stable")  # in a set by power, then by hash
+                early = order[np.arange(len(flat)) - begin[owner] < prefix_length(sizes)[owner]]
+                early = early[power[early] > 0]
+                found = np.flatnonzero(np.bincount(owner[early], minlength=len(sizes)))
+                at = np.searchsorted(owner[early], np.arange(len(sizes) + 1))
+                keys = flat[early].view(np.int64)
+                yield pd.DataFrame({
+                    "node": nodes[found], "n": sizes[found], "keys": pd.Series([keys[at[k] : at[k + 1]] for k in found.tolist()], dtype=object),
+                    "s": pd.Series([flat[begin[k] : begin[k] + sizes[k]].tobytes() for k in found.tolist()], dtype=object),
+                })
+
+    joined = blocks.select("block", "sizes", "nodes", "sets").join(counts.hint("shuffle_hash"), "block")
+    return settle(joined.mapInPandas(run, "node long, n long, keys array<long>, s binary"), "jaccard-candidates")
+
+
+# ---- groups ------------------------------------------------------------------------------------------
+
+
+def _each_group(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of rows that come in order; no more than one is held."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        names = b[columns].to_numpy(np.int64)
+        edges = (np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1).tolist()
+        for lo, hi in zip([0, *edges], [*edges, len(b)], strict=True):
+            part = b.iloc[lo:hi]
+            if held and lo < hi and (held[-1][columns].iloc[-1] != part[columns].iloc[0]).any():
+                yield pd.concat(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pd.concat(held)
+
+
+def _in_groups(rows: DataFrame, columns: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``work`` on the rows of each group, one group in memory at a time."""
 
-    return run
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in _each_group(batches, columns):
+            yield work(g)
+
+    return rows.repartition(*columns).sortWithinPartitions(*columns).mapInPandas(run, schema)
+
+
+def _group(g: pd.DataFrame) -> Group:
+    return Group(np.frombuffer(b"".join(g["s"]), np.uint64), g["n"].to_numpy(np.int64), g["component"].to_numpy(np.int64))
+
+
+def _traverse(g: pd.DataFrame) -> pd.DataFrame:
+    """The links (a, b) that connect a group's sets."""
+    g = g.drop_duplicates("node")
+    nodes = g["node"].to_numpy(np.int64)
+    found = np.array(group_links(_group(g)) if g["component"].nunique() > 1 else [], np.int64).reshape(-1, 2)
+    return pd.DataFrame({"a": nodes[found[:, 0]], "b": nodes[found[:, 1]]})
+
+
+def _sum_up(g: pd.DataFrame) -> pd.DataFrame:
+    """One row for a part of a large group: what a node of a tree holds."""
+    group = _group(g)
+    bits = np.unique(group.flat & np.uint64(SUMMARY - 1))
+    dense = np.zeros(SUMMARY, np.uint8)
+    dense[bits.astype(np.int64)] = 1
+    owner = np.repeat(np.arange(len(g)), group.sizes)
+    distinct = np.bincount(np.unique(owner * SUMMARY + (group.flat & np.uint64(SUMMARY - 1)).astype(np.int64)) // SUMMARY, minlength=len(g))
+    c = g["component"].to_numpy(np.int64)
+    return pd.DataFrame({"leader": g["leader"].iloc[:1], "part": g["part"].iloc[:1], "map": [np.packbits(dense, bitorder="little").tobytes()], "least": group.sizes.min(), "most": group.sizes.max(), "excess": (group.sizes - distinct).max(), "low": c.min(), "high": c.max()})
+
+
+def _meet(g: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of parts of a large group that may hold a link between components."""
+    g = g.sort_values(["low", "most"])
+    columns = [g[c].to_numpy(np.int64) for c in ("least", "most", "excess", "low", "high")]
+    tree = SignatureTree((np.frombuffer(b"".join(g["map"]), np.uint64).reshape(len(g), -1), *columns), leaf=1)
+    i, j = leaf_pairs(tree, tree)
+    part = g["part"].to_numpy(np.int64)
+    return pd.DataFrame({"leader": g["leader"].iloc[0], "i": part[i], "j": part[j]}, columns=["leader", "i", "j"])
+
+
+def _links(candidates: DataFrame, group: int) -> DataFrame:
+    """(a, b): links between sets that connect all that links connect."""
+    keyed = candidates.select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader != other").select("key", "leader")
+    members = settle(keyed.join(shared, "key").groupBy("leader", "node").agg(F.min("n").alias("n")), "jaccard-members")
+    large = members.groupBy("leader").agg(F.ceil(F.sum("n") / group).alias("parts")).filter("parts > 1")
+    large = settle(large, "jaccard-large")
+    wanted = broadcast_if_small(members.select("node").distinct())
+    sets = settle(candidates.select("node", "s").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-wanted", "none")
+    # parts of a large group by chance, its leader in all of them
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
+    parts = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).otherwise(F.array(part))
+    dealt = members.join(broadcast_if_small(large), "leader", "left").select("leader", "node", "n", F.col("node").alias("component"), F.explode(parts).alias("part"))
+    links = settle(_in_groups(dealt.join(sets, "node"), ["leader", "part"], _traverse, "a long, b long"), "jaccard-links")
+    if not large.limit(1).count():
+        return links
+    # large groups of several components: parts by component, those of large components apart
+    labels = connected_components(links)
+    placed = members.join(broadcast_if_small(large), "leader").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = settle(placed, "jaccard-placed")
+    mixed = placed.groupBy("leader").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("leader")
+    if not mixed.limit(1).count():
+        return links
+    weight = placed.groupBy("leader", "component").agg(F.ceil(F.sum("n") / group).alias("own"))
+    alone = F.xxhash64("component", F.pmod(F.xxhash64("node"), F.col("own")))
+    among = F.pmod(F.xxhash64("component", F.lit(1)), F.col("parts"))
+    placed = placed.join(mixed, "leader", "left_semi").join(weight, ["leader", "component"]).withColumn("part", F.when(F.col("own") > 1, alone).otherwise(among))
+    whole = settle(placed.select("leader", "part", "node", "n", "component").join(sets, "node"), "jaccard-parts", "none")
+    sums = _in_groups(whole, ["leader", "part"], _sum_up, "leader long, part long, map binary, least long, most long, excess long, low long, high long")
+    pairs = settle(_in_groups(sums, ["leader"], _meet, "leader long, i long, j long"), "jaccard-meet")
+    either = pairs.select("leader", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("part"))
+    again = _in_groups(either.join(whole, ["leader", "part"]), ["leader", "i", "j"], _traverse, "a long, b long")
+    return settle(links.union(again), "jaccard-all-links")
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, group: int) -> DataFrame:
+    """(row_key, doc_id, n_shingles, component, component_id) of each distinct row; component is null without shingles."""
+    blocks = _blocks(docs, id_col, text_col)
+    total = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n))).first()[0] or 0
+    candidates = _candidates(blocks, _counts(blocks, max(8, -(-total // BUCKET))))
+    labels = connected_components(_links(candidates, group))
+    # from sets to rows: the smallest id of each component
+    rows = blocks.select(F.explode(F.arrays_zip("keys", "ids", "sizes", "nodes")).alias("r"))
+    rows = rows.select(F.col("r.keys").alias("k"), F.col("r.ids").cast(docs.schema[id_col].dataType).alias("id"), F.col("r.sizes").alias("n"), F.when(F.col("r.sizes") > 0, F.col("r.nodes")).alias("node"))
+    members = rows.join(broadcast_if_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = settle(members, "jaccard-rows")
+    smallest = members.filter("component is not null").groupBy("component").agg(F.min("id").alias("smallest"), F.count("*").alias("members")).filter("members > 1").drop("members")
+    return members.join(smallest, "component", "left").dropDuplicates(["k"]).select(F.col("k").alias("row_key"), F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component", F.coalesce("smallest", "id").alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 1, sample: int = 20_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
     """(row_key, doc_id, n_shingles, component_id) of each distinct row: component_id is the smallest id that
     links reach, over all links with 100 * overlap >= 75 * union.
 
     Sets: distinct five-word shingles of the whole text, lower-cased in A-Z; with fewer words, the whole sequence;
     null or empty texts have none, size 0, and are components of their own, as are rows with a null id that link
-    with nothing. Rows repeated with one id and text come out once; rows that share an id but not the text are
-    separate. Shingles are compared by 64-bit hashes.
+    with nothing. Rows repeated with one id and text come out once; rows that share an id but not the text (null and empty
+    differ) are separate. Texts of any length are worked whole, longer ones than a piece alone; ties can't occur, as all
+    links count; an empty table gives no rows; other columns aren't read. Shingles are compared by 64-bit hashes.
+    ``group`` is the number of shingles that one traversal holds; it changes no result.
     """
-    spark = docs.sparkSession
-    often = _frequent(docs, text_col, docs.count(), sample, least=max(8, sample // 2000), most=500_000)
-    summaries = _summaries(docs, id_col, text_col, often)
-    keyed = summaries.select("node", F.explode("prefix").alias("key"))
-    # most shingles stand in one set only: a bare count finds them, so only the others are shuffled with more than a number
-    often_met = keyed.groupBy("key").count().filter("count > 1").select("key")
-    met = settle(keyed.join(often_met, "key"), "jaccard-met")
-    groups = met.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader != other").select("key", "leader")
-    # equal sets, one node each, may give a row twice; that costs a little and changes nothing
-    rows = settle(met.join(groups, "key").select("key", "node", "leader"), "jaccard-rows")
-    # signatures of the sets that share a prefix shingle with another, each once
-    maps = settle(summaries.select("node", "n", "k", "map").join(rows.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "jaccard-maps")
-    links = spark.createDataFrame([], "a long, b long")
-    labels = spark.createDataFrame([], "node long, component long")
-    open_rows = rows.withColumn("component", F.col("node"))
-    for k in range(star_rounds):
-        # one leader for each set: of those of other components, the one of most of its groups
-        fits = open_rows.filter("node != leader")
-        if k:
-            fits = fits.filter("component != leader_component")
-        best = fits.groupBy("node", "leader").count().groupBy("node").agg(F.max_by("leader", F.struct("count", -F.col("leader"))).alias("leader"))
-        star = _verify(best.select(F.col("node").alias("a"), F.col("leader").alias("b")), docs, maps, id_col, text_col)
-        links = settle(links.union(star), "jaccard-all-links")
-        labels = connected_components(links)
-        placed = rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        # groups of several components; of those with the same members, as the shingles of one passage have, one is enough
-        high, low = F.shiftrightunsigned(F.xxhash64("node"), 32), F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit((1 << 32) - 1))
-        who = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.sum(high).alias("h1"), F.sum(low).alias("h2"))
-        mixed = who.filter("lo != hi").groupBy("members", "h1", "h2").agg(F.min("key").alias("key")).select("key", "members")
-        leaders = labels.select(F.col("node").alias("leader"), F.col("component").alias("leader_component"))
-        open_rows = settle(placed.join(mixed, "key").join(leaders, "leader", "left").withColumn("leader_component", F.coalesce("leader_component", "leader")), "jaccard-open")
-    # a group beyond BLOCK sets is dealt out as all pairs of its blocks
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = (
-        open_rows.withColumn("blocks", blocks).withColumn("own", own)
-        .withColumn("mate", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "mate").alias("i"), F.greatest("own", "mate").alias("j"), "node", "component")
-    )
-    dealt = settle(dealt, "jaccard-dealt")
-    offered = spark.createDataFrame([], "key long, i int, j int, a long, b long")
-    layers = 1
-    while True:
-        # groups go on while a pair that was to connect them is refused, then with the new components and more forests
-        n_buckets = max(8, -(-dealt.count() // 20_000))
-        asked = maps.join(broadcast_if_small(dealt.select("node").distinct()), "node", "left_semi").select("node", "n", "map")
-        members = dealt.join(asked, "node").select("key", "i", "j", "node", "n", "component", "map", F.lit(0).cast("long").alias("mate"), F.lit(False).alias("refusal"))
-        before = offered.select("key", "i", "j", F.col("a").alias("node"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("component"), F.lit(None).cast("binary").alias("map"), F.col("b").alias("mate"), F.lit(True).alias("refusal"))
-        bucket = F.pmod(F.xxhash64("key", "i", "j"), F.lit(n_buckets)).alias("bucket")
-        found = settle(members.union(before).select(bucket, "*").groupBy("bucket").applyInPandas(_traverse(layers), "key long, i int, j int, a long, b long"), "jaccard-offered")
-        pairs = found.select("a", "b").distinct()
-        fresh = _verify(pairs, docs, maps, id_col, text_col)
-        links = settle(links.union(fresh), "jaccard-all-links")
-        labels = connected_components(links)
-        failed = found.join(fresh, ["a", "b"], "left_anti")
-        ends = labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        # a refused pair that other links connect asks for nothing more
-        apart = failed.join(ends[0], "a", "left").join(ends[1], "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        again = settle(apart.select("key", "i", "j").distinct(), "jaccard-again")
-        if not again.limit(1).count():
-            break
-        dealt = settle(dealt.join(again, ["key", "i", "j"], "left_semi").drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).select(*dealt.columns), "jaccard-dealt")
-        offered = settle(offered.union(failed.select(*offered.columns)).join(again, ["key", "i", "j"], "left_semi"), "jaccard-refused")
-        layers *= 4
-    # from sets to rows: the smallest id of each component
-    members = summaries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = members.filter("component is not null").groupBy("component").agg(F.min("id").alias("smallest"))
-    return members.join(smallest, "component", "left").dropDuplicates(["k"]).select(F.col("k").alias("row_key"), F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("smallest", "id").alias("component_id"))
+    return _placed(docs, id_col, text_col, group).drop("component")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component: that of the smallest id, then of the smallest row key; texts without words all stay, as
-    they link with nothing. Repeated rows of one id and text are one document and leave one row."""
-    parts = jaccard_components(docs, id_col, text_col)
-    best = parts.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "row_key")).alias("b")).select(F.col("b.row_key").alias("jaccard_key"))
-    keep = settle(best.union(parts.filter("n_shingles = 0").select("row_key")), "jaccard-keep")
-    keyed = docs.withColumn("jaccard_key", row_key(id_col, text_col))
-    return keyed.join(broadcast_if_small(keep), "jaccard_key", "left_semi").dropDuplicates(["jaccard_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    they link with nothing. Repeated rows of one id and text are one document and leave one row. Null ids come last in
+    a component; nulls in other columns, and columns of any name, are kept as they are; an empty table stays empty."""
+    parts = _placed(docs, id_col, text_col, GROUP)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")).alias("b")
+    best = parts.filter("component is not null").groupBy("component").agg(first).select(F.col("b.row_key").alias("row_key"))
+    keep = settle(best.union(parts.filter("component is null").select("row_key")), "jaccard-keep")
+    key = spare(docs, "jaccard_key")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    return keyed.join(broadcast_if_small(keep.withColumnRenamed("row_key", key)), key, "left_semi").dropDuplicates([key]).drop(key)

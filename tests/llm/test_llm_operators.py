@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rolecorpus.llm import decontamination, extraction, graph, jaccard, language, line_dedup, mixing, neighbours, privacy, quality, suffixes
+from rolecorpus.llm import common, decontamination, extraction, graph, jaccard, language, line_dedup, mixing, neighbours, privacy, quality, suffixes
 from rolecorpus.llm.common import PrefixHash
 
 DOCS = "doc_id long, text string, source string, mix_k int, decon_key string"
@@ -251,64 +251,88 @@ def row_hash(spark, row):
     return spark.createDataFrame([row], "doc_id long, text string").select(line_dedup.row_key("doc_id", "text")).first()[0]
 
 
-def test_jaccard_equals_brute_force(spark, awkward):
-    rng = random.Random(8)
-    base = words(rng, 80, 500).split()
-    rows = [(i, t) for i, t, *_ in awkward if i not in (205, None)]
-    for k in range(25):  # a family whose members differ by more and more
-        w = base.copy()
-        for _ in range(k // 2):
-            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
-        rows.append((400 + k, " ".join(w)))
-    got = {r.doc_id: r for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = {i: brute_sets(t) for i, t in rows}
+def linked_sets(a, b):
+    return bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+
+
+def brute_components(sets):
     part = {i: i for i in sets}
     ids = sorted(sets)
     for a in ids:
         for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            if a < b and part[a] != part[b] and linked_sets(sets[a], sets[b]):
                 x, y = part[a], part[b]
                 part = {k: min(x, y) if v in (x, y) else v for k, v in part.items()}
-    assert {i: (len(sets[i]), part[i]) for i in ids} == {i: (got[i].n_shingles, got[i].component_id) for i in ids}
-    kept = {r.doc_id for r in jaccard.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {i for i in ids if part[i] == i or not sets[i]}
-    assert not jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).collect()
+    return part
 
 
-def test_tree_traversal_misses_no_linked_pair():
+@pytest.mark.parametrize("group", [jaccard.GROUP, 300])
+def test_jaccard_equals_brute_force(spark, awkward, group):
+    rng = random.Random(8)
+    base, passage = words(rng, 80, 500).split(), words(rng, 40, 500)
+    rows = [(i, t) for i, t, *_ in awkward if i not in (205, None)]
+    for k in range(25):  # a family whose members differ by more and more
+        w = base.copy()
+        for _ in range(k // 2):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(1000)}"
+        rows.append((400 + k, " ".join(w)))
+    rows += [(500 + k, passage + " " + words(rng, 2 + k % 20, 500)) for k in range(40)]  # a passage that makes the most of many documents
+    got = {r.doc_id: r for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), group=group).collect()}
+    sets = {i: brute_sets(t) for i, t in rows}
+    part = brute_components(sets)
+    assert {i: (len(sets[i]), part[i]) for i in sets} == {i: (got[i].n_shingles, got[i].component_id) for i in sets}
+
+
+def test_near_copies_leave_one_row(spark, awkward):
+    rows = [(i, t, s, 9) for i, t, s, *_ in awkward]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, jaccard_key int")
+    kept = jaccard.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), str(r.text), r.jaccard_key) for r in kept.collect())
+    sets = {(i is None, i or 0, str(t)): brute_sets(t) for i, t, *_ in rows}
+    part = brute_components(sets)
+    assert got == sorted((str(None if k[0] else k[1]), k[2], 9) for k in sets if part[k] == k or not sets[k])
+    assert not jaccard.drop_near_copies(docs.limit(0)).collect()
+    # null and empty of one id are two rows
+    odd = spark.createDataFrame([(5, None), (5, ""), (5, "")], "doc_id long, text string")
+    assert sorted(str(r.text) for r in jaccard.drop_near_copies(odd).collect()) == ["", "None"]
+
+
+def test_shingle_sets_of_many_texts_equal_those_of_one(monkeypatch):
+    rng = random.Random(2)
+    texts = [None, "", " ", "one", "a b c d", "A b C d e", "a b c d e", *(words(rng, rng.randrange(40), 9) for _ in range(30)), "x" * 300]
+    flat, sizes = common.shingle_sets(texts)
+    assert sizes.tolist() == [len(brute_sets(t)) for t in texts]
+    monkeypatch.setattr(common, "PIECE", 16)
+    again = [common.shingle_sets([t])[0].tolist() for t in texts]
+    assert [x for part in again for x in part] == flat.tolist() and all(part == sorted(set(part)) for part in again)
+
+
+def test_tree_traversal_connects_what_links_connect():
     rng = np.random.default_rng(9)
     sets = []
-    for k in range(90):
-        s = np.unique(rng.integers(0, 2**63, 60, np.uint64)) if k % 3 == 0 else np.unique(np.concatenate((sets[-1][3:], rng.integers(0, 2**63, 3, np.uint64))))
-        sets.append(s)
-    signatures, sizes = [jaccard.signature(s) for s in sets], np.array([len(s) for s in sets])
-    linked = set()
-    for i in range(90):
-        for j in range(i):
-            k = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
-                linked.add((j, i))
-    # with as many forests as pairs none is left out
-    assert linked <= {tuple(sorted(p)) for p in jaccard.group_pairs(signatures, sizes, np.arange(90), layers=400)}
-    # rounds of few forests, the refused pairs kept out of the next, reach the same components
-    refused, label, rounds, layers = set(), np.arange(90), 0, 1
-    while True:
-        found = {tuple(sorted(p)) for p in jaccard.group_pairs(signatures, sizes, label, refused, layers)}
-        assert not found & refused
-        for a, b in found & linked:
-            label[label == label[b]] = label[a]
-        refused |= found - linked
-        rounds, layers = rounds + 1, layers * 4
-        if all(label[a] == label[b] for a, b in found):
-            break
-    assert all(label[a] == label[b] for a, b in linked) and rounds < 6
-
-
-def test_signature_round_trip():
-    rng = np.random.default_rng(3)
-    for n in (1, 2, 3, 64, 65, 5000):
-        s = np.unique(rng.integers(0, 2**63, n, np.uint64))
-        assert np.array_equal(jaccard.positions(jaccard.signature(s)), np.unique(s % np.uint64(jaccard.width_of(len(s)))))
+    for k in range(400):
+        n = int(rng.integers(1, 90))
+        s = rng.integers(0, 2**63, n, np.uint64) if k % 4 == 0 else np.concatenate((sets[-1][len(sets[-1]) // 12 + 1 :], rng.integers(0, 2**63, 2, np.uint64)))
+        sets.append(np.unique(s))
+    plain = {k: set(s.tolist()) for k, s in enumerate(sets)}
+    sizes, order = np.array([len(s) for s in sets]), rng.permutation(400)
+    group = jaccard.Group(np.concatenate([sets[k] for k in order]), sizes[order], np.arange(400))
+    links = [(order[x], order[y]) for x, y in jaccard.group_links(group)]
+    assert all(linked_sets(plain[x], plain[y]) for x, y in links)
+    want, got = brute_components(plain), {k: k for k in plain}
+    for x, y in links:
+        low, high = sorted((got[x], got[y]))
+        got = {k: low if v == high else v for k, v in got.items()}
+    assert got == want and len(links) == 400 - len(set(want.values()))
+    # a family of copies costs a few comparisons for each, not one for each pair
+    counted = []
+    family = np.unique(rng.integers(0, 2**63, 200, np.uint64))
+    near = [np.unique(np.concatenate((np.delete(family, k % 200), rng.integers(0, 2**63, 1, np.uint64)))) for k in range(1000)]
+    group = jaccard.Group(np.concatenate(near), np.array([len(s) for s in near]), np.arange(1000))
+    plainly = group.linked
+    group.linked = lambda x, y: (counted.append(len(x)), plainly(x, y))[1]
+    assert len(jaccard.group_links(group)) == 999 and sum(counted) < 5000
 
 
 def test_components_of_a_long_chain(spark):
