@@ -31,7 +31,7 @@ from .graph import connected_components
 #: 100 * overlap >= PERCENT * union links two sets.
 PERCENT = 75
 #: Characters of text that are made into sets at a time, and shingles of a block; a longer text is alone.
-PIECE, BLOCK = 1 << 20, 1 << 20
+PIECE, BLOCK = 1 << 19, 1 << 19
 #: Shingles that are counted in one bucket.
 BUCKET = 1 << 21
 #: Shingles of the sets that one traversal holds.
@@ -248,7 +248,7 @@ def group_links(group: Group) -> list[tuple[int, int]]:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, keys, ids, sizes, nodes, sets): the sets of the rows, in blocks of some million shingles."""
+    """(block, keys, ids, sizes, nodes, sets): the sets of the rows, in blocks of some half a million shingles."""
     own = docs.select(row_key(id_col, text_col).alias("k"), F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -468,7 +468,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, group: int) -> DataFram
     members = rows.join(broadcast_if_small(labels), "node", "left").withColumn("component", F.coalesce("component", "node"))
     members = settle(members, "jaccard-rows")
     smallest = members.filter("component is not null").groupBy("component").agg(F.min("id").alias("smallest"), F.count("*").alias("members")).filter("members > 1").drop("members")
-    return members.join(smallest, "component", "left").dropDuplicates(["k"]).select(F.col("k").alias("row_key"), F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component", F.coalesce("smallest", "id").alias("component_id"))
+    return members.join(broadcast_if_small(smallest), "component", "left").dropDuplicates(["k"]).select(F.col("k").alias("row_key"), F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component", F.coalesce("smallest", "id").alias("component_id"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
