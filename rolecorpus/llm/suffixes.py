@@ -11,13 +11,12 @@ four steps over blocks of documents.
 3. For shared anchors the blocks send the bytes of the windows around them, once per block and content. A bucket
    sorts the suffixes that begin there by their first LENGTH bytes: the common extension of two suffixes is found by
    binary search over prefix hashes, so a comparison in the merge sort takes log(LENGTH) steps; neighbours that the
-   hashes call equal are verified byte by byte. In each run of equal windows the smallest document keeps its own.
+   hashes call equal are verified byte by byte. Suffixes whose hash of LENGTH bytes stands alone are left out of the sort. In each run of equal windows the smallest document keeps its own.
 4. The blocks take back which windows go, and cut the bytes they cover.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +25,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import PrefixHash, mix64, scratch_dir, settle
+from .common import PrefixHash, mix64, settle, settle_bucketed
 
 LENGTH, GRAM = 50, 16
 #: Bytes of text in a block; a longer document is a block of its own.
@@ -234,18 +234,17 @@ def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if parts and size + len(raw) > BLOCK_BYTES:
                     yield row()
                     n, ids, parts, size = n + 1, [], [], 0
-                ids.append(_NO_ID if pd.isna(i) else int(i))
+                ids.append(i)
                 parts.append(raw)
                 size += len(raw)
         if parts:
             yield row()
 
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer, as documents are told apart and ordered by it")
+    own = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
     packed = own.mapInPandas(run, "block long, size long, ids binary, lengths binary, data binary")
-    spark, name = docs.sparkSession, f"suffix_blocks_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(n, "block").option("compression", "none").option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    return settle_bucketed(packed, "block", "suffix-blocks", "none")
 
 
 def _shared_bits(blocks: DataFrame, n: int) -> DataFrame:
@@ -364,11 +363,13 @@ def _settle_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     suffix = start[unique][context] + offset
     grams = h.slices(start[unique] + before[unique], GRAM)
     group = mix64(grams[context] + (before[unique][context] - offset).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, where, many = np.unique(group, return_inverse=True, return_counts=True)
+    # a window whose hash no other of its anchor and place has is like none: only the others are sorted
+    same = mix64(group ^ mix64(h.slices(suffix, LENGTH)))
+    _, where, many = np.unique(same, return_inverse=True, return_counts=True)
     several = np.flatnonzero(many[where] > 1)
     least = owner[unique][context].copy()
     if len(several):
-        starts, segment, ids = suffix[several], where[several], owner[unique][context][several]
+        starts, segment, ids = suffix[several], np.unique(group[several], return_inverse=True)[1], owner[unique][context][several]
         by = sort_suffixes(data, h, starts, segment)
         classes = equal_runs(data, h, starts, segment, by)
         smallest = np.full(classes[-1] + 1, np.iinfo(np.int64).max)
@@ -403,8 +404,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the bytes that remain.
 
     A byte goes if a substring of LENGTH bytes covers it that also starts in a document of smaller id; substrings
-    are judged on the input and never cross documents. Null texts are empty; texts shorter than LENGTH, empty tables
-    and columns other than the two are no special case. Rows that share an id are no earlier than each other, so
+    are judged on the input and never cross documents. Ids are integers. Null texts are empty; texts shorter than LENGTH, empty tables
+    and columns other than the two, of whatever name, are no special case; a text longer than a block is worked whole, as a block of its own. Rows that share an id are no earlier than each other, so
     repeated rows of one id keep their text; a null id comes before all others.
     """
     blocks = _pack(docs, id_col, text_col)
