@@ -3,7 +3,11 @@
 Every value that is found and validated is ranked in the set of all valid values of its format (card numbers
 with a right check digit, days of a calendar, IPv4 addresses, ...), the rank is permuted within that set, and the
 value at the new rank is written in the same layout. Equal values therefore get equal pseudonyms in every
-document and run under one key, different values stay different, and the key holder can invert it.
+document and run under one key, different values stay different, and the key holder can invert it. Dates are permuted
+among those of one layout (order and widths of the fields), so one day in two layouts may become two days.
+
+What the layout shows stays: the lengths of an address's name and domain, its last domain label, the place of capitals
+and signs, a card's or account's length. IPv6 addresses, and local telephone numbers without an area code, aren't sought.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spare
+
 ROUNDS = 8
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
 KINDS_IN_ORDER = ("email", "secret", "iban", "date", "ip", "ssn", "card", "phone")
@@ -64,10 +70,16 @@ def luhn_digit(payload: str) -> int:
     return -total % 10
 
 
-_CLASSES = [
-    "abcdefghijklmnopqrstuvwxyz", "0123456789", "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿß",
-]
-_class_of = {c: k for k, chars in enumerate(_CLASSES) for c in chars}
+@lru_cache(10_000)
+def letter_class(c: str, upper: bool) -> str:
+    """The characters among which one is permuted: those of its kind in its 64 code points of Unicode, in lower case. If it is
+    written ``upper``, only those that have one capital that leads back."""
+    if c.isascii():
+        return "abcdefghijklmnopqrstuvwxyz" if c.isalpha() else "0123456789"
+    kind = lambda x: (x.isalpha(), x.isdecimal(), x.isalnum())
+    base = ord(c) & ~63
+    same = (x for x in map(chr, range(base, base + 64)) if kind(x) == kind(c) and (x.lower() == x or len(x.lower()) > 1))
+    return "".join(x for x in same if not upper or (len(x.upper()) == 1 and x.upper() != x and x.upper().lower() == x))
 
 
 def _ranked(chars: list[str], classes: list[str]) -> tuple[int, int]:
@@ -121,13 +133,14 @@ class Pseudonyms:
 
     def _letters(self, kind: str, value: str) -> str:
         """Letters and digits of a value permuted together, each within its class; case and the rest stay."""
-        low = [c.lower() if len(c.lower()) == 1 else c for c in value]
-        at = [k for k, c in enumerate(low) if c in _class_of]
-        classes = [_CLASSES[_class_of[low[k]]] for k in at]
+        # capitals without a way back stand for themselves
+        low = [c.lower() if len(c.lower()) == 1 and (c.lower().upper() == c or c.lower() == c) else c for c in value]
+        at = [k for k, c in enumerate(low) if c.isalnum() and c in letter_class(c, c != value[k])]
+        classes = [letter_class(low[k], low[k] != value[k]) for k in at]
         new = _unranked(self.permute(kind, *_ranked([low[k] for k in at], classes)), classes)
         out = list(value)
         for k, c in zip(at, new, strict=True):
-            out[k] = c.upper() if value[k] != low[k] and len(c.upper()) == 1 else c
+            out[k] = c.upper() if value[k] != low[k] else c
         return "".join(out)
 
     @staticmethod
@@ -160,24 +173,20 @@ class Pseudonyms:
     def date(self, v: str) -> str | None:
         parts, sep = re.findall(r"\d+", v), re.search(r"\D", v)[0]
         # year first; or day first where that is a date, else month first
-        orders = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy")
-        for order in orders:
+        for order in ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy"):
             got = dict(zip(order, map(int, parts), strict=True))
+            width = {c: len(p) for c, p in zip(order, parts, strict=True)}
             try:
                 rank = datetime.date(got["y"], got["m"], got["d"]).toordinal() - _DAY0
             except ValueError:
                 continue
             if not 0 <= rank < _DAYS:
                 return None
-            padded = all(len(p) > 1 for p in parts)
-
-            def written(day: int, order: str = order, padded: bool = padded) -> str:
-                new = datetime.date.fromordinal(_DAY0 + day)
-                two = "02d" if padded else "d"
-                return sep.join({"y": f"{new.year}", "m": f"{new.month:{two}}", "d": f"{new.day:{two}}"}[c] for c in order)
-
-            rank = self.permute("date", rank, _DAYS)
-            return written(rank)
+            while True:  # along the cycle to the next day that is written in this layout and read back from it
+                rank = self.permute("date", rank, _DAYS)
+                new = datetime.date.fromordinal(_DAY0 + rank)
+                if all(width[c] == 2 or n < 10 for c, n in (("d", new.day), ("m", new.month))) and (order != "mdy" or new.day > 12):
+                    return sep.join(f"{ {'y': new.year, 'm': new.month, 'd': new.day}[c]:0{width[c]}d}" for c in order)
         return None
 
     def ip(self, v: str) -> str | None:
@@ -301,7 +310,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", back: bool =
     and telephone numbers in valid ranges, IPv4 addresses, calendar dates from 1900 to 2099, and access keys and
     hexadecimal secrets. Values that don't validate stay. Digits in a free layout (any single spaces and hyphens) are
     taken for a card last, where a check digit fits; inverting such a one beside further digits can fail by chance. Null text stays null with counts of 0; empty, repeated
-    and very long texts are treated like any; other columns pass through. Only texts with a digit or an @ reach Python.
+    and very long texts are treated like any, and an empty table stays empty; other columns of any name pass through, but a
+    column ``n_<kind>`` is replaced by the count. Only texts with a digit or an @ reach Python.
     """
     fields = ", ".join(f"n_{k}: long" for k in KINDS)
 
@@ -311,8 +321,8 @@ def pseudonymize(docs: DataFrame, key: str, text_col: str = "text", back: bool =
         rows = [(None, *[0] * len(KINDS)) if t is None or t is pd.NA else (lambda r: (r[0], *r[1]))(names.text(t)) for t in texts]
         return pd.DataFrame(rows, columns=["clean", *[f"n_{k}" for k in KINDS]])
 
-    text = F.col(text_col).cast("string")
-    got = docs.withColumn("privacy_found", replace(F.when(text.rlike("[0-9@]"), text)))
+    text, found = F.col(text_col).cast("string"), spare(docs, "privacy_found")
+    got = docs.withColumn(found, replace(F.when(text.rlike("[0-9@]"), text)))
     names = [f"n_{k}" for k in KINDS]
-    kept = [F.coalesce(F.col("privacy_found.clean"), text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return got.select(*kept, *[F.coalesce(F.col(f"privacy_found.{c}"), F.lit(0).cast("long")).alias(c) for c in names])
+    kept = [F.coalesce(F.col(found)["clean"], text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return got.select(*kept, *[F.coalesce(F.col(found)[c], F.lit(0).cast("long")).alias(c) for c in names])
