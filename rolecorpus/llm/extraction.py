@@ -1,9 +1,11 @@
-"""Main text of web pages, by structure and by nearest-URL page differencing.
-
-A page is cut into lines of text, one per block. Lines in elements that are never article text (menus, headers,
-footers, asides, forms, scripts, adverts, notices, comments) go; lines inside an article or main element stay. What
-neither decides is compared with the pages of the nearest URLs on the same host: the lines of both are aligned
-by longest common subsequence, and a line that both share is the site's, not the page's, and goes.
+"""Main text of web pages, by nearest-URL page differencing and by structure.
+
+A page is cut into lines of text, one per block, and compared with the pages of the nearest URLs on the same host: the
+lines of both are aligned by longest common subsequence. A line that both share is the site's, not the page's, and goes; the
+others stay. Structure overrules that in two cases: lines in elements that are never article text (menus, headers, footers,
+asides, forms, scripts, adverts, notices, comments) go though no neighbour has them, and lines inside an article or main
+element stay though one has them, as articles are copied too. Pages whose every line falls under one of these two rules
+need no neighbour and aren't moved to meet one.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import hashlib
 import html as entities
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, spare
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>\"'][^\s<>]*+)?+|[\"'])*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
@@ -42,6 +44,13 @@ _CLOSES_P = _BLOCK - {"body", "html", "head", "caption", "tbody", "thead", "tfoo
 _SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "option": {"option"}}
 
 
+_LISTS = {"ul", "ol", "dl", "table", "tbody", "select", "menu"}
+
+
+def _frames(name: str) -> bool:
+    return name in _BLOCK and name != "p"
+
+
 @dataclass(slots=True)
 class Line:
     text: str
@@ -55,6 +64,8 @@ def page_lines(page: str | None) -> list[Line]:
     lines: list[Line] = []
     buffer: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # name, never, main of each open element
+    opened: Counter[str] = Counter()
+    inside: list[Counter[str]] = [Counter()]  # for each open block but paragraphs, the other elements open in it
     never = main = 0
 
     def flush() -> None:
@@ -62,11 +73,27 @@ def page_lines(page: str | None) -> list[Line]:
             lines.append(Line(text, main > 0, never > 0))
         buffer.clear()
 
-    def close(depth: int) -> None:
+    def push(name: str, bad: bool, good: bool) -> None:
+        open_.append((name, bad, good))
+        opened[name] += 1
+        if _frames(name):
+            inside.append(Counter())
+        else:
+            inside[-1][name] += 1
+
+    def close(names: set[str]) -> None:
+        """End the innermost open element of these names and all in it."""
         nonlocal never, main
-        while len(open_) > depth:
-            _, n, m = open_.pop()
+        while open_:
+            name, n, m = open_.pop()
             never, main = never - n, main - m
+            opened[name] -= 1
+            if _frames(name):
+                inside.pop()
+            else:
+                inside[-1][name] -= 1
+            if name in names:
+                return
 
     at, size = 0, len(page)
     while at < size:
@@ -87,9 +114,9 @@ def page_lines(page: str | None) -> list[Line]:
                 flush()
             elif name in ("br", "td", "th"):
                 buffer.append(" ")
-            depth = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
-            if depth is not None and (name in _BLOCK or not any(open_[k][0] in _BLOCK and open_[k][0] != "p" for k in range(depth + 1, len(open_)))):
-                close(depth)
+            # an inline element ends within its block only
+            if opened[name] if name in _BLOCK else inside[-1][name]:
+                close({name})
             continue
         if name in _RAW:  # skipped with all it holds
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
@@ -97,20 +124,12 @@ def page_lines(page: str | None) -> list[Line]:
             continue
         if name in _BLOCK:
             flush()
-            if name in _CLOSES_P:
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == "p":
-                        close(k)
-                        break
-                    if open_[k][0] in _BLOCK:
-                        break
-            if name in _SIBLINGS and open_ and any(x[0] in _SIBLINGS[name] for x in open_):
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] in _SIBLINGS[name]:
-                        close(k)
-                        break
-                    if open_[k][0] in ("ul", "ol", "dl", "table", "tbody", "select", "menu"):
-                        break
+            if name in _CLOSES_P and inside[-1]["p"]:
+                close({"p"})
+            if name in _SIBLINGS and any(opened[x] for x in _SIBLINGS[name]):
+                nearest = next(x[0] for x in reversed(open_) if x[0] in _SIBLINGS[name] or x[0] in _LISTS)
+                if nearest in _SIBLINGS[name]:
+                    close(_SIBLINGS[name])
         elif name in ("br", "td", "th", "img"):
             buffer.append(" ")
         if name in _VOID or m[3].rstrip().endswith("/"):
@@ -129,7 +148,7 @@ def page_lines(page: str | None) -> list[Line]:
                     bad = bad or not {"comment", "comments", "ad", "related", "sponsored"}.isdisjoint(re.split(r"[^a-z0-9]+", value))
         if bad and not never:
             flush()
-        open_.append((name, bad, good))
+        push(name, bad, good)
         never, main = never + bad, main + good
     flush()
     return lines
@@ -166,8 +185,8 @@ def common_lines(a: list, b: list) -> set[int]:
 
 
 def undecided(lines: list[Line]) -> bool:
-    """Whether no article element has text, so that the neighbours decide."""
-    return not any(x.main and not x.never for x in lines)
+    """Whether structure leaves a line open, so that the neighbours decide."""
+    return any(not x.main and not x.never for x in lines)
 
 
 def line_hashes(lines: list[Line]) -> list[int]:
@@ -175,15 +194,13 @@ def line_hashes(lines: list[Line]) -> list[int]:
 
 
 def unshared_text(lines: list[Line], own: list, neighbours: list[list]) -> str:
-    """The article by ``own``, what stands for each line, and the same of the neighbours."""
-    if not undecided(lines):
-        return "\n\n".join(x.text for x in lines if x.main and not x.never)
+    """The page's own lines by ``own``, what stands for each line, and the same of the neighbours."""
     shared = set().union(*(common_lines(own, n) for n in neighbours))
-    return "\n\n".join(x.text for k, x in enumerate(lines) if not x.never and k not in shared)
+    return "\n\n".join(x.text for k, x in enumerate(lines) if not x.never and (x.main or k not in shared))
 
 
 def main_text(lines: list[Line], neighbours: list[list[Line]]) -> str:
-    """The article: lines that structure keeps or, where no article element has text, lines that no neighbour shares."""
+    """The lines that no neighbour shares or an article element holds, but for those in elements that are never article text."""
     return unshared_text(lines, [x.text for x in lines], [[y.text for y in n] for n in neighbours])
 
 
@@ -211,33 +228,35 @@ def nearest_urls(found: DataFrame) -> DataFrame:
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", out_col: str = "main_text") -> DataFrame:
     """``pages`` with ``out_col``, the main text of the whole html ('' if there is none).
 
-    A page that structure leaves open is compared with the URL before and the URL after its own among the sorted
+    A page with lines that structure leaves open is compared with the URL before and the URL after its own among the sorted
     distinct URLs (path and query string) of its host. A null or empty html gives ''; a null url is a host of its own
-    without neighbours; pages of one URL are each other's copies and not compared. Other columns pass through; a
-    column of the name ``out_col`` is replaced.
+    without neighbours; pages of one URL, and repeated rows, are each other's copies and not compared; pages of any length
+    are worked whole; an empty table stays empty. Other columns of any name pass through; a column of the name
+    ``out_col`` is replaced.
 
     Plan: one pass over the pages writes the hashes of their lines, from which the neighbours are found; pages are
-    shuffled once, by URL, to meet them, and not at all where structure decides every page.
+    shuffled once, by URL, to meet them, and not at all where structure decides every line.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     host = F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1)
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^#]*)", 1)
-    plain = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != out_col])
+    plain = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != out_col or c in (url_col, html_col)])
+    host_col, path_col, before_col, after_col = (spare(plain, f"extract_{c}") for c in ("host", "path", "before", "after"))
     # pages without a host meet nobody: their key only spreads them
-    keyed = plain.withColumn("extract_host", host).withColumn("extract_path", F.when(F.col("extract_host") == "", F.xxhash64(html_col).cast("string")).otherwise(path))
+    keyed = plain.withColumn(host_col, host).withColumn(path_col, F.when(F.col(host_col) == "", F.xxhash64(html_col).cast("string")).otherwise(path))
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             lines = [page_lines(x) for x in b["html"]]
             yield pd.DataFrame({"host": b["host"], "path": b["path"], "h": b["h"], "asks": [undecided(x) for x in lines], "lines": [line_hashes(x) for x in lines]})
 
-    own = keyed.filter("extract_host != ''").select(F.col("extract_host").alias("host"), F.col("extract_path").alias("path"), F.xxhash64(html_col).alias("h"), F.col(html_col).cast("string").alias("html"))
+    own = keyed.filter(F.col(host_col) != "").select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), F.xxhash64(html_col).alias("h"), F.col(html_col).cast("string").alias("html"))
     found = settle(own.mapInPandas(hashed, "host string, path string, h long, asks boolean, lines array<long>"), "extract-lines")
     if found.filter("asks").isEmpty():
-        joined = keyed.withColumns({"extract_before": F.lit(None).cast("array<long>"), "extract_after": F.lit(None).cast("array<long>")})
+        joined = keyed.withColumns({c: F.lit(None).cast("array<long>") for c in (before_col, after_col)})
     else:
-        near = nearest_urls(found).toDF("extract_host", "extract_path", "extract_before", "extract_after")
-        joined = keyed.join(near, ["extract_host", "extract_path"], "left")
+        near = nearest_urls(found).toDF(host_col, path_col, before_col, after_col)
+        joined = keyed.join(near, [host_col, path_col], "left")
 
     @F.pandas_udf("string")
     def text(pages: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
@@ -247,4 +266,4 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
             out.append(unshared_text(lines, line_hashes(lines) if near else [], near))
         return pd.Series(out, dtype=object)
 
-    return joined.select(*[F.col(f"`{c}`") for c in plain.columns], text(F.col(html_col).cast("string"), "extract_before", "extract_after").alias(out_col))
+    return joined.select(*[F.col(f"`{c}`") for c in plain.columns if c != out_col], text(F.col(html_col).cast("string"), before_col, after_col).alias(out_col))

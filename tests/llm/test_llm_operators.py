@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, and on awkward rows."""
 
+import datetime
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -125,6 +127,32 @@ def test_privacy_adjacent_values():
     assert counts[2] == 1 and back.text(got)[0] == f"no {free}, yes" and free not in got
 
 
+@pytest.mark.parametrize("layout", ["{y}-{m:02d}-{d:02d}", "{m:02d}/{d:02d}/{y}", "{d}.{m}.{y}"])
+def test_privacy_permutes_every_day_within_its_layout(layout):
+    names, back = privacy.Pseudonyms(b"key"), privacy.Pseudonyms(b"key", back=True)
+    first = datetime.date(1900, 1, 1).toordinal()
+    days = [datetime.date.fromordinal(k) for k in range(first, datetime.date(2100, 1, 1).toordinal())]
+    written = [layout.format(y=x.year, m=x.month, d=x.day) for x in days]
+    new = [names.date(v) for v in written]
+    assert len(set(new)) == len(set(written)) and [back.date(v) for v in new] == written
+    assert all(len(v) == len(w) for v, w in zip(new, written, strict=True))
+
+
+def test_privacy_letters_of_other_alphabets():
+    names, back = privacy.Pseudonyms(b"key"), privacy.Pseudonyms(b"key", back=True)
+    for v in ("иван@example.com", "Иван.ПЕТРОВ@Example.COM", "ÀÉß.ÿŸ@mail.com", "İstanbul@mail.tr", "名前@mail.com", "١٢٣٤abc@mail.org", "½ª@mail.com"):
+        new, counts = names.text(v)
+        assert counts[0] == 1 and back.text(new)[0] == v and [c.isupper() for c in new] == [c.isupper() for c in v]
+        assert not any(a == b for a, b in zip(new.split("@")[0], v.split("@")[0], strict=True) if a in "иванПЕТРОВ名前") or len(set(new) & set(v)) < len(set(v)) - 3
+
+
+def test_privacy_leaves_a_user_column_of_its_helpers_name(spark):
+    docs = spark.createDataFrame([(1, "a@b.com", "mine"), (2, None, None)], "doc_id long, text string, privacy_found string")
+    got = sorted(privacy.pseudonymize(docs, "key").collect())
+    assert [r.privacy_found for r in got] == ["mine", None] and [r.n_email for r in got] == [1, 0]
+    assert not privacy.pseudonymize(docs.limit(0), "key").collect()
+
+
 def test_language_held_out_and_awkward_rows(spark, awkward):
     rng = random.Random(3)
     alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "klmnopqr"}
@@ -199,6 +227,28 @@ def test_extraction_compares_urls_however_pages_are_dealt(spark):
             assert got[k] == (f"Site name\n\nStory {k} of {u}.\n\nImprint © now" if "k.l" in u else f"Story {k} of {u}.")
 
 
+def test_extraction_differencing_and_structure(spark):
+    """Shared lines go, also beside an article; unshared ones stay unless their element is never article text."""
+    page = "<body><p>Site</p><nav>menu {0}</nav><article><p>Story {0}.</p><p>Passage in both.</p></article><p>Note {0}.</p><p>Imprint</p></body>"
+    rows = [(k, f"http://m.n/{k}", page.format(k), "kept") for k in range(6)] + [(9, "http://lone.host/", page.format(9), None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, extract_host string")
+    for n in (1, 4, 211):
+        got = {r.page_id: r for r in extraction.extract_main_text(pages.repartition(n)).collect()}
+        assert all(got[k].main_text == f"Story {k}.\n\nPassage in both.\n\nNote {k}." and got[k].extract_host == "kept" for k in range(6))
+        assert got[9].main_text == "Site\n\nStory 9.\n\nPassage in both.\n\nNote 9.\n\nImprint"
+    assert not extraction.extract_main_text(pages.limit(0)).collect()
+
+
+def test_extraction_of_broken_markup():
+    text = lambda page: [x.text for x in extraction.page_lines(page)]
+    assert text("<p title=don't>Hello it's <b>me</b></p>") == ["Hello it's me"]
+    assert text("<a href=\"x>y\">z</a><p class='a' b=\"c\">a < b<p>d") == ["z", "a < b", "d"]
+    start = time.monotonic()
+    for page in ("<div>" * 8000 + "</span>" * 8000 + "x", "<b>" + "<div>" * 8000 + "</b>" * 8000, "<i>" * 8000 + "<p>x" * 8000, '<a b="c ' * 20000):
+        text(page)
+    assert time.monotonic() - start < 3
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(1)
     for _ in range(50):
