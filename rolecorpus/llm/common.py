@@ -58,6 +58,13 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def spare_prefix(df: DataFrame, prefix: str) -> str:
+    """``prefix``, lengthened until no column of ``df`` begins with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is: a shuffled join,
     whose skewed partitions the adaptive planner splits."""

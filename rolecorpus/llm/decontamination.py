@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, let, row_key, settle, words
+from .common import broadcast_if_small, let, row_key, settle, spare, words
 
 WIDTH = 5
 
@@ -55,7 +55,8 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
     ``least`` is 0.75 or more, which the sketches are sized for. Words are runs other than white space,
     lower-cased in A-Z. Null or empty texts and items have no shingles and match nothing; a text or item with
-    fewer than five words is one shingle, the whole of it. Repeated rows of documents give one row each pair;
+    fewer than five words is one shingle, the whole of it. Texts of any length are searched whole, and other columns aren't
+    read; empty tables give no rows. Repeated rows of documents give one row each pair;
     items repeated under one id and items with a null id count as what they are, one item per id and text.
     """
     if not 0.75 <= least <= 1:
@@ -83,7 +84,9 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = 0.75) -> DataFrame:
-    """The rows of ``docs`` that contain no item, with the columns of ``docs``."""
-    hits = settle(contained_items(docs, items, id_col, text_col, item_id, item_text, least).select(F.col("row_key").alias("decon_key")).distinct(), "decon-hits")
-    keyed = docs.withColumn("decon_key", row_key(id_col, text_col))
-    return keyed.join(broadcast_if_small(hits), "decon_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that contain no item, with the columns of ``docs``, whatever their names. Rows without text
+    stay, as do all rows if there is no item; repeated rows stay or go together; an empty table stays empty."""
+    key = spare(docs, "decon_key")
+    hits = settle(contained_items(docs, items, id_col, text_col, item_id, item_text, least).select(F.col("row_key").alias(key)).distinct(), "decon-hits")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    return keyed.join(broadcast_if_small(hits), key, "left_anti").drop(key)

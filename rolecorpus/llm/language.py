@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, mix64, settle
+from .common import broadcast_if_small, mix64, settle, spare
 
 #: Length of the profiles and of a document's list.
 PROFILE = 300
 #: Characters that are counted together; longer texts are counted in pieces of it.
 PIECE = 1_000_000
+#: Characters of texts whose n-grams are held together.
+HELD = 4_000_000
 _GRAM_BITS = 44
 _GRAM_MASK = np.uint64((1 << _GRAM_BITS) - 1)
 _letters: np.ndarray | None = None
@@ -107,7 +109,8 @@ def identify_languages(docs: DataFrame, profiles: DataFrame, text_col: str = "te
 
     The score is 1 less the winner's distance as a share of the greatest possible one. Ties go to the first
     language by code point. ``und`` with score 0: null and empty texts, texts without a letter, and any text
-    if there is no profile. One row per input row; other columns pass through.
+    if there is no profile. One row per input row, repeated or not, texts of any length whole; other columns pass through, columns of
+    the two names are replaced.
 
     The profiles go to the tasks whole: 300 numbers a language, so their size is that of the language list.
     """
@@ -123,8 +126,10 @@ def identify_languages(docs: DataFrame, profiles: DataFrame, text_col: str = "te
     def predict(texts: pd.Series) -> pd.DataFrame:
         texts = ["" if t is None or t is pd.NA else t for t in texts]
         pred, score = np.full(len(texts), "und", object), np.zeros(len(texts))
-        if langs and texts:
-            doc, gram, rank = _ranked(*gram_counts(texts), len(texts))
+        size = np.cumsum([len(t) for t in texts]) // HELD if texts else np.zeros(0, int)
+        edges = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True) if langs else ():  # the n-grams of so many characters at once
+            doc, gram, rank = _ranked(*gram_counts(texts[lo:hi]), hi - lo)
             if len(doc):
                 at = np.searchsorted(vocabulary, gram)
                 at = np.where((at < len(vocabulary)) & (vocabulary[np.minimum(at, len(vocabulary) - 1)] == gram), at, len(vocabulary))
@@ -133,9 +138,10 @@ def identify_languages(docs: DataFrame, profiles: DataFrame, text_col: str = "te
                 total = np.add.reduceat(cost, first, axis=0)
                 n = np.diff(np.concatenate((first, [len(doc)])))
                 best = total.argmin(axis=1)
-                pred[doc[first]] = np.array(langs, object)[best]
-                score[doc[first]] = 1 - total[np.arange(len(first)), best] / (n * PROFILE)
+                pred[lo + doc[first]] = np.array(langs, object)[best]
+                score[lo + doc[first]] = 1 - total[np.arange(len(first)), best] / (n * PROFILE)
         return pd.DataFrame({"lang_pred": pred, "lang_score": score})
 
-    found = docs.withColumn("lang_found", predict(F.col(text_col).cast("string")))
-    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")], "lang_found.lang_pred", "lang_found.lang_score")
+    name = spare(docs, "lang_found")
+    found = docs.withColumn(name, predict(F.col(text_col).cast("string")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")], F.col(name)["lang_pred"].alias("lang_pred"), F.col(name)["lang_score"].alias("lang_score"))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, broadcast_if_small, is_space, mix64, row_key, settle
+from .common import PrefixHash, broadcast_if_small, is_space, mix64, row_key, settle, spare_prefix
 
 
 #: A line of more words, or of at least so many bytes, is a unit of its own.
@@ -42,26 +42,27 @@ def chunk_lines(text: str | None) -> list[tuple[int, int, int, int, int]]:
     return list(zip(at.tolist(), (to - at + 1).tolist(), lo.tolist(), hi.tolist(), hashes.tolist(), strict=True))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated units of lines cut from ``text_col``, and counts lines_removed and chunks_removed (units).
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("lines_removed", "chunks_removed")) -> DataFrame:
+    """``docs`` with repeated units of lines cut from ``text_col``, and counts of lines and units removed, called ``names``.
 
     The first occurrence by (id, content of the row, place in the text) stays, nulls first. Lines end at \\n. Null
     texts stay null. A line that is repeated without a neighbour goes only if it is long. Rows repeated with the same
-    id and text count as one document: each keeps what the document keeps. Other columns pass through; columns of docs
-    with the two count names or beginning with linededup_ are replaced.
+    id and text count as one document: each keeps what the document keeps. Empty texts stay, texts of any length are worked
+    whole, and an empty table stays empty. Other columns pass through; columns of docs with the two count names are replaced.
 
     Plan: unit hashes without text are counted; a repeated hash joins its occurrences (skewed hashes are split by
     the planner, as the join stands alone); the texts are shuffled once, by row; the bytes of repeated units are
     shuffled once, for the comparison. Units whose hash is that of a different unit are put back.
     """
-    names = ("lines_removed", "chunks_removed")
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names and not c.startswith("linededup_")])
-    keyed = plain.withColumn("linededup_key", row_key(id_col, text_col))
-    own = keyed.select("linededup_key", F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    own_names = spare_prefix(plain, "linededup_")
+    key, hit_col, back_col, cut_col = (own_names + x for x in ("key", "hits", "back", "cut"))
+    keyed = plain.withColumn(key, row_key(id_col, text_col))
+    own = keyed.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, i, u, c[4]) for k, i, t in zip(b["linededup_key"], b["id"], b["text"], strict=True) for u, c in enumerate(chunk_lines(t))]
+            rows = [(k, i, u, c[4]) for k, i, t in zip(b["key"], b["id"], b["text"], strict=True) for u, c in enumerate(chunk_lines(t))]
             yield pd.DataFrame(rows, columns=["k", "id", "unit", "h"]).astype({"k": "int64", "unit": "int64", "h": "int64"})
 
     id_type = own.schema["id"].dataType.simpleString()
@@ -69,22 +70,22 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct("id", "k", "unit")
     firsts = found.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").select("h", "first")
     hits = found.join(firsts, "h").select("k", "unit", "h", (place == F.col("first")).alias("keeper"))
-    per_doc = hits.dropDuplicates(["k", "unit"]).groupBy(F.col("k").alias("linededup_key")).agg(F.collect_list(F.struct("unit", "h", "keeper")).alias("linededup_hits"))
-    joined = settle(keyed.join(per_doc, "linededup_key", "left"), "lines-joined")
+    per_doc = hits.dropDuplicates(["k", "unit"]).groupBy(F.col("k").alias(key)).agg(F.collect_list(F.struct("unit", "h", "keeper")).alias(hit_col))
+    joined = settle(keyed.join(per_doc, key, "left"), "lines-joined")
 
     def occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, text, hits in zip(b["linededup_key"], b["text"], b["hits"], strict=True):
+            for k, text, hits in zip(b["key"], b["text"], b["hits"], strict=True):
                 raw, units = text.encode("utf-8", "surrogatepass"), chunk_lines(text)
                 rows += [(k, h["unit"], h["h"], h["keeper"], raw[units[h["unit"]][2] : units[h["unit"]][3]]) for h in hits]
             yield pd.DataFrame(rows, columns=["k", "unit", "h", "keeper", "bytes"])
 
-    with_hits = joined.filter("linededup_hits is not null")
-    bytes_of = with_hits.select("linededup_key", F.col(text_col).cast("string").alias("text"), F.col("linededup_hits").alias("hits")).mapInPandas(occurrences, "k long, unit long, h long, keeper boolean, bytes binary")
+    with_hits = joined.filter(F.col(hit_col).isNotNull())
+    bytes_of = with_hits.select(F.col(key).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(hit_col).alias("hits")).mapInPandas(occurrences, "k long, unit long, h long, keeper boolean, bytes binary")
     kept = bytes_of.filter("keeper").dropDuplicates(["h"]).select("h", F.col("bytes").alias("kept"))
     differ = bytes_of.filter("not keeper").join(kept, "h").filter("bytes != kept").select("k", "unit").distinct()
-    restored = settle(differ.groupBy(F.col("k").alias("linededup_key")).agg(F.collect_set("unit").alias("linededup_back")), "lines-restored")
+    restored = settle(differ.groupBy(F.col("k").alias(key)).agg(F.collect_set("unit").alias(back_col)), "lines-restored")
 
     @F.pandas_udf("struct<text: string, lines: long, chunks: long>")
     def cut(texts: pd.Series, hits: pd.Series, back: pd.Series) -> pd.DataFrame:
@@ -100,8 +101,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out.append(("\n".join(x for i, x in enumerate(text.split("\n")) if i not in drop) if drop else text, len(drop), len(go)))
         return pd.DataFrame(out, columns=["text", "lines", "chunks"])
 
-    touched = F.col("linededup_hits").isNotNull()
-    done = joined.join(broadcast_if_small(restored), "linededup_key", "left").withColumn("linededup_cut", cut(F.when(touched, F.col(text_col).cast("string")), F.col("linededup_hits"), F.col("linededup_back")))
-    text = F.when(touched, F.col("linededup_cut.text")).otherwise(F.col(text_col)).alias(text_col)
+    touched = F.col(hit_col).isNotNull()
+    done = joined.join(broadcast_if_small(restored), key, "left").withColumn(cut_col, cut(F.when(touched, F.col(text_col).cast("string")), F.col(hit_col), F.col(back_col)))
+    text = F.when(touched, F.col(f"{cut_col}.text")).otherwise(F.col(text_col)).alias(text_col)
     columns = [text if c == text_col else F.col(f"`{c}`") for c in plain.columns]
-    return done.select(*columns, F.coalesce("linededup_cut.lines", F.lit(0).cast("long")).alias("lines_removed"), F.coalesce("linededup_cut.chunks", F.lit(0).cast("long")).alias("chunks_removed"))
+    return done.select(*columns, F.coalesce(f"{cut_col}.lines", F.lit(0).cast("long")).alias(names[0]), F.coalesce(f"{cut_col}.chunks", F.lit(0).cast("long")).alias(names[1]))

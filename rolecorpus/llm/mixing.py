@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, n_words, settle
+from .common import broadcast_if_small, n_words, settle, spare_prefix
 
 #: Bits of the three nested histograms.
 LEVELS = (12, 14, 14)
@@ -50,8 +50,8 @@ def source_targets(totals: DataFrame, weights=(5, 2, 1), share: float = 1.5, mos
     return levels.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """Every row of ``docs`` with mix_size, mix_source_size, mix_target, mix_copies and mix_taken.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(5, 2, 1), share: float = 1.5, most: float = 2.0, prefix: str = "mix_") -> DataFrame:
+    """Every row of ``docs`` with size, source_size, target, copies and taken, each behind ``prefix``.
 
     A row is taken floor(target / source_size) times, and once more if its hash is below its source's
     threshold, so a row never exceeds ceil(``most``) times its size. The threshold is the one whose total is
@@ -59,9 +59,11 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null or blank texts have size 0 and are taken 0 words; a null source is a source of its own; rows that
     share an id share a hash and stand or fall together; an empty table gives an empty table. Other columns
-    pass through; columns of ``docs`` named mix_* are replaced.
+    pass through, texts of any length are counted whole; columns of ``docs`` with the five names are replaced.
     """
-    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("mix_")])
+    size, source_size, target, copies, taken = (prefix + c for c in ("size", "source_size", "target", "copies", "taken"))
+    plain = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in (size, source_size, target, copies, taken)])
+    own_k, own_h, own_base, own_cut = (spare_prefix(plain, "mixing_") + c for c in "khbc")
     key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n"))
     sized = settle(plain.select(key.alias("k"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), unit_hash(F.col(id_col)).alias("h")), "mix-sized")
     totals = sized.groupBy("k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
@@ -73,14 +75,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     cuts = thresholds(sized, targets)
     per_source = broadcast_if_small(
-        targets.join(cuts, "k", "left").select(F.col("k").alias("mix_k"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("base").alias("mix_base"), F.coalesce("cut", F.lit(0)).alias("mix_cut"))
+        targets.join(cuts, "k", "left").select(F.col("k").alias(own_k), F.col("source_size").alias(source_size), F.col("target").alias(target), F.col("base").alias(own_base), F.coalesce("cut", F.lit(0)).alias(own_cut))
     )
     return (
-        plain.withColumns({"mix_k": key, "mix_size": n_words(F.col(text_col)), "mix_h": unit_hash(F.col(id_col))})
-        .join(per_source, "mix_k")
-        .withColumn("mix_copies", (F.col("mix_base") + (F.col("mix_h") < F.col("mix_cut")).cast("long")).cast("long"))
-        .withColumn("mix_taken", F.col("mix_copies") * F.col("mix_size"))
-        .drop("mix_k", "mix_h", "mix_base", "mix_cut")
+        plain.withColumns({own_k: key, size: n_words(F.col(text_col)), own_h: unit_hash(F.col(id_col))})
+        .join(per_source, own_k)
+        .withColumn(copies, (F.col(own_base) + (F.col(own_h) < F.col(own_cut)).cast("long")).cast("long"))
+        .withColumn(taken, F.col(copies) * F.col(size))
+        .drop(own_k, own_h, own_base, own_cut)
     )
 
 

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import PrefixHash, word_hashes
 
+#: Score from which a text is accepted.
+THRESHOLD = 0.3
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "word_length", "words_per_line", "longest_line", "upper", "digit", "space", "other_ascii", "beyond_ascii",
     "bang", "bar", "symbol", "sentence_end", "comma", "quote", "bracket", "distinct_words", "top_word", "repeated_pairs", "repeated_fives", "repeated_lines", "bytes_entropy",
@@ -157,10 +159,11 @@ def quality_score(model: Trees) -> callable:
     return lambda text: score(text.cast("string"))
 
 
-def score_quality(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``quality_score`` and ``quality_pred`` (1 if the score reaches ``threshold``, else 0).
 
-    One row per input row, repeated or not; other columns pass through, columns of those two names are replaced.
+    One row per input row, repeated or not; null and empty texts get a score too, texts of any length are read whole, and an
+    empty table stays empty; other columns pass through, columns of those two names are replaced.
     """
     scored = docs.withColumn("quality_score", quality_score(model)(F.col(text_col)))
     return scored.withColumn("quality_pred", (F.col("quality_score") >= threshold).cast("int"))

@@ -393,7 +393,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_mixing_near_targets_and_awkward_rows(spark, awkward):
     got = mixing.mix_sources(spark.createDataFrame(awkward, DOCS)).collect()
-    assert len(got) == len(awkward) and "mix_k" not in got[0] and "decon_key" in got[0]
+    assert len(got) == len(awkward) and got[0].mix_k == 1 and got[0].decon_key == "x"
     size = lambda t: len(brute_words(t))
     by = {}
     for r in got:
@@ -431,16 +431,79 @@ def test_decontamination_equals_brute_force(spark, awkward):
     hit = {(i) for i, *_ in want}
     assert {r.doc_id for r in decontamination.decontaminate(docs, tests).collect()} == {i for i, *_ in rows if i not in hit}
     assert decontamination.decontaminate(docs, tests).columns == docs.columns
+    assert {r.decon_key for r in decontamination.decontaminate(docs, tests).collect()} == {"x"}
+    assert not decontamination.decontaminate(docs.limit(0), tests).collect()
     assert decontamination.decontaminate(docs, tests.limit(0)).count() == len(rows)
 
 
-def test_pipeline_stages_keep_the_columns(spark):
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, lines_removed string, mix_note string, copies int, linededup_x int, jaccard_key int, decon_key int, taken string"
+
+
+def test_pipeline_stages_on_awkward_rows(spark, awkward, tmp_path):
+    """Every column comes back as it was from every stage, for awkward rows, no rows, no labels and no items."""
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tables = {"labels": spark.createDataFrame([], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([], "item_id long, text string")}
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = [(i, t, None, s, len(t or ""), "mine", "note", 7, 8, 9, 10, None) for i, t, s, *_ in awkward]
+    docs = spark.createDataFrame(rows, AWKWARD)
     for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, docs, sf)
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
         assert out.columns[: len(docs.columns)] == docs.columns, name
-        assert 0 < out.count() <= docs.count()
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+        assert len(set(out.columns)) == len(out.columns), name
+        assert {tuple(r)[5:12] for r in got} == {("mine", "note", 7, 8, 9, 10, None)}, name
+        if name in ("quality", "lines", "leaks"):
+            assert len(got) == len(rows), name
+        assert not stage(spark, docs.limit(0), str(tmp_path)).collect(), name
+
+
+def test_pipeline_equals_plain_stages(spark, tmp_path):
+    """run() on documents with junk, shared passages, copies and leaks against the five stages in plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    line = lambda n=9: words(rng, n, 3000)
+    passage, item = [line(12) for _ in range(6)], words(rng, 40, 3000)
+    texts = ["\n".join(line() for _ in range(rng.randrange(3, 9))) for _ in range(60)]
+    texts += ["\n".join([line(), *passage, line()]) for _ in range(6)]
+    texts += [texts[k] + " more" for k in range(8)] + [texts[9]] * 3
+    texts += [line() + " " + item + " " + line() for _ in range(4)]
+    texts += [words(rng, 40).upper().replace(" ", "!! ") for _ in range(40)]
+    rows = [(k, t, "en", f"s{k % 4}", len(t)) for k, t in enumerate(texts)]
+    labels = [(k, int("!!" not in t), 0) for k, t, *_ in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, df in {"documents": spark.createDataFrame(rows, schema), "labels": spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, item)], "item_id long, text string")}.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    docs = {k: t for k, t in enumerate(texts) if "!!" not in t}
+    seen: set[bytes] = set()
+    for k in docs:
+        raw, gone = docs[k].encode(), set()
+        for first, n, lo, hi, _ in line_dedup.chunk_lines(docs[k]):
+            gone |= set(range(first, first + n)) if raw[lo:hi] in seen else set()
+            seen.add(raw[lo:hi])
+        docs[k] = "\n".join(x for i, x in enumerate(docs[k].split("\n")) if i not in gone)
+    part = brute_components({k: brute_sets(t) for k, t in docs.items()})
+    docs = {k: t for k, t in docs.items() if part[k] == k or not brute_sets(t)}
+    leak = brute_sets(item)
+    docs = {k: t for k, t in docs.items() if len(leak & brute_sets(t)) < 0.75 * len(leak)}
+    by = {r.doc_id: r for r in got}
+    assert set(by) <= set(docs) and all(by[k].text == docs[k] and by[k].n_chars == len(docs[k]) for k in by)
+    # shares of the mix: weights 5, 2, 1, 5 of one and a half times all words, twice a source at most
+    size = {f"s{j}": sum(len(t.split()) for k, t in docs.items() if k % 4 == j) for j in range(4)}
+    weight, target, budget = dict(zip(sorted(size), (5, 2, 1, 5), strict=True)), {}, 1.5 * sum(size.values())
+    while True:
+        level = budget / sum(w for s, w in weight.items() if s not in target)
+        full = [s for s in weight if s not in target and weight[s] * level > 2 * size[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = 2 * size[s]
+            budget -= target[s]
+    target |= {s: w * level for s, w in weight.items() if s not in target}
+    largest = max(len(t.split()) for t in docs.values())
+    for s in size:
+        assert abs(sum(r.taken for r in got if r.source == s) - target[s]) <= largest
+    assert all(r.taken == r.copies * len(r.text.split()) for r in got)
