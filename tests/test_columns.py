@@ -93,3 +93,17 @@ def test_sections(spark):
     assert ("numbered", None, ["first", "second"]) in kinds and ("heading", "Title", None) in kinds and kinds[-1][0] == "paragraph"
     rows = text.split_sections(spark.createDataFrame([(1, said), (2, None)], "id int, t string"), "t", ["id"]).collect()
     assert {r.id for r in rows if r.text or r.items} == {1} and len([r for r in rows if r.id == 1]) == len(kinds)
+
+
+def test_section_labels_of_every_kind():
+    said = "Intro. Why You'll Love Acme it is good\n\nTechnical Requirements\n* a\n* b\n\n1. one\n\nDay-to-Day: work\n\nDiversity and Inclusion"
+    got = [(k, t or i) for _, k, t, i in text.sections_of(said)]
+    assert got == [("paragraph", "Intro."), ("paragraph", "Why You'll Love Acme it is good"), ("heading", "Technical Requirements"), ("bullets", ["a", "b"]), ("numbered", ["one"]), ("paragraph", "Day-to-Day work"), ("heading", "Diversity and Inclusion")]
+
+
+def test_rupee_amounts():
+    pins = {
+        "12 LPA": (14400.0, None, "12 LPA"), "₹15-25 LPA": (18000.0, 30000.0, "₹15-25 LPA"), "Rs 1.5 crore": (180000.0, None, "Rs 1.5 crore"), "INR 12,00,000": (14400.0, None, "INR 12,00,000"), "8L - 14L": (9600.0, 16800.0, "8L - 14L"),
+        "Compensation: ₹20 LPA - ₹30 LPA based on": (24000.0, 36000.0, "₹20 LPA - ₹30 LPA"), "1 to 2 crore": (1200.0, 240000.0, "1 to 2 crore"), "5 LPA": (6000.0, None, "5 LPA"), "Rs 500": (None, None, None), "no pay": (None, None, None),
+    }
+    assert {k: salary.inr_salary(k) for k in pins} == pins
