@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,11 +35,12 @@ def upsert_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", "url", "title", "company", seconds(F.col("published_at")).alias("published_s"), "salary_min_usd", "source", seconds(F.col("first_seen_at")).alias("first_seen_s"), seconds(F.col("last_seen_at")).alias("last_seen_s"))
 
 
-@query(f"""{_POSTINGS}, k AS (SELECT id, url, title || '|' || company AS key FROM postings) SELECT min(id) AS id FROM k WHERE id % 2 = 1 AND key NOT IN (SELECT key FROM k WHERE id % 2 = 0 AND id < 300) GROUP BY key""")
+@query(f"""{_POSTINGS}, k AS (SELECT id, url, title || '|' || company || '|' || coalesce(location_raw, '') AS key FROM postings) SELECT min(id) AS id FROM k WHERE id % 10 <> 0 AND key NOT IN (SELECT key FROM k WHERE id % 10 = 0) GROUP BY key""")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = logical(spark, sf_dir, "postings").select("id", "url", F.concat_ws("|", "title", "company").alias("dedup_key"))
-    batch = k.filter("id % 2 = 1").withColumn("batch_pos", F.col("id"))
-    return m.insert_if_absent(k.filter("id % 2 = 0 and id < 300"), batch).select("id")
+    """Every tenth posting is known, all others are the batch."""
+    k = logical(spark, sf_dir, "postings").select("id", "url", F.concat_ws("|", "title", "company", F.coalesce("location_raw", F.lit(""))).alias("dedup_key"))
+    batch = k.filter("id % 10 != 0").withColumn("batch_pos", F.col("id"))
+    return m.insert_if_absent(k.filter("id % 10 = 0"), batch).select("id")
 
 
 _SCORED = duck("postings", "scores")
@@ -84,6 +87,18 @@ def corpus_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.company_counts(logical(spark, sf_dir, "postings"))
 
 
+@query(f"{_POSTINGS} SELECT company AS source, count(*) AS n, CAST(floor(100 * count(*) / (SELECT count(*) FROM postings) + 0.5) AS BIGINT) AS pct FROM postings GROUP BY 1")
+def corpus_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.source_counts(logical(spark, sf_dir, "postings").withColumnRenamed("company", "source"))
+
+
+@query(f"""{_POSTINGS}, d AS (SELECT * FROM {sql_values(dims.LOCATION_NORM.items(), 'k, canonical')}), t AS (SELECT trim(location_raw) AS place FROM postings)
+SELECT coalesce(d.canonical, place) AS location, count(*) AS n FROM t LEFT JOIN d ON d.k = regexp_replace(lower(place), '[ \t\n\r\f\x0B]+', ' ', 'g') WHERE place <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""")
+def corpus_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent places: a top-k report."""
+    return m.top_locations(logical(spark, sf_dir, "postings"))
+
+
 # ---- understanding of queries ------------------------------------------------------------------------
 
 
@@ -96,12 +111,14 @@ def query_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.query_keys(q, "raw_query", "filters").select("query_id", "raw_hash", F.count("*").over(Window.partitionBy("full_hash")).alias("same"))
 
 
-@query()
+@query(f"""{duck('queries')} SELECT query_id, nullif(substr(trim(raw_query), 1, 200), '') AS role, NULL::VARCHAR AS seniority, ['x', 'y'] AS skills, NULL::VARCHAR AS location, CASE WHEN query_id % 2 = 0 THEN true END AS remote, NULL::BIGINT AS "salaryMin",
+CASE query_id % 3 WHEN 1 THEN 3 WHEN 2 THEN 80 END::BIGINT AS "yearsExperience", NULL::VARCHAR[] AS exclude, 365::BIGINT AS "freshnessDays" FROM queries""")
 def sanitize_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters written as JSON by hand for each query, some fields of wrong types."""
     n = F.col("query_id")
+    role = F.regexp_extract(F.to_json(F.struct(F.concat(F.lit("  "), "raw_query", F.lit("  ")).alias("x"))), r'(?s)^\{"x":(.*)\}$', 1)
     raw = F.concat(
-        F.lit('{"role": "  '), F.col("raw_query"), F.lit('  ", "yearsExperience": '), F.when(n % 3 == 0, '"3"').when(n % 3 == 1, "3.9").otherwise("200"), F.lit(', "freshnessDays": 9999, "skills": ["x", 1, "y"], "remote": '), F.when(n % 2 == 0, "true").otherwise('"yes"'), F.lit(', "salaryMin": -5}'),
+        F.lit('{"role": '), role, F.lit(', "yearsExperience": '), F.when(n % 3 == 0, '"3"').when(n % 3 == 1, "3.9").otherwise("200"), F.lit(', "freshnessDays": 9999, "skills": ["x", 1, "y"], "remote": '), F.when(n % 2 == 0, "true").otherwise('"yes"'), F.lit(', "salaryMin": -5}'),
     )
     return logical(spark, sf_dir, "queries").select("query_id", r.sanitize_filters(raw).alias("f")).select("query_id", "f.*")
 
@@ -217,7 +234,18 @@ def needs_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.needs_fallback(logical(spark, sf_dir, "queries"), r.rank_topk(_matches(spark, sf_dir), logical(spark, sf_dir, "postings")))
 
 
-@query()
+def _merged(external: str) -> str:
+    """Local candidates, then the others that pass the quality filter: of each content the first, as URLs differ wherever contents do."""
+    from .enrich import _DENIED, _HOST, _PATH, _duck_class
+
+    content = "||'|'||".join(sql_content(x) for x in ("company", "title", "location"))
+    return f"""lo AS (SELECT ps.query_id, 0 AS origin, ps.pos AS own_pos, p.url, p.title, p.company, p.location_raw AS location FROM ps JOIN postings p USING (id) WHERE pos <= 50),
+xt AS (SELECT query_id, 1 AS origin, id AS own_pos, url, title, company, location_raw AS location FROM ({external}) WHERE ({_duck_class(_HOST, _PATH)}) <> 'marketing' AND NOT {_DENIED}),
+ev AS (SELECT * FROM lo UNION ALL SELECT * FROM xt), fi AS (SELECT *, row_number() OVER (PARTITION BY query_id, {content} ORDER BY origin, own_pos) AS rn FROM ev)
+SELECT query_id, url, title, company, location, origin, CAST(row_number() OVER (PARTITION BY query_id ORDER BY origin, own_pos) - 1 AS INT) AS pos FROM fi WHERE rn = 1"""
+
+
+@query(f"{_FOUND}, {_merged('SELECT p.*, p.id % 40 AS query_id FROM postings p WHERE p.id % 40 IN (SELECT query_id FROM queries)')}")
 def merge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local results with external ones (other postings of the same id class) behind them; unit tests hold the order."""
     local = _top(spark, sf_dir, 50).select("query_id", "pos", "url", "title", "company", F.col("location_raw").alias("location"))
@@ -233,7 +261,23 @@ _SCORE_INPUT = "si AS (SELECT ps.query_id, ps.pos - 1 AS pos, q.raw_query, subst
 SELECT query_id, pos, CASE WHEN len(qw) = 0 THEN 0.0e0 ELSE floor(100.0e0 * len(list_filter(qw, lambda x: list_contains(tw, x))) / len(qw) + 0.5) / 100 END AS score FROM w""")
 def score_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = _top(spark, sf_dir, 50).select("query_id", (F.col("pos") - 1).alias("pos"), "raw_query", F.concat_ws(" ", "title", "description").alias("text"))
-    return s.score_batches(top).select("query_id", F.col("pos").cast("long").alias("pos"), "score")
+    return s.score_batches(top, lexical_scorer).select("query_id", F.col("pos").cast("long").alias("pos"), "score")
+
+
+def lexical_scorer(query: str, texts: list[str]) -> list[tuple[float, str]]:
+    """A scorer as a user plugs it in: the share of the query's words that a text holds, to two places."""
+    words = set(re.findall("[a-z0-9]+", query.lower()))
+    held = [len(words & set(re.findall("[a-z0-9]+", t.lower()))) for t in texts]
+    return [(int(100 * n / len(words) + 0.5) / 100 if words else 0.0, f"{n} of {len(words)} words") for n in held]
+
+
+@query(f"""{_FOUND}, {_SCORE_INPUT}, w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(raw_query), '[^a-z0-9]+'), lambda x: x <> '')) AS qw, regexp_split_to_array(lower(t), '[^a-z0-9]+') AS tw FROM si)
+SELECT query_id, pos, CASE WHEN len(qw) = 0 THEN 0.0e0 ELSE floor(100.0e0 * len(list_filter(qw, lambda x: list_contains(tw, x))) / len(qw) + 0.5) / 100 END AS score,
+  len(list_filter(qw, lambda x: list_contains(tw, x))) || ' of ' || len(qw) || ' words' AS fit FROM w""")
+def score_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores without a scorer, from column functions."""
+    top = _top(spark, sf_dir, 50).select("query_id", (F.col("pos") - 1).alias("pos"), "raw_query", F.concat_ws(" ", "title", "description").alias("text"))
+    return s.score_batches(top).select("query_id", F.col("pos").cast("long").alias("pos"), "score", "fit")
 
 
 _LISTED = "ca AS (SELECT id % 50 AS query_id, CAST(floor(id / 50) AS BIGINT) AS pos, id FROM postings)"
@@ -301,7 +345,7 @@ def synthetic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.synthetic_scores(logical(spark, sf_dir, "postings").select((F.col("id") % 50).alias("query_id"), F.floor(F.col("id") / 50).alias("pos"), "id")).select("id", "score")
 
 
-@query()
+@query(f"{_FOUND}, {_merged('SELECT p.*, p.id % 40 AS query_id FROM postings p WHERE p.id % 40 NOT IN (SELECT query_id FROM ps WHERE pos <= 50 GROUP BY 1 HAVING count(*) >= 5)')}")
 def eval_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.evals import eval_candidates as run
 

@@ -61,7 +61,12 @@ def salary_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", F.col("s.min").alias("low"), F.col("s.max").alias("high"), F.col("s.raw").alias("raw"))
 
 
-@query()
+@query(f"""{duck('salary_text')}, t AS (SELECT *, id % 50 + 5 AS n FROM salary_text),
+m AS (SELECT id, nullif(regexp_extract(text, '[$€£]\\s*(\\d+(?:,\\d{{3}})*)\\s*(k|K)?(?:\\s*(?:-|–|—|to)\\s*[$€£]?\\s*(\\d+(?:,\\d{{3}})*)\\s*(k|K)?)?', 0), '') AS raw,
+  regexp_extract(text, '[$€£]\\s*(\\d+(?:,\\d{{3}})*)\\s*(k|K)?(?:\\s*(?:-|–|—|to)\\s*[$€£]?\\s*(\\d+(?:,\\d{{3}})*)\\s*(k|K)?)?', ['a', 'ak', 'b', 'bk']) AS g FROM salary_text)
+SELECT t.id, CASE WHEN t.id % 3 < 2 THEN floor(n * 100000 * {dims.INR_TO_USD}e0 + 0.5) ELSE CAST(nullif(replace(g.a, ',', ''), '') AS DOUBLE) * CASE WHEN g.ak <> '' THEN 1000 ELSE 1 END END AS low,
+  CASE t.id % 3 WHEN 1 THEN floor((n + 4) * 100000 * {dims.INR_TO_USD}e0 + 0.5) WHEN 2 THEN CAST(nullif(replace(g.b, ',', ''), '') AS DOUBLE) * CASE WHEN g.bk <> '' THEN 1000 ELSE 1 END END AS high,
+  CASE t.id % 3 WHEN 0 THEN n || ' LPA' WHEN 1 THEN '₹' || n || '-' || (n + 4) || ' lakh' ELSE raw END AS raw FROM t JOIN m USING (id)""")
 def salary_inr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rupee amounts in texts made from the postings' numbers; unit tests hold the examples."""
     n = F.col("id") % 50 + 5
@@ -164,14 +169,15 @@ def tag_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
 q AS (SELECT query_id, location, {sql_content('location')} AS n FROM queries),
 t AS (SELECT query_id, token FROM q JOIN c ON c.city IN (SELECT city FROM c c2 WHERE contains(' ' || q.n || ' ', ' ' || c2.token || ' ')) UNION
   SELECT query_id, lower(trim(location)) FROM q WHERE location IS NOT NULL AND NOT EXISTS (SELECT 1 FROM c WHERE contains(' ' || q.n || ' ', ' ' || c.token || ' ')))
-SELECT q.query_id, p.id FROM q JOIN postings p ON q.location IS NULL OR (coalesce(trim(p.location_raw), '') <> '' AND EXISTS (SELECT 1 FROM t WHERE t.query_id = q.query_id AND contains(' ' || {sql_content('p.location_raw')} || ' ', ' ' || t.token || ' ')))""")
+SELECT q.query_id, p.location_raw AS place, count(*) AS n FROM q JOIN postings p ON coalesce(trim(p.location_raw), '') <> '' AND EXISTS (SELECT 1 FROM t WHERE t.query_id = q.query_id AND contains(' ' || {sql_content('p.location_raw')} || ' ', ' ' || t.token || ' ')) GROUP BY 1, 2
+UNION ALL SELECT query_id, NULL, (SELECT count(*) FROM postings) FROM q WHERE location IS NULL""")
 def location_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query against the distinct places of the corpus, then the postings of the places that match."""
+    """Every query against the distinct places of the corpus."""
     queries = geo.location_terms(logical(spark, sf_dir, "queries")).select("query_id", "loc_terms")
     postings = logical(spark, sf_dir, "postings").select("id", "location_raw")
     from ..operators.retrieval import match_locations
 
-    return match_locations(queries, postings).select("query_id", "id")
+    return match_locations(queries, postings)
 
 
 @query(f"""{_POSTINGS}, {_TAGS}, a AS (SELECT * FROM {sql_values(dims.COUNTRY_ALIASES.items(), 'alias, country')})

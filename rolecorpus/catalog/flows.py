@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.search import SearchInputs, batch_search
+from ..operators.retrieval import normalize_query
+from ..plans.search import SearchInputs, batch_search, posting_id
+from ..scratch import scratch_dir
 from ..streaming import jobs
-from .base import duck, logical, now, query, read, seconds
+from . import stores  # noqa: F401 - the batch twins of the streams are registered first
+from .base import ORACLES, duck, logical, now, query, read, seconds
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="rolecorpus-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _drain(stream: DataFrame, folder: str) -> DataFrame:
@@ -27,15 +29,20 @@ def _drain(stream: DataFrame, folder: str) -> DataFrame:
 
 @query()
 def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole batch search over the logical tables, with the store empty and other postings as external candidates."""
+    """The whole batch search over the logical tables, with a part of the queries in the store and other postings as external candidates."""
     p, q = logical(spark, sf_dir, "postings"), logical(spark, sf_dir, "queries")
     filters = F.struct(F.col("raw_query").alias("role"), "location", "remote", "seniority")
     queries = q.select("query_id", "raw_query", filters.alias("filters"), (F.col("query_id") % 150).alias("owner"))
-    empty = spark.createDataFrame([], "query_hash string, raw_hash string, created_at timestamp")
+    # every tenth query was asked before and has three postings in the store, one of them without a score
+    asked = q.filter("query_id % 10 = 0").select("query_id", F.sha2(normalize_query(F.col("raw_query")), 256).alias("raw_hash"))
+    held = asked.join(p.select(F.col("id").alias("n"), "url"), F.col("n").between(F.col("query_id"), F.col("query_id") + 2)).withColumn("id", posting_id(F.col("url")))
+    scores = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("n") % 3 != 0, F.struct("id", F.struct((F.col("n") % 3 / 3).alias("score"), F.lit("kept").alias("fit")))))))
+    kept = held.groupBy("raw_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("ids"), scores.alias("scores"))
+    stored = kept.select(F.col("raw_hash").alias("query_hash"), "raw_hash", "ids", "scores", now().alias("created_at"))
     external = p.select((F.col("id") % 40).alias("query_id"), F.col("id").alias("pos"), "url", "title", "company", F.col("location_raw").alias("location"))
     hidden = logical(spark, sf_dir, "hidden_log").select("owner", F.lower(F.trim("company")).alias("company"))
-    done = batch_search(SearchInputs(queries, p.drop("published_s", "last_seen_s"), empty, external, hidden), now())
-    return done["results"].select("query_id", "url", "score", "place")
+    done = batch_search(SearchInputs(queries, p.drop("published_s", "last_seen_s"), stored, external, hidden), now())
+    return done["results"].select("query_id", "url", "score", "place", "from_store")
 
 
 @query(f"{duck('event_log')} SELECT CAST(floor(created_us / 3600000000) AS BIGINT) * 3600 AS hour_s, count(*) AS n FROM event_log GROUP BY 1 HAVING hour_s + 3600 <= (SELECT floor(max(created_us) / 1000000) - 600 FROM event_log)")
@@ -60,18 +67,27 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     payloads = sources._payloads(parts, job, lambda x: F.struct(x.alias("jobs")))
     payloads.select("body").repartition(25).write.option("maxRecordsPerFile", 1).text(f"{folder}/in")
     jobs.stream_feeds(spark, f"{folder}/in", feeds.read_greenhouse, f"{folder}/state", f"{folder}/log", now())
-    return spark.read.parquet(f"{folder}/state/v0").select("url", "title", seconds(F.col("last_seen_at")).alias("last_seen_s"))
+    return jobs.feed_state(spark, f"{folder}/state").select("url", "title", seconds(F.col("last_seen_at")).alias("last_seen_s"))
 
 
-@query()
-def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stateful limiter over the requests as a stream; a test holds it against the batch fold."""
+def _requests_through(spark: SparkSession, sf_dir: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stateful job over the requests as a stream."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         folder = _folder(spark)
         logical(spark, sf_dir, "requests").select("key", "event_id", "ts_us").write.parquet(f"{folder}/in")
         stream = spark.readStream.schema("key bigint, event_id bigint, ts_us bigint").parquet(f"{folder}/in")
-        return _drain(jobs.stream_token_bucket(stream, 2, 36_000), folder)
+        return _drain(job(stream), folder)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+@query(ORACLES["token_bucket"])
+def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests_through(spark, sf_dir, lambda requests: jobs.stream_token_bucket(requests, 2, 36_000))
+
+
+@query(ORACLES["fixed_window"])
+def stream_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests_through(spark, sf_dir, lambda requests: jobs.stream_fixed_window(requests, 3)).select("event_id", "allowed")

@@ -25,9 +25,13 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(key.alias("k"), F.col("p_name").alias("name"), slug.alias("slug"), place.alias("place"), about.alias("about"), F.concat(F.lit("<p>"), about, F.lit("</p>")).alias("html"), F.concat(F.lit("https://x.example/"), key.cast("string")).alias("link"))
 
 
-def _payloads(df: DataFrame, job, wrap=lambda jobs: jobs, group: str = "slug") -> DataFrame:
-    """One payload per slug: the jobs in order of k, as JSON."""
-    jobs = df.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", job.alias("j")))), lambda x: x["j"]).alias("jobs"))
+#: Keys of a page of a feed: a page holds the jobs of one slug within such a range, so no payload grows with the table.
+_PAGE = 1500
+
+
+def _payloads(df: DataFrame, job, wrap=lambda jobs: jobs, group: str = "slug", page: int = _PAGE) -> DataFrame:
+    """Payloads of each slug, one a page: the jobs in order of k, as JSON."""
+    jobs = df.groupBy(group, F.floor(F.col("k") / page).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", job.alias("j")))), lambda x: x["j"]).alias("jobs"))
     return jobs.select(F.col(group).alias("slug"), F.to_json(wrap(F.col("jobs"))).alias("body"))
 
 
@@ -68,7 +72,7 @@ def feed_ashby(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(feeds.read_ashby(_payloads(_parts(spark, sf_dir), job, lambda jobs: F.struct(jobs.alias("jobs")))))
 
 
-@query(_flat(_BRAND, where="p_partkey % 6 <> 5 AND rn <= 50").replace("FROM p LEFT", "FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM p) p LEFT"))
+@query(_flat(_BRAND, where="p_partkey % 6 <> 5 AND rn <= 50").replace("FROM p LEFT", "FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey // 1500 ORDER BY p_partkey) AS rn FROM p) p LEFT"))
 def feed_smartrecruiters(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _parts(spark, sf_dir)
     where = F.struct(F.col("place").alias("fullLocation"))
@@ -100,14 +104,14 @@ def feed_adzuna(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 7 == 0, " ").otherwise(F.col("name")).alias("title"), F.struct(F.when(F.col("k") % 2 != 0, brand).alias("display_name")).alias("company"), where.alias("location"), F.when(F.col("k") % 4 != 0, F.lit(50000.0)).alias("salary_min"),
         (F.col("k") % 4 == 3).cast("int").alias("salary_is_predicted"), F.col("link").alias("redirect_url"), F.col("about").alias("description"), F.lit("2024-01-01T00:00:00Z").alias("created"),
     )
-    return _out(feeds.read_adzuna(_payloads(parts, job, lambda jobs: F.struct(jobs.alias("results")), group="country")))
+    return _out(feeds.read_adzuna(_payloads(parts, job, lambda jobs: F.struct(jobs.alias("results")), group="country", page=100)))
 
 
 def _jsonld_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of postings with structured data; every fifth has none, every seventh a broken block in front."""
     p = logical(spark, sf_dir, "postings")
     place = F.struct(F.struct(F.col("location_raw").alias("addressLocality"), F.lit("IN").alias("addressCountry")).alias("address"))
-    item = F.struct(F.lit("JobPosting").alias("@type"), F.col("title"), F.col("url"), place.alias("jobLocation"), F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.substring("description", 1, 200).alias("description"), F.lit("2024-01-05").alias("datePosted"))
+    item = F.struct(F.lit("JobPosting").alias("@type"), F.col("title"), F.col("url"), place.alias("jobLocation"), F.struct(F.col("company").alias("name")).alias("hiringOrganization"), F.col("description"), F.lit("2024-01-05").alias("datePosted"))
     block = lambda body: F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>"))
     html = F.concat(F.when(F.col("id") % 7 == 0, block(F.lit("{broken"))).otherwise(""), F.when(F.col("id") % 5 == 0, F.lit("")).when(F.col("id") % 2 == 0, block(F.to_json(F.array(item)))).otherwise(block(F.to_json(item))))
     return p.select(F.concat(F.lit("https://careers.example/p/"), F.col("id").cast("string")).alias("url"), html.alias("html"), F.lit("Fallback").alias("company"))
@@ -119,13 +123,13 @@ def feed_jsonld(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{duck('tenants')}, d AS (SELECT * FROM {sql_values(dims.TENANT_DENYLIST, 'ats, slug')}),
-base AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'smartrecruiters' END AS ats, 's' || s_suppkey AS slug, s_suppkey AS pos FROM supplier WHERE s_suppkey < 40),
+base AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN 'greenhouse' WHEN 1 THEN 'lever' WHEN 2 THEN 'ashby' ELSE 'smartrecruiters' END AS ats, 's' || s_suppkey AS slug, s_suppkey AS pos FROM supplier WHERE s_suppkey % 3 = 0),
 e AS (SELECT ats, slug, 0 AS o, pos FROM base UNION ALL SELECT ats, slug, 1, row_number() OVER (PARTITION BY ats ORDER BY flagged DESC NULLS FIRST, jobs_last_seen DESC NULLS FIRST, slug) FROM tenants WHERE status = 'verified'),
 f AS (SELECT ats, slug, min(row(o, pos)) AS w FROM e GROUP BY 1, 2)
 SELECT f.ats, f.slug, row_number() OVER (PARTITION BY f.ats ORDER BY w, f.slug) AS position FROM f ANTI JOIN d ON d.ats = f.ats AND d.slug = lower(f.slug)""")
 def tenant_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = logical(spark, sf_dir, "tenants")
-    base = read(spark, sf_dir, "supplier").filter("s_suppkey < 40").select(F.element_at(F.array(*[F.lit(x) for x in ("greenhouse", "lever", "ashby", "smartrecruiters")]), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("ats"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"), F.col("s_suppkey").alias("pos"))
+    base = read(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.element_at(F.array(*[F.lit(x) for x in ("greenhouse", "lever", "ashby", "smartrecruiters")]), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("ats"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("slug"), F.col("s_suppkey").alias("pos"))
     return feeds.tenant_worklist(base, t, dims.denylist(spark))
 
 
@@ -158,12 +162,14 @@ def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{duck('postings')} SELECT url, title, 'https://careers.example/p/' || id AS page_url FROM postings WHERE id % 5 <> 0 AND id % 2 = 1
-UNION ALL SELECT url, title, 'https://careers.example/p/' || id FROM postings WHERE id % 10 IN (1, 3, 7, 9) AND id % 2 = 0""")
+UNION ALL SELECT url, title, 'https://careers.example/jobs/post-' || id FROM postings n WHERE id % 5 = 1 AND EXISTS (SELECT 1 FROM postings p WHERE p.id = n.id - 1)""")
 def two_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Odd pages are seeds; those without postings link to nothing that matches, so only direct postings come."""
-    pages = _jsonld_pages(spark, sf_dir)
-    seeds = pages.filter(F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint") % 2 == 1)
-    return frontier.two_pass_extract(seeds, pages).select("url", "title", "page_url")
+    """Odd pages are seeds, and every fifth, which has no posting of its own but a link to the next one's page."""
+    pages = _jsonld_pages(spark, sf_dir).withColumn("n", F.regexp_extract("url", "([0-9]+)$", 1).cast("bigint"))
+    link = F.concat(F.lit('<a href="/jobs/post-'), (F.col("n") + 1).cast("string"), F.lit('">next</a>'))
+    seeds = pages.filter("n % 2 = 1 or n % 5 = 0").withColumn("html", F.when(F.col("n") % 5 == 0, link).otherwise(F.col("html")))
+    more = pages.withColumn("url", F.concat(F.lit("https://careers.example/jobs/post-"), F.col("n").cast("string")))
+    return frontier.two_pass_extract(seeds.drop("n"), more.drop("n")).select("url", "title", "page_url")
 
 
 _HOSTS = "WHEN h = 'boards.greenhouse.io' THEN 'greenhouse' WHEN h = 'jobs.lever.co' THEN 'lever' WHEN h = 'jobs.ashbyhq.com' THEN 'ashby' WHEN h = 'jobs.smartrecruiters.com' THEN 'smartrecruiters'"
@@ -198,7 +204,7 @@ def tenant_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PLACED}, g AS (SELECT {_BRAND} AS slug, split_part(p_brand, '#', 2)::BIGINT % 6 AS c, count(*) AS n, list(p_name ORDER BY p_partkey)[1:5] AS titles, max(CASE WHEN rn <= 50 AND place LIKE '%India' THEN 1 ELSE 0 END) = 1 AS flagged
-  FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM p) p GROUP BY 1, 2)
+  FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey // 1500 ORDER BY p_partkey) AS rn FROM p) p GROUP BY 1, 2)
 SELECT 'lever' AS ats, slug, CASE c WHEN 0 THEN 'dead' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'candidate' ELSE 'verified' END AS status, CASE WHEN c > 2 THEN n ELSE 0 END AS job_count,
   CASE WHEN c > 2 THEN titles ELSE [] END AS sample_titles, c > 2 AND flagged AS flagged FROM g""")
 def tenant_verify(spark: SparkSession, sf_dir: str) -> DataFrame:

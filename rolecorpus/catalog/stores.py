@@ -300,7 +300,10 @@ def sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.sliding_window_limit(logical(spark, sf_dir, "requests"), 2, 36_000).select("event_id", "n", "allowed")
 
 
-@query()
+_BUCKETS = "f AS (SELECT key, min(ts_us) AS first FROM requests GROUP BY 1) SELECT r.key, r.event_id, row_number() OVER (PARTITION BY r.key, (r.ts_us - f.first) // 36000000000 ORDER BY r.ts_us, r.event_id) <= 2 AS allowed FROM requests r JOIN f ON f.key = r.key"
+
+
+@query(f"{_REQUESTS}, {_BUCKETS}")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.token_bucket(logical(spark, sf_dir, "requests"), 2, 36_000)
 

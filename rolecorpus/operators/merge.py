@@ -6,9 +6,15 @@ key, and one full outer join on the key, the only shuffle, decides every column.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import settle
+from .graph import connected_components
+
 
 #: Policies: take the batch's value, null or not; take it unless null; keep the current value.
 OVERWRITE, COALESCE, KEEP = "overwrite", "coalesce", "keep"
@@ -63,41 +69,101 @@ def upsert_postings(current: DataFrame, batch: DataFrame, as_of: Column, policy:
     return merge(current, unique, ["url"], policy, touched={"last_seen_at": as_of}, created={"id": F.sha2(F.col("b.url"), 256), "first_seen_at": as_of})
 
 
-def write_buckets(state: DataFrame, path: str, key: str = "url", buckets: int = 64) -> None:
-    """Writes a state partitioned by a hash bucket of its key; only buckets present in ``state`` are replaced, so a merge reads and
-    rewrites the buckets its batch touches. Write to a new path what was read from this one."""
-    spark = state.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    bucketed = state.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    bucketed.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_buckets(state: DataFrame, path: str, key: str = "url", buckets: int = 64, version: int | None = None) -> None:
+    """Writes a state partitioned by a hash bucket of its key, and by ``version`` if one is given; only partitions present in
+    ``state`` are replaced, so a merge reads and rewrites the buckets its batch touches. Without versions, write to a new path
+    what was read from this one."""
+    parts = ["bucket"] if version is None else ["bucket", "version"]
+    bucketed = state.withColumn("bucket", bucket_of(key, buckets))
+    if version is not None:
+        bucketed = bucketed.withColumn("version", F.lit(version))
+    bucketed.repartition(F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def newest_buckets(state: DataFrame, before: int | None = None, among: list[int] | None = None) -> DataFrame:
+    """The rows of a versioned state in the newest version of each bucket, if wanted of those before one and of some buckets. Which
+    versions there are is read from the partitions; the choice is one pair for each bucket and prunes the scan."""
+    have = state if before is None else state.filter(F.col("version") < before)
+    have = have if among is None else have.filter(F.col("bucket").isin(among))
+    newest = have.groupBy("bucket").agg(F.max("version").alias("version")).collect()
+    chosen = F.lit(False)
+    for r in newest:
+        chosen = chosen | ((F.col("bucket") == r["bucket"]) & (F.col("version") == r["version"]))
+    return have.filter(chosen).drop("bucket", "version")
 
 
 def insert_if_absent(known: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows (url, dedup_key, batch_pos) of a batch of which neither the url nor the key is known, and of which no
-    earlier kept row has either. Two equality anti-joins, never one with OR; the batch's own copies are resolved
-    where they collide, in components of shared urls and keys."""
+    earlier kept row has either. Two equality anti-joins, never one with OR; the batch's own copies are resolved in order."""
     fresh = batch.join(known.select("url").distinct(), "url", "left_anti").join(known.select("dedup_key").distinct(), "dedup_key", "left_anti")
-    return greedy_keep(fresh, "url", "dedup_key", "batch_pos")
+    return greedy_keep(fresh, [F.coalesce("url", F.lit("")), F.when(F.col("dedup_key") != "", F.col("dedup_key"))], "batch_pos")
+
+
+#: Rows that one task may fold in order.
+FOLD_ROWS = 100_000
 
 
-def greedy_keep(df: DataFrame, a: str, b: str, pos: str, rounds: int = 50) -> DataFrame:
-    """Rows, taken in order of ``pos``, whose ``a`` and ``b`` no kept row before has; a null or empty ``b`` never
-    collides. A dropped row blocks nobody. Each round keeps every open row that is first for both its values, then
-    drops the open rows that share a value with a kept one; at least the first open row of each group of collisions is decided a round.
-    ``pos`` must be unique."""
-    kept = None
-    open_rows = df.withColumn("greedy_b", F.when(F.col(b) != "", F.col(b)))
+def greedy_keep(df: DataFrame, keys: list[Column], pos: str, group: list[str] | None = None, fold_rows: int = FOLD_ROWS, rounds: int = 6) -> DataFrame:
+    """Rows, taken in order of ``pos``, of which no kept row before (in the same ``group``) has one of the ``keys``; a null
+    key never collides. A dropped row blocks nobody. ``pos`` must be unique in a group.
+
+    While many rows are open, a round keeps those that come first for all their keys and drops those that share a key
+    with a kept one; a round is a written table, and a key that a third of the rows share is settled in the first. The rest is
+    folded in order: at once if it is small, else each component of shared keys by itself, a row at a time.
+    """
+    group = group or []
+    names = [f"greedy_{k}" for k in range(len(keys))]
+    slim = df.select(*group, pos, *[c.cast("string").alias(n) for c, n in zip(keys, names, strict=True)]).withColumn("greedy_id", F.monotonically_increasing_id())
+    open_rows = settle(slim, "greedy-open")
+    columns, kept = open_rows.columns, []
     for _ in range(rounds):
-        first_a = Window.partitionBy(a)
-        first_b = Window.partitionBy("greedy_b")
-        ranked = open_rows.withColumns({"min_a": F.min(pos).over(first_a), "min_b": F.when(F.col("greedy_b").isNotNull(), F.min(pos).over(first_b))})
-        win = ranked.filter((F.col(pos) == F.col("min_a")) & (F.col("min_b").isNull() | (F.col(pos) == F.col("min_b")))).drop("min_a", "min_b")
-        win = win.persist()
-        kept = win if kept is None else kept.unionByName(win)
-        open_rows = open_rows.join(win.select(a).distinct(), a, "left_anti").join(win.filter("greedy_b is not null").select("greedy_b").distinct(), "greedy_b", "left_anti").persist()
-        if open_rows.isEmpty():
-            return kept.drop("greedy_b")
-    raise RuntimeError("collisions chain further than the rounds allow")
+        if open_rows.limit(fold_rows + 1).count() <= fold_rows:
+            break
+        marked, win = open_rows, F.lit(True)
+        for n in names:
+            first = open_rows.filter(F.col(n).isNotNull()).groupBy(*group, n).agg(F.min(pos).alias(f"{n}_first"))
+            marked = marked.join(first, [*group, n], "left")
+            win = win & (F.col(f"{n}_first").isNull() | (F.col(pos) == F.col(f"{n}_first")))
+        marked = settle(marked.withColumn("greedy_win", win), "greedy-marked")
+        won, rest = marked.filter("greedy_win"), marked.filter("not greedy_win").select(*columns)
+        kept.append(won.select(*group, pos))
+        for n in names:
+            rest = rest.join(won.filter(F.col(n).isNotNull()).select(*group, n).distinct(), [*group, n], "left_anti")
+        open_rows = settle(rest.select(*columns), "greedy-open")
+    part = F.lit(0).cast("long")
+    if open_rows.limit(fold_rows + 1).count() > fold_rows:
+        links = None
+        for n in names:
+            first = open_rows.filter(F.col(n).isNotNull()).groupBy(*group, n).agg(F.min("greedy_id").alias("b"))
+            own = open_rows.join(first, [*group, n]).select(F.col("greedy_id").alias("a"), "b")
+            links = own if links is None else links.union(own)
+        open_rows = open_rows.join(connected_components(links), F.col("greedy_id") == F.col("node"), "left")
+        part = F.coalesce("component", "greedy_id")
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owner, seen = None, []
+        for b in batches:
+            keep = []
+            for own, row, *values in zip(b["owner"], b["greedy_id"], *(b[n] for n in names), strict=True):
+                if own != owner:
+                    owner, seen = own, [set() for _ in names]
+                if any(v is not None and v in s for v, s in zip(values, seen, strict=True)):
+                    continue
+                keep.append(row)
+                for v, s in zip(values, seen, strict=True):
+                    s.add(v)
+            yield pd.DataFrame({"greedy_id": keep}, dtype="int64")
+
+    owned = open_rows.withColumn("owner", F.to_json(F.struct(part.alias("part"), *group)))
+    ordered = owned.repartition("owner").sortWithinPartitions("owner", pos).select("owner", "greedy_id", *names)
+    folded = open_rows.join(ordered.mapInPandas(fold, "greedy_id long"), "greedy_id", "left_semi").select(*group, pos)
+    for k in kept:
+        folded = folded.union(k)
+    return df.join(folded, [*group, pos], "left_semi")
 
 
 def best_per_key(results: DataFrame) -> DataFrame:
@@ -109,21 +175,9 @@ def best_per_key(results: DataFrame) -> DataFrame:
 
 def greedy_dedupe(candidates: DataFrame, url_key: str = "url_key", content_key: str = "content_key") -> DataFrame:
     """Candidates (query_id, pos, ...) kept in order unless a kept one of the same query has their canonical URL or
-    content key; an empty content key never matches. A query has some hundred candidates at most, so each is folded as
-    one ordered array."""
-    rows = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.col(url_key).alias("u"), F.col(content_key).alias("c")))).alias("rows"))
-    empty = F.struct(F.array().cast("array<string>").alias("u"), F.array().cast("array<string>").alias("c"), F.array().cast("array<int>").alias("kept"))
-
-    def step(acc: Column, r: Column) -> Column:
-        blank = F.coalesce(r["c"], F.lit("")).isin("", "||")
-        seen = F.array_contains(acc["u"], F.coalesce(r["u"], F.lit(""))) | (~blank & F.array_contains(acc["c"], F.coalesce(r["c"], F.lit(""))))
-        more = F.struct(
-            F.array_append(acc["u"], F.coalesce(r["u"], F.lit(""))).alias("u"), F.when(blank, acc["c"]).otherwise(F.array_append(acc["c"], F.coalesce(r["c"], F.lit("")))).alias("c"), F.array_append(acc["kept"], r["pos"].cast("int")).alias("kept")
-        )
-        return F.when(seen, acc).otherwise(more)
-
-    kept = rows.select("query_id", F.explode(F.aggregate("rows", empty, step)["kept"]).alias("pos"))
-    return candidates.join(kept, ["query_id", "pos"], "left_semi")
+    content key; an empty content key never matches."""
+    content = F.coalesce(content_key, F.lit(""))
+    return greedy_keep(candidates, [F.coalesce(url_key, F.lit("")), F.when(~content.isin("", "||"), content)], "pos", ["query_id"])
 
 
 def content_key(company: Column, title: Column, location: Column) -> Column:
@@ -159,6 +213,20 @@ def corpus_profile(postings: DataFrame, country: str = "IN") -> DataFrame:
     )
 
 
+def source_counts(postings: DataFrame) -> DataFrame:
+    """(source, n, pct): rows of each source and their share of all, in whole percent."""
+    counts, total = postings.groupBy("source").agg(F.count("*").alias("n")), postings.count()
+    return counts.select("source", "n", F.floor(100 * F.col("n") / F.lit(max(1, total)) + 0.5).cast("long").alias("pct"))
+
+
+def top_locations(postings: DataFrame, k: int = 10) -> DataFrame:
+    """(location, n): the ``k`` most frequent places in their normal form, ties by name; postings without one aside."""
+    from ..functions.geo import normalize_location
+
+    placed = postings.select(normalize_location(F.trim("location_raw")).alias("location")).filter(F.col("location") != "")
+    return placed.groupBy("location").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "location").limit(k)
+
+
 def company_counts(postings: DataFrame) -> DataFrame:
     return postings.groupBy("company").agg(F.count("*").alias("n"))
 

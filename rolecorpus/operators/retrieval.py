@@ -7,13 +7,15 @@ the ranking; the corpus's texts are read once, for the index.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import dims
 from ..functions import geo, salary, urls
-from ..functions.text import ascii_words, content_part
+from ..functions.text import ascii_words, content_part, let
+from ..scratch import broadcast_if_small, settle
+from .merge import bucket_of
 
 #: Weight of each field in the rank; a term's frequency counts as tf / (tf + 1).
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
@@ -116,30 +118,49 @@ def stemmer(stem) -> callable:
 
 
 def build_index(postings: DataFrame, stem=None) -> DataFrame:
-    """(term, id, field, tf) over title (A), company (B) and description (C). Counting is local to a posting, so
-    nothing is shuffled until the caller writes the table, partitioned by term for pruning."""
+    """(term, id, field, tf) over title (A), company (B) and description (C). A posting's words are sorted and counted in its
+    own row, so nothing is shuffled; ``write_index`` lays the rows out by term."""
 
     def words(c: Column) -> Column:
         w = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda x: (F.length(x) >= 2) & ~x.isin(dims.STOP_WORDS))
         return stem(w) if stem else w
 
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), words(F.col(c)).alias("words")) for f, c in (("A", "title"), ("B", "company"), ("C", "description"))])
-    each = postings.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.explode("f.words").alias("term"))
-    return each.groupBy("term", "id", "field").agg(F.count("*").alias("tf"))
+    def counted(s: Column) -> Column:
+        """Each distinct word of a sorted array with the distance to where the next one begins."""
+        begins = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return let(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
 
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), let(F.array_sort(words(F.col(c))), counted).alias("terms")) for f, c in (("A", "title"), ("B", "company"), ("C", "description"))])
+    each = postings.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.explode("f.terms").alias("t"))
+    return each.select("t.term", "id", "field", "t.tf")
 
-def match_all_terms(terms: DataFrame, postings: DataFrame, index: DataFrame | None = None) -> DataFrame:
+
+def write_index(index: DataFrame, path: str, buckets: int = 256) -> None:
+    """The index as a table partitioned by a hash bucket of the term and sorted by term within."""
+    placed = index.withColumn("term_bucket", bucket_of("term", buckets))
+    placed.repartition("term_bucket").sortWithinPartitions("term_bucket", "term").write.mode("overwrite").partitionBy("term_bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, terms: DataFrame, buckets: int = 256) -> DataFrame:
+    """The part of a written index that terms (term) can be in: only their buckets are read."""
+    asked = [r[0] for r in terms.select(bucket_of("term", buckets)).distinct().collect()]  # one number a bucket at most
+    return spark.read.parquet(path).filter(F.col("term_bucket").isin(asked)).drop("term_bucket")
+
+
+def match_all_terms(terms: DataFrame, postings: DataFrame | None, index: DataFrame | None = None) -> DataFrame:
     """(query_id, id, field, term, tf) of the postings that hold every term of a query: relational division.
 
-    With a written ``index`` the terms prune it; without one the postings' words are matched as they are read. The
-    terms of the queries are few beside the corpus; the planner broadcasts them if they are small. The rarest term
-    alone decides which postings can match, so the other terms are looked up for those only.
+    With a written ``index`` the terms prune it; without one the postings' words are matched as they are read. The rows of
+    wanted terms are written once. A query's rarest term alone says which postings can match; its other terms are
+    looked up for those by term and posting, so a common word never brings its postings together.
     """
     index = build_index(postings) if index is None else index
-    wanted = terms.select("term").distinct()
-    hits = index.join(wanted, "term", "left_semi")
-    need = terms.withColumn("n_terms", F.count("*").over(Window.partitionBy("query_id")))
-    found = hits.join(need, "term")
+    terms = terms.select("query_id", "term").distinct()
+    hits = settle(index.join(broadcast_if_small(terms.select("term").distinct()), "term", "left_semi"), "retrieval-hits")
+    frequency = hits.groupBy("term").agg(F.count("*").alias("n_rows"))
+    rarest = terms.join(frequency, "term", "left").groupBy("query_id").agg(F.count("*").alias("n_terms"), F.min_by("term", F.struct(F.coalesce("n_rows", F.lit(0)), "term")).alias("term"))
+    possible = hits.select("term", "id").distinct().join(rarest, "term").select("query_id", "id", "n_terms")
+    found = possible.join(terms, "query_id").join(hits, ["term", "id"])
     full = found.groupBy("query_id", "id", "n_terms").agg(F.collect_set("term").alias("held"), F.collect_list(F.struct("field", "term", "tf")).alias("hits")).filter(F.size("held") == F.col("n_terms"))
     return full.select("query_id", "id", F.explode("hits").alias("h")).select("query_id", "id", "h.field", "h.term", "h.tf")
 
@@ -172,15 +193,21 @@ def location_postfilter(candidates: DataFrame, k: int = dims.TOP_K) -> DataFrame
 
 
 def match_locations(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """Pairs of a query (query_id, loc_terms) and a posting (id, location_raw) whose places match.
+    """(query_id, place, n): the distinct places of postings (location_raw) that match each query (query_id, loc_terms), and how
+    many postings have them. A query without a place gets one row, with no place and all postings.
 
-    Distinct places are compared with distinct wanted places, both far fewer than rows; the rows join by equality.
+    A term matches a place that holds it on word boundaries, that is, as a run of the place's words: the runs of distinct places and
+    the distinct terms join by equality. Postings of a query follow by joining them on their place, below a limit.
     """
-    wanted = queries.select(F.to_json("loc_terms").alias("want"), "loc_terms").distinct()
-    places = postings.select(F.coalesce("location_raw", F.lit("")).alias("place")).distinct()
-    pairs = places.join(wanted, geo.location_matches(F.col("place"), F.col("loc_terms"))).select("place", F.coalesce("want", F.lit("")).alias("want"))
-    asked = queries.select("query_id", F.coalesce(F.to_json("loc_terms"), F.lit("")).alias("want"))
-    return postings.withColumn("place", F.coalesce("location_raw", F.lit(""))).join(pairs, "place").join(asked, "want").drop("place", "want")
+    places = postings.groupBy(F.coalesce("location_raw", F.lit("")).alias("place")).agg(F.count("*").alias("n"))
+    wanted = queries.select("query_id", F.explode("loc_terms").alias("term"))
+    longest = wanted.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+    words = F.split(content_part(F.col("place")), " ")
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(words) - i + 1)), lambda n: F.array_join(F.slice(words, i, n), " "))))
+    held = places.filter(F.trim("place") != "").select("place", "n", F.explode(F.array_distinct(runs)).alias("term"))
+    matched = held.join(wanted, "term").select("query_id", "place", "n").distinct()
+    anywhere = queries.filter("loc_terms is null").select("query_id", F.lit(None).cast("string").alias("place"), F.lit(postings.count()).cast("long").alias("n"))
+    return matched.unionByName(anywhere)
 
 
 def backfill_salary(postings: DataFrame, text_col: str = "description") -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -11,32 +12,48 @@ from pyspark.sql import functions as F
 from .. import dims
 from .merge import content_key, greedy_dedupe
 
-Scorer = Callable[[str, list[str]], list[tuple[float, str]]]
+#: Scores and fits of texts for a query, in their order; None if the scorer rated nothing. What it raises fails the query.
+Scorer = Callable[[str, list[str]], list[tuple[float, str]] | None]
+RAW_SCORES = "query_id long, pos int, score double, fit string, batch_failed boolean, failed boolean"
 
 
-def lexical_scorer(query: str, texts: list[str]) -> list[tuple[float, str]]:
-    """Share of the query's words that a text holds, to two places; the fit names how many."""
-    import re
+def lexical_scores(query: Column, text: Column) -> tuple[Column, Column]:
+    """Share of the query's words that a text holds, to two places, and a fit that names how many."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    n, held = F.size(words(query)), F.size(F.array_intersect(words(query), words(text)))
+    return F.when(n > 0, F.floor(100 * held / n + 0.5) / 100).otherwise(F.lit(0.0)).cast("double"), F.concat(held.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" words"))
 
-    words = set(re.findall("[a-z0-9]+", query.lower()))
-    out = []
-    for t in texts:
-        n = len(words & set(re.findall("[a-z0-9]+", t.lower())))
-        out.append((float(int(100 * n / len(words) + 0.5)) / 100 if words else 0.0, f"{n} of {len(words)} words"))
-    return out
 
+def score_batches(candidates: DataFrame, scorer: Scorer | None = None, size: int = dims.SCORE_BATCH) -> DataFrame:
+    """(query_id, pos, score, fit, batch_failed, failed) of candidates (query_id, pos, raw_query, text), scored in batches of ``size``
+    of one query on the first 200 characters of each; without a scorer, by words.
 
-def score_batches(candidates: DataFrame, scorer: Scorer = lexical_scorer, size: int = dims.SCORE_BATCH) -> DataFrame:
-    """(query_id, pos, score, fit) of candidates (query_id, pos, raw_query, text), scored in groups of ``size`` of one
-    query on the first 200 characters of each."""
-    rows = candidates.select("query_id", "pos", "raw_query", F.substring(F.coalesce("text", F.lit("")), 1, dims.SCORE_TEXT_CHARS).alias("text"), F.floor(F.col("pos") / size).cast("long").alias("batch"))
+    A batch that the scorer leaves unrated is marked batch_failed, and every candidate of a query of which a batch raised is
+    failed; both have no score. Queries are dealt out whole and their batches scored one after another as rows arrive.
+    """
+    rows = candidates.select("query_id", "pos", "raw_query", F.substring(F.coalesce("text", F.lit("")), 1, dims.SCORE_TEXT_CHARS).alias("text"))
+    if scorer is None:
+        score, fit = lexical_scores(F.col("raw_query"), F.col("text"))
+        return rows.select("query_id", "pos", score.alias("score"), fit.alias("fit"), F.lit(False).alias("batch_failed"), F.lit(False).alias("failed"))
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("pos")
-        scored = scorer(b["raw_query"].iloc[0] or "", list(b["text"]))
-        return pd.DataFrame({"query_id": b["query_id"], "pos": b["pos"], "score": [s for s, _ in scored], "fit": [f for _, f in scored]})
+    def rate(query: str | None, texts: list[str]) -> tuple[list[tuple[float | None, str | None]], bool, bool]:
+        try:
+            scored = scorer(query or "", texts)
+        except Exception:
+            return [(None, None)] * len(texts), False, True
+        return (scored, False, False) if scored is not None else ([(None, None)] * len(texts), True, False)
 
-    return rows.groupBy("query_id", "batch").applyInPandas(run, "query_id long, pos int, score double, fit string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        arrived = ((q, int(p), raw, t) for b in batches for q, p, raw, t in zip(b["query_id"], b["pos"], b["raw_query"], b["text"], strict=True))
+        for (q, _), g in groupby(arrived, key=lambda r: (r[0], r[1] // size)):
+            own = list(g)
+            scored, unrated, failed = rate(own[0][2], [r[3] for r in own])
+            out = [(q, r[1], s, f, unrated, failed) for r, (s, f) in zip(own, scored, strict=True)]
+            yield pd.DataFrame(out, columns=["query_id", "pos", "score", "fit", "batch_failed", "failed"])
+
+    raw = rows.repartition("query_id").sortWithinPartitions("query_id", "pos").mapInPandas(run, RAW_SCORES)
+    lost = raw.withColumn("failed", F.max("failed").over(Window.partitionBy("query_id")))
+    return lost.withColumns({"score": F.when(~F.col("failed"), F.col("score")), "fit": F.when(~F.col("failed"), F.col("fit"))})
 
 
 def validate_scores(candidates: DataFrame, raw: DataFrame) -> DataFrame:
@@ -61,14 +78,16 @@ def apply_min_score(scored: DataFrame, least: float = dims.MIN_SCORE) -> DataFra
     return kept.withColumns({"filter_further": ~failed, "store": ~failed})
 
 
-def merge_candidates(local: DataFrame, external: DataFrame) -> DataFrame:
-    """Candidates (query_id, pos, url, title, company, location): the local ones first, then the external ones that pass the
-    quality filter, copies dropped, positions renumbered from 0."""
+def merge_candidates(local: DataFrame, external: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates (query_id, pos, url, title, company, location, and the ``more`` columns): the local ones first, then the external
+    ones that pass the quality filter, copies dropped, positions renumbered from 0. What a side lacks of the ``more`` is null."""
     from ..functions.urls import canonical_url
     from .retrieval import quality_keep
 
-    cols = ["query_id", "url", "title", "company", "location"]
-    every = local.select(*cols, F.lit(0).alias("origin"), F.col("pos").alias("own_pos")).unionByName(quality_keep(external).select(*cols, F.lit(1).alias("origin"), F.col("pos").alias("own_pos")))
+    def side(df: DataFrame, origin: int) -> DataFrame:
+        return df.select("query_id", "url", "title", "company", "location", *[c for c in more if c in df.columns], F.lit(origin).alias("origin"), F.col("pos").alias("own_pos"))
+
+    every = side(local, 0).unionByName(side(quality_keep(external), 1), allowMissingColumns=True)
     w = Window.partitionBy("query_id").orderBy("origin", "own_pos")
     placed = every.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).withColumns({"url_key": canonical_url(F.col("url")), "content_key": content_key(F.col("company"), F.col("title"), F.col("location"))})
     kept = greedy_dedupe(placed)

@@ -101,19 +101,10 @@ def sliding_window_limit(requests: DataFrame, limit: int = 10, seconds: int = 60
 
 def token_bucket(requests: DataFrame, tokens: int = 10, seconds: int = 60) -> DataFrame:
     """(key, event_id, allowed): a bucket of ``tokens`` per key that is refilled for each whole window since its last
-    refill. A key's requests are folded in order; the streaming twin keeps the same state."""
-    window = seconds * 1_000_000
-    ordered = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts_us", "event_id"))).alias("rows"))
-    start = F.struct(F.lit(-1).cast("long").alias("tokens"), F.lit(0).cast("long").alias("refill"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, r: Column) -> Column:
-        windows = F.floor((r["ts_us"] - acc["refill"]) / window)
-        full = F.when(windows > 0, F.least(F.lit(tokens), acc["tokens"] + windows * tokens)).otherwise(acc["tokens"])
-        refill = F.when(windows > 0, acc["refill"] + windows * window).otherwise(acc["refill"])
-        new = acc["tokens"] < 0
-        ok = new | (full > 0)
-        left = F.when(new, F.lit(tokens - 1)).when(full > 0, full - 1).otherwise(full)
-        return F.struct(left.cast("long").alias("tokens"), F.when(new, r["ts_us"]).otherwise(refill).cast("long").alias("refill"), F.array_append(acc["out"], ok).alias("out"))
-
-    folded = ordered.select("key", "rows", F.aggregate("rows", start, step)["out"].alias("out"))
-    return folded.select("key", F.explode(F.arrays_zip("rows", "out")).alias("r")).select("key", F.col("r.rows.event_id").alias("event_id"), F.col("r.out").alias("allowed"))
+    refill. As a refill fills the bucket and moves on by whole windows, windows are counted from a key's first request, and the first
+    ``tokens`` requests of each are allowed; the streaming twin keeps the same state. A key's requests are ranked by window,
+    so a key that sends a third of all is as many groups as it has windows."""
+    first = requests.groupBy("key").agg(F.min("ts_us").alias("bucket_first"))
+    placed = requests.join(first, "key").withColumn("bucket_window", F.expr(f"(ts_us - bucket_first) div {seconds * 1_000_000}"))
+    w = Window.partitionBy("key", "bucket_window").orderBy("ts_us", "event_id")
+    return placed.select("key", "event_id", (F.row_number().over(w) <= tokens).alias("allowed"))

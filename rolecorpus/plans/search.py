@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +12,13 @@ from ..functions import geo
 from ..operators import retrieval as r
 from ..operators import scoring as s
 from ..operators import store
+from ..scratch import settle
 
 
 @dataclass
 class SearchInputs:
-    """queries(query_id, raw_query, filters struct or null, owner), postings, result_store, external candidates, hidden companies."""
+    """queries(query_id, raw_query, filters struct or null, owner), postings, result_store (query_hash, raw_hash, ids, scores, created_at),
+    external candidates, hidden companies."""
 
     queries: DataFrame
     postings: DataFrame
@@ -36,27 +38,64 @@ def parse_queries(queries: DataFrame) -> DataFrame:
     return parsed.select(*queries.columns, "route", pick("role").alias("role"), pick("location").alias("location"), pick("remote").alias("remote"), F.when(F.col("route") == "model", given["seniority"]).alias("seniority")).drop("filters")
 
 
-def batch_search(inputs: SearchInputs, as_of: Column, k: int = dims.TOP_K, scorer: s.Scorer = s.lexical_scorer) -> dict[str, DataFrame]:
-    """hits: queries answered by the store; results: ranked rows of the others; store: results to merge into it.
+#: What results carry of their postings besides url, title, company and place.
+CARRIED = ("published_at", "salary_min_usd", "salary_max_usd", "salary_raw")
 
-    One shuffle by (query, posting) for the division, one by query for the ranking; everything after works on at most
-    ``widened(k)`` rows a query.
+
+def posting_id(url: Column) -> Column:
+    return F.sha2(url, 256)
+
+
+def answered(open_queries: DataFrame, stored: DataFrame, inputs: SearchInputs, newest: bool, fresh_only: bool, as_of: Column) -> DataFrame:
+    """The rows of queries (query_id, raw_hash, seniority, owner) that the store answers (query_hash, raw_hash, ids, scores): postings in
+    the stored order with their stored scores, 0.5 where there is none, cut, and filtered as fresh results are."""
+    postings = inputs.postings.withColumn("id", posting_id(F.col("url"))).withColumnRenamed("location_raw", "location")
+    found = store.hydrate(stored.select("query_hash", "ids"), postings)
+    scored = found.join(stored.select("query_hash", "raw_hash", "scores"), "query_hash").withColumn("got", F.try_element_at("scores", F.col("id")))
+    rows = scored.select("raw_hash", (F.col("place") - 1).alias("pos"), "url", "title", "company", "location", *[c for c in CARRIED if c in scored.columns], F.coalesce("got.score", F.lit(0.5)).alias("score"), F.coalesce("got.fit", F.lit("")).alias("fit"))
+    asked = open_queries.select("query_id", "raw_hash", "seniority", "owner").join(rows, "raw_hash")
+    kept = s.apply_min_score(asked.withColumn("failed", F.lit(False)))
+    return r.order_results(r.seniority_filter(r.hide_companies(kept, inputs.hidden)), newest, fresh_only, as_of)
+
+
+def batch_search(inputs: SearchInputs, as_of: Column, k: int = dims.TOP_K, scorer: s.Scorer | None = None, newest: bool = False, fresh_only: bool = False) -> dict[str, DataFrame]:
+    """hits: queries answered by the store; results: ranked rows of all queries, ``from_store`` or fresh; store: results to merge
+    into it.
+
+    One join by (term, posting) for the division, one shuffle by query for the ranking; everything after works on at most
+    ``widened(k)`` rows a query. Salaries that a posting lacks are read from its description. If the scorer fails a query, all its
+    candidates stay with 0.5, are not filtered further and not stored.
     """
+    postings = inputs.postings
+    for c, kind in (("salary_min_usd", "double"), ("salary_max_usd", "double"), ("salary_raw", "string")):
+        if c not in postings.columns:
+            postings = postings.withColumn(c, F.lit(None).cast(kind))
+    inputs = replace(inputs, postings=postings)
     keyed = inputs.queries.withColumn("raw_hash", F.sha2(r.normalize_query(F.col("raw_query")), 256))
-    hits = store.lookup_by_raw(keyed, inputs.result_store, as_of)
-    open_ = geo.location_terms(parse_queries(keyed.join(hits.select("raw_hash"), "raw_hash", "left_anti")))
+    live = store.lookup_by_raw(keyed, inputs.result_store, as_of)
+    # a stored result without a posting that is still there answers nothing
+    stored = inputs.result_store.join(live, ["raw_hash", "query_hash"], "left_semi")
+    present = stored.select("query_hash", F.explode("ids").alias("id")).join(postings.select(posting_id(F.col("url")).alias("id")), "id", "left_semi").select("query_hash").distinct()
+    hits = settle(live.join(present, "query_hash", "left_semi"), "search-hits")
+    parsed = geo.location_terms(parse_queries(keyed))
+    open_ = settle(parsed.join(hits.select("raw_hash"), "raw_hash", "left_anti"), "search-open")
+    ready = answered(parsed.join(hits.select("raw_hash"), "raw_hash", "left_semi"), stored.join(hits.select("query_hash"), "query_hash", "left_semi"), inputs, newest, fresh_only, as_of)
     terms = r.query_terms(open_, ["role", "seniority"])
-    matches = r.match_all_terms(terms, inputs.postings)
-    wide = r.rank_topk(matches, inputs.postings, r.widened(k)).join(inputs.postings, "id").join(open_.select("query_id", "raw_query", "remote", "seniority", "loc_terms", "owner"), "query_id")
-    local = r.location_postfilter(r.remote_postfilter(wide), k)
+    matches = settle(r.match_all_terms(terms, postings), "search-matches")
+    wide = r.rank_topk(matches, postings, r.widened(k)).join(postings, "id").join(open_.select("query_id", "raw_query", "remote", "seniority", "loc_terms", "owner"), "query_id")
+    local = settle(r.backfill_salary(r.location_postfilter(r.remote_postfilter(wide), k)), "search-local")
     few = r.needs_fallback(open_, local).filter("fallback").select("query_id")
-    ours = local.select("query_id", "pos", "url", "title", "company", F.col("location_raw").alias("location"))
-    merged = s.merge_candidates(ours, inputs.external.join(few, "query_id", "left_semi"))
-    asked = merged.join(open_.select("query_id", "raw_query", "seniority", "owner", "raw_hash"), "query_id")
-    raw = s.score_batches(asked.withColumn("text", F.concat_ws(" ", "title", "company")), scorer)
-    scored = s.validate_scores(asked.withColumn("batch_failed", F.lit(False)), raw)
-    kept = s.apply_min_score(asked.join(scored, ["query_id", "pos"]).withColumn("failed", F.lit(False)))
-    shown = r.seniority_filter(r.hide_companies(kept, inputs.hidden))
-    results = r.order_results(shown.withColumn("published_at", F.lit(None).cast("timestamp")))
-    batch = results.select(F.sha2(F.concat_ws("|", "raw_hash", F.coalesce("seniority", F.lit(""))), 256).alias("query_hash"), "raw_hash", F.col("place").alias("pos"), F.sha2("url", 256).alias("id"), "score", "fit")
+    ours = local.select("query_id", "pos", "url", "title", "company", F.col("location_raw").alias("location"), *CARRIED)
+    merged = s.merge_candidates(ours, inputs.external.join(few, "query_id", "left_semi"), CARRIED)
+    asked = settle(merged.join(open_.select("query_id", "raw_query", "seniority", "owner", "raw_hash"), "query_id"), "search-asked")
+    raw = settle(s.score_batches(asked.withColumn("text", F.concat_ws(" ", "title", "company")), scorer), "search-scores")
+    marked = asked.join(raw.select("query_id", "pos", "batch_failed", "failed"), ["query_id", "pos"], "left")
+    rated = s.validate_scores(marked, raw.filter("not batch_failed and not failed").select("query_id", "pos", "score", "fit"))
+    scored = marked.join(rated, ["query_id", "pos"], "left").filter("failed or score is not null")
+    kept = s.apply_min_score(scored.withColumns({"fit": F.when(F.col("failed"), F.lit("")).otherwise(F.col("fit"))}))
+    filtered = r.seniority_filter(r.hide_companies(kept.filter("filter_further"), inputs.hidden))
+    fresh = r.order_results(filtered.unionByName(kept.filter("not filter_further")), newest, fresh_only, as_of)
+    columns = ["query_id", "raw_hash", "url", "title", "company", "location", *CARRIED, "score", "fit", "place", "page"]
+    results = fresh.select(*columns, F.lit(False).alias("from_store")).unionByName(ready.select(*columns, F.lit(True).alias("from_store")))
+    batch = fresh.filter("store").select(F.sha2(F.concat_ws("|", "raw_hash", F.coalesce("seniority", F.lit(""))), 256).alias("query_hash"), "raw_hash", F.col("place").alias("pos"), posting_id(F.col("url")).alias("id"), "score", "fit")
     return {"hits": hits, "results": results, "store": batch}

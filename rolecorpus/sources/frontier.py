@@ -55,5 +55,5 @@ def two_pass_extract(seeds: DataFrame, pages: DataFrame, pattern: str = JOB_HREF
     direct = read_jsonld(seeds)
     empty = seeds.join(direct.select(F.col("page_url").alias("url")).distinct(), "url", "left_anti")
     links = discover_links(empty, pattern).join(empty.select(F.col("url").alias("page_url"), "company"), "page_url")
-    linked = links.select(F.col("link").alias("url"), "company").dropDuplicates(["url"]).join(pages.select("url", "html"), "url")
+    linked = links.groupBy(F.col("link").alias("url")).agg(F.min("company").alias("company")).join(pages.select("url", "html"), "url")
     return direct.unionByName(read_jsonld(linked))

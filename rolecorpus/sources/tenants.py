@@ -39,7 +39,7 @@ def new_candidates(candidates: DataFrame, registry: DataFrame, limit: int | None
 
 def drop_denylisted(tenants: DataFrame, denied: DataFrame) -> DataFrame:
     keyed = tenants.withColumn("deny_slug", F.lower("slug"))
-    return keyed.join(F.broadcast(denied.select("ats", F.col("slug").alias("deny_slug"))), ["ats", "deny_slug"], "left_anti").drop("deny_slug")
+    return keyed.join(denied.select("ats", F.col("slug").alias("deny_slug")), ["ats", "deny_slug"], "left_anti").drop("deny_slug")
 
 
 def verify_tenants(payloads: DataFrame, denied: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def verify_tenants(payloads: DataFrame, denied: DataFrame) -> DataFrame:
     }
     jobs = F.coalesce(*[F.when(F.col("ats") == ats, read(F.from_json("body", schema))) for ats, (schema, read) in board.items()])
     company = F.when(F.col("ats") == "greenhouse", F.get(F.filter(F.from_json("body", schemas.GREENHOUSE)["jobs"]["company_name"], lambda c: c.isNotNull() & (c != "")), F.lit(0))).when(F.col("ats") == "ashby", F.from_json("body", schemas.ASHBY)["jobBoard"]["name"])
-    marked = payloads.withColumn("low", F.lower("slug")).join(F.broadcast(denied.select("ats", F.col("slug").alias("low"), F.lit(True).alias("denied"))), ["ats", "low"], "left")
+    marked = payloads.withColumn("low", F.lower("slug")).join(denied.select("ats", F.col("slug").alias("low"), F.lit(True).alias("denied")), ["ats", "low"], "left")
     readable = F.try_parse_json("body").isNotNull()
     status = F.when(F.col("denied"), "dead").when(F.col("code") == 404, "dead").when(F.col("code") == 429, "rate_limited").when(F.col("code").between(200, 299) & readable, "verified").otherwise("candidate")
     seen = marked.withColumn("status", status).withColumn("jobs", F.when(F.col("status") == "verified", F.coalesce(jobs, F.array())))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rolecorpus import dims
 from rolecorpus.operators import evals, merge, owners, retrieval, scoring, telemetry
+from rolecorpus.plans import search
 from rolecorpus.sources import feeds, frontier, tenants
 from rolecorpus.streaming import jobs
 
@@ -31,9 +32,28 @@ def test_greedy_fold_and_greedy_keep_equal_a_loop(spark, seed):
         seen_c |= set() if blank else {c}
     df = spark.createDataFrame(rows, "query_id int, pos int, url_key string, content_key string")
     assert {r.pos for r in merge.greedy_dedupe(df).collect()} == want
-    plain = df.withColumn("content_key", F.when(F.col("content_key") != "||", F.col("content_key")))
-    assert {r.pos for r in merge.greedy_keep(plain, "url_key", "content_key", "pos").collect()} == want
-
+    keys = [F.col("url_key"), F.when(~F.col("content_key").isin("", "||"), F.col("content_key"))]
+    for fold_rows, rounds in ((100, 6), (0, 1), (0, 50))[: 1 if seed else 3]:  # folded at once, in components, by rounds alone
+        assert {r.pos for r in merge.greedy_keep(df, keys, "pos", fold_rows=fold_rows, rounds=rounds).collect()} == want
+
+
+def test_greedy_keep_of_a_long_chain(spark):
+    rows = [(k, f"u{k // 2}", f"c{(k + 1) // 2}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "pos int, url string, dedup_key string")
+    want = {k for k in range(1000) if k % 2 == 0}
+    keys = [F.col("url"), F.col("dedup_key")]
+    assert {r.pos for r in merge.greedy_keep(df, keys, "pos").collect()} == want
+    assert {r.pos for r in merge.greedy_keep(df, keys, "pos", fold_rows=10, rounds=2).collect()} == want
+    known = spark.createDataFrame([("u3", "x"), ("z", "c9")], "url string, dedup_key string")
+    got = {r.batch_pos for r in merge.insert_if_absent(known, df.withColumnRenamed("pos", "batch_pos")).collect()}
+    seen_u, seen_c, plain = {"u3", "z"}, {"x", "c9"}, set()
+    fresh = [(k, u, c) for k, u, c in rows if u not in seen_u and c not in seen_c]
+    for k, u, c in fresh:
+        if u not in seen_u and c not in seen_c:
+            plain.add(k)
+            seen_u.add(u)
+            seen_c.add(c)
+    assert got == plain
 
 def test_merge_policies(spark):
     current = spark.createDataFrame([(1, "a", 5.0, "x"), (2, "b", None, "x")], "k int, t string, s double, src string")
@@ -79,6 +99,74 @@ def test_query_terms_and_division(spark):
     assert abs(rank[2, 1] - (0.5 + 0.2 * 2 / 3)) < 1e-12
 
 
+def test_written_index_is_read_by_term(spark, tmp_path):
+    p = spark.createDataFrame([(k, f"title w{k % 7}", "co", f"text x{k % 5} x{k % 5} common") for k in range(60)], "id long, title string, company string, description string")
+    index = retrieval.build_index(p)
+    assert {(r.term, r.id, r.tf) for r in index.filter("field = 'C' and term like 'x%'").collect()} == {(f"x{k % 5}", k, 2) for k in range(60)}
+    retrieval.write_index(index, f"{tmp_path}/index", buckets=16)
+    terms = spark.createDataFrame([(1, "x2"), (1, "common"), (2, "w3"), (2, "x1"), (2, "title"), (3, "absent"), (3, "common")], "query_id int, term string")
+    part = retrieval.read_index(spark, f"{tmp_path}/index", terms, buckets=16)
+    assert part.count() < index.count()
+    got = {(r.query_id, r.id) for r in retrieval.match_all_terms(terms, None, part).select("query_id", "id").distinct().collect()}
+    assert got == {(1, k) for k in range(60) if k % 5 == 2} | {(2, k) for k in range(60) if k % 7 == 3 and k % 5 == 1}
+
+
+def test_places_join_by_runs_of_words(spark):
+    p = spark.createDataFrame([(1, "San  Francisco, CA"), (2, "san jose"), (3, " "), (4, None), (5, "San Francisco, CA")], "id int, location_raw string")
+    q = spark.createDataFrame([(1, ["san francisco", "sf"]), (2, ["francis"]), (3, None), (4, ["a, b"])], "query_id int, loc_terms array<string>")
+    got = {(r.query_id, r.place, r.n) for r in retrieval.match_locations(q, p).collect()}
+    assert got == {(1, "San  Francisco, CA", 1), (1, "San Francisco, CA", 1), (3, None, 5)}
+
+
+def _search(spark, scorer, stored=None):
+    cols = "id long, url string, title string, company string, description string, location_raw string, is_remote boolean, published_at timestamp"
+    p = [(k, f"https://jobs.lever.co/co{k}/{k}", f"Backend engineer {k}", f"co{k}", "pays $100k - $120k per year" if k % 2 else "x", "Pune", None, None) for k in range(8)]
+    postings = spark.createDataFrame(p, cols).withColumn("published_at", F.timestamp_seconds(1_700_000_000 + F.col("id")))
+    filters = "struct<role: string, location: string, remote: boolean, seniority: string>"
+    queries = spark.createDataFrame([(1, "backend engineer", None, 7), (2, "Other engineer", ("engineer", None, None, None), 7)], f"query_id long, raw_query string, filters {filters}, owner long")
+    store = spark.createDataFrame(stored or [], "query_hash string, raw_hash string, ids array<string>, scores map<string, struct<score: double, fit: string>>, created_at timestamp")
+    external = spark.createDataFrame([], "query_id long, pos int, url string, title string, company string, location string")
+    hidden = spark.createDataFrame([(7, "co3")], "owner long, company string")
+    as_of = F.timestamp_seconds(F.lit(1_700_100_000))
+    return search.batch_search(search.SearchInputs(queries, postings, store, external, hidden), as_of, scorer=scorer, newest=True)
+
+
+def test_search_plan_scores_dates_and_salaries(spark):
+    done = _search(spark, lambda q, texts: [(0.9 if "5" in t else 0.3 if "6" in t else 0.6, "fine") for t in texts])
+    rows = [r for r in done["results"].orderBy("query_id", "place").collect() if r.query_id == 1]
+    assert [r.url[-1] for r in rows] == ["7", "5", "4", "2", "1", "0"]  # newest first; 6 scores too low and 3 is hidden
+    assert [r.salary_min_usd for r in rows[:3]] == [100_000.0, 100_000.0, None] and rows[1].score == 0.9 and not rows[0].from_store
+    assert done["store"].count() == done["results"].count()
+
+
+def test_search_plan_when_the_scorer_fails(spark):
+    def scorer(query, texts):
+        if "backend" in query:
+            raise RuntimeError("down")
+
+    done = _search(spark, scorer)
+    rows = done["results"].collect()
+    first = [r for r in rows if r.query_id == 1]
+    assert len(first) == 8 and {(r.score, r.fit) for r in first} == {(0.5, "")}  # nothing filtered
+    second = [r for r in rows if r.query_id == 2]
+    assert len(second) == 7 and {(r.score, r.fit) for r in second} == {(0.5, "Relevance not rated")}
+    assert {r.raw_hash for r in done["store"].select("raw_hash").distinct().collect()} == {second[0].raw_hash}
+
+
+def test_search_plan_answers_from_the_store(spark):
+    import datetime
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    ids = [sha(f"https://jobs.lever.co/co{k}/{k}") for k in (4, 3, 1, 99, 2)]
+    stored = [("h", sha("backend engineer"), ids, {ids[0]: (0.9, "kept"), ids[4]: (0.1, "low")}, datetime.datetime.fromtimestamp(1_700_099_000, datetime.UTC)), ("g", sha("other engineer"), [sha("gone")], {}, datetime.datetime.fromtimestamp(1_700_099_000, datetime.UTC))]
+    done = _search(spark, None, stored)
+    rows = done["results"].collect()
+    assert {(r.url[-1], r.score, r.fit) for r in rows if r.query_id == 1} == {("4", 0.9, "kept"), ("1", 0.5, "")}  # hidden, gone and low ones left out
+    assert all(r.from_store for r in rows if r.query_id == 1) and not any(r.from_store for r in rows if r.query_id == 2) and any(r.query_id == 2 for r in rows)
+    assert done["hits"].count() == 1
+
+
 def test_index_with_a_stemmer(spark):
     p = spark.createDataFrame([(1, "Engineers", "c", "building")], "id int, title string, company string, description string")
     got = {r.term for r in retrieval.build_index(p, retrieval.stemmer(lambda w: w.removesuffix("s").removesuffix("ing"))).collect()}
@@ -120,6 +208,19 @@ def test_token_bucket_batch_and_stream_agree(spark, tmp_path):
     assert {(r.key, r.event_id): r.allowed for r in spark.read.parquet(f"{tmp_path}/out").collect()} == batch
 
 
+def test_streaming_limits_keep_their_state_between_batches(spark, tmp_path):
+    s = 1_000_000
+    rows = [(k % 3, k, (k // 3) * 7 * s + k) for k in range(90)]
+    whole = spark.createDataFrame(rows, "key long, event_id long, ts_us long")
+    want = {r.event_id: r.allowed for r in telemetry.fixed_window_limit(whole, 4, 60).collect()}
+    for name, idle in (("kept", None), ("expiring", 3600)):
+        for part in (rows[:40], rows[40:]):
+            spark.createDataFrame(part, whole.schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{name}/in")
+            stream = jobs.stream_fixed_window(spark.readStream.schema(whole.schema).parquet(f"{tmp_path}/{name}/in"), 4, 60, idle)
+            stream.writeStream.format("parquet").option("path", f"{tmp_path}/{name}/out").option("checkpointLocation", f"{tmp_path}/{name}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+        assert {r.event_id: r.allowed for r in spark.read.parquet(f"{tmp_path}/{name}/out").collect()} == want
+
+
 def test_replay_and_identity(spark):
     log = spark.createDataFrame([(1, "a", 1, "saved", 1, False), (2, "a", 1, "saved", 2, True), (3, "a", 2, "saved", 1, False), (4, "a", 2, "odd", 1, False)], "event_id long, owner string, job_id long, kind string, ts_us long, is_delete boolean")
     state = owners.apply_actions(log)
@@ -169,8 +270,14 @@ def test_stream_feeds_is_idempotent_and_incremental(spark, tmp_path):
     (folder / "brix.json").write_text(body.format("Two", 2))
     run()
     run()
-    got = spark.read.parquet(f"file://{tmp_path}/state/v1").collect()
-    assert {(r.title, r.company) for r in got} == {("One", "acme"), ("Two", "brix")}
+    state = f"file://{tmp_path}/state"
+    assert {(r.title, r.company) for r in jobs.feed_state(spark, state).collect()} == {("One", "acme"), ("Two", "brix")}
+    for k in range(3):  # a bucket that is rewritten keeps its newest two versions; the others aren't touched
+        (folder / f"acme{k}.json").write_text(body.format(f"New {k}", 1))
+        run()
+    assert {r.title for r in jobs.feed_state(spark, state).collect()} == {"New 2", "Two"}
+    versions = {(r.bucket, r.version) for r in spark.read.parquet(state).select("bucket", "version").distinct().collect()}
+    assert len(versions) == 3 and {v for _, v in versions} == {1, 3, 4}
 
 
 def test_score_cases_of_a_query_without_results(spark):
