@@ -2,41 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import broadcast_if_small, scratch_dir, settle  # noqa: F401 - the operators take them from here
+
 #: The white space that separates words, as a regular expression class and as bytes.
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows up to which a table of a few narrow columns is broadcast (some 50 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only in a local session that names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="rolecorpus-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def settle(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, so a lost
-    executor costs a re-read and never a re-run, and nothing is computed twice."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
 
 def settle_bucketed(df: DataFrame, column: str, label: str, codec: str = "zstd") -> DataFrame:
     """As ``settle``, bucketed by ``column``, so that joins on it leave the table where it is. The catalog knows the
@@ -65,12 +44,6 @@ def spare_prefix(df: DataFrame, prefix: str) -> str:
     return prefix
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is: a shuffled join,
-    whose skewed partitions the adaptive planner splits."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once, however often and in whatever lambda ``body`` uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

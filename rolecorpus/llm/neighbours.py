@@ -2,12 +2,16 @@
 
 The forest is fitted on a bounded sample; every row is then sent to one leaf of each tree. A query walks all trees
 through one shared priority queue, ordered by how near it passes the splits it did not take, until the leaves it
-reached hold enough rows; leaf by leaf the candidates are ranked by their exact cosine and the best are merged.
+reached hold enough rows; leaf by leaf the candidates are ranked by their exact cosine and the best are merged. How many
+rows are enough is measured: a bounded number of queries is compared with every row, and the rows after which
+their true neighbours are met say what a recall asks for. Data in clusters ask for a small number whatever the size of
+the table, data spread evenly over many dimensions for a share of it.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -84,22 +88,58 @@ def fit_forest(x: np.ndarray, trees: int, leaf: int, seed: int = 7) -> Forest:
     return Forest(depth, normals, offsets)
 
 
+def _rows_to_visit(entries: DataFrame, queries: DataFrame, forest: Forest, counts: np.ndarray, k: int, recall: float, many: int) -> int:
+    """Rows, counted once per tree, that a query visits until ``recall`` of the true ``k`` nearest are among them: measured on
+    ``many`` queries at most, chosen by hash, each against all entries."""
+    asked = queries.dropDuplicates(["entry"]).orderBy(F.xxhash64("entry"), "entry").limit(many).select("entry", "v").toPandas()
+    if not len(asked):
+        return 0
+    q, own = _matrix(asked["v"]), asked["entry"].to_numpy(np.int64)
+    q = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = _matrix(b["v"])
+                score = q @ (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).T
+                score[own[:, None] == b["entry"].to_numpy()[None, :]] = -2
+                few = min(len(b), k)
+                top = np.argpartition(-score, few - 1, axis=1)[:, :few]
+                i, j = np.repeat(np.arange(len(q)), few), top.ravel()
+                yield pd.DataFrame({"q": i, "score": score[i, j], "v": b["v"].to_numpy()[j]})
+
+    near = Window.partitionBy("q").orderBy(F.desc("score"))
+    found = entries.select("entry", "v").mapInPandas(compare, f"q long, score double, v {entries.schema['v'].dataType.simpleString()}")
+    true = found.withColumn("place", F.row_number().over(near)).filter((F.col("place") <= k) & (F.col("score") > -2)).toPandas()  # many * k rows
+    if not len(true):
+        return 0
+    x = _matrix(true["v"])
+    leaves = forest.leaf_of(x / np.sqrt((x * x).sum(axis=1, keepdims=True)))
+    needed = np.zeros(len(true))
+    for i, rows in true.reset_index(drop=True).groupby("q").groups.items():
+        met, total = np.full(counts.shape, np.inf), 0
+        for cell in forest.search(q[i], counts, np.inf):
+            total += counts[cell]
+            met[cell] = total
+        needed[rows] = met[np.arange(len(leaves))[:, None], leaves[:, rows]].min(axis=0)
+    return int(np.ceil(np.quantile(needed, recall)))
+
+
 def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors]) if len(vectors) else np.zeros((0, 1))
 
 
-def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, trees: int = 20, sample: int = 20_000, leaf: int = 40, search: int = 4000, search_share: float = 0.6) -> DataFrame:
+def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, trees: int = 20, sample: int = 20_000, leaf: int = 40, search: int = 1000, recall: float = 0.96, calibrate: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of largest cosine found for each row where ``is_query``
     (a column) holds, itself excluded; ties to the smaller id; all rows, if there are fewer.
 
     The index is fitted on about ``sample`` distinct vectors and covers every row. A query looks at leaves that hold
-    ``search`` rows or ``search_share`` of all, whichever is more, counted once per tree. The share gives a recall of
-    0.9 on vectors that are spread evenly over 64 dimensions, the hardest case; clustered data need less. Rows with the same vector are one
-    entry that carries its k + 1 smallest ids, which is all that an answer can need of them, so a vector that a third
-    of the rows share costs one comparison.
+    ``search`` rows or as many as a recall of ``recall`` took on ``calibrate`` queries, whichever is more, counted once per tree. Rows
+    with the same vector are one entry that carries its k + 1 smallest ids, which is all that an answer can need of
+    them, so a vector that a third of the rows share costs one comparison.
 
     Vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor rows with a null
-    id; vectors of another length than the most common one take none either. A repeated id is answered once.
+    id; vectors of another length than the most common one take none either. A repeated id is answered once. An empty table gives no rows; other columns aren't read.
     """
     v = F.col(vector_col)
     sound = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
@@ -114,7 +154,6 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     few = valid.groupBy("v", "id").agg(F.max("q").alias("q")).withColumn("place", F.row_number().over(place)).filter(F.col("place") <= k + 1)
     entries = settle(few.groupBy("v").agg(F.min("id").alias("entry"), F.array_sort(F.collect_list("id")).alias("ids")), "ann-entries")
     n = entries.count()
-    enough = max(search, int(search_share * n))
     queries = settle(valid.filter("q").select("id", "v").distinct().join(entries.select("v", "entry"), "v").select(F.col("id").alias("query_id"), "entry", "v"), "ann-queries")
 
     share = min(1.0, sample / max(1, n))
@@ -130,11 +169,12 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
         return pd.Series(list(at.T.astype(np.int32)))
 
     size = forest.leaves
-    postings = settle(entries.withColumn("leaves", leaves_of("v")).select("entry", "v", F.posexplode("leaves").alias("tree", "leaf")).select((F.col("tree") * size + F.col("leaf")).alias("cell"), "entry", "v"), "ann-postings")
+    postings = settle(entries.select("entry", leaves_of("v").alias("leaves")).select("entry", F.posexplode("leaves").alias("tree", "leaf")).select((F.col("tree") * size + F.col("leaf")).alias("cell"), "entry"), "ann-postings")
     counted = postings.groupBy("cell").count().toPandas()  # one row a leaf: bounded by the index
     counts = np.zeros(trees * size, np.int64)
     counts[counted["cell"]] = counted["count"]
     blocks = np.maximum(1, -(-counts // BLOCK))
+    enough = max(search, _rows_to_visit(entries, queries, forest, counts.reshape(trees, size), k, recall, calibrate))
 
     @F.pandas_udf("array<struct<cell: int, block: int>>")
     def visits(vectors: pd.Series) -> pd.Series:
@@ -147,7 +187,7 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     n_groups = max(8, int(counts.sum() // 20_000))
     group = F.pmod(F.xxhash64("cell", "block"), F.lit(n_groups)).alias("g")
     width = F.element_at(F.create_map(*[F.lit(x) for c in np.flatnonzero(blocks > 1) for x in (int(c), int(blocks[c]))]), F.col("cell")) if (blocks > 1).any() else F.lit(None).cast("int")
-    left = postings.withColumn("block", F.pmod(F.xxhash64("entry"), F.coalesce(width, F.lit(1))).cast("int")).select(group, "cell", "block", "entry", "v")
+    left = postings.join(entries.select("entry", "v"), "entry").withColumn("block", F.pmod(F.xxhash64("entry"), F.coalesce(width, F.lit(1))).cast("int")).select(group, "cell", "block", "entry", "v")
     distinct = queries.dropDuplicates(["entry"]).select(F.col("entry").alias("q"), "v")
     right = distinct.withColumn("visit", F.explode(visits("v"))).select("q", "v", F.col("visit.cell").alias("cell"), F.col("visit.block").alias("block")).select(group, "cell", "block", "q", "v")
     keep = k + 1

@@ -85,6 +85,28 @@ def test_neighbours_small_tables_are_exact(spark):
     assert not neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect()
 
 
+@pytest.mark.parametrize("spread", ["clustered", "even"])
+def test_neighbours_reach_their_recall(spark, monkeypatch, spread):
+    """Against brute force on 10,000 rows; data in clusters are searched in a small part of the table."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((10_000, 32))
+    if spread == "clustered":
+        x = rng.standard_normal((500, 32))[rng.integers(0, 500, 10_000)] + 0.3 * x
+    visited, measure = [], neighbours._rows_to_visit
+    monkeypatch.setattr(neighbours, "_rows_to_visit", lambda *a: (visited.append(measure(*a)), visited[0])[1])
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 50 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q, own in got.groupby("query_id"):
+        score = unit @ unit[q]
+        score[q] = -2
+        hits += len(set(own["vec_id"]) & set(np.argsort(-score)[:5].tolist()))
+        assert np.allclose(own.sort_values("rank")["score"], score[own.sort_values("rank")["vec_id"]])
+    assert len(got) == 1000 and hits / 1000 >= 0.9
+    assert spread == "even" or visited[0] < 3000
+
+
 def test_feistel_is_a_permutation_and_round_trips():
     for n in (1, 2, 3, 10, 97, 1000):
         f = privacy.Feistel(b"k", "t", n)
