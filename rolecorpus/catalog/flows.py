@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +9,15 @@ from pyspark.sql import functions as F
 
 from ..operators.retrieval import normalize_query
 from ..plans.search import SearchInputs, batch_search, posting_id
-from ..scratch import scratch_dir
+from ..scratch import scratch_path
 from ..streaming import jobs
 from . import stores  # noqa: F401 - the batch twins of the streams are registered first
-from .base import ORACLES, duck, logical, now, query, read, seconds
+from .base import AS_OF_S, ORACLES, duck, logical, now, query, read, seconds
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    return f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    return scratch_path(spark, "stream")
 
 
 def _drain(stream: DataFrame, folder: str) -> DataFrame:
@@ -55,7 +54,7 @@ def stream_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(volume, folder).select(seconds(F.col("hour")).alias("hour_s"), "n")
 
 
-@query()
+@query(f"SELECT 'https://x.example/' || p_partkey AS url, p_name AS title, {AS_OF_S}::BIGINT AS last_seen_s FROM part")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed payloads made from parts, landed as files, merged by the stream."""
     from ..sources import feeds
@@ -91,3 +90,15 @@ def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLES["fixed_window"])
 def stream_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests_through(spark, sf_dir, lambda requests: jobs.stream_fixed_window(requests, 3)).select("event_id", "allowed")
+
+
+@query(f"{duck('queries', 'postings')} SELECT q.query_id, p.id FROM queries q JOIN postings p ON p.id % 40 = q.query_id")
+def snapshot_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate lists frozen by query key and read back for the queries that have one."""
+    from ..sources import feeds
+
+    q = logical(spark, sf_dir, "queries").select("query_id", "raw_query")
+    candidates = logical(spark, sf_dir, "postings").select((F.col("id") % 40).alias("query_id"), "id").join(q, "query_id")
+    folder = _folder(spark)
+    feeds.snapshot_candidates(candidates, folder)
+    return feeds.read_snapshot(spark, folder, candidates.select("raw_query").distinct()).select("query_id", "id")

@@ -247,3 +247,8 @@ def verify_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{duck('tenants')}, d AS (SELECT * FROM {sql_values(dims.TENANT_DENYLIST, 'ats, slug')}) SELECT t.ats, t.slug FROM tenants t ANTI JOIN d ON d.ats = t.ats AND d.slug = lower(t.slug)")
 def tenant_denylist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tenants.drop_denylisted(logical(spark, sf_dir, "tenants"), dims.denylist(spark)).select("ats", "slug")
+
+
+@query(f"{duck('tenants')} SELECT slug, count(*) FILTER (status = 'verified') AS hits, count(*) AS total FROM tenants GROUP BY 1")
+def probe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tenants.probe_counts(logical(spark, sf_dir, "tenants").select("ats", "slug", (F.col("status") == "verified").alias("hit")))

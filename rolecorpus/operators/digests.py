@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .merge import merge
 
 
@@ -27,7 +28,8 @@ def search_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
     """(search_id, ids, delta, is_first, write_run): the current ids (search_id, ids) that the last run had not, in order and with
     repeats; nothing is new on a first run; a run is written on the first one or if something is new."""
     both = current.join(previous.select("search_id", F.col("ids").alias("before")), "search_id", "left")
-    new = F.filter("ids", lambda x: ~F.array_contains(F.col("before"), x))
+    # what is new is few; only that is looked through for each id
+    new = let(F.array_except("ids", "before"), lambda fresh: F.filter("ids", lambda x: F.array_contains(fresh, x)))
     first = F.col("before").isNull()
     return both.select("search_id", "ids", F.when(first, F.slice("ids", 1, 0)).otherwise(new).alias("delta"), first.alias("is_first")).withColumn("write_run", F.col("is_first") | (F.size("delta") > 0))
 

@@ -23,10 +23,29 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+_written: list[str] = []
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder for a table, remembered for ``drop_scratch``."""
+    _written.append(f"{scratch_dir(spark)}/{label}_{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes the tables that this process has written in between, and says how many. Call it when the results that read them
+    have been written; what a stopped process leaves goes with the folder's own retention."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def settle(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, so a lost
     executor costs a re-read and never a re-run, and nothing is computed twice."""
-    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -221,6 +221,20 @@ def test_streaming_limits_keep_their_state_between_batches(spark, tmp_path):
         assert {r.event_id: r.allowed for r in spark.read.parquet(f"{tmp_path}/{name}/out").collect()} == want
 
 
+def test_scratch_tables_can_be_dropped(spark):
+    import os
+
+    from rolecorpus import scratch
+
+    table = scratch.settle(spark.range(5), "test")
+    folder = table.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert table.count() == 5 and os.path.isdir(folder)
+    written = [x for x in scratch._written if not x.endswith(folder.rpartition("/")[2])]
+    scratch._written[:] = [x for x in scratch._written if x not in written]
+    assert scratch.drop_scratch(spark) == 1 and not os.path.isdir(folder)
+    scratch._written.extend(written)
+
+
 def test_replay_and_identity(spark):
     log = spark.createDataFrame([(1, "a", 1, "saved", 1, False), (2, "a", 1, "saved", 2, True), (3, "a", 2, "saved", 1, False), (4, "a", 2, "odd", 1, False)], "event_id long, owner string, job_id long, kind string, ts_us long, is_delete boolean")
     state = owners.apply_actions(log)
