@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import broadcast_if_small, scratch_dir, settle  # noqa: F401 - the operators take them from here
+from ..scratch import broadcast_if_small, scratch_path, settle  # noqa: F401 - the operators take them from here
 
 #: The white space that separates words, as a regular expression class and as bytes.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,9 +20,10 @@ def settle_bucketed(df: DataFrame, column: str, label: str, codec: str = "zstd")
     """As ``settle``, bucketed by ``column``, so that joins on it leave the table where it is. The catalog knows the
     table only while it is written: the entry goes at once, the files stay."""
     spark = df.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}".replace("-", "_")
+    path = scratch_path(spark, label.replace("-", "_"))
+    name = path.rpartition("/")[2]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, column).option("compression", codec).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    df.write.bucketBy(n, column).option("compression", codec).option("path", path).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return table
@@ -124,7 +124,7 @@ _lowered[65:91] += 32
 PIECE = 1 << 20
 
 
-def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and place of each word of some bytes, lower-cased in A-Z; worked in pieces cut at white space."""
     gaps = np.flatnonzero(is_space[raw])
     hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -142,11 +142,6 @@ def _hashed_words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(places)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hash of each word of a text, lower-cased in A-Z only."""
-    return _hashed_words(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8))[0]
-
-
 def _fold(w: np.ndarray, first: np.ndarray | slice, width: int) -> np.ndarray:
     """Hash of the ``width`` words from each place on."""
     h = np.full(1, width, np.uint64)
@@ -161,7 +156,7 @@ def shingle_sets(texts: list[str | None], width: int = 5) -> tuple[np.ndarray, n
     A text of fewer than ``width`` words has one shingle, its whole sequence; one without words has none.
     """
     raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    w, place = _hashed_words(np.frombuffer(b"\n".join(raws), np.uint8))
+    w, place = hashed_words(np.frombuffer(b"\n".join(raws), np.uint8))
     owner = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), place, side="right")
     n_words = np.bincount(owner, minlength=len(texts))
     first = np.cumsum(n_words) - n_words

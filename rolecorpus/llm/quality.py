@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PrefixHash, word_hashes
+from .common import PrefixHash, hashed_words, mix64
 
 #: Score from which a text is accepted.
 THRESHOLD = 0.3
+#: Characters whose statistics are taken together.
+PIECE = 1 << 18
 FEATURES = (
     "log_bytes", "log_words", "log_lines", "word_length", "words_per_line", "longest_line", "upper", "digit", "space", "other_ascii", "beyond_ascii",
     "bang", "bar", "symbol", "sentence_end", "comma", "quote", "bracket", "distinct_words", "top_word", "repeated_pairs", "repeated_fives", "repeated_lines", "bytes_entropy",
@@ -29,38 +31,69 @@ _groups = {
 }
 
 
-def statistics(text: str | None) -> np.ndarray:
-    """The statistics of one whole text, in the order of FEATURES; null is the empty text."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    n = max(1, len(raw))
-    hist = np.bincount(raw, minlength=256)
-    share = {k: hist[list(v)].sum() / n for k, v in _groups.items()}
-    w = word_hashes(text)
-    breaks = np.concatenate(([-1], np.flatnonzero(raw == 10), [len(raw)]))
-    lengths = np.diff(breaks) - 1
-    lines = PrefixHash(raw).slices(breaks[:-1] + 1, lengths) + lengths.astype(np.uint64)
-    lines = lines[lengths > 0]
-
-    def repeated(width: int) -> float:
-        k = len(w) - width + 1
-        if k < 2:
-            return 0.0
-        h = np.zeros(k, np.uint64)
+def _distinct(owner: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each of ``n`` owners the number of distinct values, and how often the most frequent one occurs."""
+    _, first, count = np.unique(mix64(values ^ mix64(owner.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+    most = np.zeros(n, np.int64)
+    np.maximum.at(most, owner[first], count)
+    return np.bincount(owner[first], minlength=n), most
+
+
+def _piece_statistics(texts: list[str | None]) -> np.ndarray:
+    """The statistics of some texts, worked on their bytes in one string, a line break behind each but the last."""
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    m = len(raws)
+    raw, size = np.frombuffer(b"\n".join(raws), np.uint8), np.array([len(r) for r in raws], np.int64)
+    n = np.maximum(1, size)
+    text_of = np.repeat(np.arange(m), size + 1)[: len(raw)]
+    hist = np.bincount(text_of * 256 + raw, minlength=256 * m).reshape(m, 256)
+    hist[:-1, 10] -= 1
+    share = {k: hist[:, list(v)].sum(axis=1) / n for k, v in _groups.items()}
+    ends = np.cumsum(size + 1)
+
+    w, place = hashed_words(raw)
+    word_of = np.searchsorted(ends, place, side="right")
+    n_words = np.bincount(word_of, minlength=m)
+    starts = np.concatenate(([0], np.flatnonzero(raw == 10) + 1))
+    lengths = np.diff(np.concatenate((starts, [len(raw) + 1]))) - 1
+    line_of = np.minimum(np.searchsorted(ends, starts, side="right"), m - 1)
+    longest = np.maximum.reduceat(lengths, np.searchsorted(line_of, np.arange(m)))
+    full = np.flatnonzero(lengths)
+    lines = PrefixHash(raw).slices(starts[full], lengths[full]) + lengths[full].astype(np.uint64)
+    n_lines = np.bincount(line_of[full], minlength=m)
+
+    def repeated(width: int) -> np.ndarray:
+        k = np.maximum(0, n_words - width + 1)
+        if len(w) < width:
+            return np.zeros(m)
+        h = np.zeros(len(w) - width + 1, np.uint64)
         for i in range(width):
-            h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + k]
-        return 1 - len(np.unique(h)) / k
-
-    _, counts = np.unique(w, return_counts=True)
-    p = hist[hist > 0] / n
-    letters = hist[65:91].sum() + hist[97:123].sum()
+            h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - width + 1 + i]
+        inside = word_of[: len(h)] == word_of[width - 1 :]
+        return np.where(k < 2, 0.0, 1 - _distinct(word_of[: len(h)][inside], h[inside], m)[0] / np.maximum(1, k))
+
+    distinct, top = _distinct(word_of, w, m)
+    p = hist / n[:, None]
+    entropy = -np.where(hist > 0, p * np.log2(np.where(hist > 0, p, 1)), 0).sum(axis=1)
+    letters = hist[:, 65:91].sum(axis=1) + hist[:, 97:123].sum(axis=1)
     named = sum(share[k] for k in ("digit", "space", "bang", "bar", "symbol", "sentence_end", "comma", "quote", "bracket"))
-    beyond = hist[128:].sum() / n
-    return np.array([
-        np.log1p(len(raw)), np.log1p(len(w)), np.log1p(len(lines)), (n - hist[[9, 10, 11, 12, 13, 32]].sum()) / max(1, len(w)), len(w) / max(1, len(lines)), lengths.max() / n,
-        hist[65:91].sum() / max(1, letters), share["digit"], share["space"], 1 - named - beyond - letters / n, beyond,
+    beyond = hist[:, 128:].sum(axis=1) / n
+    some_words, some_lines = np.maximum(1, n_words), np.maximum(1, n_lines)
+    return np.stack([
+        np.log1p(size), np.log1p(n_words), np.log1p(n_lines), (n - hist[:, [9, 10, 11, 12, 13, 32]].sum(axis=1)) / some_words, n_words / some_lines, longest / n,
+        hist[:, 65:91].sum(axis=1) / np.maximum(1, letters), share["digit"], share["space"], 1 - named - beyond - letters / n, beyond,
         share["bang"], share["bar"], share["symbol"], share["sentence_end"], share["comma"], share["quote"], share["bracket"],
-        len(counts) / max(1, len(w)), counts.max(initial=0) / max(1, len(w)), repeated(2), repeated(5), 1 - len(np.unique(lines)) / max(1, len(lines)), float(-(p * np.log2(p)).sum()),
-    ], np.float64)
+        distinct / some_words, top / some_words, repeated(2), repeated(5), 1 - _distinct(line_of[full], lines, m)[0] / some_lines, entropy,
+    ], axis=1).astype(np.float64)
+
+
+def statistics(texts: list[str | None]) -> np.ndarray:
+    """The statistics of whole texts, a row each in the order of FEATURES; null is the empty text. Texts are worked some
+    hundred thousand characters at a time, longer ones alone."""
+    piece = np.cumsum([len(t or "") for t in texts]) // PIECE if len(texts) else np.zeros(0, int)
+    edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)]
+    parts = [_piece_statistics(texts[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi > lo]
+    return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
 
 
 @dataclass
@@ -139,8 +172,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [statistics(t) for t in b["text"]]
-            yield pd.DataFrame({"label_id": b["label_id"], "label": b["label"], "x": rows})
+            yield pd.DataFrame({"label_id": b["label_id"], "label": b["label"], "x": list(statistics(b["text"].tolist()))})
 
     rows = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).cast("string").alias("text")).join(chosen, "label_id").mapInPandas(measure, "label_id long, label double, x array<double>").orderBy("label_id", "x").toPandas()
     x = np.stack(rows["x"]) if len(rows) else np.zeros((0, len(FEATURES)))
@@ -152,9 +184,7 @@ def quality_score(model: Trees) -> callable:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        step = 1000
-        out = [model.scores(np.stack([statistics(t) for t in texts.iloc[i : i + step]])) for i in range(0, len(texts), step)]
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pd.Series(model.scores(statistics([None if t is pd.NA else t for t in texts])))
 
     return lambda text: score(text.cast("string"))
 

@@ -20,6 +20,21 @@ SELECT d.doc_id, len(d.s)::BIGINT AS n_shingles, min(r.c) AS component_id
 FROM d JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id, len(d.s)
 """
 
+OP7 = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS arr FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(range(1, len(arr) + 1)) AS n, unnest(arr) AS line FROM d),
+s AS (SELECT *, lead(n) OVER (PARTITION BY doc_id ORDER BY n) AS nx FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS (SELECT doc_id, n AS a, n AS z, line AS content FROM s WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) > 50 OR strlen(line) >= 300
+  UNION ALL SELECT s.doc_id, s.n, s.nx, array_to_string(d.arr[s.n:s.nx], chr(10)) FROM s JOIN d USING (doc_id) WHERE s.nx IS NOT NULL),
+f AS (SELECT content, min(row(doc_id, a, z)) AS first FROM u GROUP BY content),
+g AS (SELECT u.doc_id, u.a, u.z FROM u JOIN f USING (content) WHERE row(u.doc_id, u.a, u.z) <> f.first),
+x AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS n FROM g),
+k AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.n) FILTER (x.n IS NULL) AS text, count(x.n) AS lines_removed FROM l LEFT JOIN x ON x.doc_id = l.doc_id AND x.n = l.n GROUP BY l.doc_id),
+c AS (SELECT doc_id, count(*) AS chunks_removed FROM g GROUP BY doc_id)
+SELECT o.doc_id, CASE WHEN o.text IS NOT NULL THEN coalesce(k.text, '') END AS text, coalesce(k.lines_removed, 0)::BIGINT AS lines_removed, coalesce(c.chunks_removed, 0)::BIGINT AS chunks_removed
+FROM documents o LEFT JOIN k ON k.doc_id = o.doc_id LEFT JOIN c ON c.doc_id = o.doc_id
+"""
+
 _MIX_SIZED = r"""
 sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
   ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS h FROM {docs}),
@@ -50,4 +65,4 @@ SELECT dg.doc_id, bg.item_id, any_value(bg.n_item)::BIGINT AS n_item, count(*)::
 FROM dg JOIN bg ON dg.g = bg.g GROUP BY dg.doc_id, bg.item_id HAVING count(*) >= 0.75 * any_value(bg.n_item)
 """
 
-ORACLES = {"op8_ngram_jaccard_join": OP8, "op9_source_mixing": OP9, "op10_decontamination": OP10}
+ORACLES = {"op7_line_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_source_mixing": OP9, "op10_decontamination": OP10}

@@ -208,6 +208,18 @@ def test_quality_learns_and_bears_awkward_rows(spark, awkward):
     assert {r.quality_score for r in quality.score_quality(docs, quality.fit_quality(docs, labels.limit(0))).collect()} == {0.5}
 
 
+def test_statistics_of_many_texts_equal_those_of_one(monkeypatch, awkward):
+    texts = [t for _, t, *_ in awkward] + ["\n", "\n\na\n", "one two three four five six", "é" * 9]
+    whole = quality.statistics(texts)
+    assert whole.shape == (len(texts), len(quality.FEATURES)) and np.isfinite(whole).all()
+    assert np.allclose(whole, np.concatenate([quality.statistics([t]) for t in texts]), atol=1e-12)
+    monkeypatch.setattr(quality, "PIECE", 500)
+    assert np.allclose(whole, quality.statistics(texts), atol=1e-12)
+    plain = quality.statistics(["One two.\n\nTWO one two!"])[0]
+    named = dict(zip(quality.FEATURES, plain, strict=True))
+    assert named["log_words"] == np.log1p(5) and named["log_lines"] == np.log1p(2) and named["distinct_words"] == 4 / 5 and named["top_word"] == 2 / 5 and named["bang"] == 1 / 22
+
+
 def test_flattened_trees_equal_a_walk():
     rng = np.random.default_rng(0)
     x = rng.random((400, 5))
