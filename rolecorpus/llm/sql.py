@@ -65,4 +65,44 @@ SELECT dg.doc_id, bg.item_id, any_value(bg.n_item)::BIGINT AS n_item, count(*)::
 FROM dg JOIN bg ON dg.g = bg.g GROUP BY dg.doc_id, bg.item_id HAVING count(*) >= 0.75 * any_value(bg.n_item)
 """
 
-ORACLES = {"op7_line_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_source_mixing": OP9, "op10_decontamination": OP10}
+
+def _runs(leaves: str, name: str, levels: int) -> str:
+    """The nodes of each level of 16-ary trees over ``leaves`` (k, i, h), and the runs of siblings."""
+    parts = [f"{name}0 AS (SELECT k, i, h, count(*) OVER (PARTITION BY k) AS n FROM {leaves})"]
+    for v in range(levels):
+        parts.append(f"{name}r{v} AS (SELECT k, i // 16 AS i, any_value(n) AS n, list(h ORDER BY i) AS hs FROM {name}{v} GROUP BY k, i // 16)")
+        parts.append(f"{name}{v + 1} AS (SELECT k, i, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h, count(*) OVER (PARTITION BY k) AS n FROM {name}r{v})")
+    return ", ".join(parts)
+
+
+def _climb(rows: str, runs: str, name: str, levels: int) -> str:
+    """From ``rows`` (doc_id, k, i, now, sib and more) up ``levels`` runs: what is folded and the siblings passed."""
+    parts = []
+    for v in range(levels):
+        pre, post = "array_to_string(list_slice(r.hs, 1, (i.i % 16)::BIGINT), '')", "array_to_string(list_slice(r.hs, (i.i % 16 + 2)::BIGINT, len(r.hs)), '')"
+        parts.append(f"{name}{v} AS (SELECT i.* EXCLUDE (i, now, sib), i.i // 16 AS i, CASE WHEN r.n = 1 THEN i.now ELSE sha256({pre} || i.now || {post}) END AS now, i.sib || {pre} || {post} AS sib FROM {rows if v == 0 else f'{name}{v - 1}'} i JOIN {runs}r{v} r ON r.k = i.k AND r.i = i.i // 16)")
+    return ", ".join(parts)
+
+
+def _field(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_FIRST = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce('s' || source, 'n') AS k, sha256({_FIRST} || {_field('text')}) AS leaf, sha256({_FIRST} || {_field(_LOWER)}) AS other, coalesce({_CRC32} % 5 = 0, false) AS wrong FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d),
+{_runs('l', 'a', 6)},
+s AS (SELECT k AS tree, h AS subroot, 1 AS k, row_number() OVER (ORDER BY k) - 1 AS i, h FROM a6),
+{_runs('s', 'b', 5)},
+g AS (SELECT doc_id, leaf, k, i, CASE WHEN wrong THEN other ELSE leaf END AS now, '' AS sib FROM l),
+{_climb('g', 'a', 'c', 6)},
+t AS (SELECT c.doc_id, c.leaf, s.subroot, s.k, s.i, c.now, c.sib FROM c5 c JOIN s ON s.tree = c.k),
+{_climb('t', 'b', 'e', 5)}
+SELECT e.doc_id, e.leaf, e.subroot, b5.h AS root, sha256(e.sib) AS proof_sha256, e.now AS folded_root, e.now = b5.h AS verified FROM e4 e CROSS JOIN b5
+"""
+
+ORACLES = {"op13_dataset_manifest": OP13, "op7_line_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_source_mixing": OP9, "op10_decontamination": OP10}
