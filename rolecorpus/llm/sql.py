@@ -105,4 +105,15 @@ t AS (SELECT c.doc_id, c.leaf, s.subroot, s.k, s.i, c.now, c.sib FROM c5 c JOIN
 SELECT e.doc_id, e.leaf, e.subroot, b5.h AS root, sha256(e.sib) AS proof_sha256, e.now AS folded_root, e.now = b5.h AS verified FROM e4 e CROSS JOIN b5
 """
 
-ORACLES = {"op13_dataset_manifest": OP13, "op7_line_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_source_mixing": OP9, "op10_decontamination": OP10}
+OP12 = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY a),
+reach(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT link.a, r.c FROM reach r JOIN link ON link.b = r.vec_id AND r.c < link.a),
+least AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id)
+SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least.c AS component_id, x.vec_id = least.c AS kept
+FROM embeddings x JOIN least USING (vec_id) LEFT JOIN n ON n.a = x.vec_id
+"""
+
+ORACLES = {"op12_embedding_dedup": OP12, "op13_dataset_manifest": OP13, "op7_line_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_source_mixing": OP9, "op10_decontamination": OP10}
