@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, extraction, jaccard, language, line_dedup, manifest, mixing, neighbours, privacy, quality, suffixes, vectors
+from . import decontamination, extraction, jaccard, language, line_dedup, manifest, mixing, neighbours, phrases, privacy, quality, suffixes, vectors
 from .sql import ORACLES
 
 
@@ -73,6 +73,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("row_key")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_copies(_table(spark, sf_dir, "embeddings"))
 
@@ -82,7 +86,7 @@ def op13_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_nearest_neighbours, op3_pii_pseudonyms, op4_language_id, op5_quality_classifier, op6_html_extraction, op7_line_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_decontamination, op12_embedding_dedup, op13_dataset_manifest)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_nearest_neighbours, op3_pii_pseudonyms, op4_language_id, op5_quality_classifier, op6_html_extraction, op7_line_dedup, op8_ngram_jaccard_join, op9_source_mixing, op10_decontamination, op11_phrase_collocations, op12_embedding_dedup, op13_dataset_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -116,4 +116,24 @@ SELECT x.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least.c AS component_id, x
 FROM embeddings x JOIN least USING (vec_id) LEFT JOIN n ON n.a = x.vec_id
 """
 
-ORACLES = {"op12_embedding_dedup": OP12, "op13_dataset_manifest": OP13, "op7_line_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_source_mixing": OP9, "op10_decontamination": OP10}
+OP11 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM t),
+p AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM p, (VALUES (1), (2), (3), (4)) AS s(n) WHERE i + n - 1 <= len(w)),
+f AS (SELECT lang, n, phrase, count(*) AS a FROM g GROUP BY lang, n, phrase),
+total AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE n = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS words FROM f WHERE n >= 2 AND a >= 30),
+often AS MATERIALIZED (SELECT lang, phrase, a FROM f WHERE a >= 30),
+ways AS (SELECT c.lang, c.n, c.phrase, c.a, k.k, array_to_string(words[1:k.k], ' ') AS l, array_to_string(words[k.k + 1:c.n], ' ') AS r FROM c, (VALUES (1), (2), (3)) AS k(k) WHERE k.k < c.n),
+cuts AS (SELECT w.lang, w.n, w.phrase, w.a, w.k, l.a AS l, r.a AS r, (2000000::HUGEINT * w.a) // (l.a + r.a) AS score
+  FROM ways w JOIN often l ON l.lang = w.lang AND l.phrase = w.l JOIN often r ON r.lang = w.lang AND r.phrase = w.r),
+worst AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (SELECT lang, a, array_to_string(words[b.b:b.b + s.n - 1], ' ') AS phrase FROM c, (VALUES (2), (3)) AS s(n), (VALUES (1), (2), (3)) AS b(b) WHERE s.n < c.n AND b.b + s.n - 1 <= c.n),
+longer AS (SELECT lang, phrase, max(a) AS a FROM parts GROUP BY lang, phrase),
+kept AS (SELECT w.* FROM worst w LEFT JOIN longer x ON x.lang = w.lang AND x.phrase = w.phrase WHERE x.a IS NULL OR 100 * x.a < 80 * w.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, total.n, score::BIGINT AS score
+FROM kept k JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op11_phrase_collocations": OP11, "op12_embedding_dedup": OP12, "op13_dataset_manifest": OP13, "op7_line_dedup": OP7, "op8_ngram_jaccard_join": OP8, "op9_source_mixing": OP9, "op10_decontamination": OP10}
