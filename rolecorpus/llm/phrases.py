@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import PIECE, PrefixHash, mix64, settle
 
 #: Prefixes that a round expands, and parts that it looks up; bits of the filter of frequent words; bytes of texts worked at a time.
-FRONTIER, FILTER_BITS, GROUP = 1 << 18, 23, 16 << 20
+FRONTIER, FILTER_BITS, GROUP = 1 << 18, 23, 4 << 20
 LONGEST, SCALE = 4, 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of bytes: of a word, between words, between pieces.
