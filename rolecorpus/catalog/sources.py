@@ -30,9 +30,9 @@ _PAGE = 1500
 
 
 def _payloads(df: DataFrame, job, wrap=lambda jobs: jobs, group: str = "slug", page: int = _PAGE) -> DataFrame:
-    """Payloads of each slug, one a page: the jobs in order of k, as JSON."""
+    """Payloads (slug, page, body) of each slug, one a page: the jobs in order of k, as JSON."""
     jobs = df.groupBy(group, F.floor(F.col("k") / page).alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", job.alias("j")))), lambda x: x["j"]).alias("jobs"))
-    return jobs.select(F.col(group).alias("slug"), F.to_json(wrap(F.col("jobs"))).alias("body"))
+    return jobs.select(F.col(group).alias("slug"), "page", F.to_json(wrap(F.col("jobs"))).alias("body"))
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -72,16 +72,27 @@ def feed_ashby(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(feeds.read_ashby(_payloads(_parts(spark, sf_dir), job, lambda jobs: F.struct(jobs.alias("jobs")))))
 
 
-@query(_flat(_BRAND, where="p_partkey % 6 <> 5 AND rn <= 50").replace("FROM p LEFT", "FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey // 1500 ORDER BY p_partkey) AS rn FROM p) p LEFT"))
-def feed_smartrecruiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _smartrecruiters(spark: SparkSession, sf_dir: str, most: int | None = None, page: int = 100) -> DataFrame:
     parts = _parts(spark, sf_dir)
     where = F.struct(F.col("place").alias("fullLocation"))
     job = F.struct(F.col("k").cast("string").alias("id"), F.col("name"), where.alias("location"), F.lit("2024-01-01T00:00:00Z").alias("releasedDate"), F.col("link").alias("ref"))
-    lists = _payloads(parts, job, lambda jobs: F.struct(jobs.alias("content")))
+    lists = _payloads(parts, job, lambda jobs: F.struct(jobs.alias("content")), page=page)
     part = lambda c: F.struct(c.alias("text"))
     detail = F.struct(F.lit("").alias("applyUrl"), F.struct(F.struct(part(F.col("html")).alias("jobDescription")).alias("sections")).alias("jobAd"))
     details = parts.filter("k % 6 != 5").select(F.col("link").alias("ref"), F.to_json(detail).alias("body"))
-    return _out(feeds.read_smartrecruiters(lists, details))
+    return _out(feeds.read_smartrecruiters(lists, details, most))
+
+
+@query(_flat(_BRAND, where="p_partkey % 6 <> 5"))
+def feed_smartrecruiters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting that has a detail."""
+    return _smartrecruiters(spark, sf_dir)
+
+
+@query(_flat(_BRAND, where="p_partkey % 6 <> 5 AND rn <= 50").replace("FROM p LEFT", "FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM p) p LEFT"))
+def feed_smartrecruiters_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 of each slug, over pages of a hundred keys."""
+    return _smartrecruiters(spark, sf_dir, 50)
 
 
 @query(_flat(_BRAND, url="CASE WHEN p_partkey % 3 = 0 THEN 'https://x.example/' || p_partkey ELSE 'https://w.example/job/' || p_partkey END", published="NULL", flag=_SAID).replace("about AS description", "CASE WHEN p_partkey % 3 = 0 THEN about ELSE '' END AS description").replace("AS about FROM part", "AS about0, CASE WHEN p_partkey % 3 = 0 THEN about0 ELSE '' END AS about FROM part"))
@@ -147,7 +158,7 @@ _HREF = r"(?i)href=[\"']([^\"'#?]{2,})[^\"']*[\"']"
 r AS (SELECT url, n, regexp_extract(url, '^(https?://[^/?#]+)', 1) || CASE WHEN starts_with(trim(href), '/') THEN '' ELSE '/' END || trim(href) AS link FROM h),
 d AS (SELECT url, link, min(n) AS n FROM r GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY n) - 1 AS pos FROM d) SELECT url AS page_url, link, pos FROM k WHERE pos < 20""")
 def discover_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frontier.discover_links(read(spark, sf_dir, "pages").dropDuplicates(["url"]), _HREF)
+    return frontier.discover_links(read(spark, sf_dir, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("html")), _HREF)
 
 
 _ROBOTS = "# rules\nUser-agent: other\nDisallow: /o\nUser-agent: *\nDisallow: /careers/\nDisallow: /\nUser-agent: RoleBot/1\nDisallow: /jobs/1"
@@ -204,13 +215,13 @@ def tenant_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PLACED}, g AS (SELECT {_BRAND} AS slug, split_part(p_brand, '#', 2)::BIGINT % 6 AS c, count(*) AS n, list(p_name ORDER BY p_partkey)[1:5] AS titles, max(CASE WHEN rn <= 50 AND place LIKE '%India' THEN 1 ELSE 0 END) = 1 AS flagged
-  FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_partkey // 1500 ORDER BY p_partkey) AS rn FROM p) p GROUP BY 1, 2)
+  FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM p) p GROUP BY 1, 2)
 SELECT 'lever' AS ats, slug, CASE c WHEN 0 THEN 'dead' WHEN 1 THEN 'rate_limited' WHEN 2 THEN 'candidate' ELSE 'verified' END AS status, CASE WHEN c > 2 THEN n ELSE 0 END AS job_count,
   CASE WHEN c > 2 THEN titles ELSE [] END AS sample_titles, c > 2 AND flagged AS flagged FROM g""")
 def tenant_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = F.struct(F.col("name").alias("text"), F.struct(F.col("place").alias("location")).alias("categories"))
     c = F.element_at(F.split("slug", "-"), 2).cast("int") % 6
-    answers = _payloads(_parts(spark, sf_dir), job).withColumns({"ats": F.lit("lever"), "code": F.when(c == 0, 404).when(c == 1, 429).when(c == 2, 500).otherwise(200)})
+    answers = _payloads(_parts(spark, sf_dir), job, page=100).withColumns({"ats": F.lit("lever"), "code": F.when(c == 0, 404).when(c == 1, 429).when(c == 2, 500).otherwise(200)})
     return tenants.verify_tenants(answers, dims.denylist(spark)).withColumn("job_count", F.col("job_count").cast("long")).drop("company_name")
 
 

@@ -1,7 +1,8 @@
 """Posting feeds: landed payloads to the common posting columns.
 
 Each reader takes a table of payloads (slug, body), one row per landed file, and parses the body with an explicit
-schema; a body of another shape gives no rows. ``land`` reads a folder of files into that table.
+schema; a body of another shape gives no rows. ``land`` reads a folder of files into that table. Where a board comes in pages, a
+column ``page`` gives their order; without it each payload is a board of its own.
 """
 
 from __future__ import annotations
@@ -36,9 +37,23 @@ def _posting(df: DataFrame, source: str, *, url: Column, title: Column, company:
     return out.select(*keep, *schemas.POSTING_COLUMNS)
 
 
+def page_starts(sizes: DataFrame, keys: list[str]) -> DataFrame:
+    """``sizes`` (keys, page, n), one narrow row for each page, with ``start``: how many postings the pages before hold. Pages that share a
+    number and a size are one page that was landed twice."""
+    before = Window.partitionBy(*keys).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.groupBy(*keys, "page").agg(F.max("n").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+
 def read_greenhouse(payloads: DataFrame) -> DataFrame:
-    """The company is that of the board's first posting, or else the slug."""
-    rows = payloads.withColumn("b", F.from_json("body", schemas.GREENHOUSE)).withColumn("board", F.coalesce(_blank(F.get("b.jobs", F.lit(0))["company_name"]), "slug")).select("board", F.explode("b.jobs").alias("j"))
+    """The company is that of the board's first posting, on whatever page it stands, or else the slug."""
+    parsed = payloads.withColumn("b", F.from_json("body", schemas.GREENHOUSE))
+    said = _blank(F.get("b.jobs", F.lit(0))["company_name"])
+    if "page" in payloads.columns:
+        first = parsed.filter(F.size("b.jobs") > 0).groupBy("slug").agg(F.min_by(F.struct(said.alias("said")), "page").alias("first"))
+        boards = parsed.select("slug", "b").join(first, "slug").withColumn("board", F.coalesce("first.said", "slug"))
+    else:
+        boards = parsed.withColumn("board", F.coalesce(said, "slug"))
+    rows = boards.select("board", F.explode("b.jobs").alias("j"))
     return _posting(rows, "greenhouse", url=F.col("j.absolute_url"), title=F.col("j.title"), company=F.col("board"), place=_blank(F.col("j.location.name")), description=F.coalesce(text.html_to_text(F.col("j.content")), F.lit("")), published=freshness.published_at(iso=F.col("j.first_published")))
 
 
@@ -59,10 +74,18 @@ def read_ashby(payloads: DataFrame) -> DataFrame:
     )
 
 
-def read_smartrecruiters(lists: DataFrame, details: DataFrame, most: int = 50) -> DataFrame:
-    """The first ``most`` postings of each slug with their details (ref, body); a posting without a detail is an error
-    and gives no row."""
-    rows = lists.select("slug", F.posexplode(F.from_json("body", schemas.SMARTRECRUITERS_LIST)["content"]).alias("n", "p")).filter(F.col("n") < most)
+def read_smartrecruiters(lists: DataFrame, details: DataFrame, most: int | None = None) -> DataFrame:
+    """The postings of each slug with their details (ref, body), all or the first ``most``; a posting without a detail is an error
+    and gives no row.
+
+    A posting's place in its slug is its place on its page after the postings of the pages before, counted in one row for each
+    page: postings are not sorted, and the cap is the slug's however it was cut into pages."""
+    pages = lists.select("slug", F.col("page") if "page" in lists.columns else F.lit(0).alias("page"), F.from_json("body", schemas.SMARTRECRUITERS_LIST)["content"].alias("content"))
+    if most is None:
+        rows = pages.select("slug", F.explode("content").alias("p"))
+    else:
+        starts = page_starts(pages.select("slug", "page", F.coalesce(F.size("content"), F.lit(0)).alias("n")), ["slug"]).filter(F.col("start") < most).select("slug", "page", "start")
+        rows = pages.join(starts, ["slug", "page"]).select("slug", "start", F.posexplode("content").alias("n", "p")).filter(F.col("start") + F.col("n") < most)
     detail = details.select("ref", F.from_json("body", schemas.SMARTRECRUITERS_DETAIL).alias("d")).dropDuplicates(["ref"])
     both = rows.join(detail, F.col("p.ref") == detail.ref)
     parts = [F.col(f"d.jobAd.sections.{s}.text") for s in ("companyDescription", "jobDescription", "qualifications", "additionalInformation")]

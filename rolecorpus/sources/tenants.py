@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -42,11 +42,19 @@ def drop_denylisted(tenants: DataFrame, denied: DataFrame) -> DataFrame:
     return keyed.join(denied.select("ats", F.col("slug").alias("deny_slug")), ["ats", "deny_slug"], "left_anti").drop("deny_slug")
 
 
-def verify_tenants(payloads: DataFrame, denied: DataFrame) -> DataFrame:
-    """(ats, slug, status, job_count, sample_titles, flagged, company_name) from answers (ats, slug, code, body).
+#: How many postings give sample titles, and how many are searched for one in the country.
+SAMPLE, SEARCHED = 5, 50
+
 
-    Denied tenants and code 404 are dead, 429 is rate-limited, other failures and unreadable bodies stay candidates;
-    else the board is verified: its number of jobs, first five titles, and whether one of the first fifty is in the country.
+def verify_tenants(payloads: DataFrame, denied: DataFrame) -> DataFrame:
+    """(ats, slug, status, job_count, sample_titles, flagged, company_name), one row for each tenant, from answers (ats, slug, code, body) or,
+    where a board answers in pages, (ats, slug, page, code, body).
+
+    A page with code 404 is dead, with 429 rate-limited, with another failure or an unreadable body a candidate, else verified. A
+    denied tenant is dead; else it is verified if one of its pages is, rate-limited if one is (it is to be asked again), a candidate
+    if one is, and dead if all are. Of the verified pages, in their order: the number of jobs, the first five titles, whether one of
+    the first fifty jobs is in the country, and the company that the first page with one names. Pages are counted in rows
+    without their bodies; only the first fifty with jobs, which hold the first fifty jobs, meet in one row.
     """
     job = lambda t, p: F.struct(F.coalesce(t, F.lit("Untitled")).alias("title"), p.alias("place"))
     board = {
@@ -57,13 +65,26 @@ def verify_tenants(payloads: DataFrame, denied: DataFrame) -> DataFrame:
     }
     jobs = F.coalesce(*[F.when(F.col("ats") == ats, read(F.from_json("body", schema))) for ats, (schema, read) in board.items()])
     company = F.when(F.col("ats") == "greenhouse", F.get(F.filter(F.from_json("body", schemas.GREENHOUSE)["jobs"]["company_name"], lambda c: c.isNotNull() & (c != "")), F.lit(0))).when(F.col("ats") == "ashby", F.from_json("body", schemas.ASHBY)["jobBoard"]["name"])
-    marked = payloads.withColumn("low", F.lower("slug")).join(denied.select("ats", F.col("slug").alias("low"), F.lit(True).alias("denied")), ["ats", "low"], "left")
-    readable = F.try_parse_json("body").isNotNull()
-    status = F.when(F.col("denied"), "dead").when(F.col("code") == 404, "dead").when(F.col("code") == 429, "rate_limited").when(F.col("code").between(200, 299) & readable, "verified").otherwise("candidate")
-    seen = marked.withColumn("status", status).withColumn("jobs", F.when(F.col("status") == "verified", F.coalesce(jobs, F.array())))
+    status = F.when(F.col("code") == 404, "dead").when(F.col("code") == 429, "rate_limited").when(F.col("code").between(200, 299) & F.try_parse_json("body").isNotNull(), "verified").otherwise("candidate")
+    read_ = payloads.withColumns({"page": F.col("page") if "page" in payloads.columns else F.lit(0), "status": status}).withColumn("jobs", F.when(F.col("status") == "verified", F.coalesce(jobs, F.array())))
+    flagged_at = F.array_position(F.transform(F.slice("jobs", 1, SEARCHED), lambda j: F.coalesce(geo.country_flag(j["place"]), F.lit(False))), F.lit(True))
+    pages = read_.select(
+        "ats", "slug", "page", "status", F.coalesce(F.size("jobs"), F.lit(0)).alias("n"), F.slice("jobs.title", 1, SAMPLE).alias("titles"),
+        flagged_at.alias("flagged_at"), F.when(F.col("status") == "verified", company).alias("company"),
+    )
+    is_ = lambda s: F.max(F.col("status") == s)
+    whole = pages.groupBy("ats", "slug").agg(
+        F.when(is_("verified"), "verified").when(is_("rate_limited"), "rate_limited").when(is_("candidate"), "candidate").otherwise("dead").alias("found"), F.sum("n").alias("job_count"),
+        F.min_by("company", F.when(F.col("company").isNotNull(), F.col("page"))).alias("company_name"),
+    )
+    order = Window.partitionBy("ats", "slug").orderBy("page", "titles")
+    first = pages.filter("n > 0").withColumn("at", F.row_number().over(order)).filter(F.col("at") <= SEARCHED).groupBy("ats", "slug").agg(F.array_sort(F.collect_list(F.struct("at", "n", "titles", "flagged_at"))).alias("first"))
+    before = F.aggregate("first", F.struct(F.lit(0).alias("seen"), F.lit(False).alias("hit")), lambda so, p: F.struct((so["seen"] + p["n"]).alias("seen"), (so["hit"] | ((p["flagged_at"] > 0) & (so["seen"] + p["flagged_at"] <= SEARCHED))).alias("hit")), lambda so: so["hit"])
+    seen = whole.join(first, ["ats", "slug"], "left").withColumn("low", F.lower("slug")).join(denied.select("ats", F.col("slug").alias("low"), F.lit(True).alias("denied")), ["ats", "low"], "left")
+    alive = F.col("denied").isNull()
     return seen.select(
-        "ats", "slug", "status", F.coalesce(F.size("jobs"), F.lit(0)).alias("job_count"), F.coalesce(F.slice("jobs.title", 1, 5), F.array()).alias("sample_titles"),
-        F.coalesce(F.exists(F.slice("jobs", 1, 50), lambda j: geo.country_flag(j["place"])), F.lit(False)).alias("flagged"), F.when(F.col("status") == "verified", company).alias("company_name"),
+        "ats", "slug", F.when(alive, F.col("found")).otherwise("dead").alias("status"), F.when(alive, F.col("job_count")).otherwise(0).cast("int").alias("job_count"),
+        F.when(alive & F.col("first").isNotNull(), F.slice(F.flatten("first.titles"), 1, SAMPLE)).otherwise(F.array()).alias("sample_titles"), (alive & F.coalesce(before, F.lit(False))).alias("flagged"), F.when(alive, F.col("company_name")).alias("company_name"),
     )
 
 

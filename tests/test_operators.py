@@ -273,6 +273,48 @@ def test_verify_tenants(spark):
     assert got["ok"].flagged and got["ok"].sample_titles == ["A", "Untitled"] and got["ok"].company_name == "Co" and got["ok"].job_count == 2
 
 
+def test_a_verdict_for_a_tenant_of_many_pages(spark):
+    import json
+
+    page = lambda lo, hi, at=None: json.dumps([{"text": f"t{k}", "categories": {"location": "Pune" if k == at else "Oslo"}} for k in range(lo, hi)])
+    rows = [("in", 0, 200, page(0, 3)), ("in", 1, 200, "[]"), ("in", 2, 200, page(3, 60, 49)), ("in", 3, 200, page(60, 70, 61))]  # the fiftieth job
+    rows += [("late", 0, 200, page(0, 3)), ("late", 1, 200, page(3, 60, 50))]  # the fifty-first
+    rows += [("mixed", 0, 500, None), ("mixed", 1, 200, page(7, 9)), ("mixed", 2, 429, None)]
+    rows += [("wait", 0, 404, None), ("wait", 1, 429, None), ("wait", 2, 500, None), ("gone", 0, 404, None), ("gone", 1, 404, None), ("odd", 0, 404, None), ("odd", 1, 200, "{broken")]
+    random.Random(1).shuffle(rows)
+    df = spark.createDataFrame([("lever", *r) for r in rows], "ats string, slug string, page int, code int, body string")
+    got = {r.slug: r for r in tenants.verify_tenants(df, dims.denylist(spark)).collect()}
+    assert len(got) == 6 and {k: r.status for k, r in got.items()} == {"in": "verified", "late": "verified", "mixed": "verified", "wait": "rate_limited", "gone": "dead", "odd": "candidate"}
+    assert (got["in"].job_count, got["in"].sample_titles, got["in"].flagged) == (70, ["t0", "t1", "t2", "t3", "t4"], True)
+    assert (got["late"].job_count, got["late"].flagged) == (60, False) and got["mixed"].sample_titles == ["t7", "t8"]
+    assert got["wait"].sample_titles == [] and got["wait"].job_count == 0
+    one = spark.createDataFrame([("greenhouse", "co", k, 200, json.dumps({"jobs": [{"title": f"j{k}", "company_name": n}] if n is not None else []})) for k, n in enumerate([None, "", "Second", "Third"])], df.schema)
+    assert [(r.company_name, r.sample_titles) for r in tenants.verify_tenants(one, dims.denylist(spark)).collect()] == [("Second", ["j1", "j2", "j3"])]
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_places_of_a_list_do_not_depend_on_its_pages(spark, size):
+    import json
+
+    posts = {"a": 20, "b": 3, "c": 0}
+    lists = [(slug, at // size, json.dumps({"content": [{"id": str(k), "name": f"{slug}{k}", "ref": f"{slug}/{k}"} for k in range(at, min(n, at + size))]})) for slug, n in posts.items() for at in range(0, max(n, 1), size)]
+    random.Random(size).shuffle(lists)
+    df = spark.createDataFrame(lists, "slug string, page int, body string")
+    details = spark.createDataFrame([(f"{s}/{k}", "{}") for s, n in posts.items() for k in range(n) if k != 2], "ref string, body string")
+    first = {r.title for r in feeds.read_smartrecruiters(df, details, 5).collect()}
+    assert first == {"a0", "a1", "a3", "a4", "b0", "b1"}
+    assert feeds.read_smartrecruiters(df, details).count() == 19 + 2
+    starts = {(r.slug, r.page): r.start for r in feeds.page_starts(df.select("slug", "page", F.size(F.from_json("body", "content array<struct<id string>>")["content"]).alias("n")), ["slug"]).collect()}
+    assert starts == {(slug, at // size): at for slug, n in posts.items() for at in range(0, max(n, 1), size)}
+
+
+def test_a_board_is_named_by_its_first_posting_on_any_page(spark):
+    job = lambda title, name: f'{{"title": "{title}", "absolute_url": "https://x.example/{title}", "company_name": {name}}}'
+    rows = [("s", 2, f'{{"jobs": [{job("c", chr(34) + "Late" + chr(34))}]}}'), ("s", 0, '{"jobs": []}'), ("s", 1, f'{{"jobs": [{job("a", chr(34) + " Board " + chr(34))}, {job("b", "null")}]}}'), ("t", 0, f'{{"jobs": [{job("d", "null")}]}}'), ("t", 1, f'{{"jobs": [{job("e", chr(34) + "Other" + chr(34))}]}}')]
+    got = {r.title: r.company for r in feeds.read_greenhouse(spark.createDataFrame(rows, "slug string, page int, body string")).collect()}
+    assert got == {"a": "Board", "b": "Board", "c": "Board", "d": "t", "e": "t"}
+
+
 def test_stream_feeds_is_idempotent_and_incremental(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
