@@ -11,7 +11,8 @@ from ..functions import geo, text
 from ..operators import merge as m
 from ..operators import retrieval as r
 from ..operators import scoring as s
-from .base import AS_OF_S, dims, duck, logical, now, query, seconds, sql_content, sql_list, sql_values
+from ..operators.index import TermIndex, kept_index
+from .base import AS_OF_S, dims, duck, logical, now, query, read, seconds, sql_content, sql_list, sql_values
 
 _POSTINGS = duck("postings")
 
@@ -178,14 +179,24 @@ def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.query_terms(logical(spark, sf_dir, "queries"), ["raw_query"])
 
 
+def kept(spark: SparkSession, sf_dir: str) -> TermIndex:
+    """The kept index of the postings; made by whichever query needs it first."""
+    return kept_index(spark, "postings-index", logical(spark, sf_dir, "postings"), read(spark, sf_dir, "documents"))
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.match_all_terms(_terms(spark, sf_dir), logical(spark, sf_dir, "postings"))
+    terms = _terms(spark, sf_dir)
+    return r.match_all_terms(terms, None, kept(spark, sf_dir).rows(terms))
+
+
+def _ranked(spark: SparkSession, sf_dir: str, k: int = dims.TOP_K) -> DataFrame:
+    return kept(spark, sf_dir).top(_terms(spark, sf_dir), logical(spark, sf_dir, "postings"), k)
 
 
 def _top(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Ranked postings with what the filters need."""
     p, q = logical(spark, sf_dir, "postings"), logical(spark, sf_dir, "queries")
-    return r.rank_topk(_matches(spark, sf_dir), p, k).join(p.drop("published_s", "last_seen_s"), "id").join(geo.location_terms(q).select("query_id", "raw_query", "remote", "seniority", "loc_terms"), "query_id")
+    return _ranked(spark, sf_dir, k).join(p.drop("published_s", "last_seen_s"), "id").join(geo.location_terms(q).select("query_id", "raw_query", "remote", "seniority", "loc_terms"), "query_id")
 
 
 @query(f"{duck('queries')}, {_TERMS} SELECT query_id, term FROM qt")
@@ -205,7 +216,7 @@ def match_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FOUND} SELECT query_id, id, round(rank, 9) AS rank, pos FROM ps WHERE pos <= 50")
 def rank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.rank_topk(_matches(spark, sf_dir), logical(spark, sf_dir, "postings")).select("query_id", "id", F.round("rank", 9).alias("rank"), F.col("pos").cast("long").alias("pos"))
+    return _ranked(spark, sf_dir).select("query_id", "id", F.round("rank", 9).alias("rank"), F.col("pos").cast("long").alias("pos"))
 
 
 _PS2000 = f"{_FOUND}, tp AS (SELECT ps.*, p.is_remote, p.location_raw, p.title, p.url, q.remote, q.location, q.seniority FROM ps JOIN postings p USING (id) JOIN queries q USING (query_id) WHERE pos <= 2000)"
@@ -231,7 +242,7 @@ def backfill_salary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FOUND} SELECT q.query_id, count(ps.id) AS n, count(ps.id) < 5 AS fallback FROM queries q LEFT JOIN (SELECT * FROM ps WHERE pos <= 50) ps USING (query_id) GROUP BY 1")
 def needs_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.needs_fallback(logical(spark, sf_dir, "queries"), r.rank_topk(_matches(spark, sf_dir), logical(spark, sf_dir, "postings")))
+    return r.needs_fallback(logical(spark, sf_dir, "queries"), _ranked(spark, sf_dir))
 
 
 def _merged(external: str) -> str:

@@ -13,6 +13,7 @@ from ..scratch import scratch_path
 from ..streaming import jobs
 from . import stores  # noqa: F401 - the batch twins of the streams are registered first
 from .base import AS_OF_S, ORACLES, duck, logical, now, query, read, seconds
+from .corpus import kept as kept_terms
 
 
 def _folder(spark: SparkSession) -> str:
@@ -34,13 +35,14 @@ def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = q.select("query_id", "raw_query", filters.alias("filters"), (F.col("query_id") % 150).alias("owner"))
     # every tenth query was asked before and has three postings in the store, one of them without a score
     asked = q.filter("query_id % 10 = 0").select("query_id", F.sha2(normalize_query(F.col("raw_query")), 256).alias("raw_hash"))
-    held = asked.join(p.select(F.col("id").alias("n"), "url"), F.col("n").between(F.col("query_id"), F.col("query_id") + 2)).withColumn("id", posting_id(F.col("url")))
+    near = asked.withColumn("n", F.explode(F.expr("sequence(query_id, query_id + 2)")))
+    held = near.join(p.select(F.col("id").alias("n"), "url"), "n").withColumn("id", posting_id(F.col("url")))
     scores = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("n") % 3 != 0, F.struct("id", F.struct((F.col("n") % 3 / 3).alias("score"), F.lit("kept").alias("fit")))))))
     kept = held.groupBy("raw_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("ids"), scores.alias("scores"))
     stored = kept.select(F.col("raw_hash").alias("query_hash"), "raw_hash", "ids", "scores", now().alias("created_at"))
     external = p.select((F.col("id") % 40).alias("query_id"), F.col("id").alias("pos"), "url", "title", "company", F.col("location_raw").alias("location"))
     hidden = logical(spark, sf_dir, "hidden_log").select("owner", F.lower(F.trim("company")).alias("company"))
-    done = batch_search(SearchInputs(queries, p.drop("published_s", "last_seen_s"), stored, external, hidden), now())
+    done = batch_search(SearchInputs(queries, p.drop("published_s", "last_seen_s"), stored, external, hidden, kept_terms(spark, sf_dir)), now())
     return done["results"].select("query_id", "url", "score", "place", "from_store")
 
 

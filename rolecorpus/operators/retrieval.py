@@ -117,20 +117,22 @@ def stemmer(stem) -> callable:
     return run
 
 
+def index_words(c: Column, stem=None) -> Column:
+    """The words of a field that are indexed, one after another."""
+    w = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda x: (F.length(x) >= 2) & ~x.isin(dims.STOP_WORDS))
+    return stem(w) if stem else w
+
+
 def build_index(postings: DataFrame, stem=None) -> DataFrame:
     """(term, id, field, tf) over title (A), company (B) and description (C). A posting's words are sorted and counted in its
     own row, so nothing is shuffled; ``write_index`` lays the rows out by term."""
 
-    def words(c: Column) -> Column:
-        w = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda x: (F.length(x) >= 2) & ~x.isin(dims.STOP_WORDS))
-        return stem(w) if stem else w
-
     def counted(s: Column) -> Column:
         """Each distinct word of a sorted array with the distance to where the next one begins."""
         begins = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))))
         return let(begins, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("tf"))))
 
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), let(F.array_sort(words(F.col(c))), counted).alias("terms")) for f, c in (("A", "title"), ("B", "company"), ("C", "description"))])
+    fields = F.array(*[F.struct(F.lit(f).alias("field"), let(F.array_sort(index_words(F.col(c), stem)), counted).alias("terms")) for f, c in (("A", "title"), ("B", "company"), ("C", "description"))])
     each = postings.select("id", F.explode(fields).alias("f")).select("id", "f.field", F.explode("f.terms").alias("t"))
     return each.select("t.term", "id", "field", "t.tf")
 

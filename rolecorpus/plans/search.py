@@ -12,19 +12,21 @@ from ..functions import geo
 from ..operators import retrieval as r
 from ..operators import scoring as s
 from ..operators import store
+from ..operators.index import TermIndex
 from ..scratch import settle
 
 
 @dataclass
 class SearchInputs:
     """queries(query_id, raw_query, filters struct or null, owner), postings, result_store (query_hash, raw_hash, ids, scores, created_at),
-    external candidates, hidden companies."""
+    external candidates, hidden companies; with a kept ``index`` of the postings' ids no posting's words are read."""
 
     queries: DataFrame
     postings: DataFrame
     result_store: DataFrame
     external: DataFrame
     hidden: DataFrame
+    index: TermIndex | None = None
 
 
 def parse_queries(queries: DataFrame) -> DataFrame:
@@ -81,8 +83,11 @@ def batch_search(inputs: SearchInputs, as_of: Column, k: int = dims.TOP_K, score
     open_ = settle(parsed.join(hits.select("raw_hash"), "raw_hash", "left_anti"), "search-open")
     ready = answered(parsed.join(hits.select("raw_hash"), "raw_hash", "left_semi"), stored.join(hits.select("query_hash"), "query_hash", "left_semi"), inputs, newest, fresh_only, as_of)
     terms = r.query_terms(open_, ["role", "seniority"])
-    matches = settle(r.match_all_terms(terms, postings), "search-matches")
-    wide = r.rank_topk(matches, postings, r.widened(k)).join(postings, "id").join(open_.select("query_id", "raw_query", "remote", "seniority", "loc_terms", "owner"), "query_id")
+    if inputs.index is not None:
+        ranked = inputs.index.top(terms, postings, r.widened(k))
+    else:
+        ranked = r.rank_topk(settle(r.match_all_terms(terms, postings), "search-matches"), postings, r.widened(k))
+    wide = ranked.join(postings, "id").join(open_.select("query_id", "raw_query", "remote", "seniority", "loc_terms", "owner"), "query_id")
     local = settle(r.backfill_salary(r.location_postfilter(r.remote_postfilter(wide), k)), "search-local")
     few = r.needs_fallback(open_, local).filter("fallback").select("query_id")
     ours = local.select("query_id", "pos", "url", "title", "company", F.col("location_raw").alias("location"), *CARRIED)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolecorpus import dims
-from rolecorpus.operators import evals, merge, owners, retrieval, scoring, telemetry
+from rolecorpus.operators import evals, index, merge, owners, retrieval, scoring, telemetry
 from rolecorpus.plans import search
 from rolecorpus.sources import feeds, frontier, tenants
 from rolecorpus.streaming import jobs
@@ -101,16 +101,60 @@ def test_query_terms_and_division(spark):
 
 def test_written_index_is_read_by_term(spark, tmp_path):
     p = spark.createDataFrame([(k, f"title w{k % 7}", "co", f"text x{k % 5} x{k % 5} common") for k in range(60)], "id long, title string, company string, description string")
-    index = retrieval.build_index(p)
-    assert {(r.term, r.id, r.tf) for r in index.filter("field = 'C' and term like 'x%'").collect()} == {(f"x{k % 5}", k, 2) for k in range(60)}
-    retrieval.write_index(index, f"{tmp_path}/index", buckets=16)
+    built = retrieval.build_index(p)
+    assert {(r.term, r.id, r.tf) for r in built.filter("field = 'C' and term like 'x%'").collect()} == {(f"x{k % 5}", k, 2) for k in range(60)}
+    retrieval.write_index(built, f"{tmp_path}/index", buckets=16)
     terms = spark.createDataFrame([(1, "x2"), (1, "common"), (2, "w3"), (2, "x1"), (2, "title"), (3, "absent"), (3, "common")], "query_id int, term string")
     part = retrieval.read_index(spark, f"{tmp_path}/index", terms, buckets=16)
-    assert part.count() < index.count()
+    assert part.count() < built.count()
     got = {(r.query_id, r.id) for r in retrieval.match_all_terms(terms, None, part).select("query_id", "id").distinct().collect()}
     assert got == {(1, k) for k in range(60) if k % 5 == 2} | {(2, k) for k in range(60) if k % 7 == 3 and k % 5 == 1}
 
 
+def _posts(spark, rng, ids, words):
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, text(3), text(1), text(rng.randrange(12))) for k in ids]
+    return spark.createDataFrame(rows, "id long, title string, company string, description string").withColumn("published_at", F.timestamp_seconds((F.col("id") % 7) * 1000))
+
+
+def _same(a, b):
+    key = lambda df: sorted((r.query_id, r.pos, r.id, round(r["rank"], 9)) for r in df.collect())
+    return key(a) == key(b)
+
+
+def test_kept_index_with_a_delta_equals_a_new_one(spark, tmp_path):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    old, new = _posts(spark, rng, range(200), words), _posts(spark, rng, [*range(0, 200, 10), 300, 301], words)
+    gone = spark.createDataFrame([(5,), (7,)], "id long")
+    now = old.join(new, "id", "left_anti").join(gone, "id", "left_anti").unionByName(new)
+    terms = spark.createDataFrame([(1, "w1"), (1, "w2"), (2, "w3"), (3, "w4"), (3, "absent"), (4, "w5"), (4, "w6"), (4, "w7")], "query_id int, term string")
+    built = index.TermIndex(spark, f"{tmp_path}/ix", buckets=8).create(old)
+    assert _same(built.top(terms, old, 7), retrieval.rank_topk(retrieval.match_all_terms(terms, old), old, 7))
+    built.add(new, gone)
+    want = {(r.query_id, r.id, r.field, r.term, r.tf) for r in retrieval.match_all_terms(terms, now).collect()}
+    for segments in (2, 1):
+        assert len(built.segments()) == segments
+        got = {(r.query_id, r.id, r.field, r.term, r.tf) for r in retrieval.match_all_terms(terms, None, built.rows(terms)).collect()}
+        assert got == want and _same(built.top(terms, now, 5), retrieval.rank_topk(retrieval.match_all_terms(terms, now), now, 5))
+        built.compact()
+    again = index.kept_index(spark, "t", now, spark.read.parquet(f"{tmp_path}/ix/{built.segments()[0]}/rows"))
+    assert index.kept_index(spark, "t", None, spark.read.parquet(f"{tmp_path}/ix/{built.segments()[0]}/rows")).segments() == again.segments()
+
+
+@pytest.mark.parametrize("first", [1, 50, 20_000])
+def test_blocks_that_can_not_rank_are_not_joined(spark, tmp_path, monkeypatch, first):
+    monkeypatch.setattr(index, "FIRST_ROWS", first)
+    rows = [(k, "alpha beta" if k % 40 == 0 else "alpha" if k % 41 == 0 else "x", "co", "alpha beta" if k % 3 else "beta only") for k in range(3000)]
+    posts = spark.createDataFrame(rows, "id long, title string, company string, description string").withColumn("published_at", F.timestamp_seconds(F.col("id") % 50))
+    terms = spark.createDataFrame([(1, "alpha"), (1, "beta"), (2, "beta"), (3, "only"), (3, "alpha")], "query_id int, term string")
+    built = index.TermIndex(spark, f"{tmp_path}/ix", buckets=4).create(posts)
+    assert _same(built.top(terms, posts, 20), retrieval.rank_topk(retrieval.match_all_terms(terms, posts), posts, 20))
+    pair = terms.filter("query_id = 1")
+    every, read_first, reached = (sum(r.n for r in df.collect()) for df in built.wanted_blocks(pair, 20))
+    assert every == 3000 + sum("alpha" in r[1] + r[3] for r in rows) and reached < every / 5 and (first > 50 or read_first < every / 5)
+
+
 def test_places_join_by_runs_of_words(spark):
     p = spark.createDataFrame([(1, "San  Francisco, CA"), (2, "san jose"), (3, " "), (4, None), (5, "San Francisco, CA")], "id int, location_raw string")
     q = spark.createDataFrame([(1, ["san francisco", "sf"]), (2, ["francis"]), (3, None), (4, ["a, b"])], "query_id int, loc_terms array<string>")
