@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .common import PIECE, PrefixHash, mix64, settle
 
 #: Prefixes that a round expands, and parts that it looks up; bits of the filter of frequent words; bytes of texts worked at a time.
 FRONTIER, FILTER_BITS, GROUP = 1 << 18, 23, 4 << 20
+#: Distinct phrases that a task counts before it sends them on; ranges of hashes, for each partition of a shuffle.
+HELD, RANGES = 1 << 20, 4
 LONGEST, SCALE = 4, 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of bytes: of a word, between words, between pieces.
@@ -113,13 +116,36 @@ def _chains(h: np.ndarray, piece: np.ndarray, common: np.ndarray) -> dict[int, t
 
 PARTS = [f"{side}{k}" for k in range(1, LONGEST) for side in "ps"]
 COUNTED = "h long, n int, c long, " + ", ".join(f"{x} long" for x in PARTS)
+BLOCKS = "r int, n int, words binary, counts binary"
 
 
-def _count_phrases(batches: Iterator[pa.RecordBatch], sets, common_bits) -> Iterator[pa.RecordBatch]:
-    """(h, n, c, hashes of first and last words) of the phrases that lengthen an expanded one, or are looked up."""
+def _summed(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases given by their words' hashes, once each in order of the phrase's hash, with their counts added up."""
+    h = words[:, 0]
+    for k in range(1, words.shape[1]):
+        h = mix64(h * _BASE + words[:, k])
+    order = np.argsort(h)
+    h, words, counts = h[order], words[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    return h[first], words[first], np.add.reduceat(counts, first)
+
+
+def _count_phrases(batches: Iterator[pa.RecordBatch], sets, common_bits, ranges: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of the phrases that lengthen an expanded one, or are looked up: (range of hashes, n, words' hashes, counts). Phrases are
+    counted over ``HELD`` of them before a block of each range goes out."""
     expand, wanted = sets.value
     bits = np.unpackbits(np.frombuffer(common_bits.value, np.uint8), bitorder="little").astype(bool)
     mask = np.uint64(len(bits) - 1)
+    bounds = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {n: [] for n in range(2, LONGEST + 1)}
+
+    def flush(n: int) -> pa.RecordBatch:
+        h, words, counts = _summed(*(np.concatenate(x) for x in zip(*held[n], strict=True)))
+        held[n] = []
+        cuts = [0, *np.searchsorted(h, bounds).tolist(), len(h)]
+        some = [(r, lo, hi) for r, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi]
+        return _batch(["r", "n", "words", "counts"], [np.array([r for r, *_ in some], np.int32), np.full(len(some), n, np.int32), pa.array([words[lo:hi].tobytes() for _, lo, hi in some], pa.binary()), pa.array([counts[lo:hi].astype(np.uint32).tobytes() for _, lo, hi in some], pa.binary())])
+
     for _, (h, _, _, piece), _, _ in _texts(batches):
         chains = _chains(h, piece, bits[h & mask])
         for n in range(2, LONGEST + 1):
@@ -134,10 +160,36 @@ def _count_phrases(batches: Iterator[pa.RecordBatch], sets, common_bits) -> Iter
             at = at[known[at] | known[at + 1] | _has(wanted, whole[at])]
             if not len(at):
                 continue
-            u, first, c = np.unique(whole[at], return_index=True, return_counts=True)
-            begin = at[first]
-            parts = [chains[k][0][begin if side == "p" else begin + n - k].view(np.int64) if k < n else pa.nulls(len(u), pa.int64()) for k in range(1, LONGEST) for side in "ps"]
-            yield _batch(["h", "n", "c", *PARTS], [u.view(np.int64), np.full(len(u), n, np.int32), c.astype(np.int64), *parts])
+            _, first, c = np.unique(whole[at], return_index=True, return_counts=True)
+            held[n].append((np.stack([h[at[first] + k] for k in range(n)], axis=1), c))
+            if sum(len(c) for _, c in held[n]) >= HELD:
+                yield flush(n)
+    for n in held:
+        if held[n]:
+            yield flush(n)
+
+
+def _sum_blocks(blocks: pd.DataFrame, least: int) -> pd.DataFrame:
+    """The phrases of a range that occur ``least`` times or more, with the hashes of their first and last words."""
+    out = []
+    for n, some in blocks.groupby("n"):
+        words = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, n) for x in some["words"]])
+        h, words, c = _summed(words, np.concatenate([np.frombuffer(x, np.uint32).astype(np.int64) for x in some["counts"]]))
+        often = c >= least
+        h, words, c = h[often], words[often], c[often]
+        frame = {"h": h.view(np.int64), "n": np.full(len(h), n, np.int32), "c": c}
+        for k in range(1, LONGEST):
+            for side in "ps":
+                if k < n:
+                    part = words[:, :k] if side == "p" else words[:, n - k :]
+                    x = part[:, 0]
+                    for j in range(1, k):
+                        x = mix64(x * _BASE + part[:, j])
+                    frame[f"{side}{k}"] = pd.array(np.ascontiguousarray(x).view(np.int64), "Int64")
+                else:
+                    frame[f"{side}{k}"] = pd.array([None] * len(h), "Int64")
+        out.append(pd.DataFrame(frame))
+    return pd.concat(out)[["h", "n", "c", *PARTS]]
 
 
 def _read_phrases(batches: Iterator[pa.RecordBatch], chosen) -> Iterator[pa.RecordBatch]:
@@ -183,6 +235,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         filled[r.b * 4096 : r.b * 4096 + 4096] = r.m
     common_bits = spark.sparkContext.broadcast(bytes(filled))
 
+    ranges = RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = spark.createDataFrame([], COUNTED)
     expanded = spark.createDataFrame([], "h long")
     judged = cuts = None
@@ -204,8 +257,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
         if not len(asked) and not any(map(len, expand.values())):
             break
         sets = spark.sparkContext.broadcast((expand, asked))
-        counted = rows.mapInArrow(lambda it, sets=sets: _count_phrases(it, sets, common_bits), COUNTED)
-        summed = counted.groupBy("h").agg(F.first("n").alias("n"), F.sum("c").alias("c"), *[F.first(x).alias(x) for x in PARTS]).filter(F.col("c") >= least)
+        counted = rows.mapInArrow(lambda it, sets=sets: _count_phrases(it, sets, common_bits, ranges), BLOCKS)
+        summed = counted.groupBy("r").applyInPandas(lambda blocks: _sum_blocks(blocks, least), COUNTED)
         known = settle(known.union(summed).dropDuplicates(["h"]), "phrases-known")
         expanded = settle(expanded.union(taken.select("h")), "phrases-expanded")
         judged, cuts = _judge(known, single, expanded, covers)
