@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from .common import PIECE, PrefixHash, mix64, settle
 
 #: Prefixes that a round expands, and parts that it looks up; bits of the filter of frequent words; bytes of texts worked at a time.
-FRONTIER, FILTER_BITS, GROUP = 1 << 18, 23, 4 << 20
+FRONTIER, FILTER_BITS, GROUP = 1 << 18, 23, 2 << 20
 #: Distinct phrases that a task counts before it sends them on; ranges of hashes, for each partition of a shuffle.
-HELD, RANGES = 1 << 20, 4
+HELD, RANGES = 1 << 18, 4
 LONGEST, SCALE = 4, 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of bytes: of a word, between words, between pieces.
@@ -63,17 +63,16 @@ def _texts(batches: Iterator[pa.RecordBatch]):
     """For each group of texts: lower-cased bytes, their words (hash with the language, place, bytes, piece) and each word's language,
     as a number into the list of languages."""
     for batch in batches:
-        texts, langs = batch.column("text"), batch.column("lang").to_pylist()
-        raws = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in texts]
-        at = 0
-        while at < len(raws):
-            stop, held = at, 0
-            while stop < len(raws) and (held == 0 or held + len(raws[stop]) <= GROUP):
-                held += len(raws[stop]) + 1
+        texts, langs, at = batch.column("text"), batch.column("lang").to_pylist(), 0
+        while at < len(texts):
+            stop, held, raws = at, 0, []
+            while stop < len(texts) and held < GROUP:
+                raws.append((texts[stop].as_py() or "").encode("utf-8", "surrogatepass"))
+                held += len(raws[-1]) + 1
                 stop += 1
-            raw = _LOWERED[np.frombuffer(b"\n".join(raws[at:stop]), np.uint8)]
+            raw = _LOWERED[np.frombuffer(b"\n".join(raws), np.uint8)]
             h, place, size, piece = _words(raw)
-            doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raws[at:stop]]), place, side="right")
+            doc = np.searchsorted(np.cumsum([len(r) + 1 for r in raws]), place, side="right")
             names = sorted({x if x is not None else "und" for x in langs[at:stop]})
             number = {x: k for k, x in enumerate(names)}
             of_doc = np.array([number[x if x is not None else "und"] for x in langs[at:stop]], np.int64)
