@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PIECE, PrefixHash, mix64, settle
+from .common import PrefixHash, mix64, settle
 
 #: Prefixes that a round expands, and parts that it looks up; bits of the filter of frequent words; bytes of texts worked at a time.
-FRONTIER, FILTER_BITS, GROUP = 1 << 18, 23, 2 << 20
+FRONTIER, FILTER_BITS, GROUP = 1 << 18, 23, 1 << 20
 #: Distinct phrases that a task counts before it sends them on; ranges of hashes, for each partition of a shuffle.
-HELD, RANGES = 1 << 18, 4
+HELD, RANGES = 1 << 17, 4
+#: Bytes that are hashed at a time.
+PIECE = 1 << 18
 LONGEST, SCALE = 4, 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Kinds of bytes: of a word, between words, between pieces.
