@@ -156,9 +156,15 @@ class Pseudonyms:
         if v.startswith("AKIA"):
             chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
             return "AKIA" + "".join(_unranked(self.permute("key", *_ranked(list(v[4:]), [chars] * 16)), [chars] * 16))
-        rank = self.permute(f"hex{len(v)}", int(v, 16), 16 ** len(v))
-        out = f"{rank:0{len(v)}x}"
-        return out if v == v.lower() else out.upper()
+        # values without capitals, without small letters and with both are permuted among themselves, so each keeps its case and way back
+        low, up = any(c in "abcdef" for c in v), any(c in "ABCDEF" for c in v)
+        classes = ["0123456789" + "abcdef" * (low or not up) + "ABCDEF" * up] * len(v)
+        rank, size = _ranked(list(v), classes)
+        while True:
+            rank = self.permute(f"hex{low and up:d}{up:d}", rank, size)
+            new = "".join(_unranked(rank, classes))
+            if not up or (any(c in "ABCDEF" for c in new) and (not low or any(c in "abcdef" for c in new))):
+                return new
 
     def iban(self, v: str) -> str | None:
         plain = v.replace(" ", "")
@@ -211,13 +217,14 @@ class Pseudonyms:
         if luhn_digit(digits[:-1]) != int(digits[-1]) or not digits.strip("0"):
             return None
         n = len(digits) - 1
-        rank = int(digits[:-1])
-        for _ in range(1000):  # a card in a free layout must not become one that holds a value of another kind
+        rank = first = int(digits[:-1])
+        while True:  # a card in a free layout must not become one that holds a value of another kind
             rank = self.permute("card", rank, 10**n)
             new = self._fill(v, f"{rank:0{n}d}{luhn_digit(f'{rank:0{n}d}')}")
             if self.parts["card"].fullmatch(v) or not self._values(new):
                 return new
-        return None
+            if rank == first:  # all of its cycle hold one: so does the value, which is then that value's
+                return None
 
     def phone(self, v: str) -> str | None:
         digits = re.sub(r"\D", "", v)

@@ -22,6 +22,9 @@ COLUMNS = {
     "op7_line_dedup": "doc_id bigint, text string, lines_removed bigint, chunks_removed bigint",
     "op8_ngram_jaccard_join": "doc_id bigint, n_shingles bigint, component_id bigint",
     "op9_source_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op11_phrase_collocations": "lang string, rank bigint, phrase string, a bigint, l bigint, r bigint, n bigint, score bigint",
+    "op12_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op13_dataset_manifest": "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean",
     "op10_decontamination": "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint, containment double",
 }
 
@@ -42,7 +45,7 @@ def test_columns_and_types(results):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(results, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     names = [c[0] for c in want.description]
