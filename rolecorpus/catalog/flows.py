@@ -89,6 +89,11 @@ def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests_through(spark, sf_dir, lambda requests: jobs.stream_token_bucket(requests, 2, 36_000))
 
 
+@query(ORACLES["sliding_window"])
+def stream_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests_through(spark, sf_dir, lambda requests: jobs.stream_sliding_window(requests, 2, 36_000)).select("event_id", "n", "allowed")
+
+
 @query(ORACLES["fixed_window"])
 def stream_fixed_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests_through(spark, sf_dir, lambda requests: jobs.stream_fixed_window(requests, 3)).select("event_id", "allowed")

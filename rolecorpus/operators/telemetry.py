@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,53 @@ def traffic(events: DataFrame, as_of: Column) -> DataFrame:
     return c.select("searches_1h", "searches_24h", _pct(F.col("hits"), F.col("searches_1h")).alias("hit_pct"), _pct(F.col("fails"), F.col("searches_24h"), 2).alias("fail_pct"))
 
 
+#: Bits of a value that one pass over the rows resolves: a pass brings at most 2**RESOLVED counts for each asked rank to the driver.
+RESOLVED = 10
+
+
+def exact_percentiles(rows: DataFrame, value: str, subsets: dict[str, Column], asked: list[tuple[str, float]]) -> list[float | None]:
+    """Interpolated percentiles (subset, share) of a whole-number column over subsets of the rows, None for an empty one.
+
+    Ranks are selected by nested histograms: values are counted by range, and only the ranges that hold an asked rank are counted
+    again, more finely, until a range is one value. No value is shuffled or sorted, only sums over ranges are, however many rows or
+    distinct values there are. Nulls are left out.
+    """
+    held = rows.select(F.col(value).cast("long").alias("v"), *[F.coalesce(c, F.lit(False)).alias(f"in_{k}") for k, c in subsets.items()]).filter("v is not null")
+    whole = held.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), *[F.count_if(f"in_{k}").alias(k) for k in subsets]).first()
+    ranks = {(k, r) for k, q in asked if whole[k] for at in [(whole[k] - 1) * q] for r in (math.floor(at), math.ceil(at))}
+    # of each asked rank: the range that holds it, and how many values of its subset stand before that range
+    place, before = dict.fromkeys(ranks, 0), dict.fromkeys(ranks, 0)
+    shift = max(0, ((whole.hi or 0) - (whole.lo or 0)).bit_length()) if ranks else 0
+    while shift > 0:
+        width = min(RESOLVED, shift)
+        shift -= width
+        off = F.expr(f"v - ({whole.lo})")
+        finer = held.filter(F.shiftright(off, shift + width).isin(sorted(set(place.values())))).groupBy(F.shiftright(off, shift).alias("at"))
+        counts = sorted(finer.agg(*[F.count_if(f"in_{k}").alias(k) for k in subsets]).collect(), key=lambda r: r["at"])
+        for k, r in ranks:
+            seen = before[k, r]
+            for c in counts:
+                if c["at"] >> width == place[k, r]:
+                    if seen + c[k] > r:
+                        place[k, r], before[k, r] = c["at"], seen
+                        break
+                    seen += c[k]
+    out = []
+    for k, q in asked:
+        if not whole[k]:
+            out.append(None)
+            continue
+        at = (whole[k] - 1) * q
+        low, high = (place[k, r] + whole.lo for r in (math.floor(at), math.ceil(at)))
+        out.append(float(low) if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+    return out
+
+
 def latency_percentiles(events: DataFrame, as_of: Column) -> DataFrame:
-    """Exact interpolated percentiles of the total time of searches; 0 where there is none."""
-    hour = F.when(_within(as_of, 1), F.col("total_ms"))
+    """Exact interpolated percentiles of the total time of searches; 0 where there is none. Reads the events when it is called."""
     rows = events.filter((F.col("evt") == "search") & _within(as_of, 24))
-    p = lambda c, q: F.coalesce(F.percentile(c, q), F.lit(0.0))
-    return rows.agg(p(hour, 0.5).alias("p50_1h"), p(hour, 0.95).alias("p95_1h"), p(hour, 0.99).alias("p99_1h"), p(F.col("total_ms"), 0.95).alias("p95_24h"))
+    got = exact_percentiles(rows, "total_ms", {"hour": _within(as_of, 1), "day": F.lit(True)}, [("hour", 0.5), ("hour", 0.95), ("hour", 0.99), ("day", 0.95)])
+    return events.sparkSession.createDataFrame([tuple(x or 0.0 for x in got)], "p50_1h double, p95_1h double, p99_1h double, p95_24h double")
 
 
 def cost_24h(events: DataFrame, as_of: Column) -> DataFrame:
@@ -93,10 +136,24 @@ def fixed_window_limit(requests: DataFrame, limit: int = 100, seconds: int = 86_
     return requests.withColumn("allowed", F.row_number().over(w) <= limit)
 
 
+#: Windows in a slice of time: a slice's rows stand together, with the last window of the slice before as a halo.
+SLICE = 16
+
+
 def sliding_window_limit(requests: DataFrame, limit: int = 10, seconds: int = 60) -> DataFrame:
-    """Adds n, the key's requests in the half-open window that ends with each, and allowed, whether that is within the limit."""
-    w = Window.partitionBy("key").orderBy("ts_us").rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return requests.withColumn("n", F.count("*").over(w)).withColumn("allowed", F.col("n") <= limit)
+    """Adds n, the key's requests in the half-open window that ends with each, and allowed, whether that is within the limit.
+
+    A key's requests are dealt out by slices of time, so a key that sends a third of all is as many groups as it has slices. A
+    request in the last window of a slice goes to the next one too, where it is counted and not returned.
+    """
+    width = seconds * 1_000_000
+    own = F.expr(f"ts_us div {SLICE * width} - cast(ts_us % {SLICE * width} < 0 as int)")
+    last = F.expr(f"pmod(ts_us, {SLICE * width}) >= {(SLICE - 1) * width}")
+    taken = set(requests.columns)
+    at, mine = (next(c for c in (name + "_" * k for k in range(len(taken) + 1)) if c not in taken) for name in ("slice", "own"))
+    dealt = requests.withColumn(at, F.explode(F.when(last, F.array(own, own + 1)).otherwise(F.array(own)))).withColumn(mine, F.col(at) == own)
+    w = Window.partitionBy("key", at).orderBy("ts_us").rangeBetween(-(width - 1), 0)
+    return dealt.withColumn("n", F.count("*").over(w)).filter(mine).drop(at, mine).withColumn("allowed", F.col("n") <= limit)
 
 
 def token_bucket(requests: DataFrame, tokens: int = 10, seconds: int = 60) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,3 +126,35 @@ def stream_fixed_window(requests: DataFrame, limit: int = 100, seconds: int = 86
     """(key, event_id, allowed) of a stream of requests: the first ``limit`` of a key in each window of the clock. A request that is
     late for its window counts in the current one. Needs the RocksDB state store."""
     return _limited(requests, limit, seconds, False, idle_seconds)
+
+
+class _Recent(StatefulProcessor):
+    """The times of a key's requests within the window that ends with its newest."""
+
+    def __init__(self, limit: int, seconds: int, idle_seconds: int | None):
+        self.limit, self.window, self.idle = limit, seconds * 1_000_000, idle_seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getListState("times", "ts bigint", *([] if self.idle is None else [self.idle * 1000]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:  # a frame at a time: what is kept is a window's times, not a batch's rows
+            if not len(batch):
+                continue
+            batch = batch.sort_values(["ts_us", "event_id"])
+            at = batch["ts_us"].to_numpy()
+            held = np.sort(np.concatenate((np.fromiter((t[0] for t in self.state.get()), np.int64), at)))
+            n = np.searchsorted(held, at, side="right") - np.searchsorted(held, at - self.window, side="right")
+            self.state.put([(int(t),) for t in held[held > held[-1] - self.window]])
+            yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"], "n": n, "allowed": n <= self.limit})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_sliding_window(requests: DataFrame, limit: int = 10, seconds: int = 60, idle_seconds: int | None = None) -> DataFrame:
+    """(key, event_id, n, allowed) of a stream of requests: how many of the key's requests, as far as they have arrived, lie in the window
+    that ends with each. A key's state is the times of its last window; with ``idle_seconds`` it goes when nothing has come for so
+    long, by the machine's clock. A request that is late by more than a window sees only what is kept. Needs the RocksDB state store."""
+    schema = "key bigint, event_id bigint, n bigint, allowed boolean"
+    return requests.groupBy("key").transformWithStateInPandas(_Recent(limit, seconds, idle_seconds), outputStructType=schema, outputMode="Append", timeMode="None" if idle_seconds is None else "ProcessingTime")

@@ -238,6 +238,35 @@ def test_merge_candidates_local_first(spark):
     assert got == [(0, "https://a.example/en-us/1"), (1, "https://a.example/2"), (2, "https://c.example/9")]
 
 
+def test_percentiles_by_nested_histograms(spark):
+    rng = random.Random(8)
+    values = [rng.choice([rng.randrange(50), rng.randrange(10**6), -rng.randrange(10**12), 7]) for _ in range(400)] + [None]
+    df = spark.createDataFrame([(v, k % 3 == 0) for k, v in enumerate(values)], "v long, third boolean")
+    asked = [(s, q) for s in ("all", "third", "none") for q in (0.0, 0.5, 0.95, 0.99, 1.0)]
+    got = telemetry.exact_percentiles(df, "v", {"all": F.lit(True), "third": F.col("third"), "none": F.lit(None).cast("boolean")}, asked)
+    want = [r for s in ("true", "third", "false") for r in df.filter(s).agg(*[F.percentile("v", q) for q in (0.0, 0.5, 0.95, 0.99, 1.0)]).first()]
+    assert all(a == b or abs(a - b) <= 1e-9 * abs(b) for a, b in zip(got, want, strict=True))
+    assert telemetry.exact_percentiles(df.limit(0), "v", {"all": F.lit(True)}, [("all", 0.5)]) == [None]
+    assert telemetry.exact_percentiles(df.filter("v = 7"), "v", {"all": F.lit(True)}, [("all", 0.5)]) == [7.0]
+
+
+def test_sliding_window_by_slices_and_as_a_stream(spark, tmp_path):
+    rng = random.Random(5)
+    second = 1_000_000
+    rows = [(k % 3 if k % 2 else 7, k, rng.choice([rng.randrange(3000), rng.randrange(-500, 500)]) * second // rng.choice([1, 1, 3])) for k in range(800)]
+    rows += [(9, 900 + k, t) for k, t in enumerate([0, 0, 160 * second - 1, 160 * second, 160 * second, 170 * second - 1, 170 * second, -1])]
+    df = spark.createDataFrame(rows, "key bigint, event_id bigint, ts_us bigint").withColumn("slice", F.lit("mine"))
+    want = {(k, e): sum(1 for k2, _, t2 in rows if k2 == k and t - 10 * second < t2 <= t) for k, e, t in rows}
+    got = telemetry.sliding_window_limit(df, 3, 10)
+    assert {(r.key, r.event_id): r.n for r in got.collect()} == want and got.count() == len(rows) and set(got.columns) == {*df.columns, "n", "allowed"}
+    hot = got.filter("key = 7").select(F.floor(F.col("ts_us") / (telemetry.SLICE * 10 * second))).distinct().count()
+    assert hot > 10  # the groups over which the key is dealt
+    df.drop("slice").write.parquet(f"{tmp_path}/in")
+    stream = jobs.stream_sliding_window(spark.readStream.schema("key bigint, event_id bigint, ts_us bigint").parquet(f"{tmp_path}/in"), 3, 10)
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.key, r.event_id): (r.n, r.allowed) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {k: (n, n <= 3) for k, n in want.items()}
+
+
 def test_token_bucket_batch_and_stream_agree(spark, tmp_path):
     s = 1_000_000
     times = [0] * 11 + [30 * s, 60 * s] + [60 * s + 1] * 10 + [600 * s] * 11
