@@ -39,11 +39,23 @@ _NEVER_NAMES = set(
     "sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "share sharing social related recommended comment comments commentlist respond disqus replies reply pagination pager widget toolbar skip copyright".split()
 )
+#: Words beside those of a name that say what kind of box it is, not what is in it.
+_BOX_WORDS = set("area bar block body bottom box btn button buttons center col column container content end group inner item items left link links list main middle outer panel right row section site slot start top unit wrap wrapper".split())
 _CLOSES_P = _BLOCK - {"body", "html", "head", "caption", "tbody", "thead", "tfoot", "tr", "legend", "option"}
 #: Elements that end when a sibling of theirs begins.
 _SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr"}, "option": {"option"}}
 
 
+def never_name(value: str) -> bool:
+    """Whether one of the names in a class or id attribute is that of something that is never article text: all its parts must be known
+    ones, or say what kind of box it is, or be numbers. ``ad-slot-2`` is one, ``related-work`` or ``share-price`` isn't."""
+    for name in value.split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", name) if x and not x.isdigit()]
+        if any(x in _NEVER_NAMES for x in parts) and all(x in _NEVER_NAMES or x in _BOX_WORDS for x in parts):
+            return True
+    return False
+
+
 _LISTS = {"ul", "ol", "dl", "table", "tbody", "select", "menu"}
 
 
@@ -143,9 +155,9 @@ def page_lines(page: str | None) -> list[Line]:
                 elif key == "hidden" or (key == "aria-hidden" and value == "true"):
                     bad = True
                 elif key in ("class", "id") and name not in ("main", "article"):
-                    bad = bad or not _NEVER_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value))
+                    bad = bad or never_name(value)
                 elif key in ("class", "id"):
-                    bad = bad or not {"comment", "comments", "ad", "related", "sponsored"}.isdisjoint(re.split(r"[^a-z0-9]+", value))
+                    bad = bad or not {"comment", "comments", "ad", "sponsored"}.isdisjoint(value.split())
         if bad and not never:
             flush()
         push(name, bad, good)

@@ -18,7 +18,7 @@ from .common import broadcast_if_small, mix64, settle, spare
 
 #: Length of the profiles and of a document's list.
 PROFILE = 300
-#: Characters that are counted together; longer texts are counted in pieces of it.
+#: Characters that are counted together; longer texts are counted in pieces of about it, cut between words.
 PIECE = 1_000_000
 #: Characters of texts whose n-grams are held together.
 HELD = 4_000_000
@@ -53,13 +53,25 @@ def _piece_counts(text: str, lengths: list[int], first: int) -> tuple[np.ndarray
     return np.unique(np.concatenate([d << np.uint64(_GRAM_BITS) | mix64(g) >> np.uint64(64 - _GRAM_BITS) for d, g in keys]), return_counts=True)
 
 
+def _cuts(text: str) -> list[int]:
+    """Where a long text is cut: never inside a word, so the pieces have the n-grams of the whole."""
+    cuts = [0]
+    while cuts[-1] + PIECE < len(text):
+        k = cuts[-1] + PIECE
+        while k < len(text) and text[k].isalpha():
+            k += 1
+        cuts.append(k)
+    return cuts if cuts[-1] == len(text) else [*cuts, len(text)]
+
+
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, n-gram, count) of all n-grams of each text, by document and n-gram."""
     parts: list[tuple[np.ndarray, np.ndarray]] = []
     i = 0
     while i < len(texts):
         if len(texts[i]) > PIECE:
-            own = [_piece_counts(texts[i][k : k + PIECE], [min(PIECE, len(texts[i]) - k)], i) for k in range(0, len(texts[i]), PIECE)]
+            cuts = _cuts(texts[i])
+            own = [_piece_counts(texts[i][a:b], [b - a], i) for a, b in zip(cuts, cuts[1:], strict=False)]
             keys, where = np.unique(np.concatenate([k for k, _ in own]), return_inverse=True)
             parts.append((keys, np.bincount(where, np.concatenate([c for _, c in own])).astype(np.int64)))
             i += 1

@@ -200,3 +200,59 @@ def test_secrets_keep_their_case_and_their_difference(spark):
     kind = lambda v: (len(v), any(c in "ABCDEF" for c in v), any(c in "abcdef" for c in v) and any(c in "ABCDEF" for c in v))
     assert all(kind(new[k][6:-4]) == kind(v) for k, v in enumerate(values)) and sum(new[k] != f"token={v} end" for k, v in enumerate(values)) > 0.99 * len(values)
     assert {r.doc_id: r.text for r in privacy.pseudonymize(there.select("doc_id", "text"), "k", back=True).collect()} == {k: f"token={v} end" for k, v in enumerate(values)}
+
+
+# ---- names in pages ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("html", "kept"),
+    [
+        ("<article><div class='related-work'>Related work says much.</div><p>Text</p></article>", ["Related work says much.", "Text"]),
+        ("<article><p class=share-price>The share price rose.</p></article>", ["The share price rose."]),
+        ("<div><p id='login-guide'>How to log in.</p></div>", ["How to log in."]),
+        ("<article><div class='related'>More</div><div class='wide ad-slot-2'>Buy</div><div class='comment list-inner comments-list'>me too</div><p class='lead'>Text</p></article>", ["Text"]),
+        ("<article class='wide ad'>Buy</article><article class='ad-law'>Law</article><div class='site-footer'>Foot</div><div id='top-nav'>Nav</div>", ["Law"]),
+    ],
+)
+def test_only_whole_names_say_what_is_no_article_text(html, kept):
+    from rolecorpus.llm.extraction import page_lines
+
+    assert [x.text for x in page_lines(html) if not x.never] == kept
+
+
+def brute_pair(a, b):
+    """Lines of ``a`` outside one longest common subsequence with ``b``, by the plain table; how many there are is the same for all."""
+    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            size[i][j] = 1 + size[i + 1][j + 1] if a[i] == b[j] else max(size[i + 1][j], size[i][j + 1])
+    return size[0][0]
+
+
+def test_common_lines_are_a_longest_common_subsequence():
+    from rolecorpus.llm.extraction import common_lines
+
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randrange(14))] for _ in "ab")
+        at = sorted(common_lines(a, b))
+        it = iter(b)
+        assert len(at) == brute_pair(a, b) and all(x in it for x in (a[k] for k in at))
+
+
+def test_pieces_of_a_long_text_have_its_grams(monkeypatch):
+    from rolecorpus.llm import language
+
+    rng = random.Random(3)
+    text = "".join(rng.choice(["ab", "é", "Straße ", " ", "1", ". ", "long" * 9, "\n"]) for _ in range(600))
+    whole = [x.tolist() for x in language.gram_counts(["one", text, "two"])]
+    for piece in (1, 7, 40, 333):
+        monkeypatch.setattr(language, "PIECE", piece)
+        assert [x.tolist() for x in language.gram_counts(["one", text, "two"])] == whole
+    plain = Counter()
+    low = " " + re.sub(" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in text)).strip() + " "
+    for n in (1, 2, 3):
+        plain.update(low[k : k + n] for k in range(len(low) - n + 1) if (n != 1 or low[k] != " ") and (n != 3 or low[k + 1] != " "))
+    doc, _, count = language.gram_counts([text])
+    assert sorted(count.tolist()) == sorted(plain.values()) and set(doc.tolist()) == {0}
