@@ -16,7 +16,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only in a local session that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="rolecorpus-")
         spark.conf.set("spark.checkpoint.dir", found)
