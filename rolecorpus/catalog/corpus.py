@@ -12,7 +12,8 @@ from ..operators import merge as m
 from ..operators import retrieval as r
 from ..operators import scoring as s
 from ..operators.index import TermIndex, kept_index
-from .base import AS_OF_S, dims, duck, logical, now, query, read, seconds, sql_content, sql_list, sql_values
+from ..scratch import scratch_path
+from .base import AS_OF_S, ORACLES, dims, duck, logical, now, query, read, seconds, sql_content, sql_list, sql_values
 
 _POSTINGS = duck("postings")
 
@@ -27,12 +28,32 @@ bat AS (SELECT url, title || ' II' AS title, company, CASE WHEN id % 4 <> 0 THEN
 CASE WHEN b.url IS NULL THEN c.published_s ELSE b.published_s END AS published_s, coalesce(b.salary_min_usd, c.salary_min_usd) AS salary_min_usd, coalesce(c.source, b.source) AS source, coalesce(c.first_seen_s, {AS_OF_S}) AS first_seen_s,
 CASE WHEN b.url IS NULL THEN c.last_seen_s ELSE {AS_OF_S} END AS last_seen_s FROM cur c FULL JOIN bat b ON c.url = b.url""")
 def upsert_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    current, batch = _state(spark, sf_dir)
+    return _seconds_of(m.upsert_postings(current, batch, now()))
+
+
+@query(ORACLES["upsert_postings"])
+def upsert_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batch into a corpus kept in buckets of the url."""
+    current, batch = _state(spark, sf_dir)
+    path = scratch_path(spark, "corpus")
+    name = path.rpartition("/")[2]
+    held = m.save_corpus(current, name, 16, path)
+    spark.sql(f"DROP TABLE {name}")  # the entry goes, the files stay
+    return _seconds_of(m.upsert_bucketed(held, batch, now(), 16))
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The corpus, and a batch with older copies of its rows."""
     p = logical(spark, sf_dir, "postings")
     day_ago = now() - F.make_dt_interval(days=F.lit(1))
     current = p.filter("id % 10 != 9").select(F.col("id").cast("string").alias("id"), "url", "title", "company", "published_at", F.when(F.col("id") % 3 == 0, 100.0 * F.col("id")).alias("salary_min_usd"), F.lit("feed").alias("source"), day_ago.alias("first_seen_at"), day_ago.alias("last_seen_at"))
     fresh = p.filter("id % 10 in (8, 9)").select("url", F.concat("title", F.lit(" II")).alias("title"), "company", F.when(F.col("id") % 4 != 0, F.col("published_at")).alias("published_at"), F.when(F.col("id") % 2 == 0, F.lit(7.0)).alias("salary_min_usd"), F.lit("batch").alias("source"), F.lit(2).alias("batch_pos"))
     stale = fresh.withColumns({"title": F.lit("old"), "batch_pos": F.lit(1)})
-    done = m.upsert_postings(current, stale.unionByName(fresh), now())
+    return current, stale.unionByName(fresh)
+
+
+def _seconds_of(done: DataFrame) -> DataFrame:
     return done.select("id", "url", "title", "company", seconds(F.col("published_at")).alias("published_s"), "salary_min_usd", "source", seconds(F.col("first_seen_at")).alias("first_seen_s"), seconds(F.col("last_seen_at")).alias("last_seen_s"))
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import digests, evals, owners, store, telemetry
-from .base import AS_OF_S, ORDERS_AS_OF_S, duck, logical, now, orders_now, query, read, seconds
+from ..operators import daystore, digests, evals, owners, snapshots, store, telemetry
+from ..scratch import scratch_path
+from .base import AS_OF_S, ORACLES, ORDERS_AS_OF_S, duck, logical, now, orders_now, query, read, seconds
 
 # ---- result store: one stored result per order -------------------------------------------------------
 
@@ -45,18 +46,49 @@ def store_lookup_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lookup_by_raw(s.select("raw_hash"), s, orders_now(), 24 * 30)
 
 
+#: The orders span years, so the store's periods here are quarters and not days.
+_PERIOD_S = 90 * 86_400
+
+
+def _kept_by_day(spark: SparkSession, sf_dir: str) -> str:
+    path = scratch_path(spark, "store-days")
+    daystore.write_days(_store(spark, sf_dir), path, 2, _PERIOD_S)
+    return path
+
+
+@query(ORACLES["store_lookup"])
+def store_days_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = read(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.sha2(F.col("o_orderkey").cast("string"), 256).alias("query_hash"))
+    found = daystore.lookup_by_hash(spark, _kept_by_day(spark, sf_dir), asked, orders_now(), 24 * 30, _PERIOD_S)
+    return found.select("query_hash", seconds(F.col("created_at")).alias("created_s"))
+
+
+@query(ORACLES["store_lookup_raw"])
+def store_days_lookup_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _kept_by_day(spark, sf_dir)
+    return daystore.lookup_by_raw(spark, path, daystore.read_days(spark, path), orders_now(), 24 * 30, _PERIOD_S)
+
+
+@query(f"WITH {_STORE} SELECT query_hash, created_s, (SELECT count(*) FROM st WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND created_s < {ORDERS_AS_OF_S} - 1000 * 86400) AS purged FROM st WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND created_s >= {ORDERS_AS_OF_S} - 1000 * 86400")
+def store_days_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a purge leaves, and how many results it took."""
+    path = _kept_by_day(spark, sf_dir)
+    purged = daystore.purge(spark, path, orders_now(), 1000, _PERIOD_S)
+    return daystore.read_days(spark, path).select("query_hash", seconds(F.col("created_at")).alias("created_s"), F.lit(purged).cast("long").alias("purged"))
+
+
 @query(f"WITH {_STORE} SELECT query_hash, id, row_number() OVER (PARTITION BY query_hash ORDER BY pos) AS place, p_name AS title FROM si JOIN part ON p_partkey = id WHERE id % 7 <> 0")
 def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = logical(spark, sf_dir, "store_postings").select("id", "title")
     return store.hydrate(_store(spark, sf_dir).select("query_hash", "ids"), p).select("query_hash", "id", F.col("place").cast("long").alias("place"), "title")
 
 
-@query(f"""WITH {_STORE}, o AS (SELECT query_hash, list(id ORDER BY pos) AS ids, max(created_s) AS c FROM si JOIN st USING (o_orderkey, query_hash) WHERE o_orderkey % 3 <> 0 GROUP BY 1), n AS (SELECT query_hash, list(id ORDER BY -pos) AS ids FROM si WHERE o_orderkey % 4 = 0 GROUP BY 1)
+@query(f"""WITH {_STORE}, o AS (SELECT query_hash, list(id ORDER BY pos) AS ids, max(created_s) AS c FROM si JOIN st USING (o_orderkey, query_hash) WHERE o_orderkey % 3 <> 0 GROUP BY 1), n AS (SELECT query_hash, list(id ORDER BY -pos) AS ids FROM si WHERE o_orderkey % 4 = 0 OR o_orderkey % 3 = 0 GROUP BY 1)
 SELECT coalesce(n.query_hash, o.query_hash) AS query_hash, coalesce(n.ids, o.ids) AS ids, CASE WHEN n.ids IS NOT NULL THEN {ORDERS_AS_OF_S} ELSE o.c END AS created_s, CAST(len(coalesce(n.ids, o.ids)) AS INT) AS n_scores FROM o FULL JOIN n ON o.query_hash = n.query_hash""")
 def store_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _results(spark, sf_dir)
     old = _store(spark, sf_dir).join(r.filter("o_orderkey % 3 != 0").select("query_hash").distinct(), "query_hash", "left_semi")
-    new = r.filter("o_orderkey % 4 = 0").select("query_hash", "raw_hash", (-F.col("pos")).alias("pos"), "id", "score", F.lit("ok").alias("fit"))
+    new = r.filter("o_orderkey % 4 = 0 or o_orderkey % 3 = 0").select("query_hash", "raw_hash", (-F.col("pos")).alias("pos"), "id", "score", F.lit("ok").alias("fit"))
     done = store.store_results(old, new, orders_now())
     return done.select("query_hash", "ids", seconds(F.col("created_at")).alias("created_s"), F.size("scores").alias("n_scores"))
 
@@ -169,8 +201,8 @@ def advance_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SAVE = """sv AS (SELECT coalesce(anon_id, 'u' || user_id % 30) AS owner, query_hash, cadence, notify_email AS email, anon_id IS NOT NULL AS is_anon, created_s, search_id FROM saved_searches)"""
 
 
-@query(f"""{_SAVED}, {_SAVE}, cu AS (SELECT * FROM sv WHERE search_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY owner, query_hash ORDER BY created_s DESC) = 1),
-rq AS (SELECT * FROM sv WHERE search_id % 3 = 0 OR search_id % 5 = 0), ok AS (SELECT * FROM rq WHERE cadence = 'off' OR NOT is_anon OR coalesce(email <> '', false) QUALIFY row_number() OVER (PARTITION BY owner, query_hash ORDER BY created_s DESC) = 1),
+@query(f"""{_SAVED}, {_SAVE}, cu AS (SELECT * FROM sv WHERE search_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY owner, query_hash ORDER BY created_s DESC) = 1),
+rq AS (SELECT * FROM sv WHERE search_id % 3 = 0 OR search_id % 2 = 0), ok AS (SELECT * FROM rq WHERE cadence = 'off' OR NOT is_anon OR coalesce(email <> '', false) QUALIFY row_number() OVER (PARTITION BY owner, query_hash ORDER BY created_s DESC) = 1),
 st AS (SELECT coalesce(c.owner, n.owner) AS owner, coalesce(c.query_hash, n.query_hash) AS query_hash, coalesce(n.cadence, c.cadence) AS cadence, coalesce(c.created_s, n.created_s) AS created_s FROM cu c FULL JOIN ok n ON n.owner = c.owner AND n.query_hash = c.query_hash)
 SELECT * FROM st QUALIFY row_number() OVER (PARTITION BY owner ORDER BY created_s DESC, query_hash) <= 10""")
 def saved_list(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,8 +211,8 @@ def saved_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = logical(spark, sf_dir, "saved_searches")
     rows = s.select(F.coalesce("anon_id", F.concat(F.lit("u"), (F.col("user_id") % 30).cast("string"))).alias("owner"), "query_hash", "cadence", F.col("notify_email").alias("email"), F.col("anon_id").isNotNull().alias("is_anon"), "created_at", "search_id")
     w = Window.partitionBy("owner", "query_hash").orderBy(F.desc("created_at"))
-    current = rows.filter("search_id % 2 = 0").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "search_id")
-    done = digests.upsert_saved(current, rows.filter("search_id % 3 = 0 or search_id % 5 = 0").drop("search_id"), 10)
+    current = rows.filter("search_id % 3 != 0").withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r", "search_id")
+    done = digests.upsert_saved(current, rows.filter("search_id % 3 = 0 or search_id % 2 = 0").drop("search_id"), 10)
     return done.select("owner", "query_hash", "cadence", seconds(F.col("created_at")).alias("created_s"))
 
 
@@ -218,6 +250,27 @@ def hidden_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners.hidden_state(logical(spark, sf_dir, "hidden_log")).select("owner", "company")
 
 
+def _from_snapshots(spark: SparkSession, events: DataFrame, key: list[str]) -> DataFrame:
+    """The state from the second of two snapshots, the first taken of a quarter of the log and the second of about a half."""
+    log, kept = scratch_path(spark, "owner-log"), scratch_path(spark, "owner-snapshots")
+    span = events.agg(F.max("event_id")).first()[0] or 0
+    snapshots.append_log(events, log, span // 8 + 1)
+    for upto in (2, 4):
+        snapshots.take_snapshot(spark, log, kept, key, upto, 8)
+    return snapshots.state(spark, log, kept, key, buckets=8)
+
+
+@query(ORACLES["interactions_state"])
+def interactions_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = owners.interaction_events(logical(spark, sf_dir, "interaction_log"))
+    return _from_snapshots(spark, events, owners.INTERACTION_KEY).select("owner", "job_id", "kind", "event_id")
+
+
+@query(ORACLES["hidden_state"])
+def hidden_from_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_snapshots(spark, owners.hidden_events(logical(spark, sf_dir, "hidden_log")), owners.HIDDEN_KEY).select("owner", "company")
+
+
 @query(f"{duck('postings')} SELECT id, url, last_seen_s FROM postings ORDER BY last_seen_s DESC NULLS LAST, id LIMIT 300")
 def sitemap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners.sitemap_rows(logical(spark, sf_dir, "postings"), 300).select("id", "url", seconds(F.col("last_seen_at")).alias("last_seen_s"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import settle
+from ..scratch import scratch_path, settle
 from .graph import connected_components
 
 
@@ -69,6 +69,20 @@ def upsert_postings(current: DataFrame, batch: DataFrame, as_of: Column, policy:
     return merge(current, unique, ["url"], policy, touched={"last_seen_at": as_of}, created={"id": F.sha2(F.col("b.url"), 256), "first_seen_at": as_of})
 
 
+def save_corpus(postings: DataFrame, table: str, buckets: int = 256, path: str | None = None) -> DataFrame:
+    """Writes postings as a table bucketed and sorted by url, one file a bucket, and reads it back."""
+    writer = postings.repartition(buckets, "url").write.mode("overwrite").bucketBy(buckets, "url").sortBy("url")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+    return postings.sparkSession.table(table)
+
+
+def upsert_bucketed(current: DataFrame, batch: DataFrame, as_of: Column, buckets: int = 256, policy: dict[str, str] = POSTING_POLICY, order: list[Column] | None = None) -> DataFrame:
+    """As ``upsert_postings`` into a corpus of ``save_corpus`` with as many buckets: the batch alone is shuffled, into the corpus's
+    buckets, and stays there for its own ranking and for the join. Save the result as another table; it is in buckets too."""
+    dealt = batch.filter(F.col("url").isNotNull()).repartition(buckets, "url")
+    return upsert_postings(current, dealt, as_of, policy, order)
+
+
 def write_buckets(state: DataFrame, path: str, key: str = "url", buckets: int = 64, version: int | None = None) -> None:
     """Writes a state partitioned by a hash bucket of its key, and by ``version`` if one is given; only partitions present in
     ``state`` are replaced, so a merge reads and rewrites the buckets its batch touches. Without versions, write to a new path
@@ -113,9 +127,11 @@ def greedy_keep(df: DataFrame, keys: list[Column], pos: str, group: list[str] |
 
     While many rows are open, a round keeps those that come first for all their keys and drops those that share a key
     with a kept one; a round is a written table, and a key that a third of the rows share is settled in the first. The rest is
-    folded in order: at once if it is small, else each component of shared keys by itself, a row at a time.
+    folded in order: at once if it is small, else by components of shared keys, side by side. No task folds more than
+    ``fold_rows`` rows of a component: a longer one, such as a chain in which each row hangs on the row before, is folded prefix
+    by prefix of its order, and rows that share a key with what earlier prefixes kept go before theirs is folded.
     """
-    group = group or []
+    group, fold_rows = group or [], max(1, fold_rows)
     names = [f"greedy_{k}" for k in range(len(keys))]
     slim = df.select(*group, pos, *[c.cast("string").alias(n) for c, n in zip(keys, names, strict=True)]).withColumn("greedy_id", F.monotonically_increasing_id())
     open_rows = settle(slim, "greedy-open")
@@ -134,8 +150,9 @@ def greedy_keep(df: DataFrame, keys: list[Column], pos: str, group: list[str] |
         for n in names:
             rest = rest.join(won.filter(F.col(n).isNotNull()).select(*group, n).distinct(), [*group, n], "left_anti")
         open_rows = settle(rest.select(*columns), "greedy-open")
+    few = open_rows.limit(fold_rows + 1).count() <= fold_rows
     part = F.lit(0).cast("long")
-    if open_rows.limit(fold_rows + 1).count() > fold_rows:
+    if not few:
         links = None
         for n in names:
             first = open_rows.filter(F.col(n).isNotNull()).groupBy(*group, n).agg(F.min("greedy_id").alias("b"))
@@ -143,27 +160,75 @@ def greedy_keep(df: DataFrame, keys: list[Column], pos: str, group: list[str] |
             links = own if links is None else links.union(own)
         open_rows = open_rows.join(connected_components(links), F.col("greedy_id") == F.col("node"), "left")
         part = F.coalesce("component", "greedy_id")
+    owned = open_rows.select(*columns, F.to_json(F.struct(part.alias("part"), *group)).alias("owner"))
+    if few:
+        ids = _fold_owners(owned, names, pos).select("greedy_id")
+    else:
+        owned = settle(owned, "greedy-owned")
+        long_ones = owned.groupBy("owner").agg(F.count("*").alias("n")).filter(F.col("n") > fold_rows).select("owner")
+        short, long_rows = owned.join(long_ones, "owner", "left_anti"), owned.join(long_ones, "owner", "left_semi")
+        ids = _fold_owners(short, names, pos).select("greedy_id").union(_fold_prefixes(long_rows, names, pos, fold_rows))
+    folded = open_rows.join(ids, "greedy_id", "left_semi").select(*group, pos)
+    for k in kept:
+        folded = folded.union(k)
+    return df.join(folded, [*group, pos], "left_semi")
+
+
+def _fold_owners(owned: DataFrame, names: list[str], pos: str) -> DataFrame:
+    """(owner, greedy_id, keys) of the rows that each owner keeps, going through its rows one by one in order."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         owner, seen = None, []
         for b in batches:
             keep = []
-            for own, row, *values in zip(b["owner"], b["greedy_id"], *(b[n] for n in names), strict=True):
+            for own, *values in zip(b["owner"], *(b[n] for n in names), strict=True):
                 if own != owner:
                     owner, seen = own, [set() for _ in names]
-                if any(v is not None and v in s for v, s in zip(values, seen, strict=True)):
-                    continue
-                keep.append(row)
-                for v, s in zip(values, seen, strict=True):
-                    s.add(v)
-            yield pd.DataFrame({"greedy_id": keep}, dtype="int64")
-
-    owned = open_rows.withColumn("owner", F.to_json(F.struct(part.alias("part"), *group)))
+                free = not any(v is not None and v in s for v, s in zip(values, seen, strict=True))
+                keep.append(free)
+                if free:
+                    for v, s in zip(values, seen, strict=True):
+                        s.add(v)
+            yield b[keep]
+
     ordered = owned.repartition("owner").sortWithinPartitions("owner", pos).select("owner", "greedy_id", *names)
-    folded = open_rows.join(ordered.mapInPandas(fold, "greedy_id long"), "greedy_id", "left_semi").select(*group, pos)
-    for k in kept:
-        folded = folded.union(k)
-    return df.join(folded, [*group, pos], "left_semi")
+    return ordered.mapInPandas(fold, ordered.schema)
+
+
+def _prefixes(owned: DataFrame, pos: str, fold_rows: int) -> DataFrame:
+    """The rows with ``step``, from 1: the piece of at most ``fold_rows`` rows of their owner's order that they are in. A range
+    partitioning sorts all owners at once; only the list of pieces is ranked by owner."""
+    ranges = -(-owned.count() // fold_rows) or 1
+    dealt = settle(owned.repartitionByRange(ranges, "owner", pos).withColumn("range", F.spark_partition_id()), "greedy-ranges")
+    place = F.row_number().over(Window.partitionBy("range", "owner").orderBy(pos)) - 1
+    dealt = dealt.withColumn("piece", F.floor(place / F.lit(fold_rows)).cast("int"))
+    pieces = dealt.groupBy("owner", "range", "piece").agg(F.count("*").alias("n")).drop("n")
+    steps = pieces.withColumn("step", F.row_number().over(Window.partitionBy("owner").orderBy("range", "piece")))
+    return dealt.join(steps, ["owner", "range", "piece"]).drop("range", "piece")
+
+
+def _fold_prefixes(owned: DataFrame, names: list[str], pos: str, fold_rows: int) -> DataFrame:
+    """(greedy_id) of the rows that owners keep whose rows are too many for a task, one prefix of each owner's order after another."""
+    spark, path, out = owned.sparkSession, scratch_path(owned.sparkSession, "greedy-prefixes"), scratch_path(owned.sparkSession, "greedy-kept")
+    _prefixes(owned, pos, fold_rows).repartition("owner", "step").write.partitionBy("step").parquet(path)
+    dealt = spark.read.schema(f"{_ddl(owned)}, step int").parquet(path)
+    last, written = dealt.agg(F.max("step")).first()[0] or 0, []
+    kept_schema = _ddl(owned.select("owner", "greedy_id", *names))
+    for step in range(1, last + 1):
+        rows = dealt.filter(F.col("step") == step).drop("step")
+        if written:
+            before = spark.read.schema(kept_schema).parquet(*written)
+            for n in names:
+                rows = rows.join(before.filter(F.col(n).isNotNull()).select("owner", n).distinct(), ["owner", n], "left_anti")
+        written.append(f"{out}/{step}")
+        _fold_owners(rows, names, pos).write.parquet(written[-1])
+    if not written:
+        return owned.select("greedy_id").limit(0)
+    return spark.read.schema(kept_schema).parquet(*written).select("greedy_id")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in df.dtypes)
 
 
 def best_per_key(results: DataFrame) -> DataFrame:
@@ -214,9 +279,10 @@ def corpus_profile(postings: DataFrame, country: str = "IN") -> DataFrame:
 
 
 def source_counts(postings: DataFrame) -> DataFrame:
-    """(source, n, pct): rows of each source and their share of all, in whole percent."""
-    counts, total = postings.groupBy("source").agg(F.count("*").alias("n")), postings.count()
-    return counts.select("source", "n", F.floor(100 * F.col("n") / F.lit(max(1, total)) + 0.5).cast("long").alias("pct"))
+    """(source, n, pct): rows of each source and their share of all, in whole percent. The total is one window over the groups."""
+    counts = postings.groupBy("source").agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())
+    return counts.select("source", "n", F.floor(100 * F.col("n") / total + 0.5).cast("long").alias("pct"))
 
 
 def top_locations(postings: DataFrame, k: int = 10) -> DataFrame:

@@ -10,14 +10,34 @@ from .. import dims
 FEEDBACK_KINDS = ["relevance", "bug", "idea", "praise"]
 
 
+def newest_events(log: DataFrame, key: list[str]) -> DataFrame:
+    """(key, event_id, ts_us, is_delete): the newest event of each key. It can be taken again over what it gave and further events."""
+    newest = log.groupBy(*key).agg(F.max_by(F.struct("event_id", "ts_us", "is_delete"), F.struct("ts_us", "event_id")).alias("e"))
+    return newest.select(*key, "e.*")
+
+
+def live(newest: DataFrame) -> DataFrame:
+    return newest.filter("not is_delete").drop("is_delete")
+
+
 def replay(log: DataFrame, key: list[str]) -> DataFrame:
     """The state that a log of set and unset events (ts_us, event_id, is_delete) leaves: the newest of each key, unless it unset."""
-    newest = log.groupBy(*key).agg(F.max_by(F.struct("event_id", "ts_us", "is_delete"), F.struct("ts_us", "event_id")).alias("e"))
-    return newest.select(*key, "e.*").filter("not is_delete").drop("is_delete")
+    return live(newest_events(log, key))
+
+
+INTERACTION_KEY, HIDDEN_KEY = ["owner", "job_id", "kind"], ["owner", "company"]
+
+
+def interaction_events(log: DataFrame) -> DataFrame:
+    return log.filter(F.col("kind").isin(dims.INTERACTION_KINDS))
+
+
+def hidden_events(log: DataFrame) -> DataFrame:
+    return log.withColumn("company", F.lower(F.trim("company"))).filter("company != ''")
 
 
 def apply_actions(log: DataFrame) -> DataFrame:
-    return replay(log.filter(F.col("kind").isin(dims.INTERACTION_KINDS)), ["owner", "job_id", "kind"])
+    return replay(interaction_events(log), INTERACTION_KEY)
 
 
 def saved_jobs(interactions: DataFrame, postings: DataFrame, most: int = 100) -> DataFrame:
@@ -28,7 +48,7 @@ def saved_jobs(interactions: DataFrame, postings: DataFrame, most: int = 100) ->
 
 
 def hidden_state(log: DataFrame) -> DataFrame:
-    return replay(log.withColumn("company", F.lower(F.trim("company"))).filter("company != ''"), ["owner", "company"])
+    return replay(hidden_events(log), HIDDEN_KEY)
 
 
 def merge_identity(table: DataFrame, mapping: DataFrame, unique_key: list[str], newest: str) -> DataFrame:

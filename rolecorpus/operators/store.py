@@ -9,18 +9,18 @@ from .. import dims
 from .merge import merge
 
 
-def _since(as_of: Column, hours: int) -> Column:
+def since(as_of: Column, hours: int) -> Column:
     return as_of - F.make_dt_interval(hours=F.lit(hours))
 
 
 def lookup_by_hash(queries: DataFrame, store: DataFrame, as_of: Column, ttl_hours: int = dims.STORE_TTL_HOURS) -> DataFrame:
     """Stored results (query_hash, ids, ...) of the queries that are no older than the time to live."""
-    return queries.select("query_hash").distinct().join(store.filter(F.col("created_at") >= _since(as_of, ttl_hours)), "query_hash")
+    return queries.select("query_hash").distinct().join(store.filter(F.col("created_at") >= since(as_of, ttl_hours)), "query_hash")
 
 
 def lookup_by_raw(queries: DataFrame, store: DataFrame, as_of: Column, ttl_hours: int = dims.STORE_TTL_HOURS) -> DataFrame:
     """The newest unexpired result of each raw hash."""
-    live = store.filter(F.col("created_at") >= _since(as_of, ttl_hours))
+    live = store.filter(F.col("created_at") >= since(as_of, ttl_hours))
     newest = live.groupBy("raw_hash").agg(F.max_by("query_hash", F.struct("created_at", "query_hash")).alias("query_hash"))
     return queries.select("raw_hash").distinct().join(newest, "raw_hash")
 
@@ -32,13 +32,16 @@ def hydrate(results: DataFrame, postings: DataFrame) -> DataFrame:
     return rows.join(postings, "id").withColumn("place", F.row_number().over(w)).drop("pos")
 
 
-def store_results(store: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
-    """The store with ranked results (query_hash, raw_hash, pos, id, score, fit) merged by query hash: ids in order, scores by
-    posting id, time renewed."""
-    batch = results.groupBy("query_hash").agg(
+def ranked_results(results: DataFrame) -> DataFrame:
+    """(query_hash, raw_hash, ids, scores) of ranked results (query_hash, raw_hash, pos, id, score, fit): ids in order, scores by id."""
+    return results.groupBy("query_hash").agg(
         F.first("raw_hash").alias("raw_hash"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("ids"), F.map_from_entries(F.array_distinct(F.collect_list(F.struct("id", F.struct("score", "fit"))))).alias("scores")
     )
-    return merge(store, batch.withColumn("created_at", as_of), ["query_hash"], {})
+
+
+def store_results(store: DataFrame, results: DataFrame, as_of: Column) -> DataFrame:
+    """The store with ranked results merged by query hash, their time renewed."""
+    return merge(store, ranked_results(results).withColumn("created_at", as_of), ["query_hash"], {})
 
 
 def result_page(hydrated: DataFrame, least: float = dims.MIN_SCORE) -> DataFrame:

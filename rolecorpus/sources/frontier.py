@@ -41,13 +41,18 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
 
 
 def robots_filter(frontier: DataFrame, rules: DataFrame, honour_root: bool = False) -> DataFrame:
-    """The addresses (url) that no rule of their origin forbids. A rule for the whole site counts only if
-    ``honour_root``. Joined on the origin, so the prefix test runs inside one site's rules."""
-    used = rules if honour_root else rules.filter("prefix != '/'")
-    by_site = used.groupBy("origin").agg(F.collect_set("prefix").alias("prefixes"))
-    keyed = frontier.withColumn("origin", F.lower(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)))
-    blocked = F.exists("prefixes", lambda p: F.startswith(urls.path(F.col("url")), p))
-    return keyed.join(by_site, "origin", "left").filter(~F.coalesce(blocked, F.lit(False))).select(*frontier.columns)
+    """The addresses (url) that no rule of their origin forbids. A rule for the whole site counts only if ``honour_root``.
+
+    An address meets a rule by equality: of its path the beginnings of those lengths that its site's rules have join the rules by
+    (origin, prefix), so a site with many rules costs an address one look-up for each length and never a walk through them.
+    """
+    used = (rules if honour_root else rules.filter("prefix != '/'")).select("origin", "prefix").distinct()
+    lengths = used.groupBy("origin").agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    paths = frontier.select("url").distinct().select("url", F.lower(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)).alias("origin"), urls.path(F.col("url")).alias("path"))
+    fitting = F.filter("lengths", lambda n: n <= F.length("path"))
+    begun = paths.join(lengths, "origin").select("url", "origin", F.explode(F.transform(fitting, lambda n: F.substr("path", F.lit(1), n))).alias("prefix"))
+    blocked = begun.join(used, ["origin", "prefix"], "left_semi").select("url").distinct()
+    return frontier.join(blocked, "url", "left_anti").select(*frontier.columns)
 
 
 def two_pass_extract(seeds: DataFrame, pages: DataFrame, pattern: str = JOB_HREF) -> DataFrame:

@@ -1,17 +1,22 @@
 """Operators on hand-made tables, and properties."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from rolecorpus import dims
-from rolecorpus.operators import evals, index, merge, owners, retrieval, scoring, telemetry
+from rolecorpus.operators import daystore, evals, index, merge, owners, retrieval, scoring, snapshots, store, telemetry
 from rolecorpus.plans import search
 from rolecorpus.sources import feeds, frontier, tenants
 from rolecorpus.streaming import jobs
 
 
+def _formatted(df):
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
 def test_greedy_fold_a_dropped_row_blocks_nobody(spark):
     rows = [(1, 0, "u1", "c1"), (1, 1, "u1", "c2"), (1, 2, "u3", "c2"), (2, 0, "u1", "||"), (2, 1, "u2", "||")]
     got = merge.greedy_dedupe(spark.createDataFrame(rows, "query_id int, pos int, url_key string, content_key string")).collect()
@@ -33,7 +38,7 @@ def test_greedy_fold_and_greedy_keep_equal_a_loop(spark, seed):
     df = spark.createDataFrame(rows, "query_id int, pos int, url_key string, content_key string")
     assert {r.pos for r in merge.greedy_dedupe(df).collect()} == want
     keys = [F.col("url_key"), F.when(~F.col("content_key").isin("", "||"), F.col("content_key"))]
-    for fold_rows, rounds in ((100, 6), (0, 1), (0, 50))[: 1 if seed else 3]:  # folded at once, in components, by rounds alone
+    for fold_rows, rounds in ((100, 6), (8, 1), (0, 50))[: 1 if seed else 3]:  # folded at once, in components and prefixes, by rounds alone
         assert {r.pos for r in merge.greedy_keep(df, keys, "pos", fold_rows=fold_rows, rounds=rounds).collect()} == want
 
 
@@ -43,7 +48,7 @@ def test_greedy_keep_of_a_long_chain(spark):
     want = {k for k in range(1000) if k % 2 == 0}
     keys = [F.col("url"), F.col("dedup_key")]
     assert {r.pos for r in merge.greedy_keep(df, keys, "pos").collect()} == want
-    assert {r.pos for r in merge.greedy_keep(df, keys, "pos", fold_rows=10, rounds=2).collect()} == want
+    assert {r.pos for r in merge.greedy_keep(df, keys, "pos", fold_rows=200, rounds=2).collect()} == want
     known = spark.createDataFrame([("u3", "x"), ("z", "c9")], "url string, dedup_key string")
     got = {r.batch_pos for r in merge.insert_if_absent(known, df.withColumnRenamed("pos", "batch_pos")).collect()}
     seen_u, seen_c, plain = {"u3", "z"}, {"x", "c9"}, set()
@@ -55,6 +60,30 @@ def test_greedy_keep_of_a_long_chain(spark):
             seen_c.add(c)
     assert got == plain
 
+
+def test_greedy_keep_of_a_chain_longer_than_a_task_may_fold(spark, monkeypatch):
+    rng = random.Random(5)
+    # two groups, in each a chain in which every row hangs on the row before, with random links across it
+    rows = [(g, k, f"u{k // 2}", f"c{(k + 1) // 2}" if rng.random() < 0.97 else f"c{rng.randrange(500)}") for g in (1, 2) for k in range(1000)]
+    df = spark.createDataFrame(rows, "g int, pos int, u string, c string").repartition(5)
+    want, seen = set(), set()
+    for g, k, u, c in rows:
+        if (g, "u", u) not in seen and (g, "c", c) not in seen:
+            want.add((g, k))
+            seen |= {(g, "u", u), (g, "c", c)}
+    sizes, prefixes = [], merge._prefixes
+
+    def spied(owned, pos, fold_rows):
+        out = prefixes(owned, pos, fold_rows)
+        sizes.extend(out.groupBy("owner", "step").count().collect())
+        return out
+
+    monkeypatch.setattr(merge, "_prefixes", spied)
+    got = merge.greedy_keep(df, [F.col("u"), F.col("c")], "pos", ["g"], fold_rows=200, rounds=1)
+    assert {(r.g, r.pos) for r in got.collect()} == want
+    assert max(r["count"] for r in sizes) <= 200 and max(r.step for r in sizes) >= 3
+
+
 def test_merge_policies(spark):
     current = spark.createDataFrame([(1, "a", 5.0, "x"), (2, "b", None, "x")], "k int, t string, s double, src string")
     batch = spark.createDataFrame([(2, None, None, "y"), (1, "z", None, "y"), (3, "n", 1.0, "y")], "k int, t string, s double, src string")
@@ -329,6 +358,86 @@ def test_robots(spark):
     assert {r.url for r in frontier.robots_filter(f, rules, honour_root=True).collect()} == {"https://b.example/p"}
 
 
+def test_robots_of_a_site_with_many_rules(spark):
+    rng = random.Random(3)
+    paths = ["/" + "/".join(rng.choice("abcdef") * rng.randrange(1, 4) for _ in range(rng.randrange(1, 5))) for _ in range(400)]
+    prefixes = {p[: rng.randrange(2, len(p) + 1)] for p in paths[:60] if len(p) > 1} | {f"/rule/{k}" for k in range(10_000)}
+    rules = spark.createDataFrame([("https://a.example", p) for p in sorted(prefixes)] * 2, "origin string, prefix string")
+    rows = [(k, f"https://A.example{p}?q=1") for k, p in enumerate(paths)] + [(k, f"https://a.example{p}") for k, p in enumerate(paths)] + [(-1, None), (-2, "https://a.example"), (-3, "https://b.example/rule/7")]
+    got = frontier.robots_filter(spark.createDataFrame(rows, "id int, url string"), rules)
+    assert got.columns == ["id", "url"]
+    want = [(k, u) for k, u in rows if k < 0 or not any(paths[k].startswith(p) for p in prefixes)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_a_corpus_in_buckets_is_not_shuffled_by_a_merge(spark):
+    rows = [(str(k), f"u{k}", "feed", float(k)) for k in range(500)]
+    seen = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    current = spark.createDataFrame(rows, "id string, url string, source string, salary_min_usd double").withColumns({"first_seen_at": seen, "last_seen_at": seen})
+    batch = spark.createDataFrame([(f"u{k}", "batch", None, p) for k in [*range(480, 520), None] for p in (2, 1)], "url string, source string, salary_min_usd double, batch_pos int")
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    held = merge.save_corpus(current, "corpus_in_buckets", 8)
+    try:
+        merged = merge.upsert_bucketed(held, batch, as_of, 8)
+        want = sorted(map(tuple, merge.upsert_postings(current, batch, as_of).collect()))
+        assert sorted(map(tuple, merged.collect())) == want and len(want) == 521
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert final.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in final
+        again = merge.save_corpus(merged, "corpus_in_buckets_next", 8)
+        assert again.count() == 521
+    finally:
+        spark.sql("DROP TABLE IF EXISTS corpus_in_buckets")
+        spark.sql("DROP TABLE IF EXISTS corpus_in_buckets_next")
+
+
+def test_a_store_by_day_equals_a_flat_one(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    at = lambda text: F.lit(text).cast("timestamp")
+    batch = lambda rows: spark.createDataFrame(rows, "query_hash string, raw_hash string, pos int, id string, score double, fit string")
+    flat, first = None, batch([("h1", "r1", 0, "a", 1.0, "x"), ("h1", "r1", 1, "b", None, "x"), ("h2", "r2", 0, "c", 0.5, "x"), ("h3", "r3", 0, "e", 0.5, "x")])
+    flat = store.store_results(store.ranked_results(first).withColumn("created_at", at("2024-01-01 00:00:00")).limit(0), first, at("2024-01-01 10:00:00"))
+    daystore.store_results(spark, path, first, at("2024-01-01 10:00:00"))
+    # h1 moves to another raw hash and day, h4 is new; storing it twice changes nothing
+    second = batch([("h1", "r9", 0, "z", 1.0, "x"), ("h4", "r2", 0, "d", 0.1, "x")])
+    flat = store.store_results(flat, second, at("2024-01-03 09:00:00"))
+    for _ in range(2):
+        daystore.store_results(spark, path, second, at("2024-01-03 09:00:00"))
+    assert daystore.read_days(spark, path).count() == 5
+    rows = lambda df: sorted((tuple(r) for r in df.select(sorted(df.columns)).collect()), key=repr)
+    asked = flat.select("query_hash", "raw_hash").union(spark.createDataFrame([("h9", "r1")], "query_hash string, raw_hash string"))
+    for as_of, hours in (("2024-01-03 10:00:00", 24), ("2024-01-03 10:00:00", 24 * 7), ("2024-01-03 09:00:00", 47), ("2024-01-09 00:00:00", 24)):
+        assert rows(daystore.lookup_by_hash(spark, path, asked, at(as_of), hours)) == rows(store.lookup_by_hash(asked, flat, at(as_of), hours))
+        assert rows(daystore.lookup_by_raw(spark, path, asked, at(as_of), hours)) == rows(store.lookup_by_raw(asked, flat, at(as_of), hours))
+    live = daystore.lookup_by_hash(spark, path, asked, at("2024-01-03 10:00:00"), 24)
+    assert re.search(r"PartitionFilters: \[.*day#\d+ >= 19724\)", _formatted(live))
+    # a purge in the middle of the first day takes what was stored before its hour: h2 and h3 are lost, h1 stands elsewhere
+    daystore.write_days(batch([("h5", "r5", 0, "q", 1.0, "x")]).select("query_hash", "raw_hash").withColumns({"ids": F.array(F.lit("q")), "scores": F.create_map(F.lit("q"), F.struct(F.lit(1.0).alias("score"), F.lit("x").alias("fit"))), "created_at": at("2023-12-30 00:00:00")}), path)
+    assert daystore.purge(spark, path, at("2024-01-08 11:00:00"), 7) == 3
+    assert {r.query_hash for r in daystore.read_days(spark, path).collect()} == {"h1", "h4"} and daystore.purge(spark, path, at("2024-01-08 11:00:00"), 7) == 0
+
+
+@pytest.mark.parametrize("cuts", [[], [1], [2, 3], [5]])
+def test_state_from_snapshots_equals_the_whole_replay(spark, tmp_path, cuts):
+    rng = random.Random(len(cuts))
+    # times don't ascend with ids: late events are older than what a snapshot holds
+    rows = [(k, f"o{rng.randrange(6)}", rng.randrange(5), rng.choice(dims.INTERACTION_KINDS), rng.randrange(50), rng.random() < 0.4) for k in range(250)]
+    log = spark.createDataFrame(rows, "event_id long, owner string, job_id long, kind string, ts_us long, is_delete boolean")
+    at, kept = f"file://{tmp_path}/log", f"file://{tmp_path}/kept"
+    snapshots.append_log(log, at, 50)
+    for upto in cuts:
+        snapshots.take_snapshot(spark, at, kept, owners.INTERACTION_KEY, upto, 4)
+    assert snapshots.versions(spark, kept) == cuts
+    want = {tuple(r) for r in owners.apply_actions(log).collect()}
+    got = snapshots.state(spark, at, kept, owners.INTERACTION_KEY, buckets=4)
+    assert {tuple(r) for r in got.collect()} == want
+    some = snapshots.state(spark, at, kept, owners.INTERACTION_KEY, owners=["o1", "o4", "none"], buckets=4)
+    assert {tuple(r) for r in some.collect()} == {r for r in want if r[0] in ("o1", "o4")}
+    if cuts:  # of the log the tail alone is read, of the snapshot the asked owners' buckets
+        plan = _formatted(some)
+        assert re.search(rf"PartitionFilters: \[.*segment#\d+ >= {max(cuts)}\)", plan) and re.search(r"PartitionFilters: \[.*bucket#\d+ (IN|=)", plan)
+
+
 def test_jsonld_and_two_passes(spark):
     block = '<script type="application/ld+json">{}</script>'
     job = '{"@type": "JobPosting", "title": " Dev ", "jobLocation": [{"address": {"addressLocality": "Pune", "addressCountry": "IN"}}], "baseSalary": {"currency": "USD", "value": {"minValue": 10, "maxValue": 20}}, "jobLocationType": "TELECOMMUTE", "datePosted": "soon"}'
