@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a table of a few narrow columns is broadcast (some 50 MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes up to which a table is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -51,7 +52,21 @@ def settle(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows, else as it is: a shuffled join,
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row takes: texts and binaries by their bytes, other plain values 8, nested ones as JSON."""
+    total = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        kind, c = f.dataType, F.col(f"`{f.name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.octet_length(F.to_json(F.struct(c)))
+        total = total + 8
+    return total
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows and about ``size`` bytes, else as it is: a shuffled join,
     whose skewed partitions the adaptive planner splits."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, held = df.select(row_bytes(df).alias("b")).limit(rows + 1).agg(F.count("*"), F.sum("b")).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= size else df

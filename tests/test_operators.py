@@ -323,6 +323,16 @@ def test_streaming_limits_keep_their_state_between_batches(spark, tmp_path):
         assert {r.event_id: r.allowed for r in spark.read.parquet(f"{tmp_path}/{name}/out").collect()} == want
 
 
+def test_broadcasts_are_checked_by_rows_and_bytes(spark):
+    from rolecorpus import scratch
+
+    narrow = spark.range(100).withColumns({"t": F.lit("ab"), "odd name": F.lit(None).cast("string"), "a": F.array(F.lit("x")), "at": F.current_timestamp()})
+    hinted = lambda df: "hint" in df._jdf.queryExecution().logical().toString().lower()
+    assert hinted(scratch.broadcast_if_small(narrow)) and hinted(scratch.broadcast_if_small(narrow.limit(0)))
+    assert not hinted(scratch.broadcast_if_small(narrow, rows=99)) and not hinted(scratch.broadcast_if_small(narrow, size=100 * 40))
+    assert not hinted(scratch.broadcast_if_small(spark.range(2).select(F.repeat(F.lit("é"), 1000).alias("t")), size=4000))
+
+
 def test_scratch_tables_can_be_dropped(spark):
     import os
 
