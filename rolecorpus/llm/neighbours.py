@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-#: Rows of a leaf block that one query batch is compared with; larger leaves are dealt out in blocks.
+#: Rows of a block of entries, and of a block of queries; a leaf that holds or is visited by more is dealt out in blocks.
 BLOCK = 4096
 
 
@@ -173,29 +173,32 @@ def nearest(rows: DataFrame, is_query, id_col: str = "vec_id", vector_col: str =
     counted = postings.groupBy("cell").count().toPandas()  # one row a leaf: bounded by the index
     counts = np.zeros(trees * size, np.int64)
     counts[counted["cell"]] = counted["count"]
-    blocks = np.maximum(1, -(-counts // BLOCK))
     enough = max(search, _rows_to_visit(entries, queries, forest, counts.reshape(trees, size), k, recall, calibrate))
 
-    @F.pandas_udf("array<struct<cell: int, block: int>>")
+    @F.pandas_udf("array<int>")
     def visits(vectors: pd.Series) -> pd.Series:
-        out = []
-        for q in _matrix(vectors):
-            cells = [t * size + at for t, at in shared.value.search(q / np.sqrt(q @ q), counts.reshape(trees, size), enough)]
-            out.append([{"cell": c, "block": b} for c in cells for b in range(int(blocks[c]))])
-        return pd.Series(out)
-
-    n_groups = max(8, int(counts.sum() // 20_000))
-    group = F.pmod(F.xxhash64("cell", "block"), F.lit(n_groups)).alias("g")
-    width = F.element_at(F.create_map(*[F.lit(x) for c in np.flatnonzero(blocks > 1) for x in (int(c), int(blocks[c]))]), F.col("cell")) if (blocks > 1).any() else F.lit(None).cast("int")
-    left = postings.join(entries.select("entry", "v"), "entry").withColumn("block", F.pmod(F.xxhash64("entry"), F.coalesce(width, F.lit(1))).cast("int")).select(group, "cell", "block", "entry", "v")
-    distinct = queries.dropDuplicates(["entry"]).select(F.col("entry").alias("q"), "v")
-    right = distinct.withColumn("visit", F.explode(visits("v"))).select("q", "v", F.col("visit.cell").alias("cell"), F.col("visit.block").alias("block")).select(group, "cell", "block", "q", "v")
+        return pd.Series([[t * size + at for t, at in shared.value.search(q / np.sqrt(q @ q), counts.reshape(trees, size), enough)] for q in _matrix(vectors)])
+
+    searched = settle(queries.dropDuplicates(["entry"]).select(F.col("entry").alias("q"), "v", visits("v").alias("cells")), "ann-visits")
+    visited = searched.select(F.explode("cells").alias("cell")).groupBy("cell").count().toPandas()  # one row a leaf
+    asked = np.zeros(trees * size, np.int64)
+    asked[visited["cell"]] = visited["count"]
+    # a leaf is dealt out in blocks of entries and of queries, and each block of the one meets each of the other
+    deal = pd.DataFrame({"cell": np.arange(trees * size), "entry_blocks": np.maximum(1, -(-counts // BLOCK)), "query_blocks": -(-asked // BLOCK)})
+    n_groups = max(8, int((counts * deal["query_blocks"] + asked * deal["entry_blocks"]).sum() // 20_000))
+    dealt = F.broadcast(rows.sparkSession.createDataFrame(deal[asked > 0], "cell int, entry_blocks long, query_blocks long"))  # one row a leaf
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    group = F.pmod(F.xxhash64("cell", "entry_block", "query_block"), F.lit(n_groups)).alias("g")
+    met_by = postings.join(dealt, "cell").withColumn("entry_block", F.pmod(F.xxhash64("entry"), "entry_blocks")).withColumn("query_block", every("query_blocks"))
+    left = met_by.join(entries.select("entry", "v"), "entry").select(group, "cell", "entry_block", "query_block", "entry", "v")
+    meeting = searched.select("q", "v", F.explode("cells").alias("cell")).join(dealt, "cell").withColumn("query_block", F.pmod(F.xxhash64("q"), "query_blocks")).withColumn("entry_block", every("entry_blocks"))
+    right = meeting.select(group, "cell", "entry_block", "query_block", "q", "v")
     keep = k + 1
 
     def rerank(entries_here: pd.DataFrame, queries_here: pd.DataFrame) -> pd.DataFrame:
         parts = []
-        own = dict(tuple(entries_here.groupby(["cell", "block"])))
-        for key, qs in queries_here.groupby(["cell", "block"]):
+        own = dict(tuple(entries_here.groupby(["cell", "entry_block", "query_block"])))
+        for key, qs in queries_here.groupby(["cell", "entry_block", "query_block"]):
             if key not in own:
                 continue
             c, q, ids = _matrix(own[key]["v"]), _matrix(qs["v"]), own[key]["entry"].to_numpy()

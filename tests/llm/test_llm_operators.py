@@ -85,6 +85,15 @@ def test_neighbours_small_tables_are_exact(spark):
     assert not neighbours.nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect()
 
 
+def test_neighbours_deal_out_entries_and_queries(spark, monkeypatch):
+    """Blocks of seven rows: a leaf's entries and its queries are dealt out, and the answers stay those of whole leaves."""
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(rng.standard_normal((400, 8)).tolist())], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 2 == 0).collect()))
+    monkeypatch.setattr(neighbours, "BLOCK", 7)
+    assert sorted(map(tuple, neighbours.nearest(df, F.col("vec_id") % 2 == 0).collect())) == whole and len(whole) == 1000
+
+
 @pytest.mark.parametrize("spread", ["clustered", "even"])
 def test_neighbours_reach_their_recall(spark, monkeypatch, spread):
     """Against brute force on 10,000 rows; data in clusters are searched in a small part of the table."""
