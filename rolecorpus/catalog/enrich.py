@@ -231,9 +231,29 @@ def display_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logical(spark, sf_dir, "scores").select("id", text.score_band(F.col("score")).alias("band"), text.score_label(F.col("score")).alias("label"), text.salary_label(low, high).alias("salary"))
 
 
-@query()
+def _duck_sections() -> str:
+    """Blocks of documents as rows of lines, paragraphs and runs. RE2 has no lookaround: a mark behind each blank stands for a
+    label's beginning, and the blank for its end."""
+    mark, ascii_blank = "\uFDD2", r"[ \t\n\r\f\x0B]"
+    label = "|".join(text.SECTION_LABELS).replace("'", "''").replace("[\\w &''.-]", "(?:@|[\\w&''.-])").replace("[- ]", "(?:-|@)").replace(" ", "@").replace("@", f" {mark}")
+    item, inline, blank = text.ITEM, text.INLINE, text.ANY_BLANK
+    return f"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(translate(coalesce(replace(text, chr(10), ' Requirements: '), ''), '\u00A0\u2007\u202F\uFDD0\uFDD1', '   '), '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g') AS t FROM documents),
+  labelled AS (SELECT doc_id, replace(regexp_replace(regexp_replace(t, '({ascii_blank})', '\\1{mark}', 'g'), '(^|{mark})({label}):?({ascii_blank}|$)', '\\1' || chr(10) || chr(10) || '\\2' || chr(10) || '\\3', 'g'), '{mark}', '') AS t FROM t),
+  listed AS (SELECT doc_id, string_split(array_to_string(list_transform(string_split(t, chr(10)), lambda x: CASE WHEN len(regexp_split_to_array(x, '{inline}')) > 2 THEN regexp_replace(x, '{inline}', chr(10) || '• ', 'g') ELSE x END), chr(10)), chr(10)) AS l FROM labelled),
+  lines AS (SELECT doc_id, unnest(range(len(l))) AS n, regexp_replace(unnest(l), '^{blank}+|{blank}+$', '', 'g') AS x FROM listed),
+  placed AS (SELECT *, count(*) FILTER (x = '') OVER (PARTITION BY doc_id ORDER BY n) AS par FROM lines),
+  pars AS (SELECT doc_id, par, list(x ORDER BY n) AS l, bool_and(regexp_matches(x, '{item}')) AS listed, arg_min(x, n) AS x FROM placed WHERE x <> '' GROUP BY doc_id, par),
+  kinds AS (SELECT *, CASE WHEN listed AND regexp_matches(x, '^\\p{{Nd}}') THEN 'numbered' WHEN listed THEN 'bullets'
+    WHEN len(l) = 1 AND (length(x) < 70 AND regexp_matches(x, '^[A-Z]') AND NOT regexp_matches(x, '[.!?]$') AND len(regexp_split_to_array(x, '{blank}+')) <= 9 OR regexp_matches(x, '^#{{1,6}}{blank}+[^\\n]')) THEN 'heading' ELSE 'paragraph' END AS kind FROM pars),
+  runs AS (SELECT *, coalesce(listed AND kind = lag(kind) OVER w, false) AS goes_on FROM kinds WINDOW w AS (PARTITION BY doc_id ORDER BY par)),
+  blocks AS (SELECT *, count(*) FILTER (NOT goes_on) OVER (PARTITION BY doc_id ORDER BY par) - 1 AS pos FROM runs)
+SELECT doc_id, pos::INTEGER AS pos, kind, CASE kind WHEN 'heading' THEN regexp_replace(any_value(x), '^#{{1,6}}{blank}+|:$', '', 'g') WHEN 'paragraph' THEN array_to_string(any_value(l), ' ') END AS text,
+  CASE WHEN any_value(listed) THEN list_transform(flatten(list(l ORDER BY par)), lambda i: regexp_replace(i, '{item}', '')) END AS items FROM blocks GROUP BY doc_id, pos, kind"""
+
+
+@query(_duck_sections())
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of each document with a label put in front of its second line; unit tests hold the rules."""
+    """Blocks of each document, every line but the first under a label."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\\n", " Requirements: ").alias("text"))
     return text.split_sections(docs, "text", ["doc_id"])
 
