@@ -190,10 +190,11 @@ def _terms_of(x: str) -> str:
 _TERMS = f"qt AS (SELECT query_id, unnest(list_distinct({_terms_of('raw_query')})) AS term FROM queries)"
 _INDEX = f"""ix AS (SELECT term, id, field, count(*) AS tf FROM (SELECT id, 'A' AS field, unnest({_terms_of('title')}) AS term FROM postings UNION ALL SELECT id, 'B', unnest({_terms_of('company')}) FROM postings
   UNION ALL SELECT id, 'C', unnest({_terms_of('description')}) FROM postings) GROUP BY 1, 2, 3)"""
-_FOUND = f"""{duck('queries', 'postings')}, {_TERMS}, {_INDEX}, need AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1), hit AS (SELECT qt.query_id, ix.* FROM ix JOIN qt USING (term)),
+_MATCHED = """need AS (SELECT query_id, count(*) AS n FROM qt GROUP BY 1), hit AS (SELECT qt.query_id, ix.* FROM ix JOIN qt USING (term)),
 full_ AS (SELECT query_id, id FROM hit JOIN need USING (query_id) GROUP BY query_id, id, n HAVING count(DISTINCT term) = n), ma AS (SELECT hit.* FROM hit SEMI JOIN full_ ON full_.query_id = hit.query_id AND full_.id = hit.id),
 rk AS (SELECT query_id, id, sum(CASE field WHEN 'A' THEN 1.0e0 WHEN 'B' THEN 0.4e0 ELSE 0.2e0 END * tf / (tf + 1)) AS rank FROM ma GROUP BY 1, 2),
 ps AS (SELECT rk.query_id, rk.id, rank, row_number() OVER (PARTITION BY rk.query_id ORDER BY round(rank, 9) DESC, published_s DESC NULLS LAST, rk.id) AS pos FROM rk JOIN postings USING (id))"""
+_FOUND = f"{duck('queries', 'postings')}, {_TERMS}, {_INDEX}, {_MATCHED}"
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,12 +267,12 @@ def needs_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.needs_fallback(logical(spark, sf_dir, "queries"), _ranked(spark, sf_dir))
 
 
-def _merged(external: str) -> str:
+def _merged(external: str, local: str = "SELECT query_id, id, pos FROM ps WHERE pos <= 50") -> str:
     """Local candidates, then the others that pass the quality filter: of each content the first, as URLs differ wherever contents do."""
     from .enrich import _DENIED, _HOST, _PATH, _duck_class
 
     content = "||'|'||".join(sql_content(x) for x in ("company", "title", "location"))
-    return f"""lo AS (SELECT ps.query_id, 0 AS origin, ps.pos AS own_pos, p.url, p.title, p.company, p.location_raw AS location FROM ps JOIN postings p USING (id) WHERE pos <= 50),
+    return f"""lo AS (SELECT ps.query_id, 0 AS origin, ps.pos AS own_pos, p.url, p.title, p.company, p.location_raw AS location FROM ({local}) ps JOIN postings p USING (id)),
 xt AS (SELECT query_id, 1 AS origin, id AS own_pos, url, title, company, location_raw AS location FROM ({external}) WHERE ({_duck_class(_HOST, _PATH)}) <> 'marketing' AND NOT {_DENIED}),
 ev AS (SELECT * FROM lo UNION ALL SELECT * FROM xt), fi AS (SELECT *, row_number() OVER (PARTITION BY query_id, {content} ORDER BY origin, own_pos) AS rn FROM ev)
 SELECT query_id, url, title, company, location, origin, CAST(row_number() OVER (PARTITION BY query_id ORDER BY origin, own_pos) - 1 AS INT) AS pos FROM fi WHERE rn = 1"""

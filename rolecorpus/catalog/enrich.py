@@ -96,9 +96,15 @@ _HOST = r"regexp_extract(url, '^https?://([^/?#]+)', 1)"
 _PATH = r"regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '^/[a-z]{2}(-[a-zA-Z]{2})?/', '/')"
 
 
-@query(f"""{_POSTINGS}, t AS (SELECT id, {_HOST} AS h, regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1) AS p0 FROM postings)
-SELECT id, nullif(CASE WHEN h LIKE '%greenhouse.io' OR h IN ('jobs.lever.co', 'jobs.ashbyhq.com', 'apply.workable.com', 'jobs.smartrecruiters.com') THEN p0
-  WHEN h LIKE '%.myworkdayjobs.com' OR h LIKE '%.bamboohr.com' OR h LIKE '%.recruitee.com' OR h LIKE '%.teamtailor.com' THEN split_part(h, '.', 1) ELSE p0 END, '') AS company FROM t""")
+def _duck_company(h: str, p0: str) -> str:
+    return f"""nullif(CASE WHEN {h} LIKE '%greenhouse.io' OR {h} IN ('jobs.lever.co', 'jobs.ashbyhq.com', 'apply.workable.com', 'jobs.smartrecruiters.com') THEN {p0}
+  WHEN {h} LIKE '%.myworkdayjobs.com' OR {h} LIKE '%.bamboohr.com' OR {h} LIKE '%.recruitee.com' OR {h} LIKE '%.teamtailor.com' THEN split_part({h}, '.', 1) ELSE {p0} END, '')"""
+
+
+_FIRST = "regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1)"
+
+
+@query(f"{_POSTINGS}, t AS (SELECT id, {_HOST} AS h, {_FIRST} AS p0 FROM postings) SELECT id, {_duck_company('h', 'p0')} AS company FROM t")
 def company_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logical(spark, sf_dir, "postings").select("id", urls.company_from_url(F.col("url")).alias("company"))
 

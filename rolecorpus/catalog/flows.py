@@ -12,8 +12,10 @@ from ..plans.search import SearchInputs, batch_search, posting_id
 from ..scratch import scratch_path
 from ..streaming import jobs
 from . import stores  # noqa: F401 - the batch twins of the streams are registered first
-from .base import AS_OF_S, ORACLES, duck, logical, now, query, read, seconds
+from .base import AS_OF_S, ORACLES, dims, duck, logical, now, query, read, seconds
+from .corpus import _INDEX, _MATCHED, _PADDED, _RAW, _holds, _merged, _terms_of
 from .corpus import kept as kept_terms
+from .enrich import _FIRST, _HOST, _duck_company
 
 
 def _folder(spark: SparkSession) -> str:
@@ -27,7 +29,27 @@ def _drain(stream: DataFrame, folder: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query()
+_ROUTE = ORACLES["parse_route"].replace(_RAW, "raw_query")
+_EXTERNAL = "SELECT p.*, p.id % 40 AS query_id FROM postings p WHERE p.id % 40 IN (SELECT query_id FROM open_) AND p.id % 40 NOT IN (SELECT query_id FROM here GROUP BY 1 HAVING count(*) >= 5)"
+_ROLE_AND_LEVEL = "coalesce(role, '') || ' ' || coalesce(seniority, '')"
+
+
+# No query of the tables goes the route 'rule' (years and a city), and their places are the three of the logical table.
+@query(f"""{duck("queries", "postings", "hidden_log")}, route AS ({_ROUTE}),
+asked AS (SELECT query_id, raw_query, query_id % 150 AS owner, sha256(regexp_replace(trim(lower(raw_query)), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g')) AS raw_hash, raw_query AS role,
+  CASE WHEN route = 'model' THEN location END AS location, CASE WHEN route = 'model' THEN remote END AS remote, CASE WHEN route = 'model' THEN seniority END AS seniority FROM queries JOIN route USING (query_id)),
+held AS (SELECT a.raw_hash, p.*, row_number() OVER (PARTITION BY a.raw_hash ORDER BY p.id) - 1 AS pos, CASE p.id % 3 WHEN 0 THEN 0.5e0 ELSE p.id % 3 / 3.0e0 END AS score FROM asked a JOIN postings p ON p.id BETWEEN a.query_id AND a.query_id + 2 WHERE a.query_id % 10 = 0),
+stored AS (SELECT q.query_id, q.owner, q.seniority, h.url, h.title, h.pos, h.score, true AS from_store FROM asked q JOIN held h USING (raw_hash)),
+open_ AS (SELECT * FROM asked WHERE raw_hash NOT IN (SELECT raw_hash FROM held)), qt AS (SELECT query_id, unnest(list_distinct({_terms_of(_ROLE_AND_LEVEL)})) AS term FROM open_), {_INDEX}, {_MATCHED},
+fit AS (SELECT ps.query_id, id, row_number() OVER (PARTITION BY ps.query_id ORDER BY pos) AS pos FROM ps JOIN postings p USING (id) JOIN open_ q USING (query_id) WHERE pos <= 2000 AND NOT (coalesce(remote, false) AND coalesce(NOT is_remote, false))
+  AND (location IS NULL OR (location = 'Bangalore' AND location_raw IN ('Bengaluru, India', 'BLR')) OR (location = 'new york' AND trim(location_raw) = 'New   York'))),
+here AS (SELECT * FROM fit WHERE pos <= 50), merged AS (WITH {_merged(_EXTERNAL, 'SELECT query_id, id, pos FROM here')}),
+w AS (SELECT m.*, q.owner, q.seniority, count(*) OVER (PARTITION BY query_id, origin) AS n, list_distinct(list_filter(regexp_split_to_array(lower(raw_query), '[^a-z0-9]+'), lambda x: x <> '')) AS qw, regexp_split_to_array(lower(substr(title || ' ' || company, 1, 200)), '[^a-z0-9]+') AS tw FROM merged m JOIN open_ q USING (query_id)),
+fresh AS (SELECT query_id, owner, seniority, url, title, pos, CASE WHEN n = 1 THEN 1.0e0 WHEN len(qw) = 0 THEN 0.0e0 ELSE floor(100.0e0 * len(list_filter(qw, lambda x: list_contains(tw, x))) / len(qw) + 0.5) / 100 END AS score, false AS from_store FROM w),
+every AS (SELECT * FROM stored UNION ALL SELECT * FROM fresh), padded AS (SELECT *, {_PADDED} AS t, {_duck_company(_HOST, _FIRST)} AS of_url FROM every),
+kept AS (SELECT * FROM padded e WHERE score >= 0.4 AND NOT EXISTS (SELECT 1 FROM hidden_log h WHERE h.owner = e.owner AND lower(trim(h.company)) = lower(e.of_url))
+  AND NOT coalesce(CASE WHEN seniority = 'junior' THEN {_holds("t", dims.SENIOR_TOKENS)} WHEN seniority = 'senior' THEN {_holds("t", dims.JUNIOR_TOKENS)} END, false))
+SELECT query_id, url, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS INT) AS place, from_store FROM kept""")
 def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole batch search over the logical tables, with a part of the queries in the store and other postings as external candidates."""
     p, q = logical(spark, sf_dir, "postings"), logical(spark, sf_dir, "queries")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
@@ -65,7 +65,8 @@ def batch_search(inputs: SearchInputs, as_of: Column, k: int = dims.TOP_K, score
     into it.
 
     One join by (term, posting) for the division, one shuffle by query for the ranking; everything after works on at most
-    ``widened(k)`` rows a query. Salaries that a posting lacks are read from its description. If the scorer fails a query, all its
+    ``widened(k)`` rows a query. Salaries that a posting lacks are read from its description. Local candidates are scored in one pass,
+    external ones that are new in a second, so the only candidate of a pass is 1.0. If the scorer fails a pass, all the query's
     candidates stay with 0.5, are not filtered further and not stored.
     """
     postings = inputs.postings
@@ -92,11 +93,17 @@ def batch_search(inputs: SearchInputs, as_of: Column, k: int = dims.TOP_K, score
     few = r.needs_fallback(open_, local).filter("fallback").select("query_id")
     ours = local.select("query_id", "pos", "url", "title", "company", F.col("location_raw").alias("location"), *CARRIED)
     merged = s.merge_candidates(ours, inputs.external.join(few, "query_id", "left_semi"), CARRIED)
-    asked = settle(merged.join(open_.select("query_id", "raw_query", "seniority", "owner", "raw_hash"), "query_id"), "search-asked")
-    raw = settle(s.score_batches(asked.withColumn("text", F.concat_ws(" ", "title", "company")), scorer), "search-scores")
-    marked = asked.join(raw.select("query_id", "pos", "batch_failed", "failed"), ["query_id", "pos"], "left")
+    # local and external candidates are scored in passes of their own, each as the scorer's whole query: what the first pass gave stands
+    turn = Window.partitionBy("query_id", "origin").orderBy("pos")
+    passes = merged.withColumns({"pass_id": (F.col("query_id") * 2 + F.col("origin")).cast("long"), "pass_pos": F.row_number().over(turn) - 1})
+    asked = settle(passes.join(open_.select("query_id", "raw_query", "seniority", "owner", "raw_hash"), "query_id"), "search-asked")
+    seen = asked.select(F.col("pass_id").alias("query_id"), F.col("pass_pos").alias("pos"), "raw_query", F.concat_ws(" ", "title", "company").alias("text"))
+    raw = settle(s.score_batches(seen, scorer), "search-scores")
+    marked = seen.select("query_id", "pos").join(raw.select("query_id", "pos", "batch_failed", "failed"), ["query_id", "pos"], "left")
     rated = s.validate_scores(marked, raw.filter("not batch_failed and not failed").select("query_id", "pos", "score", "fit"))
-    scored = marked.join(rated, ["query_id", "pos"], "left").filter("failed or score is not null")
+    both = marked.join(rated, ["query_id", "pos"], "left").select(F.col("query_id").alias("pass_id"), F.col("pos").alias("pass_pos"), "score", "fit", "failed")
+    ended = asked.join(both, ["pass_id", "pass_pos"]).withColumn("failed", F.max(F.coalesce("failed", F.lit(False))).over(Window.partitionBy("query_id")))
+    scored = ended.filter("failed or score is not null")
     kept = s.apply_min_score(scored.withColumns({"fit": F.when(F.col("failed"), F.lit("")).otherwise(F.col("fit"))}))
     filtered = r.seniority_filter(r.hide_companies(kept.filter("filter_further"), inputs.hidden))
     fresh = r.order_results(filtered.unionByName(kept.filter("not filter_further")), newest, fresh_only, as_of)

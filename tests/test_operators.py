@@ -191,14 +191,14 @@ def test_places_join_by_runs_of_words(spark):
     assert got == {(1, "San  Francisco, CA", 1), (1, "San Francisco, CA", 1), (3, None, 5)}
 
 
-def _search(spark, scorer, stored=None):
+def _search(spark, scorer, stored=None, external=(), n_postings=8):
     cols = "id long, url string, title string, company string, description string, location_raw string, is_remote boolean, published_at timestamp"
-    p = [(k, f"https://jobs.lever.co/co{k}/{k}", f"Backend engineer {k}", f"co{k}", "pays $100k - $120k per year" if k % 2 else "x", "Pune", None, None) for k in range(8)]
+    p = [(k, f"https://jobs.lever.co/co{k}/{k}", f"Backend engineer {k}", f"co{k}", "pays $100k - $120k per year" if k % 2 else "x", "Pune", None, None) for k in range(n_postings)]
     postings = spark.createDataFrame(p, cols).withColumn("published_at", F.timestamp_seconds(1_700_000_000 + F.col("id")))
     filters = "struct<role: string, location: string, remote: boolean, seniority: string>"
     queries = spark.createDataFrame([(1, "backend engineer", None, 7), (2, "Other engineer", ("engineer", None, None, None), 7)], f"query_id long, raw_query string, filters {filters}, owner long")
     store = spark.createDataFrame(stored or [], "query_hash string, raw_hash string, ids array<string>, scores map<string, struct<score: double, fit: string>>, created_at timestamp")
-    external = spark.createDataFrame([], "query_id long, pos int, url string, title string, company string, location string")
+    external = spark.createDataFrame(list(external), "query_id long, pos int, url string, title string, company string, location string")
     hidden = spark.createDataFrame([(7, "co3")], "owner long, company string")
     as_of = F.timestamp_seconds(F.lit(1_700_100_000))
     return search.batch_search(search.SearchInputs(queries, postings, store, external, hidden), as_of, scorer=scorer, newest=True)
@@ -212,6 +212,15 @@ def test_search_plan_scores_dates_and_salaries(spark):
     assert done["store"].count() == done["results"].count()
 
 
+def test_search_plan_scores_external_candidates_in_a_pass_of_their_own(spark):
+    external = [(2, k, f"https://acme.example/careers/{k}", f"data analyst {k}", f"acme{k}", "Pune") for k in range(3)]
+    done = _search(spark, lambda q, texts: [(0.5 + len(texts) / 100, "fine")] * len(texts), external=external, n_postings=2)
+    rows = [(r.query_id, "acme" in r.url, r.score) for r in done["results"].collect()]
+    assert sorted(rows) == [(1, False, 0.52)] * 2 + [(2, False, 0.52)] * 2 + [(2, True, 0.53)] * 3
+    alone = _search(spark, lambda q, texts: [(0.5, "fine")] * len(texts), external=external[:1], n_postings=2)
+    assert sorted((r.score, r.query_id) for r in alone["results"].collect() if r.query_id == 2) == [(0.5, 2), (0.5, 2), (1.0, 2)]
+
+
 def test_search_plan_when_the_scorer_fails(spark):
     def scorer(query, texts):
         if "backend" in query:
