@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,25 +28,40 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Tables written outside any scope, and the list that a new one is entered in.
 _written: list[str] = []
+_current: ContextVar[list[str]] = ContextVar("scratch", default=_written)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder for a table, remembered for ``drop_scratch``."""
-    _written.append(f"{scratch_dir(spark)}/{label}_{uuid.uuid4().hex}")
-    return _written[-1]
+    """A new folder for a table, remembered for the scope it is made in."""
+    path = f"{scratch_dir(spark)}/{label}_{uuid.uuid4().hex}"
+    _current.get().append(path)
+    return path
 
 
 def drop_scratch(spark: SparkSession) -> int:
-    """Removes the tables that this process has written in between, and says how many. Call it when the results that read them
-    have been written; what a stopped process leaves goes with the folder's own retention."""
-    n = 0
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    """Removes the tables written in between by the scope it is called in, or those written outside any, and says how many. Call it
+    when the results that read them have been written; what a stopped process leaves goes with the folder's own retention."""
+    n, paths = 0, _current.get()
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return n
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """The tables that are written in between within it are removed at its end, and no others: jobs side by side, in threads or one
+    within another, keep theirs. Write what reads them before the scope ends."""
+    outer = _current.set([])
+    try:
+        yield
+    finally:
+        drop_scratch(spark)
+        _current.reset(outer)
+
+
 def settle(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: the lineage ends there, so a lost
     executor costs a re-read and never a re-run, and nothing is computed twice."""

@@ -356,6 +356,28 @@ def test_scratch_tables_can_be_dropped(spark):
     scratch._written.extend(written)
 
 
+def test_scratch_scopes_remove_their_own_tables(spark):
+    """Two jobs side by side and one within another: each removes what it wrote, while the others can still be read."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from rolecorpus import scratch
+
+    before = list(scratch._written)
+    with scratch.scratch_scope(spark):
+        outer = scratch.settle(spark.range(3), "outer")
+        with scratch.scratch_scope(spark):
+            inner = scratch.settle(spark.range(5), "inner")
+            assert inner.count() == 5
+        with ThreadPoolExecutor(1) as pool:  # a thread is in no scope
+            other = pool.submit(lambda: scratch.settle(spark.range(7), "other")).result()
+        assert outer.count() == 3
+        folders = [x.inputFiles()[0].rpartition("/")[0].removeprefix("file://") for x in (outer, other)]
+        with pytest.raises(Exception, match="not exist|NOT_EXIST"):
+            inner.count()
+    assert other.count() == 7 and [os.path.isdir(f) for f in folders] == [False, True] and len(scratch._written) == len(before) + 1
+
+
 def test_replay_and_identity(spark):
     log = spark.createDataFrame([(1, "a", 1, "saved", 1, False), (2, "a", 1, "saved", 2, True), (3, "a", 2, "saved", 1, False), (4, "a", 2, "odd", 1, False)], "event_id long, owner string, job_id long, kind string, ts_us long, is_delete boolean")
     state = owners.apply_actions(log)
