@@ -3,6 +3,8 @@
 import duckdb
 
 import __spark_entry__
+from rolecorpus.catalog import stores
+from rolecorpus.operators import store
 
 
 def _plan(df):
@@ -21,3 +23,28 @@ def test_links_of_pages_that_share_an_address_equal_their_sql(spark, tmp_path):
     want = con.execute(f"SELECT page_url, link, pos FROM ({__spark_entry__.oracle_sql()['discover_links']})").fetchall()
     assert got == sorted(want) and len(got) == 2 + 3 + 20
     assert "Exchange" not in _plan(df)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def _exchanges(spark, df_of):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return _plan(df_of()).count("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_store_shuffles_lines_and_orders_once(spark):
+    assert _exchanges(spark, lambda: stores._store(spark, SF)) == 2
+
+
+def test_hydration_brings_scores_and_sends_no_hash_through_its_shuffles(spark):
+    results = spark.createDataFrame([("h1", ["c", "x", "a"], {"a": (0.5, "f"), "c": (None, "g")}), ("h2", ["a"], {}), ("h3", ["x"], {})], "query_hash string, ids array<string>, scores map<string, struct<score: double, fit: string>>")
+    postings = spark.createDataFrame([("a", "A"), ("c", "C")], "id string, title string")
+    got = store.hydrate(results, postings)
+    assert sorted((r.query_hash, r.place, r.id, r.title, r.score) for r in got.collect()) == [("h1", 1, "c", "C", None), ("h1", 2, "a", "A", 0.5), ("h2", 1, "a", "A", None)]
+    assert "hashpartitioning(query_hash" not in _plan(got)
+    assert "score" not in store.hydrate(results.drop("scores"), postings).columns
