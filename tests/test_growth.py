@@ -41,6 +41,10 @@ def test_the_store_shuffles_lines_and_orders_once(spark):
     assert _exchanges(spark, lambda: stores._store(spark, SF)) == 2
 
 
+def test_a_merge_into_the_store_shuffles_each_side_by_order_and_by_hash(spark):
+    assert _exchanges(spark, lambda: __spark_entry__.queries()["store_results"](spark, SF)) == 6
+
+
 def test_hydration_brings_scores_and_sends_no_hash_through_its_shuffles(spark):
     results = spark.createDataFrame([("h1", ["c", "x", "a"], {"a": (0.5, "f"), "c": (None, "g")}), ("h2", ["a"], {}), ("h3", ["x"], {})], "query_hash string, ids array<string>, scores map<string, struct<score: double, fit: string>>")
     postings = spark.createDataFrame([("a", "A"), ("c", "C")], "id string, title string")
