@@ -4,7 +4,7 @@ import duckdb
 
 import __spark_entry__
 from rolecorpus.catalog import stores
-from rolecorpus.operators import store
+from rolecorpus.operators import index, retrieval, store
 
 
 def _plan(df):
@@ -52,3 +52,24 @@ def test_hydration_brings_scores_and_sends_no_hash_through_its_shuffles(spark):
     assert sorted((r.query_hash, r.place, r.id, r.title, r.score) for r in got.collect()) == [("h1", 1, "c", "C", None), ("h1", 2, "a", "A", 0.5), ("h2", 1, "a", "A", None)]
     assert "hashpartitioning(query_hash" not in _plan(got)
     assert "score" not in store.hydrate(results.drop("scores"), postings).columns
+
+
+def _posts(spark):
+    rows = [(k, f"Alpha{k % 3} beta beta", "co", f"alpha{k % 5} gamma{k % 7} beta the x{k} x{k}") for k in range(120)]
+    return spark.createDataFrame(rows, "id long, title string, company string, description string").selectExpr("*", "timestamp_seconds(id % 9) AS published_at")
+
+
+def test_words_of_a_posting_are_counted_without_a_shuffle(spark, tmp_path):
+    counts = index.TermIndex(spark, f"{tmp_path}/ix")._counted(_posts(spark))
+    assert "Exchange" not in _plan(counts)
+    assert {(r.term, r.a, r.b, r.c) for r in counts.filter("id = 8").collect()} == {("alpha2", 1, 0, 0), ("alpha3", 0, 0, 1), ("beta", 2, 0, 1), ("co", 0, 1, 0), ("gamma1", 0, 0, 1), ("x8", 0, 0, 2)}
+
+
+def test_an_index_of_a_batch_holds_its_terms_alone_and_ranks_as_the_whole_one(spark, tmp_path):
+    posts = _posts(spark)
+    terms = spark.createDataFrame([(1, "alpha1"), (1, "beta"), (2, "gamma3"), (2, "alpha2"), (3, "co"), (4, "absent"), (4, "beta")], "query_id int, term string")
+    own, whole = index.TermIndex(spark, f"{tmp_path}/own").create(posts, terms), index.TermIndex(spark, f"{tmp_path}/whole").create(posts)
+    assert {r.term for r in own.blocks(terms, list(range(16))).collect()} == {"alpha1", "alpha2", "beta", "gamma3", "co"}
+    assert own._rows(None).count() < whole._rows(None).count()
+    key = lambda df: sorted((r.query_id, r.pos, r.id, round(r["rank"], 9)) for r in df.collect())
+    assert key(own.top(terms, posts, 9)) == key(whole.top(terms, posts, 9)) == key(retrieval.rank_topk(retrieval.match_all_terms(terms, posts), posts, 9))
