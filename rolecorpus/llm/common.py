@@ -81,7 +81,8 @@ def _power(kind: str, n: int) -> np.ndarray:
     have = _powers.get(kind)
     if have is None or len(have) < n:
         base = _BASE if kind == "up" else pow(_BASE, -1, 1 << 64)
-        out = np.full(max(n, 1 << 16), base, np.uint64)
+        size = 1 << 16 if n <= 1 << 16 else -(-n >> 20) << 20  # in steps, so that strings of about the same length compute them once
+        out = np.full(size, base, np.uint64)
         out[0] = 1
         have = _powers[kind] = np.multiply.accumulate(out)
     return have[:n]

@@ -7,8 +7,10 @@ four steps over blocks of documents.
    shuffles a text again.
 2. Every window of LENGTH bytes names one of its 16-byte substrings, the one of least hash, its anchor. Equal windows
    have equal anchors at equal places. Blocks send 32-bit fingerprints of their anchors to buckets, which answer
-   with a bitmap of those that another document has too.
-3. For shared anchors the blocks send the bytes of the windows around them, once per block and content. A bucket
+   with a bitmap of those that another document has too, and of those that occur more than HOT times.
+3. For shared anchors the blocks send the bytes of the windows around them, once per block and content; a task sends those of
+   several blocks together. An anchor's windows meet in one bucket; those of a hot anchor are dealt out in parts of PART places,
+   by the bytes that every window of the part holds, so that windows meet only where nearly all their bytes are the same. A bucket
    sorts the suffixes that begin there by their first LENGTH bytes: the common extension of two suffixes is found by
    binary search over prefix hashes, so a comparison in the merge sort takes log(LENGTH) steps; neighbours that the
    hashes call equal are verified byte by byte. Suffixes whose hash of LENGTH bytes stands alone are left out of the sort. In each run of equal windows the smallest document keeps its own.
@@ -34,6 +36,10 @@ LENGTH, GRAM = 50, 16
 BLOCK_BYTES = 4 << 20
 #: Bytes of text whose anchors share a bucket.
 BUCKET_BYTES = 24 << 20
+#: Occurrences beyond which an anchor is hot, and the places before it that a part of its windows begins at.
+HOT, PART = 4096, 5
+#: Bytes of contexts that a task gathers from its blocks before it sends them.
+SEND_BYTES = 32 << 20
 #: Bytes that anchors are computed for at a time.
 PIECE = 1 << 15
 _NO_ID = np.iinfo(np.int64).min
@@ -43,15 +49,17 @@ _NO_ID = np.iinfo(np.int64).min
 
 
 def common_extension(h: PrefixHash, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common prefix, up to ``most``, of the suffixes at a and at b: binary search over hashes."""
-    low, high = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
-    while True:
-        open_ = low < high
-        if not open_.any():
-            return low
-        mid = (low + high + 1) >> 1
-        same = h.slices(a, mid) == h.slices(b, mid)
-        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
+    """Length of the common prefix, up to ``most``, of the suffixes at a and at b: binary search over hashes, whose first probe is
+    the whole length."""
+    whole = h.slices(a, most) == h.slices(b, most)
+    low, high = np.where(whole, most, 0), np.where(whole, most, most - 1)
+    open_ = np.flatnonzero(low < high)
+    while len(open_):
+        mid = (low[open_] + high[open_] + 1) >> 1
+        same = h.slices(a[open_], mid) == h.slices(b[open_], mid)
+        low[open_], high[open_] = np.where(same, mid, low[open_]), np.where(same, high[open_], mid - 1)
+        open_ = open_[low[open_] < high[open_]]
+    return low
 
 
 def suffix_less(h: PrefixHash, data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -123,13 +131,17 @@ def equal_runs(data: np.ndarray, h: PrefixHash, starts: np.ndarray, segment: np.
 
 
 def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether data[a:a + size] and data[b:b + size] are the same, for each element."""
+    """Whether data[a:a + size] and data[b:b + size] are the same, for each element; eight bytes at a time, the last eight ending
+    with the slice."""
     same = np.ones(len(a), bool)
-    for k in range(int(size.max(initial=0))):
+    wide = 8 if size.min(initial=8) >= 8 else 1
+    units = np.ndarray(max(0, len(data) - wide + 1), np.uint64 if wide == 8 else np.uint8, np.ascontiguousarray(data), strides=(1,))
+    for k in range(0, int(size.max(initial=0)), wide):
         live = np.flatnonzero(same & (size > k))
         if not len(live):
             break
-        same[live] = data[a[live] + k] == data[b[live] + k]
+        at = np.minimum(k, size[live] - wide)
+        same[live] = units[a[live] + at] == units[b[live] + at]
     return same
 
 
@@ -155,7 +167,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     for at in range(0, n, PIECE):
         here = min(PIECE, n - at)
         piece = data[at : at + here + LENGTH - 1]
-        grams = mix64(PrefixHash(piece).slices(np.arange(len(piece) - GRAM + 1), GRAM))
+        own = PrefixHash(piece)
+        grams = mix64((own.sums[GRAM:] - own.sums[:-GRAM]) * own.inverse[: len(piece) - GRAM + 1])
         # the hash's upper 40 bits, then the place: the first of equal hashes wins
         m = (grams & ~low_bits) | index[: len(grams)]
         span = 1
@@ -248,7 +261,7 @@ def _pack(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _shared_bits(blocks: DataFrame, n: int) -> DataFrame:
-    """(block, parts): for each block, which of its distinct fingerprints another document has too, by bucket."""
+    """(block, parts): for each block, which of its distinct fingerprints another document has too, and which are hot, by bucket."""
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -257,28 +270,71 @@ def _shared_bits(blocks: DataFrame, n: int) -> DataFrame:
                 low, high = np.full(len(distinct), np.iinfo(np.int64).max), np.full(len(distinct), _NO_ID)
                 np.minimum.at(low, where, owner)
                 np.maximum.at(high, where, owner)
+                times = np.minimum(np.bincount(where, minlength=len(distinct)), 65535).astype(np.uint16)
                 rows = [
-                    (bucket, row["block"], distinct[at].astype(np.uint32).tobytes(), np.packbits(low[at] < high[at]).tobytes())
+                    (bucket, row["block"], distinct[at].astype(np.uint32).tobytes(), np.packbits(low[at] < high[at]).tobytes(), times[at].tobytes())
                     for bucket, at in _cuts((distinct >> np.uint64(32)).astype(np.int64))
                 ]
-                yield pd.DataFrame(rows, columns=["bucket", "block", "prints", "several"])
+                yield pd.DataFrame(rows, columns=["bucket", "block", "prints", "several", "times"])
 
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         prints = [np.frombuffer(p, np.uint32) for p in pdf["prints"]]
         several = [np.unpackbits(np.frombuffer(s, np.uint8), count=len(p)).astype(bool) for s, p in zip(pdf["several"], prints, strict=True)]
-        every = np.sort(np.concatenate(prints))
-        again = np.concatenate((every[1:][every[1:] == every[:-1]], *[p[s] for p, s in zip(prints, several, strict=True)]))
-        shared = np.unique(again)
-        bits = []
+        every, times = np.concatenate(prints), np.concatenate([np.frombuffer(t, np.uint16) for t in pdf["times"]])
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        again = (np.diff(np.concatenate((first, [len(every)]))) > 1) | np.logical_or.reduceat(np.concatenate(several)[order], first)
+        hot = np.add.reduceat(times[order].astype(np.int64), first)[again] > HOT
+        shared = every[first[again]]
+        bits, much = [], []
         for p in prints:
-            at = np.searchsorted(shared, p)
-            hit = (at < len(shared)) & (shared[np.minimum(at, max(0, len(shared) - 1))] == p) if len(shared) else np.zeros(len(p), bool)
+            at = np.minimum(np.searchsorted(shared, p), max(0, len(shared) - 1))
+            hit = shared[at] == p if len(shared) else np.zeros(len(p), bool)
             bits.append(np.packbits(hit).tobytes())
-        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits})
-
-    sent = blocks.mapInPandas(send, "bucket long, block long, prints binary, several binary")
-    answered = sent.groupBy("bucket").applyInPandas(answer, "block long, bucket long, bits binary")
-    return settle(answered.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("parts")), "suffix-bits")
+            much.append(np.packbits(hit & hot[at] if len(shared) else hit).tobytes())
+        return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "bits": bits, "hot": much})
+
+    sent = blocks.mapInPandas(send, "bucket long, block long, prints binary, several binary, times binary")
+    answered = sent.groupBy("bucket").applyInPandas(answer, "block long, bucket long, bits binary, hot binary")
+    return settle(answered.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "hot")).alias("parts")), "suffix-bits")
+
+
+def _in_parts(whole: PrefixHash, h: np.ndarray, place: np.ndarray, first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(whose, first, count, key) of the parts of the contexts of hot anchors. Windows that begin PART * k to PART * k + PART - 1 bytes
+    before their anchor are part k; LENGTH - PART + 1 bytes are in all of them, and equal windows have them alike: the key says which."""
+    most, least = (place - first) // PART, (place - first - count + 1) // PART
+    n = most - least + 1
+    whose = np.repeat(np.arange(len(h)), n)
+    part = most[whose] - (np.arange(len(whose)) - np.repeat(np.cumsum(n) - n, n))
+    last = place[whose] - PART * part
+    begin = np.maximum(first[whose], last - PART + 1)
+    end = np.minimum(first[whose] + count[whose], last + 1)
+    return whose, begin, end - begin, mix64(mix64(h[whose]) ^ mix64(whole.slices(last, LENGTH - PART + 1) + part.astype(np.uint64)))
+
+
+def _messages(held: list[tuple[np.ndarray, ...]], spread: int) -> Iterator[pd.DataFrame]:
+    """The held contexts, one message for each bucket."""
+    shift = np.cumsum([0, *(len(x[0]) for x in held)])
+    data = np.concatenate([x[0] for x in held])
+    at = np.concatenate([x[1] + s for x, s in zip(held, shift[:-1], strict=True)])
+    block, owner, first, count, before, key = (np.concatenate([x[k] for x in held]) for k in range(2, 8))
+    bucket = _buckets(key, spread)
+    by = np.argsort(bucket, kind="stable")
+    compress, rows, size = zstandard.ZstdCompressor(level=1).compress, [], 0
+    for k, cut in _cuts(bucket[by]):
+        x = by[cut]
+        heads = b"".join((block[x].tobytes(), owner[x].tobytes(), first[x].astype(np.int32).tobytes(), count[x].astype(np.uint8).tobytes(), before[x].astype(np.uint8).tobytes()))
+        long = count[x] + LENGTH - 1
+        to = np.cumsum(long)
+        text = compress(data[np.repeat(at[x] - to + long, long) + np.arange(to[-1])].tobytes())
+        rows.append((k, -1, heads, text, None))
+        size += len(heads) + len(text)
+        if size > SEND_BYTES:
+            yield pd.DataFrame(rows, columns=["bucket", "block", "heads", "text", "done"])
+            rows, size = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=["bucket", "block", "heads", "text", "done"])
 
 
 def _contexts(blocks: DataFrame, bits: DataFrame, n: int, spread: int) -> DataFrame:
@@ -286,20 +342,28 @@ def _contexts(blocks: DataFrame, bits: DataFrame, n: int, spread: int) -> DataFr
     ``done`` are windows that the block itself settles: their content stands in an earlier document of the block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size_held = [], 0
         for b in batches:
             for row in b.to_dict("records"):
                 data, ids, ends = _unpack(row)
                 h, place, first, count, owner, distinct, where = _fingerprints(data, ids, ends, n)
-                shared = np.zeros(len(distinct), bool)
-                parts = {p["bucket"]: p["bits"] for p in row["parts"]}
+                shared, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
+                parts = {p["bucket"]: p for p in row["parts"]}
                 for bucket, at in _cuts((distinct >> np.uint64(32)).astype(np.int64)):
-                    shared[at] = np.unpackbits(np.frombuffer(parts[bucket], np.uint8), count=at.stop - at.start).astype(bool)
+                    for flags, name in ((shared, "bits"), (hot, "hot")):
+                        flags[at] = np.unpackbits(np.frombuffer(parts[bucket][name], np.uint8), count=at.stop - at.start).astype(bool)
                 keep = np.flatnonzero(shared[where])
                 if not len(keep):
                     continue
-                h, place, first, count, owner = h[keep], place[keep], first[keep], count[keep], owner[keep]
-                size = count + LENGTH - 1
+                h, place, first, count, owner, hot = h[keep], place[keep], first[keep], count[keep], owner[keep], hot[where[keep]]
                 whole = PrefixHash(data)
+                key = mix64(h)
+                if hot.any():
+                    cold, much = np.flatnonzero(~hot), np.flatnonzero(hot)
+                    whose, *dealt = _in_parts(whole, h[much], place[much], first[much], count[much])
+                    first, count, key = (np.concatenate((x[cold], y)) for x, y in zip((first, count, key), dealt, strict=True))
+                    place, owner = (np.concatenate((x[cold], x[much[whose]])) for x in (place, owner))
+                size = count + LENGTH - 1
                 content = mix64(whole.slices(first, size) + (size * 64 + place - first).astype(np.uint64))
                 order = np.lexsort((first, owner, content))
                 lead = np.concatenate(([True], content[order][1:] != content[order][:-1]))
@@ -311,16 +375,13 @@ def _contexts(blocks: DataFrame, bits: DataFrame, n: int, spread: int) -> DataFr
                 if len(done):
                     yield pd.DataFrame({"bucket": [row["block"] % spread], "block": [row["block"]], "heads": [None], "text": [None], "done": [np.stack((first[done], count[done])).astype(np.int64).tobytes()]})
                 go = order[~settled]
-                bucket = _buckets(mix64(h[go]), spread)
-                by = np.argsort(bucket, kind="stable")
-                go, bucket = go[by], bucket[by]
-                to = np.cumsum(size[go])
-                text = data[np.repeat(first[go] - to + size[go], size[go]) + np.arange(to[-1] if len(to) else 0)]
-                for k, at in _cuts(bucket):
-                    x = go[at]
-                    heads = b"".join((owner[x].astype(np.int64).tobytes(), first[x].astype(np.int32).tobytes(), count[x].astype(np.uint8).tobytes(), (place[x] - first[x]).astype(np.uint8).tobytes()))
-                    own = text[to[at.start] - size[x[0]] : to[at.stop - 1]].tobytes()
-                    yield pd.DataFrame({"bucket": [k], "block": [row["block"]], "heads": [heads], "text": [zstandard.compress(own, 3)], "done": [None]})
+                held.append((data, first[go], np.full(len(go), row["block"]), owner[go], first[go], count[go], (place - first)[go], key[go]))
+                size_held += len(data) + int(size[go].sum())
+                if size_held > SEND_BYTES:
+                    yield from _messages(held, spread)
+                    held, size_held = [], 0
+        if held:
+            yield from _messages(held, spread)
 
     return blocks.join(bits, "block").select("block", "ids", "lengths", "data", "parts").mapInPandas(run, "bucket long, block long, heads binary, text binary, done binary")
 
@@ -332,16 +393,17 @@ def _settle_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf[pdf["heads"].notna()]
     if not len(pdf):
         return out
-    owner, first, count, before, texts, block = [], [], [], [], [], []
-    for at, (heads, text, name) in enumerate(zip(pdf["heads"], pdf["text"], pdf["block"], strict=True)):
-        n = len(heads) // 14
-        owner.append(np.frombuffer(heads, np.int64, n))
-        first.append(np.frombuffer(heads, np.int32, n, 8 * n).astype(np.int64))
-        count.append(np.frombuffer(heads, np.uint8, n, 12 * n).astype(np.int64))
-        before.append(np.frombuffer(heads, np.uint8, n, 13 * n).astype(np.int64))
-        texts.append(np.frombuffer(zstandard.decompress(text), np.uint8))
-        block.append(np.full(n, at))
-    owner, first, count, before, data, block = (np.concatenate(v) for v in (owner, first, count, before, texts, block))
+    block, owner, first, count, before, texts = [], [], [], [], [], []
+    decompress = zstandard.ZstdDecompressor().decompress
+    for heads, text in zip(pdf["heads"], pdf["text"], strict=True):
+        n = len(heads) // 22
+        block.append(np.frombuffer(heads, np.int64, n))
+        owner.append(np.frombuffer(heads, np.int64, n, 8 * n))
+        first.append(np.frombuffer(heads, np.int32, n, 16 * n).astype(np.int64))
+        count.append(np.frombuffer(heads, np.uint8, n, 20 * n).astype(np.int64))
+        before.append(np.frombuffer(heads, np.uint8, n, 21 * n).astype(np.int64))
+        texts.append(np.frombuffer(decompress(text), np.uint8))
+    block, owner, first, count, before, data = (np.concatenate(v) for v in (block, owner, first, count, before, texts))
     size = count + LENGTH - 1
     start = np.cumsum(size) - size
     h = PrefixHash(data)
@@ -356,25 +418,29 @@ def _settle_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     head = np.arange(len(owner))
     head[order[equal]] = leader[equal]
     unique = np.flatnonzero(head == np.arange(len(owner)))
-    # the windows of the distinct contexts; equal ones have one anchor hash and one place relative to it
+    # the windows of the distinct contexts; equal ones have one anchor hash and one place relative to it, so those of an anchor with
+    # one context are like no others
     n_windows = count[unique]
+    least = np.repeat(owner[unique], n_windows)
+    grams = h.slices(start[unique] + before[unique], GRAM)
+    _, where, many = np.unique(grams, return_inverse=True, return_counts=True)
     context = np.repeat(np.arange(len(unique)), n_windows)
-    offset = np.arange(len(context)) - np.repeat(np.cumsum(n_windows) - n_windows, n_windows)
+    live = np.flatnonzero((many[where] > 1)[context])
+    context = context[live]
+    offset = live - (np.cumsum(n_windows) - n_windows)[context]
     suffix = start[unique][context] + offset
-    grams = h.slices(start[unique] + before[unique], GRAM)
     group = mix64(grams[context] + (before[unique][context] - offset).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     # a window whose hash no other of its anchor and place has is like none: only the others are sorted
     same = mix64(group ^ mix64(h.slices(suffix, LENGTH)))
     _, where, many = np.unique(same, return_inverse=True, return_counts=True)
     several = np.flatnonzero(many[where] > 1)
-    least = owner[unique][context].copy()
     if len(several):
-        starts, segment, ids = suffix[several], np.unique(group[several], return_inverse=True)[1], owner[unique][context][several]
+        starts, segment, ids = suffix[several], np.unique(group[several], return_inverse=True)[1], owner[unique][context[several]]
         by = sort_suffixes(data, h, starts, segment)
         classes = equal_runs(data, h, starts, segment, by)
         smallest = np.full(classes[-1] + 1, np.iinfo(np.int64).max)
         np.minimum.at(smallest, classes, ids[by])
-        least[several[by]] = smallest[classes]
+        least[live[several[by]]] = smallest[classes]
     at = np.cumsum(n_windows) - n_windows
     slot = np.zeros(len(owner), np.int64)
     slot[unique] = np.arange(len(unique))
@@ -392,10 +458,9 @@ def _settle_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     owner_of_run = reps[run_at]
     starts, blocks_of_run = first[owner_of_run] + inner[run_at], block[owner_of_run]
     rows = []
-    names = pdf["block"].to_numpy()
     by = np.argsort(blocks_of_run, kind="stable")
     for k, cut in _cuts(blocks_of_run[by]):
-        rows.append((names[k], np.stack((starts[by][cut], run_length[by][cut])).astype(np.int64).tobytes()))
+        rows.append((k, np.stack((starts[by][cut], run_length[by][cut])).astype(np.int64).tobytes()))
     return pd.concat((out, pd.DataFrame(rows, columns=["block", "runs"])))
 
 

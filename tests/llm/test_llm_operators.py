@@ -7,6 +7,7 @@ import time
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from rolecorpus.llm import common, decontamination, extraction, graph, jaccard, language, line_dedup, mixing, neighbours, privacy, quality, suffixes
@@ -71,6 +72,59 @@ def test_substrings_equal_brute_force(spark, awkward, empty):
         assert bytes(got[i].kept) == np.frombuffer(b, np.uint8)[~mask].tobytes()
 
 
+def _passages(rng, n, *common):
+    """Texts without a repeated passage but the common ones, which stand in all."""
+    letters = "abcdefghijklmnopqrstuvwxyz    "
+    noise = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    return [(k, "".join(noise(rng.randrange(150, 250)) + c for c in common) + noise(200), "s", 1, "x") for k in range(n)]
+
+
+def _sent(spark, rows, n=8, spread=48):
+    """Blocks, and (bucket, bytes of contexts) of each message."""
+    blocks = suffixes._pack(spark.createDataFrame(rows, DOCS).coalesce(2), "doc_id", "text")
+    sent = suffixes._contexts(blocks, suffixes._shared_bits(blocks, n), n, spread).filter("heads IS NOT NULL").collect()
+    return blocks.count(), [(r.bucket, len(zstandard.decompress(r.text))) for r in sent]
+
+
+def test_substring_messages_do_not_grow_with_the_blocks(spark, monkeypatch):
+    """A task sends a bucket one message for its blocks, not one for each of them."""
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 40_000)
+    rng = random.Random(11)
+    rows = _passages(rng, 600, *["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(6)])
+    blocks, sent = _sent(spark, rows)
+    assert blocks > 40 and len(sent) <= 4 * 48  # four tasks; 48 buckets
+
+
+def test_substring_contexts_of_a_hot_anchor_are_dealt_out(spark, monkeypatch):
+    """A phrase in all documents, shorter than a window: what stands around it differs, so it goes to many buckets."""
+    monkeypatch.setattr(suffixes, "HOT", 50, raising=False)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 40_000)
+    _, sent = _sent(spark, _passages(random.Random(12), 600, "the same few words in all"))
+    by = {}
+    for bucket, size in sent:
+        by[bucket] = by.get(bucket, 0) + size
+    assert max(by.values()) < 0.1 * sum(by.values())
+
+
+def test_substrings_of_hot_anchors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 5)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 8_000)
+    rng = random.Random(13)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(300))
+    rows = _passages(rng, 60, "the same few words in all", long[:70], long, long[100:152], long[:49])
+    rows += [(100 + k, long[k : k + 120] + long[5:70], "s", 1, "x") for k in range(40)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r for r in suffixes.dedup_substrings(spark.createDataFrame(rows, DOCS)).collect()}
+    seen = set()
+    for i, t in sorted((r[0], r[1].encode()) for r in rows):
+        own, gone = {t[s : s + 50] for s in range(len(t) - 49)}, np.zeros(len(t), bool)
+        for s in range(len(t) - 49):
+            if t[s : s + 50] in seen:
+                gone[s : s + 50] = True
+        seen |= own
+        assert bytes(got[i].kept) == np.frombuffer(t, np.uint8)[~gone].tobytes()
+
+
 def test_neighbours_small_tables_are_exact(spark):
     rng = np.random.default_rng(2)
     v = [(k, [float(x) for x in rng.standard_normal(8)]) for k in range(60)]
